@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from . import chat_format, decontaminate, mixing, ngram_join
+from .common import shared_dir, table
+from .records import read_records, write_records
 from .token_counts import token_counts
 
 
@@ -13,11 +15,46 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    i, x = chat_format.PROBE_ID, chat_format.PROBE_TEXT
+    probe = spark.sql(f"SELECT * FROM VALUES ({i}L, 0L, 'user', '{x}'), ({i}L, 1L, 'assistant', '{x}') AS t(conv_id, turn, role, text)")
+    return chat_format.digests(chat_format.format_chats(turns.unionByName(probe)))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.match_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    write_records(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_records(spark, path)
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_chat_format": op2_chat_format,
+        "op5_decontaminate": op5_decontaminate,
+        "op7_ngram_join": op7_ngram_join,
+        "op9_mixing": op9_mixing,
+        "op10_records": op10_records,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_chat_format": chat_format.ORACLE_SQL,
+        "op5_decontaminate": decontaminate.ORACLE_SQL,
+        "op7_ngram_join": ngram_join.ORACLE_SQL,
+        "op9_mixing": mixing.ORACLE_SQL,
+    }
