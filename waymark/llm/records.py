@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from array import array
 
@@ -81,7 +82,7 @@ class Encoder:
             return word, b""
         word = word.lower()
         core = word.rstrip(MARKS)
-        if core != word and (core.isalpha() or core.decode().isalpha()):
+        if core != word and (core.isalpha() or unicodedata.normalize("NFC", core.decode()).lower().isalpha()):
             return core, word[len(core) :]
         return word, b""
 
