@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, mixing, ngram_join
+from . import chat_format, decontaminate, mixing, ngram_join, toxicity
 from .common import shared_dir, table
 from .records import read_records, write_records
 from .token_counts import token_counts
@@ -22,6 +22,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(turns.unionByName(probe)))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.match_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -44,6 +49,7 @@ def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_chat_format": op2_chat_format,
+        "op3_toxicity": op3_toxicity,
         "op5_decontaminate": op5_decontaminate,
         "op7_ngram_join": op7_ngram_join,
         "op9_mixing": op9_mixing,
