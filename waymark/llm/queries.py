@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, mixing, ngram_join, toxicity
+from . import chat_format, decontaminate, html_extract, mixing, ngram_join, toxicity
 from .common import shared_dir, table
 from .records import read_records, write_records
 from .token_counts import token_counts
@@ -35,6 +35,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity,
         "op5_decontaminate": op5_decontaminate,
         "op7_ngram_join": op7_ngram_join,
+        "op8_html_extract": op8_html_extract,
         "op9_mixing": op9_mixing,
         "op10_records": op10_records,
     }
