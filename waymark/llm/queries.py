@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_extract, mixing, ngram_join, toxicity
+from . import chat_format, decontaminate, html_extract, mixing, ngram_join, suffix_dedup, toxicity
 from .common import shared_dir, table
 from .records import read_records, write_records
 from .token_counts import token_counts
@@ -31,6 +31,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.match_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict:
         "op2_chat_format": op2_chat_format,
         "op3_toxicity": op3_toxicity,
         "op5_decontaminate": op5_decontaminate,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_ngram_join": op7_ngram_join,
         "op8_html_extract": op8_html_extract,
         "op9_mixing": op9_mixing,
