@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests on one machine).
 FALLBACK_DIR = "/tmp/checkpoints"
@@ -46,6 +47,23 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bits of the filter in ``sifted``; its table has a row for every 64 of them.
+FILTER_BITS = 1 << 24
+
+
+def sifted(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """Rows whose ``column`` may be among ``ids``: all that are, and a few more.
+
+    The filter that is broadcast has at most ``FILTER_BITS / 64`` rows (4 MB)
+    whatever the tables hold; with very many ids it lets all rows pass.
+    """
+    place = lambda: F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    bit = lambda: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), {FILTER_BITS}) & 63 as int))")
+    words = ids.select(F.shiftright(place(), 6).alias("sift_word"), bit().alias("m")).groupBy("sift_word").agg(F.bit_or("m").alias("sift_bits"))
+    found = rows.join(F.broadcast(words), F.shiftright(place(), 6) == F.col("sift_word"))
+    return found.where(F.col("sift_bits").bitwiseAND(bit()) != 0).drop("sift_word", "sift_bits")
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``limit`` bytes."""
     lengths = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, discard, staged
+from .common import byte_slices, discard, sifted, staged
 from .wordhash import mix, shingle_hashes, word_hashes
 
 #: Words of a retained suffix that must repeat at once.
@@ -242,7 +242,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     places = reps.select("id", "t", F.explode(F.arrays_zip("h", "p", "a", "b")).alias("q")).select("id", "t", "q.*")
     shared = places.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("h")
     surviving = places.join(shared, "h").groupBy("id", "t").agg(F.collect_list(F.struct("p", "a", "b")).alias("places"))
-    full = texts.join(surviving, ["id", "t"]).dropDuplicates(["id"])
+    surviving = staged(surviving)
+    full = sifted(texts, surviving).join(surviving, ["id", "t"]).dropDuplicates(["id"])
     full = staged(full)
     distinct = contexts(full, span, True).groupBy("key", "digest", "lo", "hi").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.any_value("words").alias("words"))
     groups = distinct.repartition("key").sortWithinPartitions("key", "digest")
