@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_extract, mixing, ngram_join, suffix_dedup, toxicity
+from . import chat_format, decontaminate, html_extract, mixing, ngram_join, suffix_dedup, toxicity, vector_graph
 from .common import shared_dir, table
 from .records import read_records, write_records
 from .token_counts import token_counts
@@ -27,6 +27,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.match_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -58,6 +62,7 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op2_chat_format": op2_chat_format,
         "op3_toxicity": op3_toxicity,
+        "op4_vector_graph": op4_vector_graph,
         "op5_decontaminate": op5_decontaminate,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_ngram_join": op7_ngram_join,
