@@ -34,7 +34,8 @@ SHARD, MOST_CENTROIDS = 1000, 1024
 BLOCK = 1500
 #: Edges of a node, neighbours they are chosen from, and the pruning slack.
 DEGREE, CANDIDATES, ALPHA = 16, 64, 1.2
-BEAM = 24
+#: Greedy steps of a search, and searches that step together.
+STEPS, QUERIES = 12, 256
 #: Nodes a little out of range are still passed through.
 PASS_THROUGH = 0.1
 AUDITED, LEAST_RECALL = 256, 0.9
@@ -53,8 +54,8 @@ def prune(x: np.ndarray, node: int, near: np.ndarray, degree: int = DEGREE) -> l
     return kept
 
 
-def build(x: np.ndarray) -> tuple[list[np.ndarray], int]:
-    """Adjacency lists, edges of both directions united, and the medoid."""
+def build(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """Adjacency lists (padded with -1), edges of both directions united, and the medoid."""
     n = len(x)
     edges: list[set[int]] = [set() for _ in range(n)]
     for a in range(0, n, 500):
@@ -74,42 +75,51 @@ def build(x: np.ndarray) -> tuple[list[np.ndarray], int]:
         if len(near) > 3 * DEGREE:
             near = np.array(prune(x, i, near[np.argsort(-(x[near] @ x[i]), kind="stable")], 3 * DEGREE), np.int64)
         out.append(near)
-    return out, int(np.argmax(x @ x.sum(0)))
-
-
-def search(x: np.ndarray, edges: list[np.ndarray], entries: list[int], q: np.ndarray, least: float) -> np.ndarray:
-    """Nodes whose cosine with ``q`` is at least ``least``: greedy, then by range."""
-    seen = np.zeros(len(x), bool)
-    start = np.array(sorted(set(entries)), np.int64)
-    seen[start] = True
-    nodes, score = start, x[start] @ q
-    opened: set[int] = set()
-    while True:  # best first, with a beam
-        order = np.argsort(-score, kind="stable")[:BEAM]
-        nodes, score = nodes[order], score[order]
-        fresh = [int(v) for v in nodes if int(v) not in opened][:4]
-        if not fresh:
-            break
-        opened.update(fresh)
-        new = np.unique(np.concatenate([edges[v] for v in fresh]))
-        new = new[~seen[new]]
-        seen[new] = True
-        nodes, score = np.concatenate((nodes, new)), np.concatenate((score, x[new] @ q))
-        if len(opened) > 4 * BEAM:
+    table = np.full((n, 3 * DEGREE), -1, np.int64)
+    for i, near in enumerate(out):
+        table[i, : len(near)] = near
+    return table, int(np.argmax(x @ x.sum(0)))
+
+
+def search(x: np.ndarray, edges: np.ndarray, medoid: int, queries: np.ndarray, least: float) -> np.ndarray:
+    """Which nodes have a cosine of ``least`` or more with each query node.
+
+    All queries take their steps together: greedy ones from the medoid and the
+    query's own node, then the range grows from every near node on.  ``edges``
+    is a padded table of neighbours (-1: none).
+    """
+    score = np.full((len(queries), len(x)), -2.0)
+    opened = np.zeros(score.shape, bool)
+
+    def visit(q: np.ndarray, v: np.ndarray) -> None:
+        new = np.zeros(score.shape, bool)
+        new[q, v] = True
+        new &= score == -2
+        q, v = np.nonzero(new)
+        for a in range(0, len(q), 50_000):
+            part = slice(a, a + 50_000)
+            score[q[part], v[part]] = np.einsum("ij,ij->i", x[v[part]], x[queries[q[part]]])
+
+    def open_up(q: np.ndarray, v: np.ndarray) -> None:
+        opened[q, v] = True
+        near = edges[v]
+        there = near >= 0
+        visit(np.repeat(q, there.sum(1)), near[there])
+
+    every = np.arange(len(queries))
+    visit(np.tile(every, 2), np.concatenate((np.full(len(queries), medoid), queries)))
+    for _ in range(STEPS):
+        best = np.argmax(np.where(opened, -3.0, score), axis=1)
+        able = score[every, best] > -2
+        able &= ~opened[every, best]
+        if not able.any():
             break
-    # the range grows from all near nodes until nothing near is unopened
-    visited = np.flatnonzero(seen)
-    score = x[visited] @ q
-    found = [visited[score >= least]]
-    front = visited[score >= least - PASS_THROUGH]
-    while len(front):
-        new = np.unique(np.concatenate([edges[v] for v in front]))
-        new = new[~seen[new]]
-        seen[new] = True
-        score = x[new] @ q
-        found.append(new[score >= least])
-        front = new[score >= least - PASS_THROUGH]
-    return np.unique(np.concatenate(found))
+        open_up(every[able], best[able])
+    while True:
+        front = (score >= least - PASS_THROUGH) & ~opened
+        if not front.any():
+            return score >= least
+        open_up(*np.nonzero(front))
 
 
 def compare(x: np.ndarray, ids: np.ndarray, block: np.ndarray, shards: np.ndarray, shard: int, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -125,18 +135,16 @@ def compare(x: np.ndarray, ids: np.ndarray, block: np.ndarray, shards: np.ndarra
             i = up[i]
         return int(i)
 
-    across = block.min() != block.max()
-    for i in range(n):
-        hits = search(x, edges, [medoid, i], x[i], least)
-        hits = hits[hits != i]
-        if across:
-            hits = hits[block[hits] != block[i]]
-        if not len(hits):
-            continue
+    linked = np.concatenate([search(x, edges, medoid, np.arange(a, min(a + QUERIES, n)), least) for a in range(0, n, QUERIES)])
+    linked |= linked.T  # found from either end
+    np.fill_diagonal(linked, False)
+    if block.min() != block.max():
+        linked &= block[:, None] != block[None, :]
+    for i in np.flatnonzero(linked.any(1)).tolist():
+        hits = np.flatnonzero(linked[i])
         same = (shards[hits][:, :, None] == shards[i][None, None, :]).any(2)
-        first = np.where(same, shards[hits], np.iinfo(np.int64).max).min(1)
-        count[i] = np.count_nonzero(first == shard)
-        for j in hits.tolist():
+        count[i] = np.count_nonzero(np.where(same, shards[hits], np.iinfo(np.int64).max).min(1) == shard)
+        for j in hits[hits > i].tolist():
             a, b = root(i), root(j)
             up[max(a, b)] = min(a, b)
     tops = [root(i) for i in range(n)]
@@ -249,7 +257,7 @@ def audit(rows: DataFrame, counts: DataFrame, least: float, queries: int = AUDIT
     return both["found"] / both["true"] if both["true"] else 1.0
 
 
-def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, overlap: int = 4) -> DataFrame:
+def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, overlap: int = 3) -> DataFrame:
     """One row per row of ``vectors``: id, ``n_links, component_id, kept``.
 
     Vectors that are null, zero or hold null or non-finite numbers link with
