@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +70,7 @@ def queries() -> dict:
         "op8_html_extract": op8_html_extract,
         "op9_mixing": op9_mixing,
         "op10_records": op10_records,
+        "pipeline": corpus_pipeline.run,
     }
 
 
