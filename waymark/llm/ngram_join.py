@@ -17,12 +17,14 @@ each connected part leaves it.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, discard, staged
+from .common import byte_slices, discard, sifted, staged
 from .components import components
 from .wordhash import PLACES, mix, shingle_hashes, word_hashes
 
@@ -272,9 +274,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_set = ["s1", "s2", "n"]
     reps = real.join(classes.withColumnRenamed("rep", "id"), [*by_set, "id"]).dropDuplicates([*by_set, "id"])
     base = (F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1).cast("int")
-    tokens = reps.select("id", "bytes", F.explode(F.slice("prefix", F.lit(1), base)).alias("token"))
-    least = tokens.groupBy("token").agg(F.min("id").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = staged(tokens.join(least, "token").select("leader", "id", "bytes").distinct())
+    tokens = reps.select("id", "n", "bytes", F.explode(F.slice("prefix", F.lit(1), base)).alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    # similar sets have similar sizes: they share a size bucket or stand in adjacent ones
+    level = F.floor(F.log(F.col("n").cast("double") * (1 + 1e-9)) / math.log(den / num) if num < den else F.col("n")).cast("long")
+    sized = tokens.join(common, "token").withColumn("level", F.explode(F.array(level, level + 1)))
+    least = sized.groupBy("token", "level").agg(F.min("id").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = staged(sized.join(least, ["token", "level"]).select("leader", "id", "bytes").distinct())
     blocks = met.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")).where("blocks > 1")
     cut = met.join(blocks, "leader", "left").select("leader", "id", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -282,7 +288,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tiles = placed.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     whole = reps.select("id", "matches", "prefix").dropDuplicates(["id"])
-    texts = texts.where("text is not null").join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    texts = sifted(texts, met.select("id")).join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     full = tiles.join(whole, "id").join(texts, "id")
     spread = full.select("leader", "i", "j", "block", "id", "matches", "prefix", "text").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
     edges = staged(links(spread, k, num, den))
