@@ -18,9 +18,22 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def rounded(df):
+    """Doubles to nine places, so that two engines' sums compare equal."""
+    from pyspark.sql import functions as F
+
+    return df.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _load() -> None:
+    from waymark.plans import audits, policies, splits, states, texts  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
