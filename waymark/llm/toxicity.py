@@ -338,12 +338,18 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """``text, toxic`` of the bounded sample to learn from, drawn by hash."""
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic"))
+    """``text, toxic`` of the bounded sample to learn from, drawn by hash.
+
+    Ids are drawn first; only the texts of those few leave the scan.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
-    learnt = rows.join(known, F.col("id") == F.col("label_id")).where(~held_out("id")).withColumn("h", F.md5(F.concat_ws(":", "id", F.lit("learn"))))
-    pick = lambda label, n: learnt.where(F.col("toxic") == label).orderBy("h", "id", "text").limit(n).select("text", "toxic")
-    return pick(1, TOXIC_DOCS).unionAll(pick(0, CLEAN_DOCS))
+    able = known.where(~held_out("id")).join(rows.select("id"), "id", "left_semi").withColumn("h", F.md5(F.concat_ws(":", "id", F.lit("learn"))))
+    pick = lambda label, n: able.where(F.col("toxic") == label).orderBy("h", "id").limit(n).select("id", "toxic")
+    drawn = pick(1, TOXIC_DOCS).unionAll(pick(0, CLEAN_DOCS))
+    # at most that many rows; an id that many rows repeat still gives no more texts
+    texts = rows.join(F.broadcast(drawn), "id").withColumn("h", F.md5(F.concat_ws(":", "id", F.lit("learn"))))
+    return texts.orderBy("h", "id", "text", "toxic").limit(TOXIC_DOCS + CLEAN_DOCS).select("text", "toxic")
 
 
 def held_out(id_col: str):
