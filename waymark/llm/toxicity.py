@@ -33,10 +33,12 @@ from .common import byte_slices
 TOXIC_DOCS, CLEAN_DOCS, TRAIN_BYTES = 2500, 5000, 20_000
 DECAY, LANDMARKS, ALPHABET = 0.8, 96, 56
 #: What a wrong unit costs the machine against the size of its weights.
-COST = 1.0
+COST = 2.0
 #: Units of more characters are looked at through overlapping windows.
 WINDOW = 20
 TRAIN_UNITS = 12_000
+#: Units of which disguised spellings are learnt as well.
+DISGUISED = 200
 MEMORY_UNITS = 1_500_000
 GROUP_BYTES = 4_000_000
 #: The margin of a unit that cannot matter.
@@ -190,11 +192,12 @@ def doc_features(margins: np.ndarray, length: int) -> np.ndarray:
     return np.array([1.0, *top, sure, likely, scale, scale * sure, scale * likely])
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+def _newton(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights of a logistic model; ``share`` is what a row counts."""
     w = np.zeros(x.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (share * (p * (1 - p) + 1e-6))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (share * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-7:
             break
@@ -278,7 +281,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     square = gram(kernel, marks, table)
     values, vectors = np.linalg.eigh((square + square.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    disguised = _variants([names[x] for x in positive[:60]], rng)
+    disguised = _variants([names[x] for x in positive[:DISGUISED]], rng)
     units = [names[x] for x in positive] + disguised + [names[x] for x in negative]
     label = np.array([1.0] * (len(positive) + len(disguised)) + [-1.0] * len(negative))
     many = np.concatenate((np.sqrt(excess[positive]), np.full(len(disguised), 1.0), np.sqrt(seen[0][negative])))
@@ -298,7 +301,16 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
         w = _svm(np.hstack((x, np.ones((len(x), 1)))), label, cost)
         model.weights, model.bias = (table @ (root @ w[:-1])).astype(np.float32), float(w[-1])
     margin = model.margins(names)
-    model.doc = _newton(np.stack([doc_features(margin[np.unique(d)], len(d)) for d in docs]), y.astype(float), 1.0)
+    features = [doc_features(margin[np.unique(d)], len(d)) for d in docs]
+    # toxic documents once more, their sure units in disguise
+    known = positive[:DISGUISED]
+    disguises = model.margins(_variants([names[x] for x in known], rng)).reshape(len(known), -1)
+    for d in (d for d, v in zip(docs, toxic) if v):
+        hidden = margin.copy()
+        hidden[known] = disguises[np.arange(len(known)), rng.integers(0, disguises.shape[1], len(known))]
+        features.append(doc_features(hidden[np.unique(d)], len(d)))
+    copies = len(features) - len(y)
+    model.doc = _newton(np.stack(features), np.concatenate((y, np.ones(copies))), np.concatenate((np.ones(len(y)), np.full(copies, 0.2))), 1.0)
     return model
 
 
