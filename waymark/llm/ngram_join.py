@@ -28,7 +28,7 @@ from .common import byte_slices, discard, sifted, staged
 from .components import components
 from .wordhash import PLACES, mix, shingle_hashes, word_hashes
 
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 #: Words counted before a task hands its counts on.
 COUNTED_WORDS = 4_000_000
 #: Size of the table of word counts that is broadcast (16 bytes a word), and
@@ -315,22 +315,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 ORACLE_SQL = r"""
-WITH RECURSIVE w AS (
+WITH RECURSIVE w AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
-), d AS (
-  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct([array_to_string(w[i : i + 2], ' ') FOR i IN range(1, len(w) - 1)]) END AS s FROM w
-), c AS (SELECT list_sort(s) AS s, min(doc_id) AS rep FROM d WHERE len(s) > 0 GROUP BY 1),
-f AS (SELECT t, count(*) AS df FROM (SELECT unnest(s) AS t FROM c) GROUP BY t),
-o AS (SELECT c.rep, u.t, row_number() OVER (PARTITION BY c.rep ORDER BY f.df, u.t) AS p, len(c.s) AS n FROM c, unnest(c.s) AS u(t) JOIN f ON f.t = u.t),
-p AS (SELECT rep, t, n FROM o WHERE p <= n - CAST(ceil(n * 90 / 100.0) AS BIGINT) + 1),
+), x AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w WHERE len(w) >= 3),
+t AS (
+  SELECT r, x || ' ' || lead(x) OVER p || ' ' || lead(x, 2) OVER p AS t FROM x WINDOW p AS (PARTITION BY r ORDER BY i)
+  UNION ALL SELECT r, array_to_string(w, ' ') FROM w WHERE len(w) IN (1, 2)
+), d AS MATERIALIZED (SELECT r, list_sort(list(DISTINCT t)) AS s, md5(string_agg(DISTINCT t, chr(31) ORDER BY t)) AS h FROM t WHERE t IS NOT NULL GROUP BY r),
+c AS MATERIALIZED (SELECT h, any_value(s) AS s, min(doc_id) AS rep FROM d JOIN w USING (r) GROUP BY h),
+u AS MATERIALIZED (SELECT rep, len(s) AS n, unnest(s) AS t FROM c),
+f AS MATERIALIZED (SELECT t, count(*) AS df FROM u GROUP BY t),
+o AS (SELECT u.rep, u.t, u.n, row_number() OVER (PARTITION BY u.rep ORDER BY f.df, u.t) AS p FROM u JOIN f USING (t)),
+p AS MATERIALIZED (SELECT rep, t, n FROM o WHERE p <= n - CAST(ceil(n * 90 / 100.0) AS BIGINT) + 1),
 q AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM p a JOIN p b ON a.t = b.t AND a.rep < b.rep AND a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90),
-e AS (
-  SELECT q.a, q.b FROM q JOIN c x ON x.rep = q.a JOIN c y ON y.rep = q.b
-  WHERE 100 * len(list_intersect(x.s, y.s)) >= 90 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))
+e AS MATERIALIZED (
+  SELECT a, b FROM (SELECT q.a, q.b, count(*) AS m, any_value(x.n) AS na, any_value(y.n) AS nb FROM q JOIN u x ON x.rep = q.a JOIN u y ON y.rep = q.b AND y.t = x.t GROUP BY q.a, q.b)
+  WHERE 100 * m >= 90 * (na + nb - m)
 ), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
 top AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY a)
-SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(top.component, d.doc_id) AS component_id
-FROM d LEFT JOIN c ON c.s = list_sort(d.s) LEFT JOIN top ON top.rep = c.rep
+SELECT w.doc_id, CAST(coalesce(len(d.s), 0) AS BIGINT) AS n_shingles, coalesce(top.component, w.doc_id) AS component_id
+FROM w LEFT JOIN d USING (r) LEFT JOIN c ON c.h = d.h LEFT JOIN top ON top.rep = c.rep
 """
