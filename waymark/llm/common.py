@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -21,7 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path under the folder that driver and executors share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", FALLBACK_DIR)
-    return f"{base.rstrip('/')}/waymark-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/waymark-{uuid.uuid4().hex}"
+    if base == FALLBACK_DIR:  # one machine, and nobody else looks after the folder
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def staged(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
