@@ -26,7 +26,7 @@ from .wordhash import mix, shingle_hashes, word_hashes
 
 #: Words of a retained suffix that must repeat at once.
 K = 8
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 #: Low bits of a place's key that hold the place itself.
 PLACE = np.uint64((1 << 22) - 1)
 FACTORS = mix(np.arange(100, 612, dtype=np.uint64)) | np.uint64(1)
@@ -241,6 +241,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reps = rows.join(classes.withColumnRenamed("rep", "id"), [*by_text, "id"]).dropDuplicates(["id"])
     places = reps.select("id", "t", F.explode(F.arrays_zip("h", "p", "a", "b")).alias("q")).select("id", "t", "q.*")
     shared = places.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("h")
+    shared = staged(shared)  # read back, a frequent place can be split in the join
     surviving = places.join(shared, "h").groupBy("id", "t").agg(F.collect_list(F.struct("p", "a", "b")).alias("places"))
     surviving = staged(surviving)
     full = sifted(texts, surviving).join(surviving, ["id", "t"]).dropDuplicates(["id"])
@@ -260,6 +261,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # a text that several documents hold repeats as a whole
     by_class = classes.join(of_reps, "rep", "left").select(*by_text, F.when(F.col("rep") != F.col("most"), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))).otherwise(F.col("runs")).alias("runs"))
     result = rows.select("id", *by_text).dropDuplicates(["id"]).join(by_class.where("runs is not null"), by_text).select("id", F.explode("runs").alias("r"))
-    for done in (full, found):
+    for done in (full, found, shared, surviving):
         discard(done)
     return result.select(F.col("id").alias(id_col), F.col("r.a").alias("first_word"), F.col("r.b").alias("end_word"), (F.col("r.b") - F.col("r.a")).alias("n_words"))
