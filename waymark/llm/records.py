@@ -68,6 +68,10 @@ class Encoder:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 65536 else "I"
         self.width = array(self.code).itemsize
         self.end = array(self.code, [end_id]).tobytes()
+        #: Ids that end a word; words of letters can then be encoded in one text.
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
@@ -88,14 +92,29 @@ class Encoder:
 
     def learn(self, unseen: set[bytes]) -> None:
         parts = {w: self._parts(w) for w in unseen}
-        new = list({p for both in parts.values() for p in both if p}.difference(self.known))
-        for i in range(0, len(new), 20_000):
-            batch = new[i : i + 20_000]
+        new = {p for both in parts.values() for p in both if p}.difference(self.known)
+        letters = [p for p in new if p.isalpha() and p.islower()]
+        for i in range(0, len(letters), 5000):
+            self._learn_letters(letters[i : i + 5000])
+        rest = list(new.difference(self.known))
+        for i in range(0, len(rest), 20_000):
+            batch = rest[i : i + 20_000]
             for p, e in zip(batch, self.tokenizer.encode_batch_fast([p.decode() for p in batch], add_special_tokens=False)):
                 self.known[p] = array(self.code, e.ids).tobytes()
         for w, (core, marks) in parts.items():
             self.known[w] = self.known[core] + self.known[marks] if marks else self.known[core]
 
+    def _learn_letters(self, words: list[bytes]) -> None:
+        """Encode words of ASCII letters as one text and cut it where words end."""
+        text = b" ".join(words).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.dtype(self.code))
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+        if len(cuts) == len(words):  # else this vocabulary marks no word ends
+            data, start = ids.tobytes(), 0
+            for word, cut in zip(words, cuts.tolist()):
+                self.known[word] = data[start:cut]
+                start = cut
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Token ids of each text and the end id, as bytes.
 
