@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -69,6 +70,33 @@ def sifted(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     return found.where(F.col("sift_bits").bitwiseAND(bit()) != 0).drop("sift_word", "sift_bits")
 
 
+#: Rows of an Arrow batch; at ten times as many, long texts fill the executors.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; Arrow batches of its session are small, unless they are set already."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) == 10_000:  # Spark's default
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
+_resident: dict = {}
+
+
+def resident(key, build):
+    """What ``build`` makes, kept in this Python worker until another key asks.
+
+    One operator at a time has its memory there, whatever ran before it.
+    """
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        _resident[key] = build()
+    return _resident[key]
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``limit`` bytes."""
     lengths = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())

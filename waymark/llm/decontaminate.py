@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices
+from .common import byte_slices, resident, small_batches
 
 BLOCK_BYTES = 1_000_000
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 2_000_000
 
 #: A-Z in lower case, everything between words a space; other bytes as they are.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -143,14 +143,8 @@ class Automaton:
         return spans, items
 
 
-_built: dict[str, Automaton] = {}
-
-
 def _automaton(key: str, items, window: int) -> Automaton:
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton(items, window)
-    return _built[key]
+    return resident(("decontaminate", key), lambda: Automaton(items, window))
 
 
 def _union(spans: list[list[int]]) -> list[list[int]]:
@@ -186,7 +180,7 @@ def match_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     span = T.ArrayType(T.ArrayType(T.LongType()))
-    frame = docs.select(
+    frame = small_batches(docs).select(
         F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"), *([F.struct(*keep).alias("row")] if keep else []),
     )

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 
 #: Pages of a host that are aligned with one another.
 GROUP_PAGES = 64
@@ -377,7 +377,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     back as often as they are; an empty table gives an empty result; other
     columns are not read.
     """
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
+    rows = small_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
     induced = staged(wrappers(rows.select("host", "html")))
     size = induced.agg(F.sum(F.octet_length("host") + 8 * F.coalesce(F.size("template"), F.lit(0)) + 16)).first()[0] or 0
     wide = rows.join(F.broadcast(induced) if size <= BROADCAST_BYTES else induced, "host", "left").select("id", "url", "html", "template", "main_slot")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, discard, sifted, staged
+from .common import byte_slices, discard, sifted, small_batches, staged
 from .components import components
 from .wordhash import PLACES, mix, shingle_hashes, word_hashes
 
@@ -267,7 +267,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives an empty result; other columns are not read.
     """
     k = shingle_words
-    rows = staged(profiles(docs, id_col, text_col, k, num, den))
+    rows = staged(profiles(small_batches(docs), id_col, text_col, k, num, den))
     real = rows.where("n > 0 and id is not null")
     # equal sets are one class, whose smallest id stands for it
     classes = staged(real.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))

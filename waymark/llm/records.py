@@ -32,16 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, resident, small_batches
 
 SHARD_BYTES = 4_000_000
 #: Text bytes of one range partition.
 PARTITION_BYTES = 8_000_000
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 #: Shards that one partition can number.
 SHARDS_A_PARTITION = 1_000_000
 #: Remembered words per Python worker; beyond it the memory starts anew.
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS = 800_000
 #: ASCII punctuation that is no letter's neighbour in a contraction.
 MARKS = b'!"#$%&()*+,-./:;=?@[\\]^_`{}~|'
 HEAD, INDEX = "<QI", "<qqqq"
@@ -56,8 +56,6 @@ def masked(data: bytes) -> int:
 class Encoder:
     """Encodes white-space separated words; lives as long as its worker."""
 
-    _kept: dict = {}
-
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -76,9 +74,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str, end_id: int) -> Encoder:
-        if (path, end_id) not in cls._kept:
-            cls._kept[path, end_id] = cls(path, end_id)
-        return cls._kept[path, end_id]
+        return resident(("records", path, end_id), lambda: cls(path, end_id))
 
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
         """Letters and the marks after them, which are always encoded apart."""
@@ -158,7 +154,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
     in the order of their texts' hashes; null and empty texts hold the end id
     alone; an empty table writes no file; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("h"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("h"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranged = rows.repartitionByRange(max(1, -(-total // PARTITION_BYTES)), "id", "h").sortWithinPartitions("id", "h")
 

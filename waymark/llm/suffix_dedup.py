@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, discard, sifted, staged
+from .common import byte_slices, discard, sifted, small_batches, staged
 from .wordhash import mix, shingle_hashes, word_hashes
 
 #: Words of a retained suffix that must repeat at once.
@@ -234,7 +234,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     are not read.
     """
     span = min_words
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("t")).where("id is not null")
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("t")).where("id is not null")
     rows = staged(anchors(texts, span).where(F.col("n") >= span))
     by_text = ["s1", "s2", "n"]
     classes = staged(rows.groupBy(*by_text).agg(F.min("id").alias("rep"), F.max("id").alias("most")))

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, resident, small_batches
 
 #: A group of texts that is handled at once, and the pieces of one encode call.
-GROUP_BYTES, ENCODE_BYTES = 4_000_000, 500_000
+GROUP_BYTES, ENCODE_BYTES = 2_000_000, 500_000
 #: Remembered pieces per Python worker; beyond it the memory starts anew.
-MEMORY_PIECES = 1_200_000
+MEMORY_PIECES = 1_000_000
 
 #: White space beyond the ASCII four: a cut next to it may not be a boundary.
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -38,8 +38,6 @@ def pieces(text: str) -> list[str]:
 class Counter:
     """Counts tokens of pieces; lives as long as its Python worker."""
 
-    _kept: dict[str, Counter] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -51,9 +49,7 @@ class Counter:
 
     @classmethod
     def of(cls, path: str) -> Counter:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+        return resident(("token_counts", path), lambda: cls(path))
 
     def _encode(self, batch: list[str]) -> None:
         for piece, found in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
@@ -101,6 +97,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 n = counter.counts(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
     out = rows.mapInArrow(count, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, resident, small_batches
 
 TOXIC_DOCS, CLEAN_DOCS, TRAIN_BYTES = 2500, 5000, 20_000
 DECAY, LANDMARKS, ALPHABET = 0.8, 96, 56
@@ -39,8 +39,8 @@ WINDOW = 20
 TRAIN_UNITS = 12_000
 #: Units of which disguised spellings are learnt as well.
 DISGUISED = 200
-MEMORY_UNITS = 1_500_000
-GROUP_BYTES = 4_000_000
+MEMORY_UNITS = 500_000
+GROUP_BYTES = 1_000_000
 #: The margin of a unit that cannot matter.
 FAR = -4.0
 N_FEATURES = 10
@@ -317,18 +317,13 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
 class Scorer:
     """Remembers the margins of tokens; lives as long as its Python worker."""
 
-    _kept: dict[int, Scorer] = {}
-
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, float] = {}
 
     @classmethod
     def of(cls, key: str, model: Model) -> Scorer:
-        if key not in cls._kept:
-            cls._kept.clear()
-            cls._kept[key] = cls(model)
-        return cls._kept[key]
+        return resident(("toxicity", key), lambda: cls(model))
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if self.model.kernel is None:
@@ -387,7 +382,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     key = hashlib.sha1(pickle.dumps(model)).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0.0).alias("score"), *([F.struct(*keep).alias("row")] if keep else []))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0.0).alias("score"), *([F.struct(*keep).alias("row")] if keep else []))
 
     def run(batches):
         scorer = Scorer.of(key, sent.value)
