@@ -132,6 +132,35 @@ def test_blocks_meet(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and sum(r.n_links for r in got) >= 0.9 * 150 * 149
 
 
+def test_groups_of_equal_vectors(spark):
+    rng = np.random.default_rng(6)
+    sizes = [20, 40, 70, 150, 600, 2000]
+    x = np.vstack([np.repeat(rng.normal(size=(1, 64)), n, axis=0) for n in sizes] + [rng.normal(size=(300, 64))])
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(i, x[j].tolist()) for i, j in enumerate(order)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vector_graph.similar_vectors(df).collect()}
+    ends = np.cumsum(sizes)
+    for a, n in zip(ends - sizes, sizes):
+        ids = np.flatnonzero((order >= a) & (order < a + n)).tolist()
+        assert {got[i].n_links for i in ids} == {n - 1} and {got[i].component_id for i in ids} == {ids[0]}
+        assert [i for i in ids if got[i].kept] == ids[:1]
+    assert sum(r.n_links for r in got.values()) == sum(n * (n - 1) for n in sizes)
+
+
+def test_all_pairs_are_compared_where_the_search_fails(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vector_graph, "EXACT_BLOCK", 60)
+    # the search finds nothing
+    monkeypatch.setattr(vector_graph, "_counted", lambda rows, *_: (rows.sparkSession.createDataFrame([], "id long, n long"), rows.sparkSession.createDataFrame([], "a long, b long")))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = u @ u.T >= 0.8
+    np.fill_diagonal(linked, False)
+    got = {r.vec_id: r.n_links for r in vector_graph.similar_vectors(df, least=0.8).collect()}
+    assert [got[i] for i in range(600)] == linked.sum(1).tolist()
+
+
 # 5
 def brute_hits(items, text, window=10):
     words = decontaminate.words_of(text.encode())

@@ -11,9 +11,14 @@ themselves, so no link below the threshold is ever counted.
 
 A pair that meets in several shards counts in the first one only, so counts
 add up without a list of pairs, and only a star of each connected part leaves
-a shard.  At the end a sample of the vectors is compared with all rows by brute
-force; if fewer than ``LEAST_RECALL`` of its links were found, the index is
-built again with twice the overlap.
+a shard.  Equal vectors are one class from the start: the graph holds one of
+them, and a link to it counts as often as the class has members.
+
+At the end a sample of the vectors is compared with all rows by brute force; if
+fewer than ``LEAST_RECALL`` of its links were found, the index is built again
+with twice the overlap, and if that does not help either, all pairs that can
+link are compared: each vector meets, in the cell of its nearest centroid,
+every vector that is near enough to that cell.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ STEPS, QUERIES = 12, 256
 #: Nodes a little out of range are still passed through.
 PASS_THROUGH = 0.1
 AUDITED, LEAST_RECALL = 256, 0.9
+#: Vectors of a cell, and of each side of a tile, where all pairs are compared.
+EXACT_BLOCK = 10_000
 
 
 def prune(x: np.ndarray, node: int, near: np.ndarray, degree: int = DEGREE) -> list[int]:
@@ -122,8 +129,11 @@ def search(x: np.ndarray, edges: np.ndarray, medoid: int, queries: np.ndarray, l
         open_up(*np.nonzero(front))
 
 
-def compare(x: np.ndarray, ids: np.ndarray, block: np.ndarray, shards: np.ndarray, shard: int, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links per vector that this shard counts, and (id, least connected id)."""
+def compare(x: np.ndarray, ids: np.ndarray, weights: np.ndarray, block: np.ndarray, shards: np.ndarray, shard: int, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links per vector that this shard counts, and (id, least connected id).
+
+    A link counts as often as ``weights`` says of the vector at its other end.
+    """
     n = len(x)
     edges, medoid = build(x)
     count = np.zeros(n, np.int64)
@@ -143,7 +153,7 @@ def compare(x: np.ndarray, ids: np.ndarray, block: np.ndarray, shards: np.ndarra
     for i in np.flatnonzero(linked.any(1)).tolist():
         hits = np.flatnonzero(linked[i])
         same = (shards[hits][:, :, None] == shards[i][None, None, :]).any(2)
-        count[i] = np.count_nonzero(np.where(same, shards[hits], np.iinfo(np.int64).max).min(1) == shard)
+        count[i] = weights[hits][np.where(same, shards[hits], np.iinfo(np.int64).max).min(1) == shard].sum()
         for j in hits[hits > i].tolist():
             a, b = root(i), root(j)
             up[max(a, b)] = min(a, b)
@@ -151,6 +161,24 @@ def compare(x: np.ndarray, ids: np.ndarray, block: np.ndarray, shards: np.ndarra
     return count, [(int(ids[i]), int(ids[t])) for i, t in enumerate(tops) if t != i]
 
 
+def compare_all(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, weights: np.ndarray, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """As ``compare``, for every pair of a vector of ``x`` and one of ``y``."""
+    nodes, place = np.unique(np.concatenate((ids, others)), return_inverse=True)
+    left, right = place[: len(ids)], place[len(ids) :]
+    top = np.arange(len(nodes))
+    count = np.zeros(len(ids), np.int64)
+    for a in range(0, len(x), 500):
+        hit = x[a : a + 500] @ y.T >= least
+        hit &= left[a : a + 500, None] != right[None]
+        for i in np.flatnonzero(hit.any(1)).tolist():
+            hits = np.flatnonzero(hit[i])
+            count[a + i] = weights[hits].sum()
+            parts = np.unique(np.append(top[right[hits]], top[left[a + i]]))
+            if len(parts) > 1:
+                top[np.isin(top, parts)] = parts[0]
+    return count, [(int(nodes[i]), int(nodes[t])) for i, t in enumerate(top.tolist()) if t != i]
+
+
 def centroids_of(sample: np.ndarray, k: int) -> np.ndarray:
     """Spherical k-means of unit vectors, started at evenly spaced ones."""
     centres = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
@@ -189,50 +217,102 @@ def _counted(rows: DataFrame, centres: np.ndarray, overlap: int, least: float) -
             if not batch.num_rows:
                 continue
             near = np.sort(np.argpartition(-(unit(batch.column(1)) @ sent.value.T), overlap - 1, axis=1)[:, :overlap], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, overlap), pa.int32()), pa.array(near.ravel().astype(np.int64)))], ["id", "v", "shards"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, overlap), pa.int32()), pa.array(near.ravel().astype(np.int64)))], ["id", "v", "w", "shards"])
 
-    placed = staged(rows.mapInArrow(assign, "id long, v array<double>, shards array<long>"))
+    placed = staged(rows.mapInArrow(assign, "id long, v array<double>, w long, shards array<long>"))
     spread = placed.withColumn("shard", F.explode("shards"))
     sizes = spread.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     cut = spread.join(F.broadcast(sizes), "shard")  # a row a centroid
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiles = cut.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "v", "shards")
+    tiles = tiles.select("shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "v", "w", "shards")
     dealt = tiles.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "id")
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def closed():
-            t = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
+        for t in _tiles(batches):
             shard = t.column("shard")[0].as_py()
             ids = t.column("id").to_numpy()
             shards = t.column("shards").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            count, stars = compare(unit(t.column("v").combine_chunks()), ids, t.column("block").to_numpy(), shards, shard, least)
-            rows = [(int(i), int(c), None) for i, c in zip(ids, count) if c] + [(a, 0, b) for a, b in stars]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["a", "n", "b"])
+            yield _links(ids, *compare(unit(t.column("v").combine_chunks()), ids, t.column("w").to_numpy(), t.column("block").to_numpy(), shards, shard, least))
 
-        last = None
-        for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)]) if batch.num_rows else np.zeros((3, 0))
-            bounds = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
-            for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), batch.num_rows]):
-                if a == b:
-                    continue
-                key = tuple(keys[:, a])
-                if held and key != last:
-                    yield closed()
-                last = key
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield closed()
-
-    found = staged(dealt.mapInArrow(run, "a long, n long, b long"))
+    return _summed(dealt.mapInArrow(run, "a long, n long, b long"), placed)
+
+
+def _tiles(batches):
+    """Tables of the rows that agree in the first three columns; rows are sorted by these."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)]) if batch.num_rows else np.zeros((3, 0))
+        bounds = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
+        for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), batch.num_rows]):
+            if a == b:
+                continue
+            key = tuple(keys[:, a])
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held.clear()
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _links(ids: np.ndarray, count: np.ndarray, stars: list[tuple[int, int]]) -> pa.RecordBatch:
+    rows = [(int(i), int(c), None) for i, c in zip(ids, count) if c] + [(a, 0, b) for a, b in stars]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["a", "n", "b"])
+
+
+def _summed(links: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, n`` and edges ``a, b``; ``placed`` is not read after that."""
+    found = staged(links)
     discard(placed)
     return found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")), found.where("b is not null").select("a", "b")
 
 
+def _all_pairs(rows: DataFrame, centres: np.ndarray, least: float) -> tuple[DataFrame, DataFrame]:
+    """As ``_counted``, but no pair is lost.
+
+    A vector's links are counted in the cell of its nearest centroid, c.  A
+    vector v nearest to another one, b, can only link into that cell if it is
+    within a link's angle of the plane between them, that is if v (b - c) is at
+    most sin(angle) |b - c|.  All that are go there as well.
+    """
+    reach = (1 - least**2) ** 0.5 if least > 0 else 1.0
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+    sent = rows.sparkSession.sparkContext.broadcast((centres, reach * apart + 1e-7))
+
+    def assign(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            score = unit(batch.column(1)) @ sent.value[0].T
+            home = np.argmax(score, axis=1)
+            near = score.max(1)[:, None] - score <= sent.value[1][home]
+            ends = np.concatenate(([0], np.cumsum(near.sum(1))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(near)[1].astype(np.int64)))], ["id", "v", "w", "home", "shards"])
+
+    placed = staged(rows.mapInArrow(assign, "id long, v array<double>, w long, home long, shards array<long>"))
+    cells = placed.select(F.col("home").alias("shard"), "id", "v", "w")
+    spread = placed.select(F.explode("shards").alias("shard"), "id", "v", "w")
+    blocks = lambda df, name: df.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(EXACT_BLOCK)).cast("int").alias(name))
+    sizes = F.broadcast(blocks(cells, "rows").join(blocks(spread, "others"), "shard"))  # a row a centroid
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = cells.join(sizes, "shard").select("shard", own("rows").alias("i"), every("others").alias("j"), F.lit(0).alias("side"), "id", "v", "w")
+    right = spread.join(sizes, "shard").select("shard", every("rows").alias("i"), own("others").alias("j"), F.lit(1).alias("side"), "id", "v", "w")
+    dealt = left.union(right).repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "side", "id")
+
+    def run(batches):
+        for t in _tiles(batches):
+            n = int(np.count_nonzero(t.column("side").to_numpy() == 0))
+            if 0 < n < t.num_rows:
+                ids, w, x = t.column("id").to_numpy(), t.column("w").to_numpy(), unit(t.column("v").combine_chunks())
+                yield _links(ids[:n], *compare_all(x[:n], ids[:n], x[n:], ids[n:], w[n:], least))
+
+    return _summed(dealt.mapInArrow(run, "a long, n long, b long"), placed)
+
+
 def audit(rows: DataFrame, counts: DataFrame, least: float, queries: int = AUDITED) -> float:
     """Share of the links of some vectors, drawn by hash, that ``counts`` holds.
 
@@ -249,7 +329,8 @@ def audit(rows: DataFrame, counts: DataFrame, least: float, queries: int = AUDIT
         for batch in batches:
             if batch.num_rows:
                 hit = sent.value[1] @ unit(batch.column(1)).T >= least
-                total += hit.sum(1) - (hit & (sent.value[0][:, None] == batch.column(0).to_numpy()[None])).sum(1)
+                hit &= sent.value[0][:, None] != batch.column(0).to_numpy()[None]
+                total += hit @ batch.column(2).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(sent.value[0]), pa.array(total)], ["id", "true"])
 
     true = rows.mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
@@ -272,16 +353,27 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if widths is None:
         return all_rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     rows = staged(rows.where(F.size("v") == widths["w"]))
-    n = widths["count"]
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, max(1, SAMPLE_NUMBERS // widths["w"]))).select("v").toArrow()
+    classes = staged(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("w")).select("id", "v", "w"))
+    n, most = classes.agg(F.count("*"), F.max("w")).first()
+    drawn = classes.orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, max(1, SAMPLE_NUMBERS // widths["w"]))).select("v").toArrow()
     sample = unit(drawn.column("v").combine_chunks())
     centres = centroids_of(sample, max(1, min(MOST_CENTROIDS, -(-n // SHARD), len(sample) // 4)))
-    while True:
-        counts, edges = _counted(rows, centres, overlap, least)
-        if overlap >= len(centres) or audit(rows, counts, least) >= LEAST_RECALL:
+    for width in (overlap, 2 * overlap) if overlap < len(centres) else (overlap,):
+        counts, edges = _counted(classes, centres, width, least)
+        if audit(classes, counts, least) >= LEAST_RECALL:
             break
-        overlap *= 2
+    else:
+        cells = centroids_of(sample, max(1, min(MOST_CENTROIDS, -(-n // EXACT_BLOCK), len(sample))))
+        counts, edges = _all_pairs(classes, cells, least)
     found = components(edges).withColumnRenamed("node", "id")
-    out = all_rows.join(counts, "id", "left").join(found, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    links = (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links")
+    by_class = classes.select("id", "w").join(counts, "id", "left").join(found, "id", "left").select(F.col("id").alias("first"), links, "component")
+    out = all_rows
+    if most > 1:
+        several = classes.where("w > 1").select(F.col("id").alias("first"), "v")
+        out = out.join(rows.join(several, "v").select("id", "first"), "id", "left").withColumn("first", F.coalesce("first", "id"))
+    else:
+        out = out.withColumn("first", F.col("id"))
+    out = out.join(by_class, "first", "left")
+    component = F.coalesce("component", "first")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
