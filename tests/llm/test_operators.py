@@ -161,6 +161,15 @@ def test_all_pairs_are_compared_where_the_search_fails(spark, monkeypatch):
     assert [got[i] for i in range(600)] == linked.sum(1).tolist()
 
 
+def test_lost_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=(300, 64))
+    x = np.vstack([rng.normal(size=64) + rng.normal(size=(300, 64)) * 0.05, one, one + rng.normal(size=(300, 64)) * 0.1])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, v array<double>, w long")
+    counts = lambda pairs: spark.createDataFrame([(i, 299 if i < 300 else 1) for i in range(900) if i < 300 or pairs], "id long, n long")
+    assert vector_graph.audit(df, counts(True), 0.9) == 1 and vector_graph.audit(df, counts(False), 0.9) < 0.9
+
+
 # 5
 def brute_hits(items, text, window=10):
     words = decontaminate.words_of(text.encode())

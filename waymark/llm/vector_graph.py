@@ -15,7 +15,8 @@ a shard.  Equal vectors are one class from the start: the graph holds one of
 them, and a link to it counts as often as the class has members.
 
 At the end a sample of the vectors is compared with all rows by brute force; if
-fewer than ``LEAST_RECALL`` of its links were found, the index is built again
+fewer than ``LEAST_RECALL`` of its links were found, among all or among the
+vectors of any one magnitude of link counts, the index is built again
 with twice the overlap, and if that does not help either, all pairs that can
 link are compared: each vector meets, in the cell of its nearest centroid,
 every vector that is near enough to that cell.
@@ -43,7 +44,8 @@ DEGREE, CANDIDATES, ALPHA = 16, 64, 1.2
 STEPS, QUERIES = 12, 256
 #: Nodes a little out of range are still passed through.
 PASS_THROUGH = 0.1
-AUDITED, LEAST_RECALL = 256, 0.9
+#: Vectors that are audited; if under ``FEW`` of them have 1 to 16 links, the larger number.
+AUDITED, MORE_AUDITED, FEW, LEAST_RECALL = 256, 4096, 64, 0.9
 #: Vectors of a cell, and of each side of a tile, where all pairs are compared.
 EXACT_BLOCK = 10_000
 
@@ -313,14 +315,33 @@ def _all_pairs(rows: DataFrame, centres: np.ndarray, least: float) -> tuple[Data
     return _summed(dealt.mapInArrow(run, "a long, n long, b long"), placed)
 
 
-def audit(rows: DataFrame, counts: DataFrame, least: float, queries: int = AUDITED) -> float:
-    """Share of the links of some vectors, drawn by hash, that ``counts`` holds.
+def audit(rows: DataFrame, counts: DataFrame, least: float) -> float:
+    """Least recall of the links of drawn vectors: of all, and by how many they have.
+
+    Vectors of few links have a recall of their own, whatever a large group
+    adds to the sum; more are drawn if there are hardly any in the first draw.
+    """
+    for queries in (AUDITED, MORE_AUDITED):
+        found = _audited(rows, counts, least, queries)
+        if sum(1 for true, _ in found if true <= 16) >= FEW:
+            break
+    sums: dict[int, list[int]] = {}
+    for true, n in found:
+        for key in (0, true.bit_length()):
+            s = sums.setdefault(key, [0, 0])
+            s[0] += true
+            s[1] += n
+    return min((n / true for true, n in sums.values()), default=1.0)
+
+
+def _audited(rows: DataFrame, counts: DataFrame, least: float, queries: int) -> list[tuple[int, int]]:
+    """(true, found) links of those of some vectors, drawn by hash, that have any.
 
     The vectors are compared with all rows, a batch at a time.
     """
     drawn = rows.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(queries).toArrow()
     if not drawn.num_rows:
-        return 1.0
+        return []
     ids, q = drawn.column("id").to_numpy(), unit(drawn.column("v").combine_chunks())
     sent = rows.sparkSession.sparkContext.broadcast((ids, q))
 
@@ -328,14 +349,17 @@ def audit(rows: DataFrame, counts: DataFrame, least: float, queries: int = AUDIT
         total = np.zeros(len(sent.value[0]), np.int64)
         for batch in batches:
             if batch.num_rows:
-                hit = sent.value[1] @ unit(batch.column(1)).T >= least
-                hit &= sent.value[0][:, None] != batch.column(0).to_numpy()[None]
-                total += hit @ batch.column(2).to_numpy()
+                x, own, w = unit(batch.column(1)), batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(float)
+                for a in range(0, len(total), AUDITED):
+                    part = slice(a, a + AUDITED)
+                    hit = sent.value[1][part] @ x.T >= least
+                    hit &= sent.value[0][part, None] != own[None]
+                    total[part] += (hit @ w).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(sent.value[0]), pa.array(total)], ["id", "true"])
 
     true = rows.mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    both = true.join(counts, "id", "left").agg(F.sum("true").alias("true"), F.sum(F.coalesce("n", F.lit(0))).alias("found")).first()
-    return both["found"] / both["true"] if both["true"] else 1.0
+    both = true.where(F.col("true") > 0).join(counts, "id", "left").select("true", F.coalesce("n", F.lit(0)).alias("n"))
+    return [(r["true"], r["n"]) for r in both.collect()]  # at most a row a drawn vector
 
 
 def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, overlap: int = 3) -> DataFrame:
