@@ -328,6 +328,16 @@ def test_pages(spark):
     assert html_extract.main_texts(df.limit(0)).count() == 0
 
 
+def test_names_of_layout_are_no_parts():
+    for name in ("content has-sidebar", "no-sidebar", "with-menu", "page-with-header", "share-enabled", "sidebar", "menu x"):
+        assert html_extract.extract(f'<div class="{name}"><div><article><h1>T</h1><p>a</article></div></div>') == "T\na"
+    assert html_extract.extract('<div class="entry-header"><h1>T</h1></div><div class="content"><p>a</div>') == "T\na"
+    assert html_extract.extract('<div class="cookie-notice">n</div><div id="ad-1">n</div><div class="box ad">n</div><p>a') == "a"
+    assert html_extract.extract('<div class="sidebar"><main><p>a</main></div><div>x</div>') == "a"
+    assert html_extract.extract('<div class="content"><p>a</div><div class="related"><article><p>n</article></div>') == "a"
+    assert html_extract.extract('<div class="comments"><footer><article><p>n</article></footer></div><nav><article><p>n</article></nav><p>a') == "a"
+
+
 def test_broken_pages():
     for page in ("<p>a<", "<p>a<b", "<p>a<!-- x", "</div></p>a", "<p>a<script>b", '<p class="x>a', "<table><tr><td>a<td>b<tr><td>c", "&am", "<<p>>"):
         assert isinstance(html_extract.extract(page), str)

@@ -59,10 +59,11 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("boiler", "label", "main", "parent", "path", "tag")
+    __slots__ = ("boiler", "inner", "label", "main", "parent", "path", "strict", "tag")
 
-    def __init__(self, tag: str, label: str, parent: int, path: int, boiler: bool, main: bool):
+    def __init__(self, tag: str, label: str, parent: int, path: int, boiler: bool, main: bool, inner: bool = False, strict: bool = False):
         self.tag, self.label, self.parent, self.path, self.boiler, self.main = tag, label, parent, path, boiler, main
+        self.inner, self.strict = inner, strict  # boiler whatever the names around the article say; boiler by more than names
 
 
 @lru_cache(100_000)
@@ -71,18 +72,27 @@ def _path(parent: int, label: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{parent}/{label}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
 
 
+def _names_a_part(token: str) -> bool:
+    """Whether a whole class or id is made of listed words (and numbers).
+
+    ``cookie-notice`` and ``ad-1`` are; any other word, as in ``has-sidebar``
+    or ``entry-header``, makes it the name of another thing.
+    """
+    words = WORDS.findall(token)
+    return bool(words) and all(w in BOILER_WORDS for w in words)
+
+
 @lru_cache(20_000)
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """Label of an element, and whether it is a part that holds no main text."""
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Label of an element, whether it is a part that holds no main text, and whether only a name says so."""
     found = {k.lower(): (a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     label = " ".join([tag, *sorted({re.sub(r"\d+", "#", x) for x in names.split()})])
-    words = {w for x in names.split() for w in WORDS.findall(x)}
-    boiler = (
+    strict = (
         tag in BOILER_TAGS or found.get("role", "").lower() in BOILER_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(found.get("style", "")))
-        or (tag not in ("body", "html", "article", "main") and bool(words & BOILER_WORDS))
     )
-    return label, boiler
+    named = tag not in ("body", "html", "article", "main") and any(_names_a_part(x) for x in names.split())
+    return label, strict or named, named and not strict
 
 
 @lru_cache(50)
@@ -163,12 +173,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
         flush()
         if tag in VOID:
             continue
-        label, boiler = _label(tag, attributes)
+        label, boiler, named = _label(tag, attributes)
         parent = nodes[stack[-1]]
         if tag == "header" and parent.main and not parent.boiler:  # an article's own head: its title counts
             boiler = False
         main = parent.main or tag in ("article", "main") or 'role="main"' in attributes or 'itemprop="articleBody"' in attributes
-        nodes.append(Node(tag, label, stack[-1], _path(parent.path, label), parent.boiler or boiler, main))
+        above = parent.strict if tag == "main" else parent.boiler  # a name does not veto the page's main element
+        inner = parent.strict if tag in ("article", "main") else parent.inner
+        nodes.append(Node(tag, label, stack[-1], _path(parent.path, label), above or boiler, main, inner or boiler, parent.strict or (boiler and not named)))
         stack.append(len(nodes) - 1)
     flush()
     return nodes, texts
@@ -186,8 +198,12 @@ def _inside_head(nodes: list[Node], x: int) -> bool:
 
 
 def slots(nodes: list[Node], texts: list[tuple[int, str, int]]) -> list[tuple[int, str]]:
-    """Texts that may be main text, whatever the host's wrapper says."""
-    return [(x, t) for x, t, links in texts if not nodes[x].boiler and not (links * 2 > len(t) and nodes[x].tag not in TEXT_TAGS) and not _inside_head(nodes, x)]
+    """Texts that may be main text, whatever the host's wrapper says.
+
+    Where class names leave nothing of a page, they do not count around an article.
+    """
+    able = [(x, t) for x, t, links in texts if not nodes[x].boiler and not (links * 2 > len(t) and nodes[x].tag not in TEXT_TAGS) and not _inside_head(nodes, x)]
+    return able or [(x, t) for x, t, links in texts if nodes[x].main and not nodes[x].inner and not (links * 2 > len(t) and nodes[x].tag not in TEXT_TAGS) and not _inside_head(nodes, x)]
 
 
 def extract(page: str | None, template: frozenset[int] = frozenset(), main_slot: int | None = None) -> str:
