@@ -1,25 +1,33 @@
-"""Operator 3: toxicity by a subsequence string kernel machine.
-
-Units are words (and runs of single letters with spaces between, as in gapped
-insults).  The kernel of two units sums over their common subsequences of three
-characters, each weighted by ``DECAY`` to the length it spans in either unit,
-and is normalised; so a unit with inserted characters stays near the plain one.
-
-Sentences of labelled documents carry the document's label.  A unit's evidence
-is the number of different places (neighbouring words) at which sentences of
-either label use it, which copies of a document do not raise.  A support vector
-machine with squared hinge loss learns units on Nystroem features of bounded
-many landmarks.  Since the kernel is a sum over triples of characters, the
-learnt function collapses exactly into one weight per triple; scoring a unit is
-a look-up of its triples.  A document's score is a logistic function of its
-units' margins, fitted to the documents' labels.
+"""Operator 3: toxicity by a subsequence string kernel machine over sentences.
+
+An instance is a sentence: the words between two sentence ends (or line ends),
+at most ``LONGEST`` of them; a run of single letters with spaces between, as in
+gapped insults, is a sentence of its own.  Marks are taken out of a word, so
+``i-d.i*o t`` and ``idiot`` are the same.  The kernel of two words sums over
+their common subsequences of three characters, each weighted by ``DECAY`` to the
+length it spans in either word, is normalised and raised to ``POWER``; so a word
+with inserted characters stays near the plain one.  The kernel of two sentences
+is the sum over their pairs of words.
+
+Sentences of labelled documents carry the document's label.  Landmarks are
+words of these sentences (those that the labels' sentences use most unequally,
+and random ones); the Nystroem features of a sentence are the sums of those of
+its words.  A support vector machine with squared hinge loss is trained on the
+sentences.  Since only some sentences of a toxic document are toxic, it is
+trained again on those that it takes for toxic, at least one a document, until
+these stay the same.  Disguised copies of them are learnt as well.  A document's
+score is a logistic function of its sentences' margins, fitted to the
+documents' labels.
 
 Training reads at most ``TOXIC_DOCS`` and ``CLEAN_DOCS`` labelled documents of
-at most ``TRAIN_BYTES`` bytes, drawn by hash; scoring reads every whole text.
+at most ``TRAIN_BYTES`` bytes, drawn by hash, in one task; scoring reads every
+whole text.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 from itertools import combinations
 
@@ -30,34 +38,52 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices, resident, small_batches
 
-TOXIC_DOCS, CLEAN_DOCS, TRAIN_BYTES = 2500, 5000, 20_000
-DECAY, LANDMARKS, ALPHABET = 0.8, 96, 56
-#: What a wrong unit costs the machine against the size of its weights.
-COST = 2.0
-#: Units of more characters are looked at through overlapping windows.
+TOXIC_DOCS, CLEAN_DOCS, TRAIN_BYTES = 1500, 2500, 20_000
+DECAY, POWER, LANDMARKS = 0.8, 3, 128
+#: The margin of a sentence of words that nothing is known of: clean.
+BIAS = -1.0
+#: What a wrong sentence costs the machine against the size of its weights.
+COST = 1.0
+#: Times the machine chooses the toxic sentences anew.
+ROUNDS = 6
+#: Words of more characters are looked at through overlapping windows.
 WINDOW = 20
-TRAIN_UNITS = 12_000
-#: Units of which disguised spellings are learnt as well.
-DISGUISED = 200
-MEMORY_UNITS = 500_000
+#: Words of a sentence.
+LONGEST = 40
+#: Keys of triples: hashes of so many bits.
+KEY_BITS = 20
+MEMORY_WORDS = 500_000
 GROUP_BYTES = 1_000_000
-#: The margin of a unit that cannot matter.
-FAR = -4.0
-N_FEATURES = 10
+N_FEATURES = 9
 
 SPELT = re.compile(r"(?<!\S)(?:\S[^\S\n]){2,}\S(?!\S)")
-EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-INNER = re.compile(r"[\W_]+")
+MARKS = re.compile(r"[\W_]+")
+ENDS = (".", "!", "?", "…", "。", "！", "？", ":", ";")
+_FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
-def units_of(text: str) -> list[str]:
-    """Lower-case tokens between white space, and runs of single characters."""
+def tokens_of(text: str) -> tuple[list[str], list[str]]:
+    """Lower-case tokens, a line end as a token that ends a sentence, and spelt-out runs."""
     text = text.lower()
-    return text.split() + SPELT.findall(text)
+    return text.replace("\n", " . ").split(), SPELT.findall(text)
 
 
-def plain(unit: str) -> str:
-    return EDGES.sub("", unit)
+def words_of(token: str) -> list[str]:
+    """What the kernel sees of a token: its letters and digits, long ones in windows."""
+    word = MARKS.sub("", token)
+    if len(word) <= WINDOW:
+        return [word] if len(word) > 2 else [f"\x02{word}\x03"] if word else []  # at least three characters
+    return [word[a : a + WINDOW] for a in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+
+
+def sentence_starts(ends: np.ndarray) -> np.ndarray:
+    """Where sentences begin; ``ends`` tells which tokens end one."""
+    n = len(ends)
+    if not n:
+        return np.zeros(0, np.int64)
+    new = np.concatenate(([True], ends[:-1]))
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    return np.flatnonzero((np.arange(n) - first) % LONGEST == 0)
 
 
 _triples: dict[int, tuple[np.ndarray, ...]] = {}
@@ -72,7 +98,7 @@ def triples(n: int) -> tuple[np.ndarray, ...]:
 
 
 def self_kernel(codes: np.ndarray) -> np.ndarray:
-    """Kernel of each unit with itself; ``codes`` has a row per unit."""
+    """Kernel of each word with itself; ``codes`` has a row per word."""
     n, size = codes.shape
     same = (codes[:, :, None] == codes[:, None, :]).astype(np.float32) * np.float32(DECAY**2)
     before = np.ones((n, size, size), np.float32)
@@ -87,109 +113,92 @@ def self_kernel(codes: np.ndarray) -> np.ndarray:
     return (same * before).sum((1, 2), dtype=np.float64)
 
 
-class Kernel:
-    """Characters as small numbers; 0 is any mark, 1 any other character."""
+def codes_of(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row a word."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
 
-    def __init__(self, letters: str):
-        self.code = {c: i + 2 for i, c in enumerate(letters)}
-        self.base = len(letters) + 2
 
-    def __getstate__(self):
-        return {"code": self.code, "base": self.base}
-
-    def codes(self, units: list[str]) -> np.ndarray:
-        """A row of codes for each of some units of one length."""
-        if not hasattr(self, "lookup"):
-            self.lookup = np.fromiter((chr(x).isalnum() for x in range(0x110000)), np.int32, 0x110000)
-            self.lookup[[ord(c) for c in self.code]] = list(self.code.values())
-        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self.lookup[points].reshape(len(units), -1)
-
-    def keys(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i, j, k, weight = triples(codes.shape[1])
-        return (codes[:, i] * self.base + codes[:, j]) * self.base + codes[:, k], weight
-
-    def table(self, units: list[str]) -> np.ndarray:
-        """Normalised triple weights of each unit, a column a unit."""
-        out = np.zeros((self.base**3, len(units)), np.float32)
-        for x, unit in enumerate(units):
-            codes = self.codes([unit])
-            keys, weight = self.keys(codes)
-            np.add.at(out[:, x], keys[0], weight / np.sqrt(self_kernel(codes)[0]))
-        return out
-
-
-def by_length(units: list[str]):
+def keys_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each word's triples, and the triples' weights."""
+    i, j, k, weight = triples(codes.shape[1])
+    a, b, c = (codes * f for f in _FACTORS)
+    keys = a[:, i] ^ (b[:, j] * np.uint32(31)) ^ (c[:, k] * np.uint32(961))
+    keys ^= keys >> np.uint32(15)
+    keys *= np.uint32(0x2C1B3C6D)
+    return (keys >> np.uint32(32 - KEY_BITS)).astype(np.int32), weight
+
+
+def by_length(words: list[str]):
     groups: dict[int, list[int]] = {}
-    for x, u in enumerate(units):
-        groups.setdefault(len(u), []).append(x)
+    for x, w in enumerate(words):
+        groups.setdefault(len(w), []).append(x)
     for n, members in sorted(groups.items()):
         for a in range(0, len(members), 1000):
             yield n, members[a : a + 1000]
 
 
-def gram(kernel: Kernel, units: list[str], table: np.ndarray) -> np.ndarray:
-    """Normalised kernel of units with the landmarks behind ``table``."""
-    out = np.zeros((len(units), table.shape[1]))
-    for n, members in by_length(units):
-        codes = kernel.codes([units[x] for x in members])
-        norm = np.sqrt(self_kernel(codes))
-        for a in range(0, len(members), max(1, 40_000 // max(1, n**3 // 6))):
-            part = slice(a, a + max(1, 40_000 // max(1, n**3 // 6)))
-            keys, weight = kernel.keys(codes[part])
-            out[members[part]] = np.einsum("ntm,t->nm", table[keys], weight) / norm[part, None]
-    return out
+class Landmarks:
+    """Words that others are compared with: a row of weights for each of their triples."""
+
+    def __init__(self, words: list[str]):
+        found = []
+        for x, word in enumerate(words):
+            codes = codes_of([word])
+            keys, weight = keys_of(codes)
+            found.append((keys[0], weight / np.sqrt(self_kernel(codes)[0]), np.full(len(weight), x)))
+        keys, weights, columns = (np.concatenate(c) for c in zip(*found))
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.table = np.zeros((len(self.keys) + 1, len(words)), np.float32)
+        np.add.at(self.table, (at + 1, columns), weights)
+        self.index()
+
+    def index(self) -> None:
+        self.row = np.zeros(1 << KEY_BITS, np.int32)  # row 0 holds no weights
+        self.row[self.keys] = np.arange(1, len(self.keys) + 1)
+
+    def __getstate__(self):
+        return {"keys": self.keys, "table": self.table}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.index()
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Kernel of each word with each landmark."""
+        out = np.zeros((len(words), self.table.shape[1]), np.float32)
+        for n, members in by_length(words):
+            codes = codes_of([words[x] for x in members])
+            keys, weight = keys_of(codes)
+            rows = self.row[keys]
+            sums = np.zeros((len(members), self.table.shape[1]), np.float32)
+            for t in range(len(weight)):
+                sums += self.table[rows[:, t]] * weight[t]
+            out[members] = sums / np.sqrt(self_kernel(codes)).astype(np.float32)[:, None]
+        return out**POWER
 
 
 class Model:
     """A learnt scorer; small, of bounded size, and sent to the executors."""
 
-    def __init__(self, kernel: Kernel | None, weights: np.ndarray | None, bias: float, doc: np.ndarray, rate: float):
-        self.kernel, self.weights, self.bias, self.doc, self.rate = kernel, weights, bias, doc, rate
-
-    def margins(self, units: list[str]) -> np.ndarray:
-        """Margins of whole tokens: the largest over their windows and spellings."""
-        parts, owner = [], []
-        for x, unit in enumerate(units):
-            unit = plain(unit)
-            for u in {unit, INNER.sub("", unit)}:
-                for a in range(0, max(1, len(u) - WINDOW // 2), WINDOW // 2) if len(u) > WINDOW else (0,):
-                    piece = u[a : a + WINDOW]
-                    if len(piece) >= 3:
-                        parts.append(piece)
-                        owner.append(x)
-        out = np.full(len(units), FAR)
-        if parts:
-            np.maximum.at(out, owner, self._margins(parts))
-        return out
-
-    def _margins(self, units: list[str]) -> np.ndarray:
-        out = np.full(len(units), FAR)
-        for n, members in by_length(units):
-            codes = self.kernel.codes([units[x] for x in members])
-            keys, weight = self.kernel.keys(codes)
-            raw = self.weights[keys] @ weight
-            # no unit's norm is less than that of one without repeats
-            best = raw / np.sqrt((weight.astype(float) ** 2).sum()) + self.bias
-            near = best > 0
-            out[np.array(members)[~near]] = np.clip(best[~near], FAR, None)
-            if near.any():
-                out[np.array(members)[near]] = raw[near] / np.sqrt(self_kernel(codes[near])) + self.bias
-        return np.clip(out, FAR, 4.0)
-
-
-def doc_features(margins: np.ndarray, length: int) -> np.ndarray:
-    """What a document's score sees of the margins of its different units.
-
-    The largest four, and how many are sure or likely hits, for its length.
+    def __init__(self, rate: float, landmarks: Landmarks | None = None, weights: np.ndarray | None = None, doc: np.ndarray | None = None):
+        self.rate, self.landmarks, self.weights, self.doc = rate, landmarks, weights, doc
+
+    def parts(self, words: list[str]) -> np.ndarray:
+        """What each word adds to the margin of a sentence."""
+        return np.concatenate([np.zeros(0), *(self.landmarks.kernel(words[a : a + 20_000]) @ self.weights for a in range(0, len(words), 20_000))])
+
+
+def doc_features(margins: np.ndarray) -> np.ndarray:
+    """What a document's score sees of the margins of its sentences.
+
+    The largest three, how many are toxic or surely so, and how many there are.
     """
-    hot = margins[margins > 0]
-    top = np.zeros(4)
-    largest = np.sort(hot)[::-1][:4]
-    top[: len(largest)] = np.minimum(largest, 1.5)
-    sure, likely = np.log1p([np.count_nonzero(hot > 0.8), np.count_nonzero(hot > 0.4)])
-    scale = np.log1p(length) / 5
-    return np.array([1.0, *top, sure, likely, scale, scale * sure, scale * likely])
+    top = np.array([-1.0, 0.0, 0.0])  # the second and third count only if they are toxic
+    largest = np.sort(margins)[::-1][:3]
+    top[: len(largest)] = np.clip(largest, top[: len(largest)], 3)
+    toxic, sure = np.log1p([np.count_nonzero(margins > 0), np.count_nonzero(margins > 0.5)])
+    scale = np.log1p(len(margins)) / 5
+    return np.array([1.0, *top, toxic, sure, scale, scale * toxic, scale * sure])
 
 
 def _newton(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float) -> np.ndarray:
@@ -204,34 +213,40 @@ def _newton(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float) -> np
     return w
 
 
-def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Weights of a squared-hinge machine with instance costs, by Newton steps."""
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(len(w))
-    ridge[-1, -1] = 1e-6
-    for _ in range(80):
-        slack = 1 - y * (x @ w)
-        active = slack > 0
-        xa, ca = x[active], c[active]
-        new = np.linalg.solve(ridge + (xa * ca[:, None]).T @ xa, xa.T @ (ca * y[active]))
-        if np.abs(new - w).max() < 1e-8:
-            break
+def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weights of a squared-hinge machine of bias ``BIAS``, by Newton steps from ``w``.
+
+    ``c`` is what each row costs if it is wrong; rows of cost 0 do not count.
+    """
+    for _ in range(40):
+        active = np.flatnonzero((c > 0) & (y * (x @ w + BIAS) < 1))
+        square, line = np.eye(len(w)), np.zeros(len(w))
+        for a in range(0, len(active), 10_000):
+            part = active[a : a + 10_000]
+            xa, ca = x[part].astype(float), c[part]
+            square += (xa * ca[:, None]).T @ xa
+            line += xa.T @ (ca * (y[part] - BIAS))
+        new = np.linalg.solve(square, line)
+        moved = np.abs(new - w).max()
         w = new
+        if moved < 1e-6:
+            break
     return w
 
 
-def _variants(units: list[str], rng: np.random.Generator) -> list[str]:
-    """Gapped and lengthened spellings of units, as writers disguise them."""
-    out = []
-    for u in units:
-        at = int(rng.integers(1, max(2, len(u))))
-        out += ["-".join(u)[:WINDOW], u[:at] + "*" + u[at:], u[:at] + u[at - 1] + u[at:], u[:at] + "." + u[at:]]
-    return out
+def _disguised(word: str, rng: np.random.Generator) -> str:
+    """A word with a letter doubled or inserted, as writers disguise it."""
+    at = int(rng.integers(1, len(word)))
+    return (word[:at] + (word[at - 1] if rng.random() < 0.5 else chr(97 + int(rng.integers(26)))) + word[at:])[:WINDOW]
 
 
-def _excess(found: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """How much more was found than chance explains."""
-    return found - 2 * expected - 2 * np.sqrt(expected + 0.5)
+def _sums(rows: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """Sum of the rows that each list (none is empty) names."""
+    out = np.zeros((len(lists), rows.shape[1]), np.float32)
+    for a in range(0, len(lists), 5000):
+        part = lists[a : a + 5000]
+        out[a : a + 5000] = np.add.reduceat(rows[np.concatenate(part)], np.cumsum([0, *map(len, part)])[:-1], axis=0)
+    return out
 
 
 def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
@@ -239,108 +254,109 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     y = np.array(toxic, int)
     rate = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
     if len(set(toxic)) < 2:
-        return Model(None, None, 0.0, np.zeros(N_FEATURES), rate)
+        return Model(rate)
     rng = np.random.default_rng(seed)
     ids: dict[str, int] = {}
-    docs = [np.array([ids.setdefault(plain(t)[:WINDOW], len(ids)) for t in units_of(x)], np.int64) for x in texts]
-    names = list(ids)
-    # different places at which either label uses a unit
-    seen, used = np.zeros((2, len(names))), np.zeros((2, len(names)))
-    for label in (0, 1):
-        own = [d for d, v in zip(docs, toxic) if v == label and len(d)]
-        if own:
-            used[label] = np.bincount(np.concatenate([np.unique(d) for d in own]), minlength=len(names))
-            middle = np.concatenate(own)
-            around = np.concatenate([np.concatenate(([-1], d[:-1])) * 1_000_003 + np.concatenate((d[1:], [-1])) for d in own])
-            pairs = np.unique(np.stack([middle, around]), axis=1)[0]
-            seen[label] = np.bincount(pairs, minlength=len(names))
-    excess = np.minimum(
-        _excess(seen[1], seen[0] * (seen[1].sum() / max(1.0, seen[0].sum()))),
-        _excess(used[1], used[0] * (y.sum() / (len(y) - y.sum()))),
-    )
-    able = np.array([len(n) >= 3 for n in names])
-    positive = np.flatnonzero(able & (excess > 0))
-    positive = positive[np.argsort(-excess[positive], kind="stable")][: TRAIN_UNITS // 2]
-    # beside the most used units, ones that look like the positives and are used by clean texts
-    negative = np.flatnonzero(able & (excess <= 0) & (seen[0] > 0))
-    negative = negative[np.argsort(-seen[0][negative], kind="stable")]
-    if not len(positive) or not len(negative):
-        return Model(None, None, 0.0, np.zeros(N_FEATURES), rate)
-    rest = rng.permutation(negative[TRAIN_UNITS // 4 :])[: TRAIN_UNITS // 4]
-    negative = np.concatenate((negative[: TRAIN_UNITS // 4], rest))
-    letters: dict[str, float] = {}
-    for x in np.concatenate((positive, negative)):
-        for c in names[x]:
-            if c.isalnum():
-                letters[c] = letters.get(c, 0) + seen[:, x].sum()
-    kernel = Kernel("".join(sorted(sorted(letters, key=lambda c: (-letters[c], c))[: ALPHABET - 2])))
-    heads = [names[x] for x in positive[: LANDMARKS * 2 // 3]]
-    others = [names[x] for x in negative[: LANDMARKS // 6]] + [names[x] for x in rng.permutation(negative)[: LANDMARKS // 6]]
-    table = kernel.table(list(dict.fromkeys(heads + others)))
-    marks = list(dict.fromkeys(heads + others))
-    square = gram(kernel, marks, table)
+    sentences, owners, empty = [], [], np.zeros(len(y), int)
+    for d, text in enumerate(texts):
+        tokens, runs = tokens_of(text)
+        starts = sentence_starts(np.array([t.endswith(ENDS) for t in tokens], bool)).tolist()
+        for part in [*(tokens[a:b] for a, b in zip(starts, [*starts[1:], len(tokens)])), *([r] for r in runs)]:
+            own = [ids.setdefault(w, len(ids)) for t in part for w in words_of(t)]
+            if own:
+                sentences.append(np.array(own))
+                owners.append(d)
+            else:
+                empty[d] += 1
+    words, owner = list(ids), np.array(owners, int)
+    label = y[owner] == 1
+    if not label.any() or label.all():
+        return Model(rate)
+    # equal sentences of one label count once as instances
+    seen: set[tuple[bytes, bool]] = set()
+    first = np.array([not ((k := (s.tobytes(), v)) in seen or seen.add(k)) for s, v in zip(sentences, label.tolist())])
+    used = [np.bincount(np.concatenate([np.unique(s) for s, v, f in zip(sentences, label, first) if f and v == w]), minlength=len(words)) for w in (False, True)]
+    n = [np.count_nonzero(first & (label == w)) for w in (False, True)]
+    share = [(u + 0.5) / m for u, m in zip(used, n)]
+    unequal = np.argsort(-(share[1] - share[0]) / np.sqrt(share[0] / n[0] + share[1] / n[1]), kind="stable")
+    drawn = rng.permutation(len(words))[: LANDMARKS // 3]
+    marks = [words[x] for x in dict.fromkeys([*unequal[: LANDMARKS - len(drawn)].tolist(), *drawn.tolist()])]
+    landmarks = Landmarks(marks)
+    square = landmarks.kernel(marks).astype(float)
     values, vectors = np.linalg.eigh((square + square.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    disguised = _variants([names[x] for x in positive[:DISGUISED]], rng)
-    units = [names[x] for x in positive] + disguised + [names[x] for x in negative]
-    label = np.array([1.0] * (len(positive) + len(disguised)) + [-1.0] * len(negative))
-    many = np.concatenate((np.sqrt(excess[positive]), np.full(len(disguised), 1.0), np.sqrt(seen[0][negative])))
-    cost = np.where(label > 0, 40 * many / many[label > 0].sum() * len(negative) ** 0.5, 40 * many / many[label < 0].sum() * len(negative) ** 0.5)
-    model = Model(kernel, None, 0.0, np.zeros(N_FEATURES), rate)
-    for hard in (False, True):
-        if hard:  # clean units that the first machine takes for toxic ones
-            margin = model.margins(names)
-            wrong = np.flatnonzero(able & (excess <= 0) & (seen[0] > 0) & (margin > -0.2))
-            wrong = np.setdiff1d(wrong[np.argsort(-margin[wrong] * np.sqrt(seen[0][wrong]), kind="stable")][: TRAIN_UNITS // 2], negative)
-            negative = np.concatenate((negative, wrong))
-        units = [names[x] for x in positive] + disguised + [names[x] for x in negative]
-        label = np.array([1.0] * (len(positive) + len(disguised)) + [-1.0] * len(negative))
-        many = np.concatenate((np.sqrt(excess[positive]), np.full(len(disguised), 1.0), np.sqrt(seen[0][negative])))
-        cost = COST * many * np.where(label > 0, (label < 0).sum() / many[label > 0].sum(), (label < 0).sum() / many[label < 0].sum())
-        x = gram(kernel, units, table) @ root
-        w = _svm(np.hstack((x, np.ones((len(x), 1)))), label, cost)
-        model.weights, model.bias = (table @ (root @ w[:-1])).astype(np.float32), float(w[-1])
-    margin = model.margins(names)
-    features = [doc_features(margin[np.unique(d)], len(d)) for d in docs]
-    # toxic documents once more, their sure units in disguise
-    known = positive[:DISGUISED]
-    disguises = model.margins(_variants([names[x] for x in known], rng)).reshape(len(known), -1)
-    for d in (d for d, v in zip(docs, toxic) if v):
-        hidden = margin.copy()
-        hidden[known] = disguises[np.arange(len(known)), rng.integers(0, disguises.shape[1], len(known))]
-        features.append(doc_features(hidden[np.unique(d)], len(d)))
-    copies = len(features) - len(y)
-    model.doc = _newton(np.stack(features), np.concatenate((y, np.ones(copies))), np.concatenate((np.ones(len(y)), np.full(copies, 0.2))), 1.0)
+
+    def features(lists: list[np.ndarray], names: list[str]) -> np.ndarray:
+        by_word = np.zeros((len(names), len(marks)), np.float32)
+        for a in range(0, len(names), 20_000):
+            by_word[a : a + 20_000] = landmarks.kernel(names[a : a + 20_000]) @ root
+        return _sums(by_word, lists)
+
+    x = features(sentences, words)
+    active, copy_of, clean = label & first, np.zeros(0, int), ~label & first
+    w = np.zeros(x.shape[1])
+    for step in range(ROUNDS):
+        # toxic and clean sentences weigh the same together; many of one document weigh less each
+        crowd = 1 / np.sqrt(np.maximum(1, np.bincount(owner[active], minlength=len(y))))
+        cost = np.concatenate((np.where(active, crowd[owner], 0), np.where(active[copy_of], 0.3 * crowd[owner[copy_of]], 0)))
+        cost *= clean.sum() / cost.sum()
+        cost[: len(clean)][clean] = 1
+        w = _svm(x, np.where(np.concatenate((label, label[copy_of])), 1.0, -1.0), COST * cost, w)
+        margin = x[: len(owner)] @ w + BIAS
+        best = np.full(len(y), -np.inf)
+        np.maximum.at(best, owner[label & first], margin[label & first])
+        chosen = label & first & ((margin > 0) | (margin >= best[owner]))
+        if step and np.array_equal(chosen, active):
+            break
+        active = chosen
+        if step == 1:  # by now they are few
+            copy_of = np.flatnonzero(active)
+            spelt: dict[str, int] = {}
+            lists = [np.array([spelt.setdefault(_disguised(words[v], rng), len(spelt)) for v in sentences[i]]) for i in copy_of]
+            x = np.concatenate((x, features(lists, list(spelt))))
+    model = Model(rate, landmarks, root @ w)
+    order = np.argsort(owner, kind="stable")
+    cut = np.searchsorted(owner[order], np.arange(len(y) + 1))
+    of_docs = [doc_features(np.concatenate((margin[order[cut[d] : cut[d + 1]]], np.full(empty[d], BIAS)))) for d in range(len(y))]
+    model.doc = _newton(np.stack(of_docs), y.astype(float), np.ones(len(y)), 1.0)
     return model
 
 
 class Scorer:
-    """Remembers the margins of tokens; lives as long as its Python worker."""
+    """Remembers what tokens add; lives as long as its Python worker."""
+
+    #: Added to the value of a token that ends a sentence.
+    END = 1e6
 
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, float] = {}
 
-    @classmethod
-    def of(cls, key: str, model: Model) -> Scorer:
-        return resident(("toxicity", key), lambda: cls(model))
+    def learn(self, tokens: list[str]) -> None:
+        ids: dict[str, int] = {}
+        lists = [[ids.setdefault(w, len(ids)) for w in words_of(t)] for t in tokens]
+        parts = self.model.parts(list(ids)).tolist()
+        self.known.update((t, sum(parts[x] for x in own) + (self.END if t.endswith(ENDS) else 0.0)) for t, own in zip(tokens, lists))
+
+    def margins(self, tokens: list[str], runs: list[str]) -> np.ndarray:
+        values = np.fromiter(map(self.known.__getitem__, tokens), float, len(tokens))
+        ends = values > self.END / 2
+        values[ends] -= self.END
+        sums = np.add.reduceat(values, sentence_starts(ends)) if len(values) else values
+        return np.concatenate((sums, [self.known[r] % self.END if self.known[r] > self.END / 2 else self.known[r] for r in runs])) + BIAS
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        if self.model.kernel is None:
+        if self.model.landmarks is None:
             return [self.model.rate] * len(texts)
-        split = [units_of(t) if t else [] for t in texts]
-        used = set().union(*split)
+        split = [tokens_of(t) if t else ([], []) for t in texts]
+        used = set().union(*(x for both in split for x in both))
         unseen = used.difference(self.known)
         if unseen:
-            if len(self.known) + len(unseen) > MEMORY_UNITS:
+            if len(self.known) + len(unseen) > MEMORY_WORDS:
                 self.known.clear()
                 unseen = used
-            unseen = list(unseen)
-            for a in range(0, len(unseen), 20_000):
-                part = unseen[a : a + 20_000]
-                self.known.update(zip(part, self.model.margins(part).tolist()))
-        get = self.known.__getitem__
-        x = np.stack([doc_features(np.fromiter(map(get, u), float, len(u)), len(s)) for s in split for u in [set(s)]])
+            self.learn(list(unseen))
+        x = np.stack([doc_features(self.margins(*both)) for both in split])
         return (1 / (1 + np.exp(-np.clip(x @ self.model.doc, -30, 30)))).tolist()
 
 
@@ -363,29 +379,36 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from labelled documents that are not held out."""
-    rows = training_rows(docs, labels, id_col, text_col, label_col).toArrow().to_pydict()
-    return fit(rows["text"], rows["toxic"])
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> bytes:
+    """A pickled model from labelled documents that are not held out, learnt in one task."""
 
+    def learn(batches):
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            toxic += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, toxic))], pa.binary())], ["model"])
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple = ()) -> DataFrame:
+    rows = training_rows(docs, labels, id_col, text_col, label_col)
+    found = rows.coalesce(1).mapInArrow(learn, "model binary").first()
+    return bytes(found["model"]) if found else pickle.dumps(fit([], []))
+
+
+def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple = ()) -> DataFrame:
     """One row per row of ``docs``: id, ``held_out, score, predicted``.
 
-    The score lies in 0 .. 1.  Null and empty texts get that of a text without
-    units; a null id is not held out; repeated rows get equal scores; ``keep``
-    names columns to carry along (in a struct ``row``); empty tables give empty
-    results, and without labels of both kinds the score is constant.
+    ``model`` is what ``train`` returns.  The score lies in 0 .. 1.  Null and
+    empty texts get that of a text without sentences; a null id is not held
+    out; repeated rows get equal scores; ``keep`` names columns to carry along
+    (in a struct ``row``); empty tables give empty results, and without labels
+    of both kinds the score is constant.
     """
-    import hashlib
-    import pickle
-
-    key = hashlib.sha1(pickle.dumps(model)).hexdigest()
+    key = hashlib.sha1(model).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0.0).alias("score"), *([F.struct(*keep).alias("row")] if keep else []))
 
     def run(batches):
-        scorer = Scorer.of(key, sent.value)
+        scorer = resident(("toxicity", key), lambda: Scorer(pickle.loads(sent.value)))
         for whole in batches:
             for batch in byte_slices(whole, "text", GROUP_BYTES):
                 found = pa.array(scorer.scores(batch.column(1).to_pylist()), pa.float64())
