@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests on one machine).
-FALLBACK_DIR = "/tmp/checkpoints"
+#: For sessions on one machine that name no shared folder (tests).
+LOCAL_DIR = "/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path under the folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", FALLBACK_DIR)
+    """A new path under the folder that driver and executors share.
+
+    That is ``spark.checkpoint.dir``; a cluster that names none is an error.
+    """
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir")
+    if base is None:
+        master = conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = LOCAL_DIR
     path = f"{base.rstrip('/')}/waymark-{uuid.uuid4().hex}"
-    if base == FALLBACK_DIR:  # one machine, and nobody else looks after the folder
+    if base == LOCAL_DIR:  # nobody else looks after the folder
         atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
 
@@ -45,29 +55,47 @@ def staged(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a ``staged`` frame that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    roots = {f.split("/waymark-")[0] + "/waymark-" + f.split("/waymark-")[1].split("/")[0] for f in df.inputFiles() if "/waymark-" in f}
-    for root in roots:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(conf).delete(path, True)
+    files = df.sparkSession._jvm.org.apache.hadoop.fs
+    # the folder that the frame was read from, not a list of its files
+    for root in re.findall(r"[^\s\[\],]*/waymark-[0-9a-f]{32}", df._jdf.queryExecution().analyzed().collectLeaves().head().relation().location().rootPaths().mkString(",")):
+        path = files.Path(root)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bits of the filter in ``sifted``; its table has a row for every 64 of them.
 FILTER_BITS = 1 << 24
 
 
+def _filter(ids: DataFrame, column: str) -> tuple[DataFrame, Column, Column]:
+    """A table of filter words, the word a row of ``column`` is in, and its bit there.
+
+    What is broadcast has at most ``FILTER_BITS / 64`` rows (4 MB) whatever the
+    tables hold.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
+    words = ids.select(F.shiftright(place("id"), 6).alias("sift_word"), bit("id").alias("m")).groupBy("sift_word").agg(F.bit_or("m").alias("sift_bits"))
+    return F.broadcast(words), F.shiftright(place(column), 6), F.coalesce(F.col("sift_bits").bitwiseAND(bit(column)), F.lit(0)) != 0
+
+
 def sifted(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
-    """Rows whose ``column`` may be among ``ids``: all that are, and a few more.
+    """Rows whose ``column`` may be among ``ids(id)``: all that are, and a few more.
+
+    With very many ids all rows pass.
+    """
+    words, word, hit = _filter(ids, column)
+    return rows.join(words, word == F.col("sift_word")).where(hit).drop("sift_word", "sift_bits")
+
+
+def without(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """Rows whose ``column`` is not among ``ids(id)``; nulls stay.
 
-    The filter that is broadcast has at most ``FILTER_BITS / 64`` rows (4 MB)
-    whatever the tables hold; with very many ids it lets all rows pass.
+    Only rows that the filter cannot rule out are shuffled.
     """
-    place = lambda: F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    bit = lambda: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), {FILTER_BITS}) & 63 as int))")
-    words = ids.select(F.shiftright(place(), 6).alias("sift_word"), bit().alias("m")).groupBy("sift_word").agg(F.bit_or("m").alias("sift_bits"))
-    found = rows.join(F.broadcast(words), F.shiftright(place(), 6) == F.col("sift_word"))
-    return found.where(F.col("sift_bits").bitwiseAND(bit()) != 0).drop("sift_word", "sift_bits")
+    words, word, hit = _filter(ids, column)
+    marked = rows.join(words, word == F.col("sift_word"), "left")
+    sure, maybe = (marked.where(c).drop("sift_word", "sift_bits") for c in (~hit, hit))
+    return sure.unionAll(maybe.join(ids.select(F.col("id").alias("sift_id")).distinct(), F.col(column) == F.col("sift_id"), "left_anti"))
 
 
 #: Rows of an Arrow batch; at ten times as many, long texts fill the executors.

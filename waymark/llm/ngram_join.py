@@ -9,10 +9,12 @@ as the estimated cost of its candidates falls, and as many shared shingles are
 then asked for before a pair is verified on whole sets.
 
 Documents meet by the smallest id that shares a prefix shingle, so a group of
-near copies meets in one or a few places instead of as pairs; places with many
-documents are cut into blocks and compared block by block.  Within a place,
-pairs that are connected already are not verified again, and only a star of
-each connected part leaves it.
+near copies meets in one or a few places instead of as pairs.  Places with many
+documents are cut into blocks, and the document of the smallest id stands in
+each of them; what a block connects with it need not be compared across blocks.
+Only the rest is then compared with the other blocks.  Within a block, pairs
+that are connected already are not verified again, and only a star of each
+connected part leaves it.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, discard, sifted, small_batches, staged
+from .common import byte_slices, discard, sifted, small_batches, staged, without
 from .components import components
 from .wordhash import PLACES, mix, shingle_hashes, word_hashes
 
@@ -35,7 +37,7 @@ COUNTED_WORDS = 4_000_000
 #: the count from which a word is worth a place in it.
 MOST_COUNTED, LEAST_COUNT = 1_000_000, 32
 #: A place with more documents or text bytes than this is cut into blocks.
-BLOCK_DOCS, BLOCK_BYTES = 1000, 8_000_000
+BLOCK_DOCS, BLOCK_BYTES = 400, 4_000_000
 MOST_MATCHES = 4
 #: Cost of verifying a candidate against that of reading a posting.
 VERIFY_COST = 20.0
@@ -98,9 +100,9 @@ def set_hashes(words: np.ndarray, a: int, b: int, shingles: np.ndarray, k: int)
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """``id, n, s1, s2, bytes, matches, prefix``: a row per row of ``docs``.
+    """``id, t, n, s1, s2, bytes, matches, prefix``: a row per row of ``docs``.
 
-    ``n`` is the size of the set, ``(s1, s2)`` its digest, ``prefix`` its
+    ``t`` tells the texts of one id apart, ``n`` is the size of the set, ``(s1, s2)`` its digest, ``prefix`` its
     rarest shingles, ``matches`` how many of them a partner must share.
     """
     sent = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, text_col))
@@ -142,12 +144,12 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
                 flat = np.concatenate([x[4] for x in out]) if out else np.zeros(0, np.uint64)
                 signed = lambda i: pa.array(np.array([x[i] for x in out], np.uint64).view(np.int64))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), signed(0), signed(1), signed(2), batch.column(2), signed(3), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat.view(np.int64)))],
-                    ["id", "n", "s1", "s2", "bytes", "matches", "prefix"],
+                    [batch.column(0), batch.column(3), signed(0), signed(1), signed(2), batch.column(2), signed(3), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat.view(np.int64)))],
+                    ["id", "t", "n", "s1", "s2", "bytes", "matches", "prefix"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
-    return rows.mapInArrow(profile, "id long, n long, s1 long, s2 long, bytes long, matches long, prefix array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"), F.xxhash64(text_col).alias("t"))
+    return rows.mapInArrow(profile, "id long, t long, n long, s1 long, s2 long, bytes long, matches long, prefix array<long>")
 
 
 class Forest:
@@ -255,6 +257,52 @@ def links(places: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return places.mapInArrow(run, "a long, b long")
 
 
+def _verified(tiles: DataFrame, reps: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Edges ``a, b`` among the documents ``(id, t)`` of each tile ``(leader, i, j)``."""
+    full = tiles.join(reps.select("id", "t", "matches", "prefix"), ["id", "t"]).join(texts, ["id", "t"])
+    dealt = full.select("leader", "i", "j", "block", "id", "matches", "prefix", "text").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    return staged(links(dealt, k, num, den))
+
+
+def _met(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """``leader, id, t, bytes``: where documents meet, by the smallest id that shares a shingle."""
+    base = (F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1).cast("int")
+    tokens = reps.select("id", "t", "n", "bytes", F.explode(F.slice("prefix", F.lit(1), base)).alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    # similar sets have similar sizes: they share a size bucket or stand in adjacent ones
+    level = F.floor(F.log(F.col("n").cast("double") * (1 + 1e-9)) / math.log(den / num) if num < den else F.col("n")).cast("long")
+    sized = staged(tokens.join(common, "token").withColumn("level", F.explode(F.array(level, level + 1))).drop("n"))
+    least = sized.groupBy("token", "level").agg(F.min("id").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = staged(sized.join(least, ["token", "level"]).select("leader", "id", "t", "bytes").distinct())
+    discard(sized)
+    return met
+
+
+def _edges(docs: DataFrame, reps: DataFrame, several: bool, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """Edges ``a, b`` (ids) that connect whatever links connect."""
+    met = _met(reps, num, den)
+    texts = sifted(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("t")), met.select("id"))
+    if several:
+        texts = texts.join(met.select("id", "t").distinct(), ["id", "t"], "left_semi").dropDuplicates(["id", "t"])
+    sizes = met.groupBy("leader").agg(F.count("*").alias("docs"), F.sum("bytes").alias("held"))
+    number = lambda n, held: F.greatest(F.ceil(F.col(n) / F.lit(BLOCK_DOCS)), F.ceil(F.col(held) / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+    large = staged(sizes.select("leader", number("docs", "held").alias("blocks")).where("blocks > 1"))
+    own = lambda n: F.pmod(F.xxhash64("id", "t"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cut = met.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    blocks = F.explode(F.when(F.col("id") == F.col("leader"), every("blocks")).otherwise(F.array(own("blocks")))).alias("i")
+    edges = _verified(cut.select("leader", blocks, F.lit(0).alias("j"), F.lit(0).alias("block"), "id", "t"), reps, texts, k, num, den)
+    if not large.isEmpty():
+        # what its block did not connect with the leader meets all blocks
+        every_doc = met.join(large, "leader")
+        rest = staged(every_doc.where("id <> leader").join(edges.select(F.col("a").alias("id"), F.col("b").alias("leader")), ["leader", "id"], "left_anti"))
+        parts = rest.groupBy("leader").agg(F.count("*").alias("docs"), F.sum("bytes").alias("held")).select("leader", number("docs", "held").alias("parts"))
+        left = rest.join(parts, "leader").select("leader", own("parts").alias("i"), F.explode(every("blocks")).alias("j"), F.lit(0).alias("block"), "id", "t")
+        right = every_doc.join(parts, "leader").select("leader", F.explode(every("parts")).alias("i"), own("blocks").alias("j"), F.lit(1).alias("block"), "id", "t")
+        edges = edges.unionByName(_verified(left.unionByName(right), reps, texts, k, num, den))
+    return edges
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id``.
 
@@ -262,56 +310,51 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     word shingles; ``component_id`` is the smallest id reachable by links.  A
     text with fewer words is one shingle as a whole; null and empty texts have
     none and link with nothing; copies of a text always link.  Rows that share
-    an id share a component, and repeated rows come back as often.  A row with
-    a null id links with nothing and has a null component.  An empty table
-    gives an empty result; other columns are not read.
+    an id are one document that has the links of all its texts, and repeated
+    rows come back as often.  A row with a null id links with nothing and has
+    a null component.  An empty table gives an empty result; other columns are
+    not read.
     """
     k = shingle_words
     rows = staged(profiles(small_batches(docs), id_col, text_col, k, num, den))
     real = rows.where("n > 0 and id is not null")
     # equal sets are one class, whose smallest id stands for it
-    classes = staged(real.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
     by_set = ["s1", "s2", "n"]
-    reps = real.join(classes.withColumnRenamed("rep", "id"), [*by_set, "id"]).dropDuplicates([*by_set, "id"])
-    base = (F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1).cast("int")
-    tokens = reps.select("id", "n", "bytes", F.explode(F.slice("prefix", F.lit(1), base)).alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    # similar sets have similar sizes: they share a size bucket or stand in adjacent ones
-    level = F.floor(F.log(F.col("n").cast("double") * (1 + 1e-9)) / math.log(den / num) if num < den else F.col("n")).cast("long")
-    sized = tokens.join(common, "token").withColumn("level", F.explode(F.array(level, level + 1)))
-    least = sized.groupBy("token", "level").agg(F.min("id").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = staged(sized.join(least, ["token", "level"]).select("leader", "id", "bytes").distinct())
-    blocks = met.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")).where("blocks > 1")
-    cut = met.join(blocks, "leader", "left").select("leader", "id", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    placed = cut.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = placed.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    whole = reps.select("id", "matches", "prefix").dropDuplicates(["id"])
-    texts = sifted(texts, met.select("id")).join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    full = tiles.join(whole, "id").join(texts, "id")
-    spread = full.select("leader", "i", "j", "block", "id", "matches", "prefix", "text").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    edges = staged(links(spread, k, num, den))
+    classes = staged(real.groupBy(*by_set).agg(F.min("id").alias("rep")))
+    again = staged(real.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"))
+    several = not again.isEmpty()
+    reps = real.join(classes.withColumnRenamed("rep", "id"), [*by_set, "id"])
+    reps = staged(reps.dropDuplicates([*by_set, "id"]) if several else reps)
+    edges = _edges(docs, reps, several, id_col, text_col, k, num, den)
+    if several:  # the classes of an id's texts are connected
+        edges = edges.unionByName(real.join(again, "id").join(classes, by_set).select(F.col("id").alias("a"), F.col("rep").alias("b")))
     found = components(edges)
     tops = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*by_set, F.coalesce("component", "rep").alias("component"))
-    out = rows.join(tops, by_set, "left")
+    out = rows.drop("prefix").join(tops, by_set, "left")
     same_id = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    result = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), same_id.alias("component_id"))
-    for done in (met, edges):
-        discard(done)
-    return result
+    discard(reps)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), same_id.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each similar group: that of the smallest id.
 
-    Same columns; rows with a null id and texts without words all stay; of rows
-    that repeat an id one stays.
+    Same columns.  Texts are what is compared, so rows that repeat an id (or
+    have none) are documents of their own; of equal ids the text of the smaller
+    hash comes first.  Repeats of a whole (id, text) go.  Texts without words
+    link with nothing and stay.
     """
-    groups = similar_groups(docs, id_col, text_col, shingle_words, num, den)
-    first = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
-    known = docs.join(first, docs[id_col] == first["kept_id"], "left_semi")
-    return known.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    counts = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("c"))
+    if counts.where("c > 1 or id is null").isEmpty():
+        groups = similar_groups(docs, id_col, text_col, shingle_words, num, den)
+        return without(docs, staged(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id"))), id_col)
+    t = F.xxhash64(text_col)
+    pairs = docs.select(F.col(id_col).alias("id"), t.alias("t")).distinct()
+    numbers = staged(pairs.repartitionByRange("id", "t").sortWithinPartitions("id", "t").withColumn("_number", F.monotonically_increasing_id()))
+    same = F.col(id_col).eqNullSafe(F.col("numbers.id")) & (t == F.col("numbers.t"))
+    numbered = staged(docs.alias("docs").join(numbers.alias("numbers"), same).select("docs.*", "_number").dropDuplicates(["_number"]))
+    groups = similar_groups(numbered, "_number", text_col, shingle_words, num, den)
+    return numbered.join(groups.where("_number <> component_id"), "_number", "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""
