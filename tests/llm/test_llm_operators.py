@@ -89,17 +89,45 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(df.limit(0), toxicity.train(df, none)).count() == 0
 
 
-def test_collapsed_kernel_is_the_string_kernel():
-    """Weights per triple against the kernel by enumeration of subsequences."""
+def test_kernel_by_enumeration():
+    """Kernels of words against all their common subsequences; sentences add them up."""
 
     def kernel(s, t):
         return sum(toxicity.DECAY ** (a[-1] - a[0] + 1 + b[-1] - b[0] + 1) for a in itertools.combinations(range(len(s)), 3) for b in itertools.combinations(range(len(t)), 3) if all(s[i] == t[j] for i, j in zip(a, b)))
 
-    k = toxicity.Kernel("abcdefg")
-    units, marks = ["abcabc", "gfedcba", "aab-c"], ["abc", "cbag"]
-    got = toxicity.gram(k, units, k.table(marks))
-    want = [[kernel(u, m) / (kernel(u, u) * kernel(m, m)) ** 0.5 for m in marks] for u in units]
+    words, marks = ["abcabc", "gfedcba", "aabc", "xyz"], ["abc", "cbag", "ßüö"]
+    got = toxicity.Landmarks(marks).kernel(words)
+    want = [[(kernel(u, m) / (kernel(u, u) * kernel(m, m)) ** 0.5) ** toxicity.POWER for m in marks] for u in words]
     assert np.allclose(got, want, atol=1e-5)
+    sums = toxicity._sums(got, [np.array([0, 1]), np.array([2])])
+    assert np.allclose(sums, [got[0] + got[1], got[2]])
+
+
+def test_sentences():
+    starts = lambda text: toxicity.sentence_starts(np.array([t.endswith(toxicity.ENDS) for t in toxicity.tokens_of(text)[0]], bool)).tolist()
+    assert starts("A b. C\nd e") == [0, 2, 4] and starts("") == []
+    assert starts("w " * 90) == [0, toxicity.LONGEST, 2 * toxicity.LONGEST]
+    assert toxicity.words_of("i-d.i*ot!") == ["idiot"] and toxicity.words_of("ab") == ["\x02ab\x03"] and toxicity.words_of("--") == []
+    assert "".join(x[: toxicity.WINDOW // 2] for x in toxicity.words_of("abcdefghij" * 7))[:50] == "abcdefghij" * 5
+    assert toxicity.tokens_of("an I d i o t x")[1] == ["i d i o t x"]
+
+
+def test_scores_against_plain_sums(spark):
+    """Scores of a model against sums over all words of all sentences, without memory or batches."""
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["blorg", "lo", "miren", "tasor.", "vindal\n"]) for _ in range(r.randint(0, 60))) for _ in range(80)]
+    model = toxicity.fit(texts, [int("blorg" in t) for t in texts])
+    for text, got in zip(texts, toxicity.Scorer(model).scores(texts)):
+        tokens = text.lower().replace("\n", " . ").split()
+        parts, now = [], []
+        for t in tokens:
+            now.append(t)
+            if t[-1] in ".!?:;" or len(now) == toxicity.LONGEST:
+                parts.append(now)
+                now = []
+        parts += [now] * bool(now)
+        margins = [sum(float(model.parts([w])[0]) for t in p for w in toxicity.words_of(t)) + toxicity.BIAS for p in parts]
+        assert got == pytest.approx(1 / (1 + np.exp(-toxicity.doc_features(np.array(margins)) @ model.doc)), abs=1e-6)
 
 
 # 4
@@ -305,6 +333,29 @@ def test_groups_with_odd_ids(spark):
     assert got == [("5", 2, 5), ("5", 2, 5), ("7", 2, 7), ("None", 2, None)]
 
 
+def test_texts_that_share_an_id(spark):
+    a, b, c = (" ".join(prose(i, 120)) for i in (1, 2, 3))
+    edit = lambda t: t.rsplit(" ", 1)[0] + " edited"
+    df = docs_of(spark, [a, b, edit(b), edit(a), c, c], [5, 5, 6, 8, 9, 9])
+    got = {x.doc_id: x.component_id for x in ngram_join.similar_groups(df).collect()}
+    assert got == {5: 5, 6: 5, 8: 5, 9: 9}
+    df = docs_of(spark, [a, b, edit(b), c, c, None, None, c + " more", a], [5, 5, 6, 9, 9, None, 7, None, None])
+    kept = ngram_join.keep_one(df).collect()
+    assert len(kept) == 5 and {x.text for x in kept} >= {None} and len({x.text for x in kept if x.text}) == 3
+    again = ngram_join.keep_one(df).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, again))
+
+
+def test_rest_of_a_large_place_meets_all_blocks(spark, monkeypatch):
+    """Chains whose ends are not similar to the first document, over many small blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 4)
+    w = prose(1, 400, 10_000)
+    texts = [" ".join([*(f"e{j}" for j in range(i)), *w[i:]]) for i in range(0, 120, 2)]
+    random.Random(2).shuffle(texts)
+    df = docs_of(spark, texts)
+    assert sorted(tuple(x) for x in ngram_join.similar_groups(df, num=97).collect()) == brute_groups(texts, 3, 97, 100)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
