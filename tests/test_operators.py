@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import audits, metrics, ordered, resample, splits
+from waymark.operators import audits, containment, joins, metrics, ordered, resample, splits
 
 
 def states(spark, rows):
@@ -38,10 +38,10 @@ def test_bin_edges(spark):
 
 def test_first_crossing(spark):
     s = states(spark, [("m", 1, 0, 0.1, 0, 0.0, 0, 0), ("m", 1, 1, 0.9, 1, 1.0, 1, 1), ("m", 1, 2, 0.95, 0, 0.0, 0, 2), ("m", 2, 0, 0.2, 1, 1.0, 1, 3)])
-    natives = spark.createDataFrame([(1, 0, 0.0, 3), (2, 0, 0.5, 2)], "question_id long, native_em int, native_f1 double, native_searches long")
+    natives = spark.createDataFrame([(1, 0, 0.0, 3), (2, 0, 0.5, 2), (3, 1, 1.0, 0)], "question_id long, native_em int, native_f1 double, native_searches long")
     th = spark.createDataFrame([("m", 0.8)], "model string, threshold double")
     got = {r.question_id: (r.stopped_early, r.stop_index, r.em, r.searches) for r in ordered.first_crossing(s, natives, th).collect()}
-    assert got == {1: (True, 1, 1, 1), 2: (False, None, 0, 2)}
+    assert got == {1: (True, 1, 1, 1), 2: (False, None, 0, 2), 3: (False, None, 1, 0)}  # 3 has no states
 
 
 def test_causal_labels(spark):
@@ -70,16 +70,141 @@ def test_splits(spark):
     assert not {x for x, _ in a} & {x for x, _ in b} and not {x for _, x in a} & {x for _, x in b}
     copies = splits.oversampled(spark.createDataFrame([(0, i) for i in range(7)] + [(1, i) for i in range(3)], "y int, i long"), "y", "i").groupBy("y").agg(F.sum("copies").alias("n")).collect()
     assert {r.n for r in copies} == {7}
-    schedule = splits.oversampling_schedule(list(range(7)), [10, 11, 12], "s", 1)
-    assert len(schedule) == 14 and sorted(x for x in schedule if x < 10) == list(range(7))
+    with pytest.raises(ValueError, match="remain"):
+        splits.hash_rank_split(rows, "s1", 61, must_fill=True)
+    with pytest.raises(Exception, match="repeat"):
+        splits.core_reserve(spark.createDataFrame([(1, "a"), (1, "b")], "question_id int, data_source string"), "s", 1).collect()
+
+
+@pytest.mark.parametrize("labels", [[True] * 7 + [False] * 3, [False, True, False, False, False, True]])
+def test_epoch_order(labels):
+    """Against the rule spelt out: false ones first, whole cycles shuffled, cut, joined, shuffled."""
+    rng = random.Random("7:epoch:2")
+    want, most = [], max(labels.count(True), labels.count(False))
+    for c in (False, True):
+        drawn = []
+        while len(drawn) < most:
+            members = [i for i, y in enumerate(labels) if y == c]
+            rng.shuffle(members)
+            drawn.extend(members)
+        want += drawn[:most]
+    rng.shuffle(want)
+    assert splits.epoch_order(labels, 7, 2) == want
+    with pytest.raises(ValueError):
+        splits.epoch_order([True], 7, 2)
 
 
 def test_exact_bootstrap_replays_the_generator():
     for n in (1, 2, 150, 512):
-        rng = random.Random(5)
-        assert resample.exact_picks(n, 3, 5).tolist() == [[rng.randrange(n) for _ in range(n)] for _ in range(3)]
-    estimate, low, high = resample.exact_bootstrap(np.array([0.0, 1.0] * 50), 1000, 1)
-    assert low < estimate == 0.5 < high
+        rng, picks = random.Random(5), resample.Picks(n, 5)
+        assert picks.take(n).tolist() + picks.take(2 * n).tolist() == [rng.randrange(n) for _ in range(3 * n)]
+    deltas = [0.0, 1.0, 1.0, -1.0, 0.5]
+    rng = random.Random(9)
+    means = sorted(sum(deltas[rng.randrange(5)] for _ in deltas) / 5 for _ in range(400))
+    got = resample.exact_bootstrap(np.array(deltas), 400, 9)
+    assert got == pytest.approx((0.3, means[10], means[390]))
+
+
+def test_exact_three_and_ap():
+    rows = [(1, 2, 4), (0, 0, 0), (0, 1, 3), (1, 0, 2)]
+    rng, drawn = random.Random(3), []
+    for _ in range(300):
+        s = [rows[rng.randrange(4)] for _ in range(4)]
+        q, a, n = (sum(x[i] for x in s) for i in range(3))
+        drawn.append((q / 4, a / n if n else 0.0, a / 4))
+    got = resample.exact_three(np.array(rows, float), 300, 3)
+    for k, (name, estimate, low, high) in enumerate(got):
+        v = sorted(x[k] for x in drawn)
+        assert (low, high) == pytest.approx((v[int(0.025 * 299)], v[int(0.975 * 299)])), name
+    assert [g[1] for g in got] == pytest.approx([0.5, 3 / 9, 0.75])
+    # average precision of resampled questions, spelt out
+    question, truth = np.array([0, 0, 1, 2, 2]), np.array([1, 0, 0, 1, 1])
+    a, b = np.array([0.9, 0.9, 0.5, 0.2, 0.1]), np.array([0.8, 0.1, 0.2, 0.9, 0.7])
+
+    def precision(score, times):
+        states = [(s, y) for s, y, q in zip(score, truth, question) for _ in range(times[q])]
+        positives, total = sum(y for _, y in states), 0.0
+        for level in {s for s, _ in states}:
+            stops = [y for s, y in states if s >= level]
+            total += sum(y for s, y in states if s == level) / positives * sum(stops) / len(stops) if positives else 0
+        return total
+
+    rng, gains = random.Random(4), []
+    for _ in range(200):
+        times = np.bincount([rng.randrange(3) for _ in range(3)], minlength=3)
+        gains.append(precision(b, times) - precision(a, times))
+    gains.sort()
+    got = resample.exact_ap_difference(question, (a, truth), (b, truth), 200, 4)
+    assert got == pytest.approx((precision(b, [1, 1, 1]) - precision(a, [1, 1, 1]), gains[5], gains[195]))
+
+
+def test_resampled_sums(spark):
+    values = [0.0] * 70 + [1.0] * 30
+    df = spark.createDataFrame([(i, "m", v) for i, v in enumerate(values)], "question_id long, metric string, delta double")
+    got = resample.paired_bootstrap(df, 4000, 1).first()
+    _, low, high = resample.exact_bootstrap(np.array(values), 4000, 1)
+    assert got.estimate == 0.3 and got.low == pytest.approx(low, abs=0.021) and got.high == pytest.approx(high, abs=0.021)
+    sums = resample.resampled_sums(df, ["delta"], 1200, 1, "metric").toPandas()
+    assert sorted(sums["replicate"]) == list(range(1200)) and set(sums["n"]) == {100}
+    assert sums["delta"].mean() == pytest.approx(30, abs=0.6) and sums["delta"].std() == pytest.approx(21**0.5, abs=0.4)
+    assert sums.sort_values("replicate")["delta"].tolist() == resample.resampled_sums(df.repartition(7), ["delta"], 1200, 1, "metric").orderBy("replicate").toPandas()["delta"].tolist()
+    with pytest.raises(Exception, match="null value"):
+        resample.paired_bootstrap(df.withColumn("delta", F.lit(None).cast("double")), 10, 1).collect()
+
+
+def test_seeds():
+    got = resample.seed_schedule(["a", "structured_base", "c"], 1000)
+    assert got["a_minus_native", "em"] == 1200 and got["c_minus_native", "searches"] == 1302
+    assert got["a_minus_structured_base", "em"] == 1001 and got["c_minus_structured_base", "average_precision"] == 1402
+    assert resample.comparison_pairs(["x", "y"]) == [("y", "x")]
+
+
+def test_joins_that_fail(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "id int, x string")
+    right = spark.createDataFrame([(1, "r", 5), (2, "s", 6), (9, "t", 7)], "id int, y string, p int")
+    assert sorted(tuple(r) for r in joins.must_match(left, right.drop("p"), "id").collect()) == [(1, "a", "r"), (2, "b", "s"), (2, "c", "s")]
+    for bad in (right.where("id = 1"), right.unionAll(right)):
+        with pytest.raises(Exception, match="no single match"):
+            joins.must_match(left, bad, "id").count()
+    rows = spark.createDataFrame([(5, "r"), (6, "s")], "at int, want string")
+    source = right.select("p", "y")
+    assert joins.positional(rows, source, "at", "p", "want", "y").count() == 2
+    with pytest.raises(Exception, match="another one"):
+        joins.positional(rows.withColumn("want", F.lit("r")), source, "at", "p", "want", "y").count()
+    names = lambda *m: spark.createDataFrame([(x,) for x in m], "model string")
+    assert joins.same_names(names("a", "b", "a"), names("b", "a")).count() == 3
+    for other in (names("a"), names("a", "b", "c")):
+        with pytest.raises(Exception, match="differ"):
+            joins.same_names(names("a", "b"), other).count()
+    assert joins.set_equality(names("a", "a", "b"), names("b", "a"), "model").first()["equal"] and not joins.set_equality(names("a"), names("b", "a"), "model").first()["equal"]
+
+
+def test_containment(spark, monkeypatch):
+    texts = ["see the red fox ran", "credit, foxes", "xred foxy", None, "", "a fox", "Fox"]
+    needles = ["red fox", "fox", "the red fox ran", "ed f", "none of it", "see the red fox ran", None]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    s = spark.createDataFrame([(i // 2, i, x) for i, x in enumerate(needles)], "item int, k long, sentence string")
+    want = {(i // 2, i, d) for i, x in enumerate(needles) for d, y in enumerate(texts) if x and y and x in y}
+    for size in (1_000_000, 8):
+        monkeypatch.setattr(containment, "BLOCK_BYTES", size)
+        assert {tuple(r) for r in containment.contained(s, t, ["item", "k"], "sentence", "doc", "text").collect()} == want
+    assert containment.contained(s.limit(0), t, ["item"], "sentence", "doc", "text").count() == 0
+    with pytest.raises(Exception, match="empty sentence"):
+        containment.contained(spark.createDataFrame([(1, "")], "item int, sentence string"), t, ["item"], "sentence", "doc", "text").count()
+
+
+def test_conflict_audit_and_firewall(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "request_id int")
+    failed = lambda *a: {r.check for r in audits.conflict_filter(*a).collect() if not r.passed}
+    assert failed(ids(1, 2, 3), ids(1, 3), ids(2)) == set()
+    assert failed(ids(1, 2, 3), ids(1), ids(2)) == {"counts_add_up", "every_id_once"}
+    assert failed(ids(1, 2, 3), ids(1, 1), ids(2)) == {"retained_ids_unique", "every_id_once"}
+    assert failed(ids(1), ids(1, 4), ids()) == {"counts_add_up", "every_id_once", "nothing_new"}
+    raw = spark.createDataFrame([('{"x": 1}',), ("no json",), (None,)], "raw string")
+    assert audits.firewall(raw, "raw", audits.DENIED["states"]).count() == 3
+    with pytest.raises(Exception, match="forbidden"):
+        audits.firewall(raw.unionAll(spark.createDataFrame([('{"gold": null}',)], "raw string")), "raw", audits.DENIED["teacher_inputs"]).count()
+    assert [len(v) for v in audits.DENIED.values()] == [14, 13, 6] and audits.forbidden_columns(spark.range(1).withColumn("gold", F.lit(1)), audits.DENIED["states"]) == ["gold"]
 
 
 def test_audit_fails_on_a_repeat(spark):

@@ -1,8 +1,10 @@
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
-from waymark.sources import jsonl
+from waymark.sources import jsonl, models
 from waymark.streaming.online import crossings
 
 
@@ -14,6 +16,9 @@ def test_round_trip_and_guards(spark, tmp_path):
         jsonl.write_jsonl(spark.range(1), path)
     with pytest.raises(FileExistsError):
         jsonl.guard_outputs(path)
+    with pytest.raises(FileExistsError):
+        jsonl.guard_stored(spark, path)
+    jsonl.guard_stored(spark, path + "-new")
     jsonl.append_log(spark.createDataFrame([(2, "x", "y")], "b int, a string, c string"), path)
     assert jsonl.read_jsonl(spark, path, "b int").count() == 2
 
@@ -63,3 +68,41 @@ def test_streamed_crossings(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("crossed").collect()] == [(1, 1)]
+
+
+def test_models_as_sources(spark):
+    rows = spark.createDataFrame([(1, "ab"), (2, "boom"), (3, None)], "id int, prompt string")
+
+    def client():
+        def ask(prompt):
+            if prompt == "boom":
+                raise TimeoutError("late")
+            return prompt.upper()
+
+        return ask
+
+    got = models.completed(rows, "prompt", client)
+    assert sorted((r.id, r.raw, r.error) for r in got.collect()) == [(1, "AB", None), (2, None, "TimeoutError:late"), (3, None, None)]
+    assert [r.id for r in models.failed(got).collect()] == [2]
+    scored = models.scored(rows.where("prompt is not null"), "prompt", lambda: lambda prompts: [(len(p) / 2, p[::-1]) for p in prompts], batch=1)
+    assert sorted((r.id, r.score, r.completion) for r in scored.collect()) == [(1, 1.0, "ba"), (2, 2.0, "moob")]
+    with pytest.raises(Exception, match="scores for"):
+        models.scored(rows, "prompt", lambda: lambda prompts: []).collect()
+
+
+def test_chat_client():
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            sent = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"choices": [{"message": {"content": sent["messages"][0]["content"] + sent["model"]}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    assert models.chat_client(f"http://127.0.0.1:{server.server_port}", "-m", 5)("ü") == "ü-m"
+    server.shutdown()

@@ -2,41 +2,60 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of the run that a sentence and a text must share to meet.
-GRAM = 4
-
-
-def _grams(words: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(words) - GRAM + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, GRAM), " ")))
+#: Text of the sentences that one automaton holds.
+BLOCK_BYTES = 1_000_000
 
 
 def contained(sentences: DataFrame, texts: DataFrame, keys: list[str], sentence: str, id_col: str, text: str) -> DataFrame:
     """Keys of sentences and ids of texts that hold them as substrings.
 
-    Not a loop over all pairs: the inner words of a sentence (its first and
-    last may be parts of words) are a run of whole words in any text that
-    holds it, so the two meet on one hashed run of words, and ``contains``
-    decides.  Short sentences meet on fewer words.
+    Not a loop over all pairs: the sentences make automata of bounded size, and
+    the texts run through each of them once, whatever the sentences' lengths.
+    Only what is found is shuffled.  A text that holds a sentence several times
+    gives one row; null sentences and texts give none; an empty sentence is an
+    error, since it is in every text.
     """
-    runs = []
-    words = F.split(sentence, " ")
-    cased = sentences.select(*keys, sentence, words.alias("w"))
-    long_ones = cased.where(F.size("w") >= GRAM + 2)
-    spread = texts.select(id_col, text, F.split(text, " ").alias("w"))
-    grams = spread.where(F.size("w") >= GRAM).select(id_col, F.explode(F.array_distinct(_grams(F.col("w")))).alias("g"))
-    # the run in the middle of the sentence stands for it
-    middle = F.slice("w", F.floor((F.size("w") - GRAM) / 2).cast("int") + 1, GRAM)
-    wanted = long_ones.select(*keys, sentence, F.xxhash64(F.array_join(middle, " ")).alias("g"))
-    runs.append(grams.join(wanted, "g").select(*keys, sentence, id_col))
-    inner = F.get("w", F.lit(1))
-    short = cased.where(F.size("w") < GRAM + 2).select(*keys, sentence, F.when(F.size("w") > 2, inner).alias("g"))
-    by_word = spread.select(id_col, F.explode(F.array_distinct("w")).alias("g"))
-    runs.append(by_word.join(short.where("g is not null"), "g").select(*keys, sentence, id_col))
-    met = runs[0].unionByName(runs[1]).distinct()
-    return met.join(texts, id_col).where(F.contains(F.col(text), F.col(sentence))).select(*keys, id_col)
+    spark = texts.sparkSession
+    checked = F.when(F.col(sentence) == "", F.raise_error(F.lit("an empty sentence")).cast("string")).otherwise(F.col(sentence))
+    wanted = sentences.where(F.col(sentence).isNotNull()).select(*keys, checked.alias("needle"))
+    size = wanted.agg(F.sum(F.octet_length("needle"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    needles = wanted.select("needle").distinct().withColumn("block", F.pmod(F.xxhash64("needle"), F.lit(blocks)))
+    kind = texts.schema[id_col].dataType.simpleString()
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+
+    def found_in(block: list[str]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches):
+            automaton = ahocorasick.Automaton()
+            for x in sent.value:
+                automaton.add_word(x, x)
+            automaton.make_automaton()
+            for batch in batches:
+                hits = [(i, {x for _, x in automaton.iter(t)}) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                flat = [(i, x) for i, own in hits for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], batch.schema.field(0).type), pa.array([f[1] for f in flat], pa.string())], ["id", "needle"])
+
+        return rows.mapInArrow(run, f"id {kind}, needle string")
+
+    parts = []
+    for k in range(blocks):  # each block is of bounded size
+        block = [r["needle"] for r in needles.where(F.col("block") == k).toLocalIterator()]
+        if block:
+            parts.append(found_in(block))
+    if not parts:
+        kinds = {f.name: f.dataType for f in sentences.schema}
+        return rows.where("false").select(*(F.lit(None).cast(kinds[k]).alias(k) for k in keys), F.col("id").alias(id_col))
+    met = parts[0]
+    for part in parts[1:]:
+        met = met.unionByName(part)
+    return met.join(wanted, "needle").select(*keys, F.col("id").alias(id_col))
 
 
 def conflicts(sentences: DataFrame, hits: DataFrame, keys: list[str], part: str, kept_label: Column) -> DataFrame:

@@ -68,13 +68,14 @@ def first_crossing(states: DataFrame, natives: DataFrame, thresholds: DataFrame)
 
     ``states(model, question_id, state_index, score, em, f1)``, ``natives
     (question_id, native_em, native_f1, native_searches)``, ``thresholds
-    (model, threshold)``: a row a model.
+    (model, threshold)``: a row a model.  Every question of ``natives`` has a
+    row for every model, also one without states.
     """
-    crossed = F.col("score") >= F.col("threshold")
-    hit = F.min(F.when(crossed, F.struct("state_index", "em", "f1"))).alias("hit")
-    stops = states.join(F.broadcast(thresholds), "model").groupBy("model", "question_id").agg(hit)
+    every = natives.join(F.broadcast(thresholds.select("model")))  # a few models
+    crossed = states.join(F.broadcast(thresholds), "model").where(F.col("score") >= F.col("threshold"))
+    stops = crossed.groupBy("model", "question_id").agg(F.min(F.struct("state_index", "em", "f1")).alias("hit"))
     early = F.col("hit").isNotNull()
-    return stops.join(natives, "question_id").select(
+    return every.join(stops, ["model", "question_id"], "left").select(
         "model", "question_id", early.alias("stopped_early"), F.col("hit.state_index").alias("stop_index"),
         F.when(early, F.col("hit.em")).otherwise(F.col("native_em")).alias("em"), F.when(early, F.col("hit.f1")).otherwise(F.col("native_f1")).alias("f1"),
         F.when(early, F.col("hit.state_index")).otherwise(F.col("native_searches")).alias("searches"), "native_em", "native_f1", "native_searches",

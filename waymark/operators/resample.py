@@ -1,8 +1,13 @@
-"""Question-level bootstrap: a hash mode that scales, and an exact mode.
+"""Question-level bootstrap: a mode that scales, and an exact mode.
 
-Hash mode draws slot ``j`` of replicate ``r`` as a hash of (seed, r, j), so it
-is a join and an aggregation.  Exact mode replays Python's generator with numpy
-in one task and is meant for the reference's sizes (some thousand questions).
+A resample of n questions matters to a mean only through how often each
+distinct value is drawn, and these counts are multinomial.  So the mode that
+scales reduces questions to their distinct values first; each replicate then
+draws counts of values, whatever n is.  The curve of scores cannot be reduced
+so; ``grouped_ap_bootstrap`` draws questions by hash, as joins.
+
+Exact mode replays Python's generator with numpy in one task and is meant for
+the sizes the reference results were made with (some thousand questions).
 """
 
 from __future__ import annotations
@@ -10,11 +15,26 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.operators.ordered import ordinal
 
+# Published numbers of resamples and what is added to the seed
+# (the k-th model is k after these; comparisons of models count from 1).
+REPLICATES, GATE_SEED = 10_000, 20260726
+SEED_OFFSETS = {("native", "em"): 200, ("native", "searches"): 300, ("model", "em"): 0, ("model", "searches"): 100, ("model", "average_precision"): 400}
+#: Replicates that one batch draws.
+DRAWN = 500
+
+
+def seed_schedule(models: list[str], seed: int, reference: str = "structured_base") -> dict[tuple[str, str], int]:
+    """Seed of each (comparison, metric); models in their given order."""
+    out = {(f"{m}_minus_native", k): seed + SEED_OFFSETS["native", k] + i for i, m in enumerate(models) for k in ("em", "searches")}
+    pairs = comparison_pairs(models, reference)
+    return out | {(f"{m}_minus_{base}", k): seed + SEED_OFFSETS["model", k] + i for i, (m, base) in enumerate(pairs, 1) for k in ("em", "searches", "average_precision")}
+
 
 def draws(spark: SparkSession, n: int, replicates: int, seed: int) -> DataFrame:
     """``replicate, slot, pick``: n picks out of 0 .. n-1 for each replicate."""
@@ -34,17 +54,65 @@ def percentile_rows(values: DataFrame, replicates: int, last_exclusive: bool = T
     return sorted_values.select("metric", F.element_at("v", low + 1).alias("low"), F.element_at("v", high + 1).alias("high"))
 
 
-def paired_bootstrap(deltas: DataFrame, replicates: int, seed: int, last_exclusive: bool = True) -> DataFrame:
+def resampled_sums(rows: DataFrame, values: list[str], replicates: int, seed: int, *by: str) -> DataFrame:
+    """``by, replicate, n`` and the sums of ``values`` over n resampled rows.
+
+    Groups are reduced to their distinct values, of which a task holds one
+    group's at a time; it draws ``DRAWN`` replicates at once.  Nulls in a value
+    are an error.
+    """
+    spark = rows.sparkSession
+    filled = [F.when(F.col(v).isNull(), F.raise_error(F.lit("null value"))).otherwise(F.col(v).cast("double")).alias(v) for v in values]
+    distinct = rows.select(*by, *filled).groupBy(*by, *values).agg(F.count("*").alias("n"))
+    packed = distinct.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*values, "n"))).alias("v"))
+    jobs = packed.join(F.broadcast(spark.range(-(-replicates // DRAWN)).withColumnRenamed("id", "part")))  # a row a batch of replicates
+    name = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in by)) if by else F.lit(str(seed))
+    dealt = jobs.withColumn("key", F.crc32(F.encode(name, "utf-8"))).repartition("part", *by)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in by), "replicate long", "n long", *(f"{v} double" for v in values)])
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                table = np.array([[x[v] for v in values] for x in row["v"]], float)
+                counts = np.array([x["n"] for x in row["v"]])
+                first = row["part"] * DRAWN
+                rng = np.random.default_rng([row["key"], row["part"]])
+                drawn = rng.multinomial(counts.sum(), counts / counts.sum(), size=min(DRAWN, replicates - first))
+                sums = drawn @ table
+                m = len(sums)
+                columns = [pa.array([row[k]] * m) for k in by] + [pa.array(np.arange(first, first + m)), pa.array(np.full(m, counts.sum()))] + [pa.array(sums[:, i]) for i in range(len(values))]
+                yield pa.RecordBatch.from_arrays(columns, [*by, "replicate", "n", *values])
+
+    return dealt.select(*by, "part", "key", "v").mapInArrow(run, schema)
+
+
+def paired_bootstrap(deltas: DataFrame, replicates: int = REPLICATES, seed: int = 0, last_exclusive: bool = True) -> DataFrame:
     """``metric, estimate, low, high`` of means of ``deltas(question_id, metric, delta)``."""
-    spark = deltas.sparkSession
-    names = ordinal(deltas.select("question_id").distinct(), "question_id", name="pick")
-    n = names.count()
-    picked = draws(spark, n, replicates, seed).join(names, "pick").join(deltas, "question_id")
-    means = picked.groupBy("metric", "replicate").agg(F.avg("delta").alias("value"))
+    means = resampled_sums(deltas, ["delta"], replicates, seed, "metric").select("metric", (F.col("delta") / F.col("n")).alias("value"))
     estimate = deltas.groupBy("metric").agg(F.avg("delta").alias("estimate"))
     return estimate.join(percentile_rows(means, replicates, last_exclusive), "metric")
 
 
+def _three(quality: Column, avoidable: Column, native: Column, n: Column) -> Column:
+    """Headroom, avoidable share of searches, mean reduction: one (metric, value) each."""
+    share = F.when(native != 0, avoidable / native).otherwise(0.0)
+    pairs = (("quality_headroom", quality / n), ("avoidable_search_fraction", share), ("mean_search_reduction", avoidable / n))
+    return F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in pairs)))
+
+
+def three_metric_intervals(questions: DataFrame, replicates: int = REPLICATES, seed: int = GATE_SEED) -> DataFrame:
+    """``metric, estimate, low, high`` from one set of resamples for three statistics.
+
+    ``questions(question_id, quality, avoidable, native)``: the oracle's gain,
+    avoidable and native searches of a question.
+    """
+    one = lambda df: df.select(_three(F.col("quality"), F.col("avoidable"), F.col("native"), F.col("n")).alias("m")).select("m.metric", "m.value")
+    values = ["quality", "avoidable", "native"]
+    whole = one(questions.agg(*(F.sum(F.col(v).cast("double")).alias(v) for v in values), F.count("*").alias("n"))).withColumnRenamed("value", "estimate")
+    return whole.join(percentile_rows(one(resampled_sums(questions, values, replicates, seed)), replicates, last_exclusive=False), "metric")
+
+
 def grouped_ap_bootstrap(states: DataFrame, better: str, base: str, replicates: int, seed: int) -> DataFrame:
     """Interval of the AP difference (tie-aware) with questions resampled.
 
@@ -54,8 +122,6 @@ def grouped_ap_bootstrap(states: DataFrame, better: str, base: str, replicates:
     names = ordinal(states.select("question_id").distinct(), "question_id", name="pick")
     n = names.count()
     times = draws(spark, n, replicates, seed).groupBy("replicate", "pick").agg(F.count("*").alias("times")).join(names, "pick")
-    from pyspark.sql import Window
-
     by_score = times.join(states, "question_id").groupBy("replicate", "model", "score").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("truth")).alias("pos"))
     down = Window.partitionBy("replicate", "model").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy("replicate", "model")
@@ -65,30 +131,96 @@ def grouped_ap_bootstrap(states: DataFrame, better: str, base: str, replicates:
     return percentile_rows(ap.groupBy("replicate").agg((pick(better) - pick(base)).alias("value")).withColumn("metric", F.lit("average_precision")), replicates)
 
 
-def exact_picks(n: int, replicates: int, seed: int) -> np.ndarray:
-    """``random.Random(seed)`` drawing ``replicates`` times n of 0 .. n-1, as a matrix."""
-    state = random.Random(seed).getstate()[1]
-    generator = np.random.Generator(np.random.MT19937())
-    generator.bit_generator.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
-    shift = 32 - n.bit_length()
-    kept: list[np.ndarray] = []
-    need = n * replicates
-    while need > 0:
-        raw = generator.bit_generator.random_raw(max(1024, int(need * 1.2))) >> shift
-        raw = raw[raw < n][:need]
-        kept.append(raw)
-        need -= len(raw)
-    return np.concatenate(kept).reshape(replicates, n).astype(np.int64)
+class Picks:
+    """``random.Random(seed).randrange(n)`` again and again, as numpy arrays."""
+
+    def __init__(self, n: int, seed: int):
+        state = random.Random(seed).getstate()[1]
+        self.bits = np.random.MT19937()
+        self.bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+        self.n, self.shift, self.left = n, 32 - n.bit_length(), np.zeros(0, np.int64)
+
+    def take(self, k: int) -> np.ndarray:
+        """The next ``k`` picks."""
+        while len(self.left) < k:
+            raw = (self.bits.random_raw(max(1024, int((k - len(self.left)) * 1.2))) >> self.shift).astype(np.int64)
+            self.left = np.concatenate((self.left, raw[raw < self.n]))
+        out, self.left = self.left[:k], self.left[k:]
+        return out
+
+
+def exact_sums(values: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Sums of the columns over ``replicates`` resamples of the rows, by the generator's own stream."""
+    n = len(values)
+    picks = Picks(n, seed)
+    out = []
+    for a in range(0, replicates, step := max(1, 2_000_000 // n)):
+        rows = min(step, replicates - a)
+        out.append(values[picks.take(rows * n)].reshape(rows, n, -1).sum(1))
+    return np.concatenate(out)
+
+
+def percentiles(values: np.ndarray, last_exclusive: bool = True) -> tuple[float, float]:
+    base = len(values) if last_exclusive else len(values) - 1
+    ordered = np.sort(values)
+    return float(ordered[int(0.025 * base)]), float(ordered[int(0.975 * base)])
 
 
 def exact_bootstrap(deltas: np.ndarray, replicates: int, seed: int, last_exclusive: bool = True) -> tuple[float, float, float]:
     """(estimate, low, high) of the mean, by the generator's own stream."""
-    means = np.sort(deltas[exact_picks(len(deltas), replicates, seed)].mean(1))
-    base = replicates if last_exclusive else replicates - 1
-    return float(deltas.mean()), float(means[int(0.025 * base)]), float(means[int(0.975 * base)])
+    means = exact_sums(deltas[:, None], replicates, seed)[:, 0] / len(deltas)
+    return float(deltas.mean()), *percentiles(means, last_exclusive)
+
+
+def exact_three(values: np.ndarray, replicates: int, seed: int) -> list[tuple[str, float, float, float]]:
+    """As ``three_metric_intervals``; ``values`` has quality, avoidable, native of a question a row."""
+
+    def stats(sums):
+        share = np.divide(sums[:, 1], sums[:, 2], out=np.zeros(len(sums)), where=sums[:, 2] != 0)
+        return {"quality_headroom": sums[:, 0] / len(values), "avoidable_search_fraction": share, "mean_search_reduction": sums[:, 1] / len(values)}
+
+    whole, drawn = stats(values.sum(0, keepdims=True)), stats(exact_sums(values, replicates, seed))
+    return [(k, float(whole[k][0]), *percentiles(v, last_exclusive=False)) for k, v in drawn.items()]
+
+
+def tied_precision(score: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> float:
+    """Average precision over distinct scores, of states that count ``weight`` times; 0 without positives."""
+    order = np.argsort(-score, kind="stable")
+    last = np.append(np.flatnonzero(np.diff(score[order])), len(score) - 1)
+    stops, tp = np.cumsum(weight[order])[last], np.cumsum((weight * truth)[order])[last]
+    if not len(tp) or not tp[-1]:
+        return 0.0
+    return float((np.diff(tp, prepend=0) / tp[-1] * np.divide(tp, stops, out=np.zeros(len(tp)), where=stops > 0)).sum())
+
+
+def exact_ap_difference(question: np.ndarray, base: tuple[np.ndarray, np.ndarray], better: tuple[np.ndarray, np.ndarray], replicates: int, seed: int) -> tuple[float, float, float]:
+    """(estimate, low, high) of the gain in tie-aware average precision, questions resampled.
+
+    ``question`` numbers each state's question 0 .. n-1; ``base`` and ``better``
+    are (scores, truths) of the same states.
+    """
+    n = int(question.max()) + 1
+    picks = Picks(n, seed)
+    gain = lambda times: tied_precision(*better, times[question]) - tied_precision(*base, times[question])
+    drawn = np.array([gain(np.bincount(picks.take(n), minlength=n)) for _ in range(replicates)])
+    return gain(np.ones(n, int)), *percentiles(drawn)
+
+
+def in_one_task(rows: DataFrame, order: str, run, schema: str) -> DataFrame:
+    """What ``run`` (a pandas frame of all rows in order -> a list of tuples) finds, in one task."""
+    import pandas as pd
+
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def whole(batches):
+        frames = list(batches)
+        if frames:
+            yield pd.DataFrame(run(pd.concat(frames).sort_values(order, kind="stable")), columns=names)
+
+    return rows.coalesce(1).mapInPandas(whole, schema)
 
 
 def comparison_pairs(models: list[str], reference: str = "structured_base") -> list[tuple[str, str]]:
-    """Every model against the reference (the first one if it is not there)."""
+    """(model, base) for every model but the base: the reference, or the first one if it is not there."""
     against = reference if reference in models else models[0]
     return [(m, against) for m in models if m != against]

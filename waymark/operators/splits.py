@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,16 +12,19 @@ from pyspark.sql import functions as F
 from waymark.functions.text import hash_rank
 
 
-def hash_rank_split(rows: DataFrame, seed: str, count: int, keys=("original_id", "normalized_question"), tie: str = "source_index") -> DataFrame:
-    """The ``count`` rows of the smallest seeded hash."""
-    return rows.withColumn("rank", hash_rank(seed, *keys)).orderBy("rank", tie).limit(count)
+def hash_rank_split(rows: DataFrame, seed: str, count: int, keys=("original_id", "normalized_question"), tie: str = "source_index", must_fill: bool = False) -> DataFrame:
+    """The ``count`` rows of the smallest seeded hash; ``must_fill``: fewer are an error."""
+    chosen = rows.withColumn("rank", hash_rank(seed, *keys)).orderBy("rank", tie).limit(count)
+    if must_fill and (found := chosen.count()) < count:
+        raise ValueError(f"{found} rows remain, {count} are needed")
+    return chosen
 
 
 def disjoint_splits(rows: DataFrame, specs: list[tuple[str, str, int]], id_col: str = "original_id", text_col: str = "normalized_question") -> DataFrame:
     """Splits ``(name, seed, count)`` in turn; ids and texts of earlier ones are out.
 
-    Within one split a text may occur twice.  Each split is small, so what it
-    excludes is written and broadcast only if Spark finds it small.
+    Within one split a text may occur twice.  A later split reads the earlier
+    ones only through their ids and texts.
     """
     chosen: list[DataFrame] = []
     for name, seed, count in specs:
@@ -37,7 +41,13 @@ def exclude(rows: DataFrame, used: DataFrame, *keys: str) -> DataFrame:
 
 
 def core_reserve(rows: DataFrame, seed: str, core: int, id_col: str = "question_id", source_col: str = "data_source") -> DataFrame:
-    """``part`` = core for the ``core`` rows of the smallest (hash, id), else reserve."""
+    """``part`` = core for the ``core`` rows of the smallest (hash, id), else reserve.
+
+    Ids must be there and differ; a repeated or null one is an error.
+    """
+    counts = rows.groupBy(id_col).agg(F.count("*").alias("_n"))
+    once = F.when((F.col("_n") == 1) & F.col(id_col).isNotNull(), True).otherwise(F.raise_error(F.lit("ids repeat or are null")).cast("boolean"))
+    rows = rows.join(counts.where(once).select(id_col), id_col)
     ranked = rows.withColumn("rank", hash_rank(seed, F.lower(F.btrim(F.col(source_col))), F.col(id_col)))
     first = ranked.orderBy("rank", id_col).limit(core).select(id_col, F.lit("core").alias("part"))
     return ranked.join(first, id_col, "left").withColumn("part", F.coalesce("part", F.lit("reserve")))
@@ -71,17 +81,32 @@ def oversampled(rows: DataFrame, class_col: str, order: str) -> DataFrame:
     return wide.withColumn("copies", (whole + (k <= F.col("most") % F.col("n")).cast("long")).cast("long")).drop("n", "most")
 
 
-def oversampling_schedule(majority: list, minority: list, seed: str, epoch: int) -> list:
-    """Exact order of a balanced epoch: the minority cycled and reshuffled."""
+def epoch_order(labels: list[bool], seed: int | str, epoch: int) -> list[int]:
+    """Positions of a balanced epoch in the exact order of the seeded generator.
+
+    Both classes, the false one first, are drawn from reshuffled cycles until
+    they have the size of the larger one; then all is shuffled.  The generator
+    is one stream, so this is a list on one machine; ``oversampled`` gives the
+    multiplicities of any number of rows.
+    """
     rng = random.Random(f"{seed}:epoch:{epoch}")
-    drawn: list = []
-    while len(drawn) < len(majority):
-        cycle = list(minority)
-        rng.shuffle(cycle)
-        drawn += cycle[: len(majority) - len(drawn)]
-    both = list(majority) + drawn
-    rng.shuffle(both)
-    return both
+    classes = [[i for i, y in enumerate(labels) if bool(y) is c] for c in (False, True)]
+    if not all(classes):
+        raise ValueError("both classes are needed")
+
+    def cycles(members: list[int]):
+        while True:
+            yield from shuffled(members, rng)
+
+    size = max(map(len, classes))
+    return shuffled([i for members in classes for i in islice(cycles(members), size)], rng)
+
+
+def shuffled(items: list, rng: random.Random) -> list:
+    """A shuffled copy."""
+    out = items[:]
+    rng.shuffle(out)
+    return out
 
 
 def best_epoch(epochs: DataFrame, loss: str = "validation_token_nll") -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.operators import metrics, ordered, resample
+from waymark.functions.scores import ratio
+from waymark.operators import joins, metrics, ordered, resample
 from waymark.plans import tables as t
 from waymark.plans.registry import query, rounded
 
@@ -156,35 +157,113 @@ def pairwise_transitions(spark, sf_dir):
     return o.where("model <> 'structured_base'").join(base, "question_id").groupBy("model", "em", "base_em").agg(F.count("*").alias("n"))
 
 
-REPLICATES, SEED = 100, 20260728
-PICKS = f"""names AS (SELECT question_id, row_number() OVER (ORDER BY question_id) - 1 AS pick FROM (SELECT DISTINCT question_id FROM outcomes)),
-draws AS (SELECT id // n AS replicate, id % n AS slot, CAST(('0x' || substr(sha256('{SEED}:' || (id // n) || ':' || (id % n)), 1, 8)) AS BIGINT) % n AS pick
-  FROM (SELECT unnest(range({REPLICATES} * (SELECT count(*) FROM names))) AS id), (SELECT count(*) AS n FROM names))"""
+SEED = 20260728
+#: Replicates of the one bootstrap that draws questions as rows (n times as many joins).
+HASHED = 100
+
+
+def _wide(spark, sf_dir):
+    return joins.comparisons(t.outcomes(spark, sf_dir))
 
 
 def _deltas(spark, sf_dir):
-    o = t.outcomes(spark, sf_dir).where("model = 'expanded'")
-    wide = o.select("question_id", (F.col("em") - F.col("native_em")).cast("double").alias("em"), (F.col("searches") - F.col("native_searches")).cast("double").alias("searches"))
-    return wide.unpivot("question_id", ["em", "searches"], "metric", "delta")
+    """Differences of one model from the agent, a row a metric."""
+    o = _wide(spark, sf_dir).where("comparison = 'expanded_minus_native'")
+    return o.select("question_id", F.col("em").cast("double").alias("em"), F.col("searches").cast("double").alias("searches")).unpivot("question_id", ["em", "searches"], "metric", "delta")
 
 
 @query(
-    "paired_bootstrap_hash",
-    t.sql(f"""WITH {PICKS}, deltas AS (SELECT question_id, 'em' AS metric, (em - native_em)::DOUBLE AS delta FROM outcomes WHERE model = 'expanded' UNION ALL SELECT question_id, 'searches', (searches - native_searches)::DOUBLE FROM outcomes WHERE model = 'expanded'),
-v AS (SELECT metric, replicate, avg(delta) AS value FROM draws JOIN names USING (pick) JOIN deltas USING (question_id) GROUP BY metric, replicate), s AS (SELECT metric, list_sort(list(value)) AS v FROM v GROUP BY metric)
-SELECT metric, round(estimate, 9) AS estimate, round(v[{int(0.025 * REPLICATES) + 1}], 9) AS low, round(v[{int(0.975 * REPLICATES) + 1}], 9) AS high FROM s JOIN (SELECT metric, avg(delta) AS estimate FROM deltas GROUP BY metric) USING (metric)"""),
+    "model_comparisons",
+    t.sql("""WITH p AS (SELECT a.model || '_minus_native' AS comparison, em - native_em AS em, searches - native_searches AS searches FROM outcomes a
+  UNION ALL SELECT a.model || '_minus_structured_base', a.em - b.em, a.searches - b.searches FROM outcomes a JOIN outcomes b ON a.question_id = b.question_id AND b.model = 'structured_base' AND a.model <> 'structured_base')
+SELECT comparison, count(*) AS questions, round(avg(em), 9) AS em, round(avg(searches), 9) AS searches FROM p GROUP BY comparison"""),
 )
-def paired_bootstrap_hash(spark, sf_dir):
-    return rounded(resample.paired_bootstrap(_deltas(spark, sf_dir), REPLICATES, SEED))
+def model_comparisons(spark, sf_dir):
+    return rounded(_wide(spark, sf_dir).groupBy("comparison").agg(F.count("*").alias("questions"), F.avg("em").alias("em"), F.avg("searches").alias("searches")))
+
+
+@query("paired_bootstrap")
+def paired_bootstrap(spark, sf_dir):
+    return rounded(resample.paired_bootstrap(_deltas(spark, sf_dir), resample.REPLICATES, SEED))
+
+
+def _exact(pdf, value: str, seed: int):
+    return resample.exact_bootstrap(pdf[value].to_numpy(float), resample.REPLICATES, seed)
+
+
+@query("paired_bootstrap_exact")
+def paired_bootstrap_exact(spark, sf_dir):
+    """Every comparison with the seed of its place in the schedule; questions in order of their ids."""
+    seeds = resample.seed_schedule(list(t.THRESHOLDS), SEED)
+    rows = _wide(spark, sf_dir)
+
+    def run(pdf):
+        return [(c, m, *_exact(part, m, seeds[c, m])) for c, part in pdf.groupby("comparison") for m in ("em", "searches")]
+
+    return rounded(resample.in_one_task(rows, "question_id", run, "comparison string, metric string, estimate double, low double, high double"))
+
+
+def _questions(spark, sf_dir):
+    h = metrics.headroom_questions(t.probes(spark, sf_dir), t.natives(spark, sf_dir))
+    return h.select("question_id", (F.col("quality_oracle") - F.col("native_em")).alias("quality"), "avoidable", F.col("native_searches").alias("native"))
+
+
+@query("three_metric_intervals")
+def three_metric_intervals(spark, sf_dir):
+    return rounded(resample.three_metric_intervals(_questions(spark, sf_dir)))
+
+
+@query("three_metric_intervals_exact")
+def three_metric_intervals_exact(spark, sf_dir):
+    run = lambda pdf: resample.exact_three(pdf[["quality", "avoidable", "native"]].to_numpy(float), resample.REPLICATES, resample.GATE_SEED)
+    return rounded(resample.in_one_task(_questions(spark, sf_dir), "question_id", run, "metric string, estimate double, low double, high double"))
+
+
+@query("seed_schedule", f"""WITH m AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {i})" for i, m in enumerate(t.THRESHOLDS))}) AS m(model, i)), r AS (SELECT model, row_number() OVER (ORDER BY i) AS i FROM m WHERE model <> 'structured_base')
+SELECT model || '_minus_native' AS comparison, metric, CAST({SEED} + o + i AS BIGINT) AS seed FROM m, (VALUES ('em', 200), ('searches', 300)) AS k(metric, o)
+UNION ALL SELECT model || '_minus_structured_base', metric, CAST({SEED} + o + i AS BIGINT) FROM r, (VALUES ('em', 0), ('searches', 100), ('average_precision', 400)) AS k(metric, o)""")
+def seed_schedule(spark, sf_dir):
+    rows = [(c, m, s) for (c, m), s in resample.seed_schedule(list(t.THRESHOLDS), SEED).items()]
+    return spark.createDataFrame(rows, "comparison string, metric string, seed long")
+
+
+@query("grouped_ap_bootstrap_exact")
+def grouped_ap_bootstrap_exact(spark, sf_dir):
+    """The gain of one model, questions resampled by the exact stream."""
+    pick = lambda m: F.max(F.when(F.col("model") == m, F.col("score"))).alias(m)
+    states = t.scores(spark, sf_dir).groupBy("question_id", "state_index").agg(pick("expanded"), pick("structured_base"), F.max("truth").alias("truth"))
+
+    def run(pdf):
+        question, truth = pdf["question_id"].rank(method="dense").to_numpy(int) - 1, pdf["truth"].to_numpy(int)
+        sides = [(pdf[m].to_numpy(float), truth) for m in ("structured_base", "expanded")]
+        seed = resample.seed_schedule(list(t.THRESHOLDS), SEED)["expanded_minus_structured_base", "average_precision"]
+        return [("average_precision", *resample.exact_ap_difference(question, *sides, resample.REPLICATES, seed))]
+
+    return rounded(resample.in_one_task(states, "question_id", run, "metric string, estimate double, low double, high double"))
 
 
 @query(
     "grouped_ap_bootstrap_hash",
-    t.sql(f"""WITH {PICKS}, times AS (SELECT replicate, pick, count(*) AS times FROM draws GROUP BY 1, 2), b AS (SELECT replicate, model, score, sum(times) AS n, sum(times * truth) AS pos FROM times JOIN names USING (pick) JOIN scores USING (question_id) GROUP BY 1, 2, 3),
+    t.sql(f"""WITH names AS (SELECT question_id, row_number() OVER (ORDER BY question_id) - 1 AS pick FROM (SELECT DISTINCT question_id FROM scores)),
+draws AS (SELECT id // n AS replicate, id % n AS slot, CAST(('0x' || substr(sha256('{SEED}:' || (id // n) || ':' || (id % n)), 1, 8)) AS BIGINT) % n AS pick
+  FROM (SELECT unnest(range({HASHED} * (SELECT count(*) FROM names))) AS id), (SELECT count(*) AS n FROM names)),
+times AS (SELECT replicate, pick, count(*) AS times FROM draws GROUP BY 1, 2), b AS (SELECT replicate, model, score, sum(times) AS n, sum(times * truth) AS pos FROM times JOIN names USING (pick) JOIN scores USING (question_id) GROUP BY 1, 2, 3),
 c AS (SELECT replicate, model, pos, sum(n) OVER w AS stops, sum(pos) OVER w AS tp, sum(pos) OVER (PARTITION BY replicate, model) AS positives FROM b WINDOW w AS (PARTITION BY replicate, model ORDER BY score DESC)),
 ap AS (SELECT replicate, model, sum(CASE WHEN positives > 0 THEN pos / positives::DOUBLE * tp / stops ELSE 0 END) AS ap FROM c GROUP BY 1, 2),
 s AS (SELECT list_sort(list(v)) AS v FROM (SELECT replicate, max(ap) FILTER (model = 'expanded') - max(ap) FILTER (model = 'structured_base') AS v FROM ap GROUP BY replicate))
-SELECT 'average_precision' AS metric, round(v[{int(0.025 * REPLICATES) + 1}], 9) AS low, round(v[{int(0.975 * REPLICATES) + 1}], 9) AS high FROM s"""),
+SELECT 'average_precision' AS metric, round(v[{int(0.025 * HASHED) + 1}], 9) AS low, round(v[{int(0.975 * HASHED) + 1}], 9) AS high FROM s"""),
 )
 def grouped_ap_bootstrap_hash(spark, sf_dir):
-    return rounded(resample.grouped_ap_bootstrap(t.scores(spark, sf_dir), "expanded", "structured_base", REPLICATES, SEED))
+    return rounded(resample.grouped_ap_bootstrap(t.scores(spark, sf_dir), "expanded", "structured_base", HASHED, SEED))
+
+
+@query("system_figure", t.sql("""SELECT model, round(100 * avg(em - native_em), 9) AS em_difference_pp, round(avg(searches - native_searches), 9) AS search_difference, count(*) FILTER (stopped_early) AS early_stop_total,
+  count(*) FILTER (stopped_early AND em IN (0, 1)) AS safe_plus_unsafe, round(count(*) FILTER (stopped_early AND em = 0) / count(*) FILTER (stopped_early)::DOUBLE, 9) AS unsafe_fraction FROM outcomes GROUP BY model"""))
+def system_figure(spark, sf_dir):
+    """What the figure of quality, cost and risk is drawn from, per model."""
+    early = F.col("stopped_early")
+    sums = t.outcomes(spark, sf_dir).groupBy("model").agg(
+        (100 * F.avg(F.col("em") - F.col("native_em"))).alias("em_difference_pp"), F.avg(F.col("searches") - F.col("native_searches")).alias("search_difference"), F.count_if(early).alias("early_stop_total"),
+        (F.count_if(early & (F.col("em") == 1)) + F.count_if(early & (F.col("em") == 0))).alias("safe_plus_unsafe"), F.count_if(early & (F.col("em") == 0)).alias("unsafe"),
+    )
+    return rounded(sums.withColumn("unsafe_fraction", ratio("unsafe", "early_stop_total")).drop("unsafe"))

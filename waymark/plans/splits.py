@@ -122,3 +122,20 @@ def suffix_slice(spark, sf_dir):
 @query("label_blind", "SELECT doc_id AS question_id, sha256(text) AS question_sha256, source AS source_split, doc_id AS source_index FROM documents")
 def label_blind(spark, sf_dir):
     return t.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.sha2("text", 256).alias("question_sha256"), F.col("source").alias("source_split"), F.col("doc_id").alias("source_index"))
+
+
+@query("epoch_order")
+def epoch_order(spark, sf_dir):
+    """The exact order of one balanced epoch over the labelled rows (a list on one machine)."""
+    import pandas as pd
+
+    rows = t.read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("y"))
+
+    def run(batches):
+        frames = list(batches)
+        if frames:
+            whole = pd.concat(frames).sort_values("doc_id")
+            order = splits.epoch_order(whole["y"].tolist(), 7, 1)
+            yield pd.DataFrame({"place": range(len(order)), "doc_id": whole["doc_id"].to_numpy()[order]})
+
+    return rows.coalesce(1).mapInPandas(run, "place long, doc_id long")

@@ -27,10 +27,10 @@ CTES = {
   UNION ALL SELECT 'older', question_id, state_index, event_id, next_action, em, f1, (event_id * 31 % 101) / 8.0::DOUBLE - 5, event_id % 17 = 0 FROM probes)""",
     "scores": """scores AS (SELECT model, question_id, state_index, event_id, next_action, em, f1, CASE WHEN failed THEN -1e30::DOUBLE ELSE score END AS score, em AS truth, event_id AS position FROM raw_scores WHERE next_action = 'SEARCH')""",
     "thresholds": """thresholds(model, threshold) AS (VALUES """ + ", ".join(f"('{m}', {t}::DOUBLE)" for m, t in THRESHOLDS.items()) + ")",
-    "outcomes": """outcomes AS (SELECT model, question_id, hit IS NOT NULL AS stopped_early, hit AS stop_index, CASE WHEN hit IS NULL THEN native_em ELSE hit_em END AS em,
-  CASE WHEN hit IS NULL THEN native_f1 ELSE hit_f1 END AS f1, coalesce(hit, native_searches) AS searches, native_em, native_f1, native_searches
-  FROM (SELECT s.model, s.question_id, min(state_index) FILTER (score >= threshold) AS hit, arg_min(em, state_index) FILTER (score >= threshold) AS hit_em, arg_min(f1, state_index) FILTER (score >= threshold) AS hit_f1
-    FROM scores s JOIN thresholds t ON s.model = t.model GROUP BY s.model, s.question_id) JOIN natives USING (question_id))""",
+    "outcomes": """outcomes AS (SELECT t.model, n.question_id, h.state_index IS NOT NULL AS stopped_early, h.state_index AS stop_index, coalesce(h.em, n.native_em) AS em,
+  coalesce(h.f1, n.native_f1) AS f1, coalesce(h.state_index, n.native_searches) AS searches, native_em, native_f1, native_searches
+  FROM natives n CROSS JOIN thresholds t LEFT JOIN (SELECT s.*, row_number() OVER (PARTITION BY s.model, s.question_id ORDER BY s.state_index) AS k FROM scores s JOIN thresholds u ON u.model = s.model AND s.score >= u.threshold) h
+  ON h.model = t.model AND h.question_id = n.question_id AND h.k = 1)""",
 }
 ORDER = list(CTES)
 

@@ -89,15 +89,24 @@ def _verdicts(spark, sf_dir):
     return t.read(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*kinds), (F.col("event_id") % len(kinds) + 1).cast("int")).alias("raw"))
 
 
-ERRORS = (None, None, "json_decode:JSONDecodeError", "top_level_types", "sufficient_requires_empty_gap_items", "insufficient_requires_nonempty_gap_items", "gap_item_schema", "gap_item_types_or_empty", "gap_item_category", "top_level_schema")
-
-
-@query("strict_verdict", "SELECT event_id, event_id % 10 < 2 AS parsed, [" + ", ".join(f"'{e}'" if e else "NULL" for e in ERRORS) + "][event_id % 10 + 1] AS parse_error FROM events")
+VERDICTS = r"""raws AS (SELECT event_id, [
+  '{"sufficient": true, "gap_items": []}', '{"sufficient": false, "gap_items": [{"category": "attribute", "target": "' || event_id || '", "slot": "s", "description": "d"}]}', '{"sufficient": true', '{"sufficient": 1, "gap_items": []}',
+  '{"sufficient": true, "gap_items": [{"category": "attribute", "target": "' || event_id || '", "slot": "s", "description": "d"}]}', '{"sufficient": false, "gap_items": []}', '{"sufficient": false, "gap_items": [{"category": "attribute"}]}',
+  '{"sufficient": false, "gap_items": [{"category": "attribute", "target": "' || event_id || '", "slot": "s", "description": " "}]}', '{"sufficient": false, "gap_items": [{"category": "color", "target": "' || event_id || '", "slot": "s", "description": "d"}]}', props][event_id % 10 + 1] AS raw FROM events),
+js AS (SELECT event_id, json_valid(raw) AS ok, CASE WHEN json_valid(raw) THEN raw ELSE '{}' END AS j FROM raws),
+faults AS (SELECT event_id, CASE WHEN NOT ok THEN 'json_decode:JSONDecodeError:Expecting '','' delimiter: line 1 column 20 (char 19)' WHEN list_sort(json_keys(j)) <> ['gap_items', 'sufficient'] THEN 'top_level_schema'
+  WHEN json_type(j, '$.sufficient') <> 'BOOLEAN' OR json_type(j, '$.gap_items') <> 'ARRAY' THEN 'top_level_types' WHEN j ->> '$.sufficient' = 'true' AND json_array_length(j, '$.gap_items') > 0 THEN 'sufficient_requires_empty_gap_items'
+  WHEN j ->> '$.sufficient' = 'false' AND json_array_length(j, '$.gap_items') = 0 THEN 'insufficient_requires_nonempty_gap_items' WHEN json_array_length(j, '$.gap_items') = 0 THEN NULL
+  WHEN list_sort(json_keys(j, '$.gap_items[0]')) <> ['category', 'description', 'slot', 'target'] THEN 'gap_item_schema' WHEN list_contains([trim(j ->> ('$.gap_items[0].' || k)) FOR k IN ['category', 'target', 'slot', 'description']], '') THEN 'gap_item_types_or_empty'
+  WHEN j ->> '$.gap_items[0].category' NOT IN ('bridge entity', 'attribute', 'relation', 'evidence span', 'other') THEN 'gap_item_category' END AS fault FROM js)"""
+
+
+@query("strict_verdict", f"WITH {VERDICTS} SELECT event_id, fault IS NULL AS parsed, fault AS parse_error FROM faults")
 def strict_verdict(spark, sf_dir):
     return _verdicts(spark, sf_dir).withColumn("v", x.strict_verdict("raw")).select("event_id", F.col("v.parsed").isNotNull().alias("parsed"), F.col("v.parse_error").alias("parse_error"))
 
 
-@query("parse_rate", "SELECT count(*) FILTER (event_id % 10 < 2) AS parsed, count(*) AS total, round(count(*) FILTER (event_id % 10 < 2) / count(*)::DOUBLE, 9) AS rate FROM events")
+@query("parse_rate", f"WITH {VERDICTS} SELECT count(*) FILTER (fault IS NULL) AS parsed, count(*) AS total, round(count(*) FILTER (fault IS NULL) / count(*)::DOUBLE, 9) AS rate FROM faults")
 def parse_rate(spark, sf_dir):
     v = _verdicts(spark, sf_dir).select(x.strict_verdict("raw").alias("v"))
     return rounded(v.agg(F.count("v.parsed").alias("parsed"), F.count("*").alias("total")).withColumn("rate", F.col("parsed") / F.col("total")))
@@ -111,39 +120,66 @@ def parse_failure_flag(spark, sf_dir):
     return t.read(spark, sf_dir, "events").select("event_id", parse_failed(F.col("event_id") % 2 == 0, parsed).alias("failed"))
 
 
-SENTENCES = r"""i AS (SELECT item_id, CAST(generate_subscripts(s, 1) AS BIGINT) - 1 AS k, unnest(s) AS sentence FROM (SELECT item_id, [trim(y) FOR y IN string_split(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'), '.') IF trim(y) <> ''] AS s FROM benchmark)),
-d AS (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS text FROM documents), hits AS (SELECT item_id, k, doc_id FROM i JOIN d ON contains(d.text, i.sentence) WHERE len(string_split(i.sentence, ' ')) >= 4)"""
+SENTENCES = r"""n AS (SELECT item_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\s\x1c-\x1f\x85\xa0]+', ' ', 'g')) AS text FROM benchmark),
+i AS (SELECT item_id, CAST(generate_subscripts(s, 1) AS BIGINT) - 1 AS k, unnest(s) AS sentence FROM (SELECT item_id, [trim(y) FOR y IN string_split(text, '.') IF trim(y) <> ''] AS s FROM n)),
+d AS MATERIALIZED (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\s\x1c-\x1f\x85\xa0]+', ' ', 'g')) AS text FROM documents),
+u AS (SELECT DISTINCT sentence FROM i), hits AS (SELECT item_id, k, doc_id FROM i JOIN (SELECT sentence, doc_id FROM u JOIN d ON contains(d.text, u.sentence)) USING (sentence)),
+titles AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:2], ' ') AS title FROM n WHERE text <> '')"""
+
+
+def _items(spark, sf_dir):
+    """Items and documents, normalised."""
+    return t.read(spark, sf_dir, "benchmark").select("item_id", x.normalize_question("text").alias("text")), t.read(spark, sf_dir, "documents").select("doc_id", x.normalize_question("text").alias("text"))
+
+
+def _sentences(items):
+    """Every sentence of every item, whatever its length."""
+    return items.select("item_id", F.posexplode(F.filter(F.transform(F.split("text", r"\."), lambda y: F.btrim(y)), lambda y: y != "")).alias("k", "sentence")).withColumn("k", F.col("k").cast("long"))
+
+
+def _hits(spark, sf_dir):
+    items, docs = _items(spark, sf_dir)
+    s = _sentences(items)
+    return s, containment.contained(s, docs, ["item_id", "k"], "sentence", "doc_id", "text")
+
+
+def _titles(spark, sf_dir):
+    """An item's first two words stand for its title."""
+    items, docs = _items(spark, sf_dir)
+    titles = items.where("text <> ''").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("title"))
+    return containment.contained(titles, docs, ["item_id"], "title", "doc_id", "text")
 
 
 @query("sentence_containment", f"WITH {SENTENCES} SELECT item_id, k, doc_id FROM hits")
 def sentence_containment(spark, sf_dir):
-    s, d = _contained(spark, sf_dir)
-    return containment.contained(s, d, ["item_id", "k"], "sentence", "doc_id", "text")
+    return _hits(spark, sf_dir)[1]
+
+
+@query("title_containment", f"WITH {SENTENCES} SELECT item_id, doc_id FROM titles JOIN d ON contains(d.text, title)")
+def title_containment(spark, sf_dir):
+    return _titles(spark, sf_dir)
 
 
-def _contained(spark, sf_dir):
-    items = t.read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.filter(F.transform(F.split(x.normalize_question_native("text"), r"\."), lambda y: F.btrim(y)), lambda y: y != "")).alias("k", "sentence"))
-    items = items.withColumn("k", F.col("k").cast("long")).where(F.size(F.split("sentence", " ")) >= containment.GRAM)
-    return items, t.read(spark, sf_dir, "documents").select("doc_id", x.normalize_question_native("text").alias("text"))
+COVERED = "c AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1), f AS (SELECT item_id, count(DISTINCT k) AS found FROM hits GROUP BY 1), tt AS (SELECT DISTINCT item_id FROM titles JOIN d ON contains(d.text, title)), covered AS (SELECT c.item_id, coalesce(found, 0) = n AS sentence_complete, c.item_id IN (SELECT item_id FROM tt) AS title_complete FROM c LEFT JOIN f USING (item_id))"
 
 
-@query("coverage_counts", f"WITH {SENTENCES} SELECT hit_all, hit_any, count(*) AS n FROM (SELECT c.item_id, count(DISTINCT h.k) = max(c.n) AS hit_all, count(DISTINCT h.k) > 0 AS hit_any FROM (SELECT item_id, count(*) AS n FROM i WHERE len(string_split(sentence, ' ')) >= 4 GROUP BY 1) c LEFT JOIN hits h USING (item_id) GROUP BY c.item_id) GROUP BY 1, 2")
+@query("coverage_counts", f"WITH {SENTENCES}, {COVERED} SELECT title_complete, sentence_complete, count(*) AS n FROM covered GROUP BY 1, 2")
 def coverage_counts(spark, sf_dir):
-    s, d = _contained(spark, sf_dir)
-    hits = containment.contained(s, d, ["item_id", "k"], "sentence", "doc_id", "text").select("item_id", "k").distinct().withColumn("hit", F.lit(1))
-    by_item = s.join(hits, ["item_id", "k"], "left").groupBy("item_id").agg(F.count("*").alias("n"), F.count("hit").alias("c"))
-    return by_item.groupBy((F.col("c") == F.col("n")).alias("hit_all"), (F.col("c") > 0).alias("hit_any")).agg(F.count("*").alias("n"))
+    s, hits = _hits(spark, sf_dir)
+    found = hits.select("item_id", "k").distinct().withColumn("hit", F.lit(1))
+    by_item = s.join(found, ["item_id", "k"], "left").groupBy("item_id").agg((F.count("*") == F.count("hit")).alias("sentence_complete"))
+    titled = _titles(spark, sf_dir).select("item_id").distinct().withColumn("title_complete", F.lit(True))
+    return by_item.join(titled, "item_id", "left").groupBy(F.coalesce("title_complete", F.lit(False)).alias("title_complete"), "sentence_complete").agg(F.count("*").alias("n"))
 
 
-@query("conflict_filter", f"WITH {SENTENCES} SELECT item_id, count(DISTINCT h.k) = max(c.n) AND item_id % 3 <> 0 AS conflict FROM (SELECT item_id, count(*) AS n FROM i WHERE len(string_split(sentence, ' ')) >= 4 GROUP BY 1) c LEFT JOIN hits h USING (item_id) GROUP BY item_id")
+@query("conflict_filter", f"WITH {SENTENCES}, {COVERED} SELECT item_id, sentence_complete AND item_id % 3 <> 0 AS conflict FROM covered")
 def conflict_filter(spark, sf_dir):
-    s, d = _contained(spark, sf_dir)
-    hits = containment.contained(s, d, ["item_id", "k"], "sentence", "doc_id", "text").select("item_id", "k")
-    return containment.conflicts(s, hits, ["item_id"], "k", (F.col("item_id") % 3 == 0)).select("item_id", "conflict")
+    s, hits = _hits(spark, sf_dir)
+    return containment.conflicts(s, hits.select("item_id", "k"), ["item_id"], "k", (F.col("item_id") % 3 == 0)).select("item_id", "conflict")
 
 
-@query("supporting_sentences", "SELECT conv_id, k, sha256(text) AS sentence_sha256 FROM (SELECT conv_id, turn AS k, text FROM conversations) WHERE k < 2")
+@query("supporting_sentences", "SELECT conv_id, turn AS k, sha256(text) AS sentence_sha256 FROM conversations")
 def supporting_sentences(spark, sf_dir):
     c = t.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("r"))
-    context = c.select("conv_id", F.array(F.struct(F.lit("t").alias("title"), F.transform("r", lambda y: y["text"]).alias("sentences"))).alias("context"), F.slice(F.transform("r", lambda y: F.struct(F.lit("t").alias("title"), y["turn"].alias("index"))), 1, 2).alias("facts"))
+    context = c.select("conv_id", F.array(F.struct(F.lit("t").alias("title"), F.transform("r", lambda y: y["text"]).alias("sentences"))).alias("context"), F.transform("r", lambda y: F.struct(F.lit("t").alias("title"), y["turn"].alias("index"))).alias("facts"))
     return containment.supporting(context, "conv_id").select("conv_id", F.col("index").alias("k"), F.sha2("sentence", 256).alias("sentence_sha256"))

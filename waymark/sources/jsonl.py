@@ -58,7 +58,7 @@ def scan_json_tree(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for name, content in zip(pdf["path"], pdf["content"]):
                 text = content.decode("utf-8", "replace")
-                for part in text.split("\n") if name.endswith(".jsonl") else [text]:
+                for part in text.splitlines() if name.endswith(".jsonl") else [text]:
                     if not part.strip():
                         continue
                     try:
@@ -130,6 +130,14 @@ def guard_outputs(*paths: str) -> None:
         raise FileExistsError(", ".join(there))
 
 
+def guard_stored(spark: SparkSession, *paths: str) -> None:
+    """The same for paths of any store that Spark writes to."""
+    conf, make = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    there = [p for p in paths if make(p).getFileSystem(conf).exists(make(p))]
+    if there:
+        raise FileExistsError(", ".join(there))
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """``path, sha256`` of files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
