@@ -8,10 +8,19 @@ make the host's wrapper: paths whose text stays the same are template, and of
 the varying slots the one that holds the most text is the main slot.  Pages
 with equal content count once in a group, so copies do not look like template.
 
-An ``article`` or ``main`` element is taken as the main slot where there is
-one.  Menus, headers, footers, sidebars, notices, adverts, forms and comments
-often vary from page to page; their elements are known by tag, role or class
-and are no slots.
+The wrapper decides: a page's text is what its main slot holds, but for the
+template.  If that slot is a part of an ``article`` or ``main`` element, the
+whole element is meant.  Only pages that their host's wrapper does not fit (a
+host of few pages, another layout) are taken by their ``article`` or ``main``
+element, or as everything that varies.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and comments often
+vary from page to page as content does; their elements are known by tag, role or
+class and are no slots.
+
+Alignment is exact where it costs at most ``CELLS`` cells of tables a page;
+beyond that, children are paired greedily in order, so very long lists and very
+deep trees take about linear time.
 """
 
 from __future__ import annotations
@@ -19,19 +28,22 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import byte_slices, small_batches, staged
 
 #: Pages of a host that are aligned with one another.
 GROUP_PAGES = 64
+#: Cells of the tables of one alignment.
+CELLS = 200_000
 #: Template: aligned at least so often, with the same text in such a share.
 LEAST_ALIGNED, SAME_SHARE = 3, 0.9
+GROUP_BYTES = 2_000_000
 #: Wrappers up to this many bytes are broadcast; more are joined.
 BROADCAST_BYTES = 16_000_000
 
@@ -200,10 +212,31 @@ def _inside_head(nodes: list[Node], x: int) -> bool:
 def slots(nodes: list[Node], texts: list[tuple[int, str, int]]) -> list[tuple[int, str]]:
     """Texts that may be main text, whatever the host's wrapper says.
 
-    Where class names leave nothing of a page, they do not count around an article.
+    Runs that are mostly links are none, but for those of an article.  Where
+    class names leave nothing of a page, they do not count around an article.
     """
-    able = [(x, t) for x, t, links in texts if not nodes[x].boiler and not (links * 2 > len(t) and nodes[x].tag not in TEXT_TAGS) and not _inside_head(nodes, x)]
-    return able or [(x, t) for x, t, links in texts if nodes[x].main and not nodes[x].inner and not (links * 2 > len(t) and nodes[x].tag not in TEXT_TAGS) and not _inside_head(nodes, x)]
+    linked = lambda x, t, links: links * 2 > len(t) and not nodes[x].main and nodes[x].tag not in TEXT_TAGS
+    able = [(x, t) for x, t, links in texts if not nodes[x].boiler and not linked(x, t, links) and not _inside_head(nodes, x)]
+    return able or [(x, t) for x, t, links in texts if nodes[x].main and not nodes[x].inner and not _inside_head(nodes, x)]
+
+
+def _within(nodes: list[Node], tops: set[int]) -> list[bool]:
+    """Which nodes lie in one of some elements; parents come before children."""
+    out: list[bool] = []
+    for i, x in enumerate(nodes):
+        out.append(i in tops or (x.parent >= 0 and out[x.parent]))
+    return out
+
+
+def _main_region(nodes: list[Node], main_slot: int | None) -> set[int]:
+    """The elements that the wrapper's main slot stands for on this page."""
+    region: set[int] = set()
+    for i, x in enumerate(nodes):
+        if x.path == main_slot and i:
+            while x.main and nodes[x.parent].main:  # the outermost article or main element around it
+                i, x = x.parent, nodes[x.parent]
+            region.add(i)
+    return region
 
 
 def extract(page: str | None, template: frozenset[int] = frozenset(), main_slot: int | None = None) -> str:
@@ -212,82 +245,132 @@ def extract(page: str | None, template: frozenset[int] = frozenset(), main_slot:
         return ""
     nodes, texts = parse(page)
     able = slots(nodes, texts)
-    inside = [(x, t) for x, t in able if nodes[x].main]
-    if inside:
-        kept = [(x, t) for x, t in inside if nodes[x].tag in TEXT_TAGS or nodes[x].path not in template]
-        return "\n".join(t for _, t in kept or inside)
     varying = [(x, t) for x, t in able if nodes[x].path not in template]
     if main_slot:
-
-        def under(x: int) -> bool:
-            while x >= 0:
-                if nodes[x].path == main_slot:
-                    return True
-                x = nodes[x].parent
-            return False
-
-        main = [(x, t) for x, t in varying if under(x) or nodes[x].tag == "h1"]
-        if any(nodes[x].tag != "h1" for x, _ in main):
-            varying = main
-    return "\n".join(t for _, t in varying)
+        inside = _within(nodes, _main_region(nodes, main_slot))
+        main = [(x, t) for x, t in varying if inside[x] or nodes[x].tag == "h1"]
+        if any(inside[x] for x, _ in main):
+            return "\n".join(t for _, t in main)
+    inside = [(x, t) for x, t in varying if nodes[x].main] or [(x, t) for x, t in able if nodes[x].main]
+    return "\n".join(t for _, t in inside or varying)
 
 
 class Skeleton:
-    """A page's tree of blocks: children, labels, own text."""
+    """A page's tree of blocks, parents first: children, paths, own text.
+
+    ``shapes`` are equal for subtrees of equal paths; a subtree is the run of
+    nodes from its root to before ``ends`` of it.
+    """
 
-    __slots__ = ("children", "labels", "paths", "shape", "sizes", "texts")
+    __slots__ = ("children", "ends", "paths", "shapes", "sizes", "texts")
 
     def __init__(self, parents, paths, texts, sizes):
         self.paths, self.texts, self.sizes = paths, texts, sizes
+        n = len(parents)
         self.children: list[list[int]] = [[] for _ in parents]
         for x, p in enumerate(parents):
             if p >= 0:
                 self.children[p].append(x)
-        self.shape = (tuple(parents), tuple(paths))
+        self.ends, self.shapes = [0] * n, [0] * n
+        for x in range(n - 1, -1, -1):
+            own = self.children[x]
+            self.ends[x] = self.ends[own[-1]] if own else x + 1
+            self.shapes[x] = hash((paths[x], *(self.shapes[c] for c in own)))
+
+
+def _pair_children(a: Skeleton, b: Skeleton, x: int, y: int, size, most: int) -> tuple[list[tuple[int, int]], int]:
+    """Children of two matched nodes that match, in order; and the cells that took.
+
+    ``size(u, v)`` is how many nodes match below and at a pair.  Children of
+    equal shape at either end match without a table.
+    """
+    left, right = a.children[x], b.children[y]
+    i, j, m, n = 0, 0, len(left), len(right)
+    pairs, tail = [], []
+    while i < m and j < n and a.shapes[left[i]] == b.shapes[right[j]]:
+        pairs.append((left[i], right[j]))
+        i, j = i + 1, j + 1
+    while i < m and j < n and a.shapes[left[m - 1]] == b.shapes[right[n - 1]]:
+        m, n = m - 1, n - 1
+        tail.append((left[m], right[n]))
+    left, right = left[i:m], right[j:n]
+    cells = len(left) * len(right)
+    if cells > most:  # the next child of the same path
+        places: dict[int, list[int]] = {}
+        for k, v in enumerate(right):
+            places.setdefault(b.paths[v], []).append(k)
+        at = 0
+        for u in left:
+            able = places.get(a.paths[u], ())
+            k = bisect_left(able, at)
+            if k < len(able):
+                pairs.append((u, right[able[k]]))
+                at = able[k] + 1
+        return pairs + tail[::-1], 0
+    table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, u in enumerate(left, 1):
+        row, above = table[i], table[i - 1]
+        for j, v in enumerate(right, 1):
+            best = max(above[j], row[j - 1])
+            row[j] = max(best, above[j - 1] + size(u, v)) if a.paths[u] == b.paths[v] else best
+    middle = []
+    i, j = len(left), len(right)
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            middle.append((left[i], right[j]))
+    return pairs + middle[::-1] + tail[::-1], cells
 
 
 def tree_match(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
     """Simple tree matching: pairs of nodes of a largest order-keeping match.
 
-    Nodes match only if their paths are equal and their parents match.
+    Nodes match only if their paths are equal and their parents match.  Works
+    off a list of pairs, not by recursion.
     """
     known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    cells = 0
 
-    def match(x: int, y: int) -> tuple[int, list[tuple[int, int]]]:
+    def simple(u: int, v: int) -> int:
+        """Size of a match that needs no table; 0: it does."""
+        if a.shapes[u] == b.shapes[v]:
+            return a.ends[u] - u
+        return 0 if a.children[u] and b.children[v] else 1
+
+    todo = [(0, 0)] if not simple(0, 0) else []
+    waiting: set[tuple[int, int]] = set()
+    while todo:
+        x, y = todo[-1]
         if (x, y) in known:
-            return known[x, y]
-        left, right = a.children[x], b.children[y]
-        pairs: list[tuple[int, int]] = []
-        total = 0
-        if left and right:
-            size = np.zeros((len(left) + 1, len(right) + 1), np.int32).tolist()
-            for i, u in enumerate(left, 1):
-                row, above = size[i], size[i - 1]
-                for j, v in enumerate(right, 1):
-                    best = above[j] if above[j] >= row[j - 1] else row[j - 1]
-                    if a.paths[u] == b.paths[v]:
-                        own = above[j - 1] + (1 if not a.children[u] or not b.children[v] else match(u, v)[0])
-                        best = own if own > best else best
-                    row[j] = best
-            i, j = len(left), len(right)
-            total = size[i][j]
-            while i and j:
-                if size[i][j] == size[i - 1][j]:
-                    i -= 1
-                elif size[i][j] == size[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    pairs.append((left[i], right[j]))
-        known[x, y] = (total + 1, pairs)
-        return known[x, y]
-
-    out, todo = [(0, 0)], [(0, 0)]
+            todo.pop()
+            continue
+        if (x, y) not in waiting:  # first the pairs below it that a table may ask for
+            waiting.add((x, y))
+            left, right = a.children[x], b.children[y]
+            if len(left) * len(right) <= CELLS - cells:
+                cells += len(left) * len(right)
+                todo += [(u, v) for u in left for v in right if a.paths[u] == b.paths[v] and not simple(u, v) and (u, v) not in known]
+                continue
+            known[x, y] = (1, _pair_children(a, b, x, y, None, -1)[0])
+            todo += [(u, v) for u, v in known[x, y][1] if not simple(u, v) and (u, v) not in known]
+            continue
+        size = lambda u, v: simple(u, v) or known[u, v][0]
+        pairs, _ = _pair_children(a, b, x, y, size, CELLS)
+        known[x, y] = (1 + sum(size(u, v) for u, v in pairs), pairs)
+        todo.pop()
+    out, todo = [], [(0, 0)]
     while todo:
-        for u, v in match(*todo.pop())[1]:
-            out.append((u, v))
-            if a.children[u] and b.children[v]:
-                todo.append((u, v))
+        x, y = todo.pop()
+        if a.shapes[x] == b.shapes[y]:
+            out += zip(range(x, a.ends[x]), range(y, b.ends[y]))
+        else:
+            out.append((x, y))
+            if (x, y) in known:
+                todo += known[x, y][1]
     return out
 
 
@@ -304,7 +387,7 @@ def skeletons(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for small in (batch.slice(a, 200) for a in range(0, batch.num_rows, 200)):
+            for small in byte_slices(batch, "html", GROUP_BYTES):
                 rows: list[tuple] = []
                 for page in small.column(1).to_pylist():
                     nodes, texts = parse(page)
@@ -339,9 +422,9 @@ def evidence(groups: DataFrame) -> DataFrame:
                 if first is None:
                     first = page
                     continue
-                if page.shape not in aligned:
-                    aligned[page.shape] = tree_match(first, page)
-                for u, v in aligned[page.shape]:
+                if page.shapes[0] not in aligned:
+                    aligned[page.shapes[0]] = tree_match(first, page)
+                for u, v in aligned[page.shapes[0]]:
                     if first.texts[u] or page.texts[v]:
                         parent = parts[0][v]
                         s = sums.setdefault((page.paths[v], page.paths[parent] if parent >= 0 else 0), [0, 0, 0])
@@ -401,7 +484,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     def run(batches):
         sets: dict[tuple, frozenset] = {}
         for batch in batches:
-            for small in (batch.slice(a, 200) for a in range(0, batch.num_rows, 200)):
+            for small in byte_slices(batch, "html", GROUP_BYTES):
                 out = []
                 for page, template, slot in zip(*(small.column(i).to_pylist() for i in (2, 3, 4))):
                     key = tuple(template or ())
