@@ -389,6 +389,70 @@ def test_names_of_layout_are_no_parts():
     assert html_extract.extract('<div class="comments"><footer><article><p>n</article></footer></div><nav><article><p>n</article></nav><p>a') == "a"
 
 
+def skeleton(tree):
+    """Of nested (label, children) pairs."""
+    parents, paths = [], []
+
+    def add(node, parent, path):
+        parents.append(parent)
+        paths.append(hash((path, node[0])))
+        at, own = len(parents) - 1, paths[-1]
+        for c in node[1]:
+            add(c, at, own)
+
+    add(tree, -1, 0)
+    return html_extract.Skeleton(parents, paths, [0] * len(parents), [0] * len(parents))
+
+
+def brute_match(a, b):
+    """Size of the largest match by plain recursion."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(x, y):
+        return 0 if not x or not y else max(best(x[1:], y), best(x, y[1:]), best(x[1:], y[1:]) + brute_match(x[0], y[0]))
+
+    return 1 + best(a[1], b[1])
+
+
+def test_alignment_is_largest(monkeypatch):
+    r = random.Random(8)
+    tree = lambda depth: (r.choice("abc"), [tree(depth - 1) for _ in range(r.randint(0, 4))] if depth else [])
+    for _ in range(300):
+        a, b = ("r", [tree(2) for _ in range(4)]), ("r", [tree(2) for _ in range(4)])
+        x, y = skeleton(a), skeleton(b)
+        for cells in (200_000, 3):
+            monkeypatch.setattr(html_extract, "CELLS", cells)
+            pairs = html_extract.tree_match(x, y)
+            assert all(x.paths[u] == y.paths[v] for u, v in pairs) and len(dict(pairs)) == len({v for _, v in pairs}) == len(pairs)
+            assert [v for _, v in sorted(pairs)] == sorted(v for _, v in pairs)
+            assert len(pairs) == brute_match(a, b) if cells > 3 else len(pairs) <= brute_match(a, b)
+
+
+def test_deep_and_wide_pages(spark):
+    deep = lambda i: "<div>" * 1500 + f"<p>deep {i}" + "</div>" * 1500 + "<i>x</i>" * i
+    wide = lambda i: "".join(f"<p class=c{'ab'[j % (i + 2) == 0]}>w{i} {j}</p>" for j in range(20_000))
+    pages = [(i, f"http://{h}/{i}", f"<body>{make(i)}</body>") for h, make in (("deep", deep), ("wide", wide)) for i in range(4)]
+    df = spark.createDataFrame([(k, u, p) for k, (_, u, p) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_texts(df).collect()}
+    assert [got[i].split("\n")[0] for i in range(4)] == [f"deep {i}" for i in range(4)]
+    assert all(got[4 + i] == "\n".join(f"w{i} {j}" for j in range(20_000)) for i in range(4))
+
+
+def test_wrapper_decides(spark):
+    """Nothing but the alignment tells what is constant and where the text is."""
+    page = lambda i: f'<div class="a"><p>Same on all pages</p><p>v{i}</p></div><div class="b"><p>{" ".join(prose(i, 40))}</p><p>{" ".join(prose(i + 99, 30))}</p></div><div class="c"><p>Constant too</p></div>'
+    df = spark.createDataFrame([(i, "http://x/", page(i)) for i in range(12)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_texts(df).collect()}
+    assert got == {i: " ".join(prose(i, 40)) + "\n" + " ".join(prose(i + 99, 30)) for i in range(12)}
+    assert html_extract.extract(page(3)).startswith("Same on all pages\nv3\n")  # without a wrapper
+    # an article around the slot is meant as a whole, whatever its links and class names
+    page = lambda i: f'<article><h1>t{i}</h1><div class="side-effects">s{i}</div><div class="form-factor"><a href=x>a long link {i}</a></div><div class="body"><p>{" ".join(prose(i, 40))}</p></div></article><div><p>out{i}</p></div>'
+    df = spark.createDataFrame([(i, "http://x/", page(i)) for i in range(12)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_texts(df).collect()}
+    assert got == {i: f"t{i}\ns{i}\na long link {i}\n" + " ".join(prose(i, 40)) for i in range(12)}
+
+
 def test_broken_pages():
     for page in ("<p>a<", "<p>a<b", "<p>a<!-- x", "</div></p>a", "<p>a<script>b", '<p class="x>a', "<table><tr><td>a<td>b<tr><td>c", "&am", "<<p>>"):
         assert isinstance(html_extract.extract(page), str)
