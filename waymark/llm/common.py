@@ -87,14 +87,19 @@ def sifted(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     return rows.join(words, word == F.col("sift_word")).where(hit).drop("sift_word", "sift_bits")
 
 
+def split_by(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``column`` may be among ``ids(id)``, and rows whose is not; equal values stay together."""
+    words, word, hit = _filter(ids, column)
+    marked = rows.join(words, word == F.col("sift_word"), "left")
+    return tuple(marked.where(c).drop("sift_word", "sift_bits") for c in (hit, ~hit))
+
+
 def without(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     """Rows whose ``column`` is not among ``ids(id)``; nulls stay.
 
     Only rows that the filter cannot rule out are shuffled.
     """
-    words, word, hit = _filter(ids, column)
-    marked = rows.join(words, word == F.col("sift_word"), "left")
-    sure, maybe = (marked.where(c).drop("sift_word", "sift_bits") for c in (~hit, hit))
+    maybe, sure = split_by(rows, ids, column)
     return sure.unionAll(maybe.join(ids.select(F.col("id").alias("sift_id")).distinct(), F.col(column) == F.col("sift_id"), "left_anti"))
 
 

@@ -11,7 +11,9 @@ may reach ``min_words``, the extended runs themselves are sorted and neighbours
 compared, which makes the result exact also in groups of many suffixes.
 
 Equal contexts are one row from the first shuffle on, and equal documents one
-document, so common passages and large groups of copies stay small.
+document, so common passages and large groups of copies stay small.  The
+contexts of a very common stretch are no one task's memory: beyond ``MOST`` of
+them, their runs meet in sums that Spark combines before the shuffle.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, discard, sifted, small_batches, staged
+from .common import byte_slices, discard, sifted, small_batches, split_by, staged
 from .wordhash import mix, shingle_hashes, word_hashes
 
 #: Words of a retained suffix that must repeat at once.
 K = 8
 GROUP_BYTES = 1_000_000
+#: Contexts of one stretch that are sorted together.
+MOST = 1000
 #: Low bits of a place's key that hold the place itself.
 PLACE = np.uint64((1 << 22) - 1)
 FACTORS = mix(np.arange(100, 612, dtype=np.uint64)) | np.uint64(1)
@@ -98,7 +102,7 @@ def anchors(docs: DataFrame, span: int) -> DataFrame:
 
 
 def contexts(texts: DataFrame, span: int, with_words: bool) -> DataFrame:
-    """Contexts of the retained places ``places(p, a, b)`` of ``(id, text, places)``.
+    """Contexts of the retained places ``places(p, a, b)`` of ``(id, t, most, text, places)``.
 
     Runs that reach ``span * 2 // 5`` words left of their place share that
     stretch, the others one to the right; it is their ``key``.  ``digest``
@@ -114,7 +118,7 @@ def contexts(texts: DataFrame, span: int, with_words: bool) -> DataFrame:
                 codes = (words >> np.uint64(32)).astype(np.uint32)
                 weight = mix(words)
                 out = []
-                for doc, base, places in zip(batch.column(0).to_pylist(), edges[:-1].tolist(), batch.column(2).to_pylist()):
+                for doc, base, places, t, most in zip(batch.column(0).to_pylist(), edges[:-1].tolist(), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
                     for q in places:
                         p, a, b = q["p"] + base, q["a"] + base, q["b"] + base
                         for side, lo, hi, stretch in ((1, a, min(b, p - far - 1), slice(p - far - 1, p + K)), (2, max(a, p - far), b, slice(p, p - far + span))):
@@ -124,11 +128,11 @@ def contexts(texts: DataFrame, span: int, with_words: bool) -> DataFrame:
                             key = int((part * FACTORS[: len(part)]).sum(dtype=np.uint64) + np.uint64(side)) & 0x7FFFFFFFFFFFFFFF
                             part = weight[lo : hi + span]
                             digest = int((part * FACTORS[: len(part)]).sum(dtype=np.uint64) + np.uint64(1000 * (p - lo) + side)) & 0x7FFFFFFFFFFFFFFF
-                            out.append((key, digest, doc, p - base, lo - p, hi - p, codes[lo : hi + span].tobytes() if with_words else None))
-                types = [*[pa.int64()] * 6, pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["key", "digest", "id", "p", "lo", "hi", "words"])
+                            out.append((key, digest, doc, t, most, p - base, lo - p, hi - p, codes[lo : hi + span].tobytes() if with_words else None))
+                types = [*[pa.int64()] * 8, pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["key", "digest", "id", "t", "most", "p", "lo", "hi", "words"])
 
-    return texts.select("id", "text", "places").mapInArrow(run, "key long, digest long, id long, p long, lo long, hi long, words binary")
+    return texts.select("id", "text", "places", "t", "most").mapInArrow(run, "key long, digest long, id long, t long, most long, p long, lo long, hi long, words binary")
 
 
 def _common(matrix: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -186,6 +190,24 @@ def compare(rows: list[tuple[int, int, int, int, np.ndarray]], span: int) -> lis
     return [_joined(runs) for runs in out]
 
 
+def single_runs(groups: DataFrame, span: int) -> DataFrame:
+    """``digest, key, runs`` as ``repeated_runs`` finds them, whatever the groups' sizes."""
+
+    def run(batches):
+        for batch in batches:
+            for key, digest, lo, hi, least, most, words in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                runs = np.lib.stride_tricks.sliding_window_view(np.frombuffer(words, np.uint32), span)
+                hashed = (mix(runs.astype(np.uint64)) * FACTORS[:span]).sum(1, dtype=np.uint64).view(np.int64)
+                n = len(hashed)
+                same = [pa.array(np.full(n, x)) for x in (key, digest, least, most)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(lo, hi + 1)), pa.array(hashed)], ["key", "digest", "least", "most", "first", "run"])
+
+    rows = groups.select("key", "digest", "lo", "hi", "least", "most", "words").mapInArrow(run, "key long, digest long, least long, most long, first long, run long")
+    several = rows.groupBy("key", "first", "run").agg(F.min("least").alias("x"), F.max("most").alias("y")).where("x <> y").drop("x", "y")
+    found = rows.join(several, ["key", "first", "run"])
+    return found.groupBy("digest", "key").agg(F.collect_set(F.array("first", "first")).alias("runs"))  # at most a run a place of a context
+
+
 def _joined(runs: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(runs):
@@ -223,44 +245,50 @@ def repeated_runs(groups: DataFrame, span: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """``id, first_word, end_word, n_words``: passages that other documents hold too.
+    """``id, text_hash, first_word, end_word, n_words``: passages that other documents hold too.
 
     A word (between ASCII white space, A-Z in lower case) is in a passage if
     some run of ``min_words`` words around it occurs in a document of another
     id; touching and overlapping runs are one passage.  A row per passage, by
     word positions [first, end).  Texts that are null or shorter have none;
-    rows that repeat an id are one document (one of its texts is looked at);
-    null ids are left out; an empty table gives an empty result; other columns
-    are not read.
+    rows that repeat an id are texts of one document, of which each is looked
+    at (``text_hash`` tells them apart) and none is another one's repeat;
+    repeats of a whole row give no more rows; null ids are left out; an empty
+    table gives an empty result; other columns are not read.
     """
     span = min_words
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("t")).where("id is not null")
     rows = staged(anchors(texts, span).where(F.col("n") >= span))
     by_text = ["s1", "s2", "n"]
     classes = staged(rows.groupBy(*by_text).agg(F.min("id").alias("rep"), F.max("id").alias("most")))
-    reps = rows.join(classes.withColumnRenamed("rep", "id"), [*by_text, "id"]).dropDuplicates(["id"])
-    places = reps.select("id", "t", F.explode(F.arrays_zip("h", "p", "a", "b")).alias("q")).select("id", "t", "q.*")
-    shared = places.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("h")
+    # one row stands for all of a class
+    reps = staged(rows.join(classes.withColumnRenamed("rep", "id"), [*by_text, "id"]).dropDuplicates(by_text))
+    places = reps.select("id", "t", "most", F.explode(F.arrays_zip("h", "p", "a", "b")).alias("q")).select("id", "t", "most", "q.*")
+    shared = places.groupBy("h").agg(F.min("id").alias("x"), F.max("most").alias("y")).where("x <> y").select("h")
     shared = staged(shared)  # read back, a frequent place can be split in the join
-    surviving = places.join(shared, "h").groupBy("id", "t").agg(F.collect_list(F.struct("p", "a", "b")).alias("places"))
+    surviving = places.join(shared, "h").groupBy("id", "t", "most").agg(F.collect_list(F.struct("p", "a", "b")).alias("places"))
     surviving = staged(surviving)
-    full = sifted(texts, surviving).join(surviving, ["id", "t"]).dropDuplicates(["id"])
-    full = staged(full)
-    distinct = contexts(full, span, True).groupBy("key", "digest", "lo", "hi").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.any_value("words").alias("words"))
-    groups = distinct.repartition("key").sortWithinPartitions("key", "digest")
-    found = staged(repeated_runs(groups, span))
-    members = contexts(full, span, False).select("key", "digest", "id", "p")
-    hits = members.join(found, ["key", "digest"]).select("id", "p", F.explode("runs").alias("r"))
-    runs = hits.select("id", (F.col("p") + F.col("r")[0]).alias("a"), (F.col("p") + F.col("r")[1] + span).alias("b"))
-    # the spans of a document, touching ones joined
-    order = Window.partitionBy("id").orderBy("a", "b")
+    full = staged(sifted(texts, surviving).join(surviving, ["id", "t"]).dropDuplicates(["id", "t"]))
+    members = staged(contexts(full, span, False).select("key", "digest", "id", "t", "p"))
+    common = staged(members.select("key", "digest").distinct().groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > MOST).select(F.col("key").alias("id")))
+    distinct = contexts(full, span, True).groupBy("key", "digest", "lo", "hi").agg(F.min("id").alias("least"), F.max("most").alias("most"), F.any_value("words").alias("words"))
+    large, small = split_by(distinct, common, "key")
+    found = repeated_runs(small.repartition("key").sortWithinPartitions("key", "digest"), span)
+    if not common.isEmpty():
+        found = found.unionByName(single_runs(large, span))
+    found = staged(found)
+    hits = members.join(found, ["key", "digest"]).select("id", "t", "p", F.explode("runs").alias("r"))
+    runs = hits.select("id", "t", (F.col("p") + F.col("r")[0]).alias("a"), (F.col("p") + F.col("r")[1] + span).alias("b"))
+    # the spans of a text, touching ones joined
+    order = Window.partitionBy("id", "t").orderBy("a", "b")
     so_far = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = runs.distinct().withColumn("new", (so_far.isNull() | (F.col("a") > so_far)).cast("int")).withColumn("k", F.sum("new").over(order))
-    spans = marked.groupBy("id", "k").agg(F.min("a").alias("a"), F.max("b").alias("b")).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    of_reps = staged(spans.withColumnRenamed("id", "rep"))
+    spans = marked.groupBy("id", "t", "k").agg(F.min("a").alias("a"), F.max("b").alias("b")).groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    of_reps = staged(spans)
     # a text that several documents hold repeats as a whole
-    by_class = classes.join(of_reps, "rep", "left").select(*by_text, F.when(F.col("rep") != F.col("most"), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))).otherwise(F.col("runs")).alias("runs"))
-    result = rows.select("id", *by_text).dropDuplicates(["id"]).join(by_class.where("runs is not null"), by_text).select("id", F.explode("runs").alias("r"))
-    for done in (full, found, shared, surviving):
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
+    by_class = reps.select("id", "t", "most", *by_text).join(of_reps, ["id", "t"], "left").select(*by_text, F.when(F.col("id") != F.col("most"), whole).otherwise(F.col("runs")).alias("runs"))
+    result = rows.select("id", "t", *by_text).distinct().join(by_class.where("runs is not null"), by_text).select("id", "t", F.explode("runs").alias("r"))
+    for done in (full, found, shared, surviving, members, common):
         discard(done)
-    return result.select(F.col("id").alias(id_col), F.col("r.a").alias("first_word"), F.col("r.b").alias("end_word"), (F.col("r.b") - F.col("r.a")).alias("n_words"))
+    return result.select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), F.col("r.a").alias("first_word"), F.col("r.b").alias("end_word"), (F.col("r.b") - F.col("r.a")).alias("n_words"))
