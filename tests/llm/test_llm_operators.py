@@ -268,7 +268,8 @@ def brute_passages(texts, span):
     return out
 
 
-def test_passages_against_brute_force(spark):
+@pytest.mark.parametrize("most", [1000, 2])
+def test_passages_against_brute_force(spark, monkeypatch, most):
     shared = [prose(100 + i, 70) for i in range(4)]
     texts = {}
     r = random.Random(6)
@@ -285,11 +286,22 @@ def test_passages_against_brute_force(spark):
     texts[63] = "w " * 200
     texts[64] = "w " * 120
     df = docs_of(spark, [*texts.values(), None, ""])
-    got = {tuple(r) for r in suffix_dedup.repeated_passages(df).collect()}
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    got = {tuple(r) for r in suffix_dedup.repeated_passages(df).drop("text_hash").collect()}
     assert got == brute_passages(texts, 50)
     assert suffix_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_of_texts_that_share_an_id(spark):
+    passage, other = " ".join(prose(1, 60)), " ".join(prose(2, 60))
+    texts = [f"a {passage} b", f"{other} end", f"{passage} {other}", f"c {other}", passage, passage]
+    df = docs_of(spark, [*texts, texts[0]], [1, 1, 1, 2, 3, 4, 1])
+    got = sorted((r.doc_id, r.first_word, r.end_word) for r in suffix_dedup.repeated_passages(df).collect())
+    assert got == [(1, 0, 60), (1, 0, 120), (1, 1, 61), (2, 1, 61), (3, 0, 60), (4, 0, 60)]
+    alone = docs_of(spark, [f"a {passage}", f"b {passage}"], [1, 1])
+    assert suffix_dedup.repeated_passages(alone).count() == 0
+
+
 # 7
 def brute_groups(texts, k, num, den):
     sets = []
