@@ -2,12 +2,13 @@
 
 Every vector goes to the ``overlap`` nearest of some centroids that a bounded
 sample gave, so shards overlap; large shards are cut into blocks that meet
-pairwise.  In a shard each vector's near neighbours are robust-pruned to few
-edges that point in different directions, and the adjacency lists of both
-directions are united.  Every vector is then searched: greedily from the
-shard's medoid (and from its own node), and from there on through everything
-within range.  All cosines are computed in double precision from the vectors
-themselves, so no link below the threshold is ever counted.
+pairwise.  In a block each vector's near neighbours are robust-pruned to few
+edges that point in different directions.  The adjacency lists that a vector has
+in its shards, and the edges of both directions, are united into one flat graph.
+Every vector is then searched in each of its shards over the united lists:
+greedily from the shard's medoid (and from its own node), and from there on
+through everything within range.  All cosines are computed in double precision
+from the vectors themselves, so no link below the threshold is ever counted.
 
 A pair that meets in several shards counts in the first one only, so counts
 add up without a list of pairs, and only a star of each connected part leaves
@@ -19,11 +20,16 @@ fewer than ``LEAST_RECALL`` of its links were found, among all or among the
 vectors of any one magnitude of link counts, the index is built again
 with twice the overlap, and if that does not help either, all pairs that can
 link are compared: each vector meets, in the cell of its nearest centroid,
-every vector that is near enough to that cell.
+every vector that is near enough to that cell.  What was found is logged.
+
+Vectors of different widths cannot link, so each width has its own graph; rare
+widths are compared pair by pair.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,11 +39,13 @@ from .common import discard, staged
 from .components import components
 
 #: Vectors (and numbers) of the sample that gives the centroids.
-SAMPLE, SAMPLE_NUMBERS = 16_384, 4_000_000
+SAMPLE, SAMPLE_NUMBERS = 65_536, 4_000_000
 #: Vectors that a centroid should draw, and the most centroids.
-SHARD, MOST_CENTROIDS = 1000, 1024
+SHARD, MOST_CENTROIDS = 1000, 8192
 #: Vectors of a block; a task compares at most two blocks.
 BLOCK = 1500
+#: Widths of fewer vectors are compared pair by pair, unless they are the commonest.
+FEW_OF_A_WIDTH = 1000
 #: Edges of a node, neighbours they are chosen from, and the pruning slack.
 DEGREE, CANDIDATES, ALPHA = 16, 64, 1.2
 #: Greedy steps of a search, and searches that step together.
@@ -50,6 +58,9 @@ AUDITED, MORE_AUDITED, FEW, LEAST_RECALL = 256, 4096, 64, 0.9
 EXACT_BLOCK = 10_000
 
 
+log = logging.getLogger(__name__)
+
+
 def prune(x: np.ndarray, node: int, near: np.ndarray, degree: int = DEGREE) -> list[int]:
     """Robust pruning: of ``near`` (closest first) those no kept one stands before."""
     kept: list[int] = []
@@ -63,8 +74,8 @@ def prune(x: np.ndarray, node: int, near: np.ndarray, degree: int = DEGREE) -> l
     return kept
 
 
-def build(x: np.ndarray) -> tuple[np.ndarray, int]:
-    """Adjacency lists (padded with -1), edges of both directions united, and the medoid."""
+def build(x: np.ndarray) -> list[np.ndarray]:
+    """Adjacency lists, edges of both directions united."""
     n = len(x)
     edges: list[set[int]] = [set() for _ in range(n)]
     for a in range(0, n, 500):
@@ -84,10 +95,25 @@ def build(x: np.ndarray) -> tuple[np.ndarray, int]:
         if len(near) > 3 * DEGREE:
             near = np.array(prune(x, i, near[np.argsort(-(x[near] @ x[i]), kind="stable")], 3 * DEGREE), np.int64)
         out.append(near)
-    table = np.full((n, 3 * DEGREE), -1, np.int64)
-    for i, near in enumerate(out):
+    return out
+
+
+def padded(lists: list[np.ndarray]) -> np.ndarray:
+    """Neighbour lists as a table (-1: none)."""
+    table = np.full((len(lists), max(1, *map(len, lists))), -1, np.int64)
+    for i, near in enumerate(lists):
         table[i, : len(near)] = near
-    return table, int(np.argmax(x @ x.sum(0)))
+    return table
+
+
+def local_lists(ids: np.ndarray, near: list[np.ndarray], more: list[np.ndarray] | None) -> list[np.ndarray]:
+    """Of lists of ids: the places, among ascending ``ids``, of those that are there; and ``more`` places."""
+    out = []
+    for i, own in enumerate(near):
+        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        own = at[ids[at] == own]
+        out.append(np.unique(np.concatenate((own, more[i]))) if more else own)
+    return out
 
 
 def search(x: np.ndarray, edges: np.ndarray, medoid: int, queries: np.ndarray, least: float) -> np.ndarray:
@@ -131,13 +157,16 @@ def search(x: np.ndarray, edges: np.ndarray, medoid: int, queries: np.ndarray, l
         open_up(*np.nonzero(front))
 
 
-def compare(x: np.ndarray, ids: np.ndarray, weights: np.ndarray, block: np.ndarray, shards: np.ndarray, shard: int, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def compare(x: np.ndarray, ids: np.ndarray, weights: np.ndarray, block: np.ndarray, shards: np.ndarray, near: list[np.ndarray], shard: int, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links per vector that this shard counts, and (id, least connected id).
 
-    A link counts as often as ``weights`` says of the vector at its other end.
+    ``near`` are the united lists of the graph (ids); two blocks that meet add
+    their own edges.  A link counts as often as ``weights`` says of the vector
+    at its other end.
     """
     n = len(x)
-    edges, medoid = build(x)
+    edges = padded(local_lists(ids, near, build(x) if block.min() != block.max() else None))
+    medoid = int(np.argmax(x @ x.sum(0)))
     count = np.zeros(n, np.int64)
     up = np.arange(n)
 
@@ -185,7 +214,7 @@ def centroids_of(sample: np.ndarray, k: int) -> np.ndarray:
     """Spherical k-means of unit vectors, started at evenly spaced ones."""
     centres = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
     for _ in range(8):
-        near = np.argmax(sample @ centres.T, axis=1)
+        near = np.concatenate([np.argmax(sample[a : a + 2000] @ centres.T, axis=1) for a in range(0, len(sample), 2000)])
         sums = np.zeros_like(centres)
         np.add.at(sums, near, sample)
         norm = np.linalg.norm(sums, axis=1)
@@ -226,8 +255,11 @@ def _counted(rows: DataFrame, centres: np.ndarray, overlap: int, least: float) -
     sizes = spread.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     cut = spread.join(F.broadcast(sizes), "shard")  # a row a centroid
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    tiles = cut.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "v", "w", "shards")
+    blocks = cut.withColumn("block", own)
+    # a vector has a list in each of its shards; they are united
+    graph = staged(_adjacent(blocks).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+    tiles = blocks.join(graph, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "v", "w", "shards", "near")
     dealt = tiles.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "id")
 
     def run(batches):
@@ -235,11 +267,30 @@ def _counted(rows: DataFrame, centres: np.ndarray, overlap: int, least: float) -
             shard = t.column("shard")[0].as_py()
             ids = t.column("id").to_numpy()
             shards = t.column("shards").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            yield _links(ids, *compare(unit(t.column("v").combine_chunks()), ids, t.column("w").to_numpy(), t.column("block").to_numpy(), shards, shard, least))
+            yield _links(ids, *compare(unit(t.column("v").combine_chunks()), ids, t.column("w").to_numpy(), t.column("block").to_numpy(), shards, _lists(t.column("near")), shard, least))
 
     return _summed(dealt.mapInArrow(run, "a long, n long, b long"), placed)
 
 
+def _lists(column) -> list[np.ndarray]:
+    column = column.combine_chunks()
+    ends = np.cumsum(pa.compute.list_value_length(column).to_numpy())[:-1]
+    return np.split(column.flatten().to_numpy(), ends)
+
+
+def _adjacent(blocks: DataFrame) -> DataFrame:
+    """``id, near``: the pruned neighbours of each vector in each of its blocks."""
+    dealt = blocks.select("shard", "block", F.lit(0).alias("j"), "id", "v").repartition("shard", "block").sortWithinPartitions("shard", "block", "id")
+
+    def run(batches):
+        for t in _tiles(batches):
+            ids, lists = t.column("id").to_numpy(), build(unit(t.column("v").combine_chunks()))
+            ends = np.cumsum([0, *map(len, lists)])
+            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[np.concatenate(lists)]))], ["id", "near"])
+
+    return dealt.mapInArrow(run, "id long, near array<long>")
+
+
 def _tiles(batches):
     """Tables of the rows that agree in the first three columns; rows are sorted by these."""
     held: list[pa.RecordBatch] = []
@@ -362,39 +413,63 @@ def _audited(rows: DataFrame, counts: DataFrame, least: float, queries: int) ->
     return [(r["true"], r["n"]) for r in both.collect()]  # at most a row a drawn vector
 
 
+def _of_few(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """``id, n`` and edges ``a, b`` of vectors of rare widths, compared pair by pair."""
+    dealt = rows.select(F.size("v").alias("width"), F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "v", "w").repartition("width").sortWithinPartitions("width", "id")
+
+    def run(batches):
+        for t in _tiles(batches):
+            ids, w, x = t.column("id").to_numpy(), t.column("w").to_numpy(), unit(t.column("v").combine_chunks())
+            yield _links(ids, *compare_all(x, ids, x, ids, w, least))
+
+    found = staged(dealt.mapInArrow(run, "a long, n long, b long"))
+    return found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")), found.where("b is not null").select("a", "b")
+
+
+def _of_width(classes: DataFrame, width: int, n: int, least: float, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """``id, n`` and edges ``a, b`` of the ``n`` vectors of one width."""
+    drawn = classes.orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, max(1, SAMPLE_NUMBERS // width))).select("v").toArrow()
+    sample = unit(drawn.column("v").combine_chunks())
+    centres = centroids_of(sample, max(1, min(MOST_CENTROIDS, -(-n // SHARD), len(sample) // 4)))
+    for shards in (overlap, 2 * overlap) if overlap < len(centres) else (overlap,):
+        counts, edges = _counted(classes, centres, shards, least)
+        recall = audit(classes, counts, least)
+        log.info("width %d: recall %.4f with %d of %d shards a vector", width, recall, min(shards, len(centres)), len(centres))
+        if recall >= LEAST_RECALL:
+            return counts, edges
+    log.warning("width %d: all pairs that can link are compared", width)
+    return _all_pairs(classes, centroids_of(sample, max(1, min(MOST_CENTROIDS, -(-n // EXACT_BLOCK), len(sample)))), least)
+
+
 def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, overlap: int = 3) -> DataFrame:
     """One row per row of ``vectors``: id, ``n_links, component_id, kept``.
 
     Vectors that are null, zero or hold null or non-finite numbers link with
-    nothing, nor do those of another width than most; rows that share an id
+    nothing; vectors of different widths do not link; rows that share an id
     count as one vector (the smallest by value) and all come back; a null id
     links with nothing and has a null component; an empty table gives an empty
     result; other columns are not read.
     """
     all_rows = vectors.select(F.col(id_col).cast("long").alias("id"))
-    rows = usable(vectors, id_col, vector_col)
-    widths = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
-    if widths is None:
-        return all_rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    rows = staged(rows.where(F.size("v") == widths["w"]))
+    rows = staged(usable(vectors, id_col, vector_col))
     classes = staged(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("w")).select("id", "v", "w"))
-    n, most = classes.agg(F.count("*"), F.max("w")).first()
-    drawn = classes.orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, max(1, SAMPLE_NUMBERS // widths["w"]))).select("v").toArrow()
-    sample = unit(drawn.column("v").combine_chunks())
-    centres = centroids_of(sample, max(1, min(MOST_CENTROIDS, -(-n // SHARD), len(sample) // 4)))
-    for width in (overlap, 2 * overlap) if overlap < len(centres) else (overlap,):
-        counts, edges = _counted(classes, centres, width, least)
-        if audit(classes, counts, least) >= LEAST_RECALL:
-            break
-    else:
-        cells = centroids_of(sample, max(1, min(MOST_CENTROIDS, -(-n // EXACT_BLOCK), len(sample))))
-        counts, edges = _all_pairs(classes, cells, least)
-    found = components(edges).withColumnRenamed("node", "id")
+    widths = classes.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("width"))
+    large = widths.where(F.col("n") > FEW_OF_A_WIDTH).collect() or widths.limit(1).collect()  # at most a row for that many vectors
+    if not large:
+        return all_rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    found = [_of_width(classes.where(F.size("v") == x["width"]), x["width"], x["n"], least, overlap) for x in large]
+    rest = classes.where(~F.size("v").isin([x["width"] for x in large]))
+    if not rest.isEmpty():
+        found.append(_of_few(rest, least))
+    counts, edges = found[0]
+    for c, e in found[1:]:
+        counts, edges = counts.unionByName(c), edges.unionByName(e)
+    tops = components(edges).withColumnRenamed("node", "id")
     links = (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links")
-    by_class = classes.select("id", "w").join(counts, "id", "left").join(found, "id", "left").select(F.col("id").alias("first"), links, "component")
+    by_class = classes.select("id", "w").join(counts, "id", "left").join(tops, "id", "left").select(F.col("id").alias("first"), links, "component")
     out = all_rows
-    if most > 1:
-        several = classes.where("w > 1").select(F.col("id").alias("first"), "v")
+    several = classes.where("w > 1").select(F.col("id").alias("first"), "v")
+    if not several.isEmpty():
         out = out.join(rows.join(several, "v").select("id", "first"), "id", "left").withColumn("first", F.coalesce("first", "id"))
     else:
         out = out.withColumn("first", F.col("id"))
