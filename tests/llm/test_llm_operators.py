@@ -189,6 +189,30 @@ def test_all_pairs_are_compared_where_the_search_fails(spark, monkeypatch):
     assert [got[i] for i in range(600)] == linked.sum(1).tolist()
 
 
+def test_widths_do_not_mix(spark, monkeypatch, caplog):
+    rng = np.random.default_rng(9)
+    sets = {w: np.repeat(rng.normal(size=(n // 2, w)), 2, axis=0) + rng.normal(size=(n // 2 * 2, w)) * 0.01 for w, n in ((3, 120), (2, 4), (5, 60), (1, 2))}
+    monkeypatch.setattr(vector_graph, "FEW_OF_A_WIDTH", 50)
+    vectors = [v for x in sets.values() for v in x]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    want = []
+    for v in vectors:
+        same = [u for u in vectors if len(u) == len(v)]
+        want.append(sum(bool(u @ v / np.linalg.norm(u) / np.linalg.norm(v) >= 0.9) for u in same) - 1)
+    with caplog.at_level("INFO", vector_graph.__name__):
+        got = {r.vec_id: r.n_links for r in vector_graph.similar_vectors(df).collect()}
+    assert [got[i] for i in range(len(vectors))] == want
+    assert sum("recall" in r.message for r in caplog.records) >= 2
+
+
+def test_lists_are_united():
+    ids = np.array([3, 5, 8, 9])
+    lists = vector_graph.local_lists(ids, [np.array([8, 4, 9]), np.array([], int), np.array([3, 100]), np.array([5])], None)
+    assert [x.tolist() for x in lists] == [[2, 3], [], [0], [1]]
+    more = [np.array([1]), np.array([0]), np.array([3]), np.array([2])]
+    assert [x.tolist() for x in vector_graph.local_lists(ids, [np.array([8]), np.array([], int), np.array([3]), np.array([5])], more)] == [[1, 2], [0], [0, 3], [1, 2]]
+
+
 def test_lost_pairs_beside_a_large_group(spark):
     rng = np.random.default_rng(8)
     one = rng.normal(size=(300, 64))
