@@ -13,6 +13,33 @@ def states(spark, rows):
     return spark.createDataFrame(rows, "model string, question_id long, state_index long, score double, em int, f1 double, truth int, position long")
 
 
+def test_running_totals_against_loops(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "POSITIONS", 7)
+    rng = random.Random(5)
+    odd = [float("inf"), float("-inf"), 0.0, 1e-12, -40.0, 1e9, 0.25, 0.25]
+    rows = [(m, rng.choice(odd) if rng.random() < 0.6 else rng.uniform(-3, 3), rng.randrange(2), k) for k in range(400) for m in ("a", "b")]
+    rows += [("none", 0.5, 0, 1), ("none", 0.5, 0, 2)]
+    s = spark.createDataFrame(rows, "model string, score double, truth int, position long").repartition(5)
+    got = {(r.model, r.score): (r.stops, r.tp, r.positives) for r in metrics.cumulative(s).collect()}
+    for (model, score), found in got.items():
+        mine = [r for r in rows if r[0] == model]
+        over = [r for r in mine if r[1] >= score]
+        assert found == (len(over), sum(r[2] for r in over), sum(r[2] for r in mine))
+    assert len(got) == len({r[:2] for r in rows})
+    ordered = {r.model: r.average_precision for r in metrics.average_precision_ordered(s).collect()}
+    for model in ("a", "b", "none"):
+        ranked = sorted((r for r in rows if r[0] == model), key=lambda r: (-r[1], r[3]))
+        hits, at = 0, []
+        for k, r in enumerate(ranked, 1):
+            hits += r[2]
+            if r[2]:
+                at.append(hits / k)
+        assert ordered[model] == pytest.approx(sum(at) / len(at) if at else 0.0)
+    assert metrics.cumulative(s.limit(0)).count() == 0
+    strange = spark.createDataFrame([("a", float("nan"), 1), ("a", 2.0, 0), ("a", None, 1)], "model string, score double, truth int")
+    assert sorted((r.stops, r.tp) for r in metrics.cumulative(strange).collect()) == [(1, 1), (2, 1), (3, 2)]
+
+
 def test_average_precisions(spark):
     s = states(spark, [("m", 1, 0, 0.9, 1, 1.0, 1, 0), ("m", 1, 1, 0.8, 0, 0.0, 0, 1), ("m", 2, 0, 0.7, 1, 1.0, 1, 2)])
     assert metrics.average_precision_ordered(s).first()["average_precision"] == pytest.approx((1 + 2 / 3) / 2)

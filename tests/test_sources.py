@@ -43,6 +43,29 @@ def test_tree_scan_and_harvest(spark, tmp_path):
     assert digest != jsonl.tree_digest(spark, str(tmp_path))
 
 
+def test_tree_scan_in_splits(spark, tmp_path):
+    lines = [json.dumps({"question": f"q{k}", "pad": "x" * 40}) for k in range(200)]
+    (tmp_path / "whole.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "cut.jsonl").write_text("\n".join([*lines[:120], "{broken", *lines[120:160], "{again", *lines[160:]]) + "\n")
+    (tmp_path / "bytes.jsonl").write_bytes(b'{"question": "\xff"}\x0c{"question": "second"}\n')
+    (tmp_path / "bad.json").write_text("{")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = [(r.path.rsplit("/", 1)[1], r.question) for r in jsonl.harvest_key(jsonl.scan_json_tree(spark, str(tmp_path))).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [("whole.jsonl", f"q{k}") for k in range(200)] + [("cut.jsonl", f"q{k}") for k in range(120)] + [("bytes.jsonl", "\ufffd"), ("bytes.jsonl", "second")]
+    assert sorted(got) == sorted(want)
+
+
+def test_keys_sorted_at_every_depth(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.sql("SELECT named_struct('z', 1, 'a', array(named_struct('y', 2, 'b', 3), NULL)) AS s, map('k', 1, 'c', 2) AS m, CAST(NULL AS STRUCT<q: INT, p: INT>) AS n")
+    jsonl.write_jsonl(df, path)
+    assert [r.value for r in spark.read.text(path).collect()] == ['{"m":{"c":2,"k":1},"n":null,"s":{"a":[{"b":3,"y":2},null],"z":1}}']
+
+
 def test_verified_array(spark, tmp_path):
     path = tmp_path / "a.json"
     path.write_text('[{"_id": "1"}, {"_id": "2"}]')

@@ -35,15 +35,44 @@ def confusion(states: DataFrame, thresholds: DataFrame) -> DataFrame:
     })
 
 
+#: Slices of the angle of a score; a slice is the largest unit of a running total.
+SLICES = 2048
+
+#: Positions of a block of rows of equal score.
+POSITIONS = 65_536
+
+
+def _slice(score: Column) -> Column:
+    """A number that never falls as the score rises; not-a-number comes above all."""
+    return F.when(F.isnan(score), SLICES * 2).otherwise(F.floor(F.atan(score) * SLICES)).cast("long")
+
+
+def _running(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows(model, score, n, pos, ..)`` with totals up to each row: ``stops``, ``tp``, and ``positives`` of the model.
+
+    ``order`` starts with the score, descending.  A task sees one slice of the
+    scores of a model; the slices before it are a row each, at most 6,436 a model.
+    """
+    sliced = rows.withColumn("_slice", _slice(F.col("score")))
+    inner = Window.partitionBy("model", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sliced.groupBy("model", "_slice").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    before = Window.partitionBy("model").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(
+        F.col("model").alias("_model"), F.col("_slice").alias("_at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_stops"), F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("_tp"),
+        F.sum("pos").over(Window.partitionBy("model")).alias("positives"),
+    )
+    totals = sliced.withColumns({"_n": F.sum("n").over(inner), "_pos": F.sum("pos").over(inner)})
+    met = totals.join(F.broadcast(bases), F.col("model").eqNullSafe(F.col("_model")) & F.col("_slice").eqNullSafe(F.col("_at")))
+    return met.select(*rows.columns, (F.col("_stops") + F.col("_n")).alias("stops"), (F.col("_tp") + F.col("_pos")).alias("tp"), "positives")
+
+
 def cumulative(states: DataFrame) -> DataFrame:
     """Per model and distinct score: stops and correct stops at that threshold.
 
-    Scores are counted first, so the window sees a row a distinct score.
+    Scores are counted first, so a row is a distinct score.
     """
     by_score = states.groupBy("model", "score").agg(F.count("*").alias("n"), F.sum(F.col("truth").cast("long")).alias("pos"))
-    down = Window.partitionBy("model").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy("model")
-    return by_score.select("model", "score", "n", "pos", F.sum("n").over(down).alias("stops"), F.sum("pos").over(down).alias("tp"), F.sum("pos").over(every).alias("positives"))
+    return _running(by_score, F.desc("score"))
 
 
 def average_precision_tied(states: DataFrame) -> DataFrame:
@@ -53,11 +82,22 @@ def average_precision_tied(states: DataFrame) -> DataFrame:
 
 
 def average_precision_ordered(states: DataFrame, position: str = "position") -> DataFrame:
-    """Mean precision at the positives, ranked by score and input position."""
-    w = Window.partitionBy("model").orderBy(F.desc("score"), position)
-    tp = F.sum("truth").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = states.withColumn("at", F.when(F.col("truth") == 1, tp / F.row_number().over(w)))
-    return ranked.groupBy("model").agg(F.coalesce(F.avg("at"), F.lit(0.0)).alias("average_precision"))
+    """Mean precision at the positives, ranked by score and input position.
+
+    Rows of one score are cut into blocks of positions, so that a score of many
+    rows is many units; ranks are those of the blocks before plus those inside.
+    ``position`` is a whole number.
+    """
+    rows = states.withColumn("_block", F.floor(F.col(position) / POSITIONS))
+    key = ["model", "score", "_block"]
+    blocks = rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.col("truth").cast("long")).alias("pos"))
+    ends = _running(blocks, F.desc("score"), F.col("_block"))
+    bases = ends.select(*(F.col(c).alias(f"{c}_") for c in key), (F.col("stops") - F.col("n")).alias("_k"), (F.col("tp") - F.col("pos")).alias("_tp"))
+    inner = Window.partitionBy(*key).orderBy(position)
+    ranked = rows.withColumns({"_row": F.row_number().over(inner), "_hits": F.sum("truth").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    met = ranked.join(bases, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in key])
+    at = F.when(F.col("truth") == 1, (F.col("_tp") + F.col("_hits")) / (F.col("_k") + F.col("_row")))
+    return met.groupBy("model").agg(F.coalesce(F.avg(at), F.lit(0.0)).alias("average_precision"))
 
 
 def recall_at_precision(states: DataFrame, least: float) -> DataFrame:

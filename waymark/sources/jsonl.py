@@ -7,9 +7,9 @@ import os
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
@@ -48,26 +48,37 @@ def scan_json_tree(spark: SparkSession, path: str) -> DataFrame:
     """``path, value`` (JSON text) of every ``.json`` and ``.jsonl`` under a folder.
 
     A line that does not parse ends its file; a whole file that does not parse
-    has no values.
+    has no values.  Files of lines are read in splits: each split ends at its
+    first bad line, and splits behind the first such split of their file go.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").load(path)
-    kept = files.where(F.col("path").rlike(r"\.jsonl?$")).select("path", "content")
-
-    def values(batches):
-        for pdf in batches:
-            out = []
-            for name, content in zip(pdf["path"], pdf["content"]):
-                text = content.decode("utf-8", "replace")
-                for part in text.splitlines() if name.endswith(".jsonl") else [text]:
-                    if not part.strip():
-                        continue
-                    try:
-                        out.append((name, json.dumps(json.loads(part), ensure_ascii=False)))
-                    except ValueError:
-                        break
-            yield pd.DataFrame(out, columns=["path", "value"])
-
-    return kept.mapInPandas(values, "path string, value string")
+    reader = lambda kind, ending: spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{ending}").load(path)
+    whole = reader("binaryFile", "json").select("path", F.lit(0).cast("long").alias("start"), "content")
+    lines = reader("text", "jsonl").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("content"))
+    shape = "path string, start long, value string"
+
+    def values(by_line: bool):
+        def run(batches):
+            ended = set()
+            for pdf in batches:
+                out = []
+                for name, start, content in zip(pdf["path"], pdf["start"], pdf["content"]):
+                    text = bytes(content).decode("utf-8", "replace")
+                    for part in text.splitlines() if by_line else [text]:
+                        if (name, start) in ended or not part.strip():
+                            continue
+                        try:
+                            out.append((name, start, json.dumps(json.loads(part), ensure_ascii=False)))
+                        except ValueError:
+                            ended.add((name, start))
+                            out.append((name, start, None))
+                yield pd.DataFrame(out, columns=["path", "start", "value"])
+
+        return run
+
+    parsed = lines.mapInPandas(values(True), shape)
+    ends = parsed.where("value IS NULL").groupBy("path").agg(F.min("start").alias("end"))
+    kept = parsed.join(ends, "path", "left").where("value IS NOT NULL AND (end IS NULL OR start <= end)")
+    return kept.select("path", "value").unionByName(whole.mapInPandas(values(False), shape).where("value IS NOT NULL").select("path", "value"))
 
 
 def harvest_key(values: DataFrame, key: str = "question") -> DataFrame:
@@ -91,14 +102,31 @@ def harvest_key(values: DataFrame, key: str = "question") -> DataFrame:
     return values.select("path", "value").mapInPandas(run, f"path string, {key} string")
 
 
+def keys_sorted(value: Column, kind: DataType) -> Column:
+    """The value with the fields of its structs and the keys of its maps in order, at any depth."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*(keys_sorted(value.getField(f.name), f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda v: keys_sorted(v, kind.elementType))
+    if isinstance(kind, MapType):
+        ordered = F.array_sort(F.map_keys(value))
+        return F.map_from_arrays(ordered, F.transform(ordered, lambda k: keys_sorted(F.element_at(value, k), kind.valueType)))
+    return value
+
+
+def _records(df: DataFrame) -> DataFrame:
+    return df.select(*(keys_sorted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """One object a line, keys sorted; a path that exists is an error."""
-    df.select(*sorted(df.columns)).write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+    """One object a line, keys sorted at every depth; a path that exists is an error."""
+    _records(df).write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
     """Add records to a run log; the committer makes them whole or absent."""
-    df.select(*sorted(df.columns)).write.mode("append").option("ignoreNullFields", False).json(path)
+    _records(df).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
 def write_report(report: dict, path: str) -> None:
