@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_extract, mixing, ngram_join, suffix_dedup, toxicity, vector_graph
+from . import chat_format, decontaminate, html_extract, lexical, mixing, ngram_join, suffix_dedup, toxicity, vector_graph
 from .common import shared_dir, table
 from .records import read_records, write_records
 from .token_counts import token_counts
@@ -58,6 +58,10 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, path)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
@@ -70,6 +74,7 @@ def queries() -> dict:
         "op8_html_extract": op8_html_extract,
         "op9_mixing": op9_mixing,
         "op10_records": op10_records,
+        "op11_lexical_search": op11_lexical_search,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -80,4 +85,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontaminate": decontaminate.ORACLE_SQL,
         "op7_ngram_join": ngram_join.ORACLE_SQL,
         "op9_mixing": mixing.ORACLE_SQL,
+        "op11_lexical_search": lexical.ORACLE_SQL,
     }
