@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_extract, lexical, mixing, ngram_join, suffix_dedup, toxicity, vector_graph
+from . import chat_format, decontaminate, divergence, html_extract, lexical, mixing, ngram_join, suffix_dedup, toxicity, vector_graph
 from .common import shared_dir, table
 from .records import read_records, write_records
 from .token_counts import token_counts
@@ -62,6 +62,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
@@ -75,6 +79,7 @@ def queries() -> dict:
         "op9_mixing": op9_mixing,
         "op10_records": op10_records,
         "op11_lexical_search": op11_lexical_search,
+        "op12_source_divergence": op12_source_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -86,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_join": ngram_join.ORACLE_SQL,
         "op9_mixing": mixing.ORACLE_SQL,
         "op11_lexical_search": lexical.ORACLE_SQL,
+        "op12_source_divergence": divergence.ORACLE_SQL,
     }
