@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, divergence, html_extract, lexical, mixing, ngram_join, suffix_dedup, toxicity, vector_graph
+from . import chat_format, decontaminate, divergence, html_extract, lexical, mixing, ngram_join, private_terms, suffix_dedup, toxicity, vector_graph
 from .common import shared_dir, table
 from .records import read_records, write_records
 from .token_counts import token_counts
@@ -66,6 +66,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_terms.digests(private_terms.disclosures(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
@@ -80,6 +84,7 @@ def queries() -> dict:
         "op10_records": op10_records,
         "op11_lexical_search": op11_lexical_search,
         "op12_source_divergence": op12_source_divergence,
+        "op13_private_terms": op13_private_terms,
         "pipeline": corpus_pipeline.run,
     }
 
