@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.text import NO_EVIDENCE
+from waymark.operators.staging import written_once
 
 MOST_STATES, BUDGET = 4, 3
 
@@ -17,10 +18,12 @@ MOST_STATES, BUDGET = 4, 3
 def ordinal(df: DataFrame, *order, name: str = "sequence_index") -> DataFrame:
     """Dense numbers from 0 in an order, without sorting all rows in one task.
 
-    Rows are range-partitioned; a partition's first number is the count of the
-    rows before it, found from one small row a partition.
+    Rows are range-partitioned and written once, so that a partition's rows are
+    the same for whoever counts them; a partition's first number is the count of
+    the rows before it, found from one small row a partition.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    ranged = written_once(ranged)
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: Operating points of the three score functions.
 THRESHOLDS = {"expanded": 3.0, "older": 3.5, "structured_base": 2.5}
-MOST = 5
 
 CTES = {
     "steps": """steps AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY ts, event_id) - 1 AS step FROM (
@@ -18,9 +17,9 @@ CTES = {
     CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'SEARCH' WHEN event_type = 'purchase' THEN 'ANSWER' ELSE 'INVALID' END AS action,
     event_id % 11 <> 0 AS executed, 'fact ' || event_type || ' ' || CAST(event_id AS VARCHAR) AS block FROM events))""",
     "probes": """probes AS (SELECT question_id, step AS state_index, event_id, action AS next_action, value, CAST(event_id * 7919 % 10 < 4 AS INT) AS em,
-  CASE WHEN event_id * 7919 % 10 < 4 THEN 1.0::DOUBLE ELSE (event_id % 5) / 10.0::DOUBLE END AS f1 FROM steps WHERE step < 5)""",
+  CASE WHEN event_id * 7919 % 10 < 4 THEN 1.0::DOUBLE ELSE (event_id % 5) / 10.0::DOUBLE END AS f1 FROM steps)""",
     "natives": """natives AS (SELECT question_id, CAST(question_id % 9 < 4 AS INT) AS native_em, (question_id % 13) / 16.0::DOUBLE AS native_f1,
-  count(*) FILTER (action = 'SEARCH') AS native_searches FROM steps WHERE step < 5 GROUP BY question_id)""",
+  count(*) FILTER (action = 'SEARCH') AS native_searches FROM steps GROUP BY question_id)""",
     "raw_scores": """raw_scores AS (
   SELECT 'structured_base' AS model, question_id, state_index, event_id, next_action, em, f1, value / 10.0::DOUBLE - 5 AS score, false AS failed FROM probes
   UNION ALL SELECT 'expanded', question_id, state_index, event_id, next_action, em, f1, value / 16.0::DOUBLE - 3 + em, false FROM probes
@@ -65,14 +64,14 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     correct = F.col("event_id") * 7919 % 10 < 4
-    return steps(spark, sf_dir).where(F.col("step") < MOST).select(
+    return steps(spark, sf_dir).select(
         "question_id", F.col("step").alias("state_index"), "event_id", F.col("action").alias("next_action"), "value", correct.cast("int").alias("em"), F.when(correct, 1.0).otherwise(F.col("event_id") % 5 / 10.0).alias("f1"),
     )
 
 
 def natives(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("question_id")
-    return steps(spark, sf_dir).where(F.col("step") < MOST).groupBy("question_id").agg(F.count_if(F.col("action") == "SEARCH").alias("native_searches")).select("question_id", (q % 9 < 4).cast("int").alias("native_em"), (q % 13 / 16.0).alias("native_f1"), "native_searches")
+    return steps(spark, sf_dir).groupBy("question_id").agg(F.count_if(F.col("action") == "SEARCH").alias("native_searches")).select("question_id", (q % 9 < 4).cast("int").alias("native_em"), (q % 13 / 16.0).alias("native_f1"), "native_searches")
 
 
 def raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
