@@ -228,10 +228,11 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     in_both = parts.where("kind = 'pair'").select("lang", "source", "other", "value")
     pairs = neither.unionAll(first).unionAll(second).unionAll(in_both).groupBy("lang", "source", "other").agg(F.sum("value").cast("long").alias("value"))
 
-    found = pairs.select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), "value")
-    found = found.unionAll(parts.where("kind = 'term'").select("lang", "source", F.lit("term").alias("part"), F.col("other").alias("item"), F.col("value").cast("long").alias("value")))
-    order = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return found.withColumn("rank", order).where((F.col("part") == "pair") | (F.col("rank") <= TOP_TERMS))
+    order = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    ranked = lambda rows, part, item: rows.select("lang", "source", F.lit(part).alias("part"), F.col(item).alias("item"), F.col("value").cast("long").alias("value")).withColumn("rank", order)
+    # apart, so that every task hands on a source's first terms only
+    terms = ranked(parts.where("kind = 'term'"), "term", "other").where(F.col("rank") <= TOP_TERMS)
+    return ranked(pairs, "pair", "other").unionAll(terms)
 
 
 ORACLE_SQL = r"""
