@@ -1,12 +1,13 @@
 """Operators on small frames with known results."""
 
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import audits, containment, joins, metrics, ordered, resample, splits
+from waymark.operators import audits, containment, joins, mersenne, metrics, ordered, resample, splits
 
 
 def states(spark, rows):
@@ -179,6 +180,103 @@ def test_resampled_sums(spark):
         resample.paired_bootstrap(df.withColumn("delta", F.lit(None).cast("double")), 10, 1).collect()
 
 
+def test_a_stream_is_entered_anywhere():
+    raw = mersenne.Picks(1000, 77).bits.random_raw(1_300_000)
+    for start in (1, 623, 624, 625, 100_003, 1_299_000):
+        assert (mersenne.Picks(1000, 77, start).bits.random_raw(900) == raw[start : start + 900]).all()
+    assert mersenne.characteristic().bit_length() == 19938
+
+
+def test_exact_bootstraps_are_the_same_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(resample, "RAW_BLOCK", 1500)
+    rng = random.Random(1)
+    rows = [(g, i, rng.choice([-1.0, 0.0, 1.0]), float(rng.randrange(-3, 4))) for g, n in (("a", 37), ("b", 64), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "comparison string, question_id long, em double, searches double").repartition(5)
+    seeds = {(g, m): 7 + k for k, (g, m) in enumerate((g, m) for g in "abcx" for m in ("em", "searches"))}
+    assert len(resample.places(spark, [(37, 7), (64, 8)], 400)) > 20
+    got = {(r.comparison, r.metric): (r.estimate, r.low, r.high) for r in resample.exact_paired(df, seeds, replicates=400).collect()}
+    assert len(got) == 6
+    for (g, m), (estimate, low, high) in got.items():
+        values, own = [r[2 if m == "em" else 3] for r in rows if r[0] == g], random.Random(seeds[g, m])
+        means = sorted(sum(values[own.randrange(len(values))] for _ in values) / len(values) for _ in range(400))
+        assert (estimate, low, high) == (pytest.approx(sum(values) / len(values)), means[10], means[390])
+    monkeypatch.setattr(resample, "EXACT_QUESTIONS", 50)
+    with pytest.raises(ValueError, match="the exact mode takes"):
+        resample.exact_paired(df, seeds)
+
+
+def test_exact_three_and_precision_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(resample, "RAW_BLOCK", 700)
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(2), rng.randrange(3), rng.randrange(4)) for i in range(41)]
+    df = spark.createDataFrame(rows, "question_id long, quality int, avoidable int, native int").repartition(4)
+    want = {k: v for k, *v in resample.exact_three(np.array(rows, float)[:, 1:], 300, 5)}
+    got = {r.metric: [r.estimate, r.low, r.high] for r in resample.exact_three_intervals(df, 300, 5).collect()}
+    assert got == want
+    states = [(q, k, rng.randrange(2), rng.randrange(6) / 4, rng.randrange(6) / 4) for q in range(29) for k in range(rng.randint(1, 4))]
+    df = spark.createDataFrame(states, "question_id long, state_index long, truth int, a double, b double").repartition(4)
+    v = np.array(states, float)
+    want = resample.exact_ap_difference(v[:, 0].astype(int), (v[:, 4], v[:, 2].astype(int)), (v[:, 3], v[:, 2].astype(int)), 200, 3)
+    r = resample.exact_ap_interval(df, "a", "b", 200, 3).first()
+    assert (r.estimate, r.low, r.high) == want
+
+
+def test_many_distinct_values(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    values = [(i, "m", float(x)) for i, x in enumerate(rng.normal(size=900))] + [(1000 + i, "n", 2.0) for i in range(50)]
+    df = spark.createDataFrame(values, "question_id long, metric string, delta double")
+    sums = {}
+    for size in (40, 5000):
+        monkeypatch.setattr(resample, "BLOCK_VALUES", size)
+        sums[size] = resample.resampled_sums(df, ["delta"], 3000, 1, "metric").toPandas()
+    x = np.array([v for _, m, v in values if m == "m"])
+    for found in sums.values():
+        m = found[found.metric == "m"]
+        assert len(m) == 3000 and set(m.n) == {900} and set(found[found.metric == "n"].delta) == {100.0}
+        assert m.delta.mean() == pytest.approx(x.sum(), abs=4 * x.std() * 30 / 3000**0.5) and m.delta.std() == pytest.approx(x.std() * 30, rel=0.06)
+    assert resample.resampled_sums(df.limit(0), ["delta"], 10, 1, "metric").count() == 0
+
+
+def test_weights_are_poisson():
+    w = resample.weights(np.arange(3000) * 7919 - 5, 0, 400, 11)
+    seen = np.bincount(w.ravel(), minlength=8) / w.size
+    assert seen[:6] == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(6)], abs=2e-3)
+    assert (resample.weights(np.arange(3000) * 7919 - 5, 100, 50, 11) == w[:, 100:150]).all() and (resample.weights(np.arange(3000) * 7919 - 5, 0, 400, 12) != w).any()
+    assert abs(np.corrcoef(w[0].astype(float), w[1].astype(float))[0, 1]) < 0.2 and abs(np.corrcoef(w[:, 0].astype(float), w[:, 1].astype(float))[0, 1]) < 0.08
+
+
+@pytest.mark.parametrize("most", [7, 60, 20_000])
+def test_precision_of_all_replicates_at_once(spark, monkeypatch, most):
+    monkeypatch.setattr(resample, "SLICE_STATES", most)
+    monkeypatch.setattr(resample, "WEIGHED", 16)
+    rng = random.Random(3)
+    states = [(m, q, rng.choice([-1e30, 0.5, 0.5, rng.random(), rng.random()]), rng.randrange(2)) for q in range(40) for _ in range(3) for m in ("a", "b")]
+    states += [("none", q, 0.1 * q, 0) for q in range(5)]
+    df = spark.createDataFrame(states, "model string, question_id long, score double, truth int").repartition(6)
+    got = {(r.model, r.replicate): r.value for r in resample.weighed_precision(df, 50, 9).collect()}
+    keys = {r.question_id: r.k for r in df.select("question_id", F.xxhash64("question_id").alias("k")).distinct().collect()}
+    for m in ("a", "b", "none"):
+        own = [s for s in states if s[0] == m]
+        w = resample.weights(np.array([keys[s[1]] for s in own]), 0, 50, 9)
+        for r in range(50):
+            want = resample.tied_precision(np.array([s[2] for s in own]), np.array([s[3] for s in own]), w[:, r].astype(int))
+            assert got[m, r] == pytest.approx(want, abs=1e-12)
+    assert len(got) == 150
+
+
+def test_precision_interval_is_near_the_exact_one(spark):
+    rng = random.Random(8)
+    states = [(q, k, rng.randrange(2)) for q in range(150) for k in range(3)]
+    rows = [(q, k, y, y * 0.3 + rng.random(), y * 0.1 + rng.random()) for q, k, y in states]
+    df = spark.createDataFrame(rows, "question_id long, state_index long, truth int, a double, b double")
+    exact = resample.exact_ap_interval(df, "a", "b", 2000, 3).first()
+    long = df.unpivot(["question_id", "state_index", "truth"], ["a", "b"], "model", "score")
+    near = resample.ap_bootstrap(long, "a", "b", 2000, 3).first()
+    width = exact.high - exact.low
+    assert near.low == pytest.approx(exact.low, abs=0.12 * width) and near.high == pytest.approx(exact.high, abs=0.12 * width)
+    assert resample.ap_bootstrap(long.where("model = 'a'"), "a", "b", 20, 3).first().low > 0
+
+
 def test_seeds():
     got = resample.seed_schedule(["a", "structured_base", "c"], 1000)
     assert got["a_minus_native", "em"] == 1200 and got["c_minus_native", "searches"] == 1302

@@ -1,25 +1,35 @@
-"""Question-level bootstrap: a mode that scales, and an exact mode.
+"""Question-level bootstrap: modes that scale, and an exact mode.
 
 A resample of n questions matters to a mean only through how often each
 distinct value is drawn, and these counts are multinomial.  So the mode that
-scales reduces questions to their distinct values first; each replicate then
-draws counts of values, whatever n is.  The curve of scores cannot be reduced
-so; ``grouped_ap_bootstrap`` draws questions by hash, as joins.
-
-Exact mode replays Python's generator with numpy in one task and is meant for
-the sizes the reference results were made with (some thousand questions).
+scales reduces questions to their distinct values, deals these into blocks, and
+draws for each replicate first how many fall to each block and then, block by
+block, the counts inside; whatever n is, a task holds one block.
+
+The curve of scores cannot be reduced so.  There a question's weight in a
+replicate is a function of the two (a counter-based generator), so any task can
+make the weights it needs; states are cut into slices by score, and sums of
+weights are carried from slice to slice, for all replicates at once.
+
+The exact mode replays Python's generator.  Replicates are dealt to tasks, each
+of which enters the one stream where its first replicate begins; so it is as
+parallel as the others but holds all questions in every task, of which there
+may be ``EXACT_QUESTIONS``.
 """
 
 from __future__ import annotations
 
-import random
+import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.mersenne import Picks
 from waymark.operators.ordered import ordinal
+from waymark.operators.staging import written_once
 
 # Published numbers of resamples and what is added to the seed
 # (the k-th model is k after these; comparisons of models count from 1).
@@ -27,6 +37,12 @@ REPLICATES, GATE_SEED = 10_000, 20260726
 SEED_OFFSETS = {("native", "em"): 200, ("native", "searches"): 300, ("model", "em"): 0, ("model", "searches"): 100, ("model", "average_precision"): 400}
 #: Replicates that one batch draws.
 DRAWN = 500
+#: Distinct values of a block, roughly.
+BLOCK_VALUES = 5_000
+#: Questions that the exact mode takes, and raw numbers between two known places of its stream.
+EXACT_QUESTIONS, RAW_BLOCK = 2_000_000, 1 << 22
+#: States of a slice, and replicates that one pass over a slice weighs.
+SLICE_STATES, WEIGHED = 20_000, 250
 
 
 def seed_schedule(models: list[str], seed: int, reference: str = "structured_base") -> dict[tuple[str, str], int]:
@@ -43,48 +59,60 @@ def draws(spark: SparkSession, n: int, replicates: int, seed: int) -> DataFrame:
     return slots.withColumn("pick", hashed % n)
 
 
-def percentile_rows(values: DataFrame, replicates: int, last_exclusive: bool = True) -> DataFrame:
-    """``estimate`` order statistics at 2.5 and 97.5 % of sorted replicate values.
+def percentile_rows(values: DataFrame, replicates: int, last_exclusive: bool = True, by: tuple = ("metric",)) -> DataFrame:
+    """Order statistics ``low, high`` at 2.5 and 97.5 % of sorted replicate values.
 
     Indices are ``int(q * R)``, or ``int(q * (R - 1))`` if not ``last_exclusive``.
     """
     base = replicates if last_exclusive else replicates - 1
     low, high = int(0.025 * base), min(int(0.975 * base), replicates - 1)
-    sorted_values = values.groupBy("metric").agg(F.sort_array(F.collect_list("value")).alias("v"))  # one number a replicate
-    return sorted_values.select("metric", F.element_at("v", low + 1).alias("low"), F.element_at("v", high + 1).alias("high"))
+    sorted_values = values.groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("v"))  # one number a replicate
+    return sorted_values.select(*by, F.element_at("v", low + 1).alias("low"), F.element_at("v", high + 1).alias("high"))
 
 
 def resampled_sums(rows: DataFrame, values: list[str], replicates: int, seed: int, *by: str) -> DataFrame:
     """``by, replicate, n`` and the sums of ``values`` over n resampled rows.
 
-    Groups are reduced to their distinct values, of which a task holds one
-    group's at a time; it draws ``DRAWN`` replicates at once.  Nulls in a value
-    are an error.
+    Distinct values of a group are dealt into blocks of about ``BLOCK_VALUES``.
+    How many draws of a replicate fall to each block is multinomial over the
+    blocks' sizes; given that, the counts inside a block are multinomial over
+    its values.  So a task holds one block, or the sizes of one group's blocks.
+    Nulls in a value are an error; an empty table gives no rows.
     """
     spark = rows.sparkSession
     filled = [F.when(F.col(v).isNull(), F.raise_error(F.lit("null value"))).otherwise(F.col(v).cast("double")).alias(v) for v in values]
-    distinct = rows.select(*by, *filled).groupBy(*by, *values).agg(F.count("*").alias("n"))
-    packed = distinct.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*values, "n"))).alias("v"))
-    jobs = packed.join(F.broadcast(spark.range(-(-replicates // DRAWN)).withColumnRenamed("id", "part")))  # a row a batch of replicates
-    name = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in by)) if by else F.lit(str(seed))
-    dealt = jobs.withColumn("key", F.crc32(F.encode(name, "utf-8"))).repartition("part", *by)
+    distinct = written_once(rows.select(*by, *filled).groupBy(*by, *values).agg(F.count("*").alias("n")))
+    blocks = max(1, math.ceil(distinct.count() / BLOCK_VALUES))
+    name = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in by))
+    dealt = distinct.withColumns({"block": F.pmod(F.xxhash64(*values), F.lit(blocks)), "key": F.crc32(F.encode(name, "utf-8"))})
+    sizes = dealt.groupBy(*by, "key", "block").agg(F.sum("n").alias("held")).groupBy(*by, "key").agg(F.sort_array(F.collect_list(F.struct("block", "held"))).alias("blocks"))
+    jobs = sizes.join(F.broadcast(spark.range(-(-replicates // DRAWN)).withColumnRenamed("id", "part"))).repartition("part", *by)  # a row a batch of replicates
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in by), "replicate long", "n long", *(f"{v} double" for v in values)])
+    groups = [*by, "key", "block"]
+    shape = ", ".join([*(f"{k} {kinds[k]}" for k in by), "key long, block long, part long, n long, drawn array<long>"])
 
-    def run(batches):
+    def deal(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                table = np.array([[x[v] for v in values] for x in row["v"]], float)
-                counts = np.array([x["n"] for x in row["v"]])
-                first = row["part"] * DRAWN
+                held = np.array([x["held"] for x in row["blocks"]])
                 rng = np.random.default_rng([row["key"], row["part"]])
-                drawn = rng.multinomial(counts.sum(), counts / counts.sum(), size=min(DRAWN, replicates - first))
-                sums = drawn @ table
-                m = len(sums)
-                columns = [pa.array([row[k]] * m) for k in by] + [pa.array(np.arange(first, first + m)), pa.array(np.full(m, counts.sum()))] + [pa.array(sums[:, i]) for i in range(len(values))]
-                yield pa.RecordBatch.from_arrays(columns, [*by, "replicate", "n", *values])
+                drawn = rng.multinomial(held.sum(), held / held.sum(), size=min(DRAWN, replicates - row["part"] * DRAWN))
+                out = [{**{k: row[k] for k in by}, "key": row["key"], "block": x["block"], "part": row["part"], "n": int(held.sum()), "drawn": drawn[:, i].tolist()} for i, x in enumerate(row["blocks"])]
+                yield from pa.Table.from_pylist(out, pa.schema([*(batch.schema.field(k) for k in by), *(pa.field(k, pa.int64()) for k in ("key", "block", "part", "n")), pa.field("drawn", pa.list_(pa.int64()))])).to_batches()
+
+    def draw(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        held = left.sort_values(values)  # an order that does not depend on how rows arrive
+        table, counts = held[values].to_numpy(float), held["n"].to_numpy()
+        out = []
+        for row in right.to_dict("records"):
+            rng = np.random.default_rng([row["key"], row["part"], row["block"] + 1])
+            sums = rng.multinomial(np.asarray(row["drawn"]), counts / counts.sum()) @ table
+            out.append(pd.DataFrame({**{k: row[k] for k in by}, "replicate": row["part"] * DRAWN + np.arange(len(sums)), "n": row["n"], **{v: sums[:, i] for i, v in enumerate(values)}}))
+        return pd.concat(out)
 
-    return dealt.select(*by, "part", "key", "v").mapInArrow(run, schema)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in by), "replicate long", "n long", *(f"{v} double" for v in values)])
+    sums = dealt.groupBy(*groups).cogroup(jobs.select(*by, "key", "part", "blocks").mapInArrow(deal, shape).groupBy(*groups)).applyInPandas(draw, schema)
+    return sums.groupBy(*by, "replicate", "n").agg(*(F.sum(v).alias(v) for v in values)) if blocks > 1 else sums
 
 
 def paired_bootstrap(deltas: DataFrame, replicates: int = REPLICATES, seed: int = 0, last_exclusive: bool = True) -> DataFrame:
@@ -113,6 +141,162 @@ def three_metric_intervals(questions: DataFrame, replicates: int = REPLICATES, s
     return whole.join(percentile_rows(one(resampled_sums(questions, values, replicates, seed)), replicates, last_exclusive=False), "metric")
 
 
+# The distribution of a Poisson number of mean 1, up to what 64 bits tell apart.
+_UPTO = np.array([min(2**64, round(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) * 2**64)) - 1 for k in range(20)], np.uint64)
+_UPTO[-1] = 2**64 - 1
+#: How often a number of these leading 16 bits is drawn; 255 where the bits do not decide.
+_BY_BITS = np.where(
+    np.searchsorted(_UPTO, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48), side="left") == np.searchsorted(_UPTO, (np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)) + np.uint64((1 << 48) - 1), side="left"),
+    np.searchsorted(_UPTO, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48), side="left"), 255,
+).astype(np.uint8)
+
+
+def weights(questions: np.ndarray, first: int, count: int, seed: int) -> np.ndarray:
+    """How often each question (a 64-bit key) is drawn in replicates ``first ..``; a row a question.
+
+    Independent Poisson numbers of mean 1, made from key, replicate and seed
+    alone.  Their sum differs from n by chance, which a ratio such as precision
+    does not see.
+    """
+    x = questions.astype(np.int64).view(np.uint64)[:, None] + np.uint64(seed * 0xD1342543DE82EF95 % 2**64)
+    x = x + (np.arange(first + 1, first + count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    out = _BY_BITS[x >> np.uint64(48)]
+    open_ones = out == 255
+    out[open_ones] = np.searchsorted(_UPTO, x[open_ones], side="left")
+    return out
+
+
+def _batches(replicates: int) -> list[tuple[int, int]]:
+    return [(a, min(WEIGHED, replicates - a)) for a in range(0, replicates, WEIGHED)]
+
+
+def sliced(states: DataFrame) -> DataFrame:
+    """``model, slice, hot, key, score, truth``, written once: slices descend by score.
+
+    A score that more than ``SLICE_STATES`` states share is ``hot``: it has
+    slices of its own, cut by question, of which only the sums matter.  A row
+    without a key marks its place among the other slices, which it cuts in two.
+    """
+    rows = states.select("model", F.xxhash64("question_id").alias("key"), F.col("score").cast("double").alias("score"), F.col("truth").cast("long").alias("truth"))
+    counts = rows.groupBy("model", "score").agg(F.count("*").alias("c"))
+    hot = counts.where(F.col("c") > SLICE_STATES).select(F.col("model").alias("m"), F.col("score").alias("s"), F.ceil(F.col("c") / SLICE_STATES).alias("cuts"))
+    marked = rows.join(hot, (F.col("model") == F.col("m")) & (F.col("score") == F.col("s")), "left").withColumn("hot", F.col("cuts").isNotNull()).drop("m", "s")
+    n = rows.count()
+    places = hot.select(F.col("m").alias("model"), F.lit(None).cast("long").alias("key"), F.col("s").alias("score"), F.lit(0).cast("long").alias("truth"), F.lit(None).cast("long").alias("cuts"), F.lit(False).alias("hot"))
+    cold = marked.where(~F.col("hot")).unionByName(places).repartitionByRange(max(1, math.ceil(n / SLICE_STATES)), F.col("model"), F.desc("score")).withColumn("slice", F.spark_partition_id().cast("long"))
+    split = marked.where("hot").withColumn("slice", -1 - F.pmod(F.xxhash64("key"), F.col("cuts")))
+    return written_once(cold.drop("cuts").unionByName(split.drop("cuts")))
+
+
+def weighed_precision(states: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """``model, replicate, value``: tie-aware average precision with questions resampled.
+
+    ``states(model, question_id, score, truth)``.  First every slice gives its
+    sums of weights for all replicates; the sums of the slices before it are
+    carried to each slice, which then adds up its own share of the precision.
+    """
+    cut = sliced(states)
+
+    def segments(part: pd.DataFrame) -> list[tuple[int, pd.DataFrame]]:
+        """States in order, cut where a hot score has its place."""
+        ordered = part.sort_values("score", ascending=False, kind="stable")
+        mark = ordered["key"].isna()
+        states = ordered[~mark].assign(segment=mark.cumsum()[~mark])
+        return [(int(k), x.astype({"key": "int64"})) for k, x in states.groupby("segment")]
+
+    def sums(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for segment, held in segments(part):
+            keys, truth = held["key"].to_numpy(), held["truth"].to_numpy()
+            for first, count in _batches(replicates):
+                w = np.zeros(count, np.int64)
+                p = np.zeros(count, np.int64)
+                for a in range(0, len(keys), 4096):
+                    each = weights(keys[a : a + 4096], first, count, seed)
+                    w += each.sum(0, dtype=np.int64)
+                    p += each[truth[a : a + 4096] == 1].sum(0, dtype=np.int64)
+                out.append((held["model"].iloc[0], held["slice"].iloc[0], segment, held["hot"].iloc[0], held["score"].max(), first, w, p))
+        return pd.DataFrame(out, columns=["model", "slice", "segment", "hot", "top", "first", "w", "p"])
+
+    exact_key = cut.withColumn("key", F.col("key").cast("decimal(20,0)"))  # a missing key must not make floats of the others
+    own = F.when(F.col("hot"), F.col("score"))  # a hot score's slices are its own
+    totals = exact_key.withColumn("own", own).groupBy("model", "slice", "own").applyInPandas(sums, "model string, slice long, segment long, hot boolean, top double, first long, w array<long>, p array<long>")
+    totals = written_once(totals)
+
+    def carry(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["top", "hot", "slice"], ascending=[False, True, True], kind="stable")
+        w, p = np.stack(part["w"].to_list()), np.stack(part["p"].to_list())
+        above_w, above_p = np.cumsum(w, 0) - w, np.cumsum(p, 0) - p
+        positives = p.sum(0)
+        out, at = [], 0
+        model, first = part["model"].iloc[0], part["first"].iloc[0]
+        slices, segment, hot, top = part["slice"].to_numpy(), part["segment"].to_numpy(), part["hot"].to_numpy(bool), part["top"].to_numpy()
+        while at < len(part):
+            if not hot[at]:
+                out.append((model, slices[at], segment[at], first, above_w[at], above_p[at], positives, None))
+                at += 1
+                continue
+            end = at
+            while end < len(part) and hot[end] and top[end] == top[at]:
+                end += 1
+            stops, tp, own = above_w[at] + w[at:end].sum(0), above_p[at] + p[at:end].sum(0), p[at:end].sum(0)
+            out.append((model, None, None, first, None, None, None, _share(own, positives) * _share(tp, stops)))
+            at = end
+        return pd.DataFrame(out, columns=["model", "slice", "segment", "first", "w", "p", "positives", "value"])
+
+    carried = written_once(totals.groupBy("model", "first").applyInPandas(carry, "model string, slice long, segment long, first long, w array<long>, p array<long>, positives array<long>, value array<double>"))
+
+    def fold(part: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for segment, held in segments(part):
+            keys, truth, score = held["key"].to_numpy(), held["truth"].to_numpy(), held["score"].to_numpy()
+            last = np.append(score[1:] != score[:-1], True)
+            for row in above[above["segment"] == segment].to_dict("records"):
+                first, stops, tp, positives = int(row["first"]), np.array(row["w"]), np.array(row["p"]), np.array(row["positives"])
+                value, own = np.zeros(len(stops)), np.zeros(len(stops), np.int64)  # own: positives of the score so far
+                for a in range(0, len(keys), 4096):
+                    each = weights(keys[a : a + 4096], first, len(stops), seed).astype(np.int64)
+                    hits = each * truth[a : a + 4096, None]
+                    all_stops, all_tp = stops + np.cumsum(each, 0), tp + np.cumsum(hits, 0)
+                    ends = np.flatnonzero(last[a : a + 4096])
+                    if len(ends):
+                        gained = np.diff(all_tp[ends], axis=0, prepend=(tp - own)[None, :])
+                        value += (_share(gained, positives[None, :]) * _share(all_tp[ends], all_stops[ends])).sum(0)
+                        own = all_tp[-1] - all_tp[ends[-1]]
+                    else:
+                        own = own + hits.sum(0)
+                    stops, tp = all_stops[-1], all_tp[-1]
+                out.append((held["model"].iloc[0], first, value))
+        return pd.DataFrame(out, columns=["model", "first", "value"])
+
+    cold = exact_key.where(~F.col("hot")).groupBy("model", "slice").cogroup(carried.where("value is null").groupBy("model", "slice")).applyInPandas(fold, "model string, first long, value array<double>")
+    parts = cold.unionAll(carried.where("value is not null").select("model", "first", "value"))
+    each = parts.select("model", "first", F.posexplode("value").alias("k", "value"))
+    return each.groupBy("model", (F.col("first") + F.col("k")).alias("replicate")).agg(F.sum("value").alias("value"))
+
+
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a / b``, 0 where there is nothing."""
+    return np.divide(a, b, out=np.zeros(np.broadcast(a, b).shape), where=b != 0)
+
+
+def ap_bootstrap(states: DataFrame, better: str, base: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """``metric, low, high`` of the gain in tie-aware average precision, questions resampled.
+
+    Scales with states and replicates: no row for each question and replicate,
+    no task that sees all states.  A model without states counts as precision 0.
+    """
+    ap = weighed_precision(states.where(F.col("model").isin(better, base)), replicates, seed)
+    pick = lambda m: F.coalesce(F.max(F.when(F.col("model") == m, F.col("value"))), F.lit(0.0))
+    gains = ap.groupBy("replicate").agg((pick(better) - pick(base)).alias("value")).withColumn("metric", F.lit("average_precision"))
+    return percentile_rows(gains, replicates)
+
+
 def grouped_ap_bootstrap(states: DataFrame, better: str, base: str, replicates: int, seed: int) -> DataFrame:
     """Interval of the AP difference (tie-aware) with questions resampled.
 
@@ -131,24 +315,6 @@ def grouped_ap_bootstrap(states: DataFrame, better: str, base: str, replicates:
     return percentile_rows(ap.groupBy("replicate").agg((pick(better) - pick(base)).alias("value")).withColumn("metric", F.lit("average_precision")), replicates)
 
 
-class Picks:
-    """``random.Random(seed).randrange(n)`` again and again, as numpy arrays."""
-
-    def __init__(self, n: int, seed: int):
-        state = random.Random(seed).getstate()[1]
-        self.bits = np.random.MT19937()
-        self.bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
-        self.n, self.shift, self.left = n, 32 - n.bit_length(), np.zeros(0, np.int64)
-
-    def take(self, k: int) -> np.ndarray:
-        """The next ``k`` picks."""
-        while len(self.left) < k:
-            raw = (self.bits.random_raw(max(1024, int((k - len(self.left)) * 1.2))) >> self.shift).astype(np.int64)
-            self.left = np.concatenate((self.left, raw[raw < self.n]))
-        out, self.left = self.left[:k], self.left[k:]
-        return out
-
-
 def exact_sums(values: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     """Sums of the columns over ``replicates`` resamples of the rows, by the generator's own stream."""
     n = len(values)
@@ -193,6 +359,10 @@ def tied_precision(score: np.ndarray, truth: np.ndarray, weight: np.ndarray) ->
     return float((np.diff(tp, prepend=0) / tp[-1] * np.divide(tp, stops, out=np.zeros(len(tp)), where=stops > 0)).sum())
 
 
+def gains_of(question: np.ndarray, base: tuple[np.ndarray, np.ndarray], better: tuple[np.ndarray, np.ndarray], times: np.ndarray) -> float:
+    return tied_precision(*better, times[question]) - tied_precision(*base, times[question])
+
+
 def exact_ap_difference(question: np.ndarray, base: tuple[np.ndarray, np.ndarray], better: tuple[np.ndarray, np.ndarray], replicates: int, seed: int) -> tuple[float, float, float]:
     """(estimate, low, high) of the gain in tie-aware average precision, questions resampled.
 
@@ -201,23 +371,131 @@ def exact_ap_difference(question: np.ndarray, base: tuple[np.ndarray, np.ndarray
     """
     n = int(question.max()) + 1
     picks = Picks(n, seed)
-    gain = lambda times: tied_precision(*better, times[question]) - tied_precision(*base, times[question])
-    drawn = np.array([gain(np.bincount(picks.take(n), minlength=n)) for _ in range(replicates)])
-    return gain(np.ones(n, int)), *percentiles(drawn)
+    drawn = np.array([gains_of(question, base, better, np.bincount(picks.take(n), minlength=n)) for _ in range(replicates)])
+    return gains_of(question, base, better, np.ones(n, int)), *percentiles(drawn)
+
+
+def places(spark: SparkSession, streams: list[tuple[int, int]], replicates: int) -> list[tuple[int, int, int, int, int]]:
+    """Jobs ``(stream, first, count, raw, skip)`` that make all replicates of ``streams`` (n, seed).
+
+    Raw numbers that are too large for n are thrown away, so where a replicate
+    begins depends on all before it.  Blocks of raw numbers are counted in
+    parallel; a job enters the stream at a block's first raw number and skips
+    ``skip`` picks.  The driver holds one number a block.
+    """
+    known: dict[int, list[int]] = {i: [] for i in range(len(streams))}
+    need = {i: replicates * n for i, (n, _) in enumerate(streams)}
+    while True:
+        missing = []
+        for i, (n, _) in enumerate(streams):
+            left = need[i] - sum(known[i])
+            if left > 0:
+                more = math.ceil((left * 2 ** n.bit_length() / n) * 1.001 / RAW_BLOCK)
+                missing += [(i, len(known[i]) + k) for k in range(more)]
+        if not missing:
+            break
+        sent = list(streams)
+
+        def count(batches, sent=sent):
+            for batch in batches:
+                found = [(i, k, len(Picks(*sent[i], k * RAW_BLOCK).accepted(RAW_BLOCK))) for i, k in zip(*(batch.column(c).to_pylist() for c in range(2)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 3, ["stream", "block", "accepted"])
+
+        jobs = spark.createDataFrame(missing, "stream long, block long").repartition(min(len(missing), 1000))
+        for r in jobs.mapInArrow(count, "stream long, block long, accepted long").orderBy("stream", "block").collect():
+            known[r.stream].append(r.accepted)
+    out = []
+    for i, (n, _) in enumerate(streams):
+        before = 0
+        for k, accepted in enumerate(known[i]):
+            first, end = math.ceil(before / n), min(replicates, math.ceil((before + accepted) / n))
+            if end > first:
+                out.append((i, first, end - first, k * RAW_BLOCK, first * n - before))
+            before += accepted
+    return out
+
+
+def replayed(spark: SparkSession, streams: list[tuple[int, int]], replicates: int, values, names: list[str]) -> DataFrame:
+    """``stream, replicate`` and the columns ``names``, the same as one task would draw.
 
+    ``values(stream, picks)`` makes a row of numbers for each row of picks, a
+    matrix of a replicate a row.
+    """
+    jobs = spark.createDataFrame(places(spark, streams, replicates), "stream long, first long, count long, raw long, skip long")
+
+    def run(batches):
+        for batch in batches:
+            for stream, first, count, raw, skip in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                n, seed = streams[stream]
+                picks = Picks(n, seed, raw)
+                picks.take(skip)
+                for a in range(0, count, step := max(1, 2_000_000 // n)):
+                    rows = min(step, count - a)
+                    found = np.asarray(values(stream, picks.take(rows * n).reshape(rows, n)), float).reshape(rows, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, stream)), pa.array(np.arange(first + a, first + a + rows)), *(pa.array(found[:, c]) for c in range(len(names)))], ["stream", "replicate", *names])
+
+    return jobs.repartition(max(1, min(jobs.count(), 1000))).mapInArrow(run, ", ".join(["stream long", "replicate long", *(f"{c} double" for c in names)]))
 
-def in_one_task(rows: DataFrame, order: str, run, schema: str) -> DataFrame:
-    """What ``run`` (a pandas frame of all rows in order -> a list of tuples) finds, in one task."""
-    import pandas as pd
 
-    names = [f.split()[0] for f in schema.split(", ")]
+def bounded(rows: DataFrame, order: list[str]) -> pd.DataFrame:
+    """All rows in order, for the exact mode; more than ``EXACT_QUESTIONS`` are an error."""
+    found = rows.count()
+    if found > EXACT_QUESTIONS:
+        raise ValueError(f"{found} rows; the exact mode takes {EXACT_QUESTIONS}")
+    return rows.toPandas().sort_values(order, kind="stable", ignore_index=True)
 
-    def whole(batches):
-        frames = list(batches)
-        if frames:
-            yield pd.DataFrame(run(pd.concat(frames).sort_values(order, kind="stable")), columns=names)
 
-    return rows.coalesce(1).mapInPandas(whole, schema)
+def exact_paired(rows: DataFrame, seeds: dict[tuple[str, str], int], by: str = "comparison", order: str = "question_id", replicates: int = REPLICATES) -> DataFrame:
+    """``by, metric, estimate, low, high`` of the mean of each metric of each group, by the published streams.
+
+    ``seeds`` names (group, metric); metrics are columns of ``rows``; groups
+    without a row have no result.
+    """
+    spark, metrics = rows.sparkSession, list(dict.fromkeys(m for _, m in seeds))
+    table = bounded(rows.select(by, order, *metrics), [by, order])
+    parts = {k: part for k, part in table.groupby(by, sort=True)}
+    named = [(g, m) for g, m in seeds if g in parts]
+    columns = [parts[g][m].to_numpy(float) for g, m in named]
+    if not named:
+        return spark.createDataFrame([], f"{by} string, metric string, estimate double, low double, high double")
+    sent = spark.sparkContext.broadcast(columns)
+    means = replayed(spark, [(len(c), seeds[k]) for c, k in zip(columns, named)], replicates, lambda i, picks: sent.value[i][picks].sum(1) / picks.shape[1], ["value"])
+    what = spark.createDataFrame([(i, *k, float(c.mean())) for i, (k, c) in enumerate(zip(named, columns))], f"stream long, {by} string, metric string, estimate double")
+    return what.join(percentile_rows(means, replicates, by=("stream",)), "stream").drop("stream")
+
+
+def three_of(sums: np.ndarray, n: int) -> np.ndarray:
+    """Headroom, avoidable share of searches, mean reduction, a row each of ``sums``."""
+    share = np.divide(sums[:, 1], sums[:, 2], out=np.zeros(len(sums)), where=sums[:, 2] != 0)
+    return np.stack((sums[:, 0] / n, share, sums[:, 1] / n), 1)
+
+
+def exact_three_intervals(questions: DataFrame, replicates: int = REPLICATES, seed: int = GATE_SEED, order: str = "question_id") -> DataFrame:
+    """As ``three_metric_intervals``, by the published stream."""
+    spark, names = questions.sparkSession, ["quality_headroom", "avoidable_search_fraction", "mean_search_reduction"]
+    values = bounded(questions.select(order, "quality", "avoidable", "native"), [order])[["quality", "avoidable", "native"]].to_numpy(float)
+    sent = spark.sparkContext.broadcast(values)
+    drawn = replayed(spark, [(len(values), seed)], replicates, lambda _, picks: three_of(sent.value[picks].sum(1), picks.shape[1]), names)
+    long = drawn.unpivot(["replicate"], names, "metric", "value")
+    whole = spark.createDataFrame(list(zip(names, three_of(values.sum(0, keepdims=True), len(values))[0].tolist())), "metric string, estimate double")
+    return whole.join(percentile_rows(long, replicates, last_exclusive=False), "metric")
+
+
+def exact_ap_interval(states: DataFrame, better: str, base: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """``metric, estimate, low, high`` of the gain in average precision, by the published stream.
+
+    ``states(question_id, state_index, truth)`` and a column of scores for each
+    of the two models.
+    """
+    spark = states.sparkSession
+    table = bounded(states.select("question_id", "state_index", "truth", better, base), ["question_id", "state_index"])
+    question, truth = table["question_id"].rank(method="dense").to_numpy(int) - 1, table["truth"].to_numpy(int)
+    n = int(question.max()) + 1
+    sent = spark.sparkContext.broadcast((question, (table[base].to_numpy(float), truth), (table[better].to_numpy(float), truth)))
+    one = lambda picks: [gains_of(*sent.value, np.bincount(row, minlength=n)) for row in picks]
+    drawn = replayed(spark, [(n, seed)], replicates, lambda _, picks: one(picks), ["value"]).withColumn("metric", F.lit("average_precision"))
+    estimate = gains_of(*sent.value, np.ones(n, int))
+    return percentile_rows(drawn, replicates).withColumn("estimate", F.lit(estimate)).select("metric", "estimate", "low", "high")
 
 
 def comparison_pairs(models: list[str], reference: str = "structured_base") -> list[tuple[str, str]]:

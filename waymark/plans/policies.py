@@ -187,20 +187,10 @@ def paired_bootstrap(spark, sf_dir):
     return rounded(resample.paired_bootstrap(_deltas(spark, sf_dir), resample.REPLICATES, SEED))
 
 
-def _exact(pdf, value: str, seed: int):
-    return resample.exact_bootstrap(pdf[value].to_numpy(float), resample.REPLICATES, seed)
-
-
 @query("paired_bootstrap_exact")
 def paired_bootstrap_exact(spark, sf_dir):
     """Every comparison with the seed of its place in the schedule; questions in order of their ids."""
-    seeds = resample.seed_schedule(list(t.THRESHOLDS), SEED)
-    rows = _wide(spark, sf_dir)
-
-    def run(pdf):
-        return [(c, m, *_exact(part, m, seeds[c, m])) for c, part in pdf.groupby("comparison") for m in ("em", "searches")]
-
-    return rounded(resample.in_one_task(rows, "question_id", run, "comparison string, metric string, estimate double, low double, high double"))
+    return rounded(resample.exact_paired(_wide(spark, sf_dir), {k: v for k, v in resample.seed_schedule(list(t.THRESHOLDS), SEED).items() if k[1] != "average_precision"}))
 
 
 def _questions(spark, sf_dir):
@@ -215,8 +205,7 @@ def three_metric_intervals(spark, sf_dir):
 
 @query("three_metric_intervals_exact")
 def three_metric_intervals_exact(spark, sf_dir):
-    run = lambda pdf: resample.exact_three(pdf[["quality", "avoidable", "native"]].to_numpy(float), resample.REPLICATES, resample.GATE_SEED)
-    return rounded(resample.in_one_task(_questions(spark, sf_dir), "question_id", run, "metric string, estimate double, low double, high double"))
+    return rounded(resample.exact_three_intervals(_questions(spark, sf_dir)))
 
 
 @query("seed_schedule", f"""WITH m AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {i})" for i, m in enumerate(t.THRESHOLDS))}) AS m(model, i)), r AS (SELECT model, row_number() OVER (ORDER BY i) AS i FROM m WHERE model <> 'structured_base')
@@ -233,13 +222,14 @@ def grouped_ap_bootstrap_exact(spark, sf_dir):
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("score"))).alias(m)
     states = t.scores(spark, sf_dir).groupBy("question_id", "state_index").agg(pick("expanded"), pick("structured_base"), F.max("truth").alias("truth"))
 
-    def run(pdf):
-        question, truth = pdf["question_id"].rank(method="dense").to_numpy(int) - 1, pdf["truth"].to_numpy(int)
-        sides = [(pdf[m].to_numpy(float), truth) for m in ("structured_base", "expanded")]
-        seed = resample.seed_schedule(list(t.THRESHOLDS), SEED)["expanded_minus_structured_base", "average_precision"]
-        return [("average_precision", *resample.exact_ap_difference(question, *sides, resample.REPLICATES, seed))]
+    seed = resample.seed_schedule(list(t.THRESHOLDS), SEED)["expanded_minus_structured_base", "average_precision"]
+    return rounded(resample.exact_ap_interval(states, "expanded", "structured_base", resample.REPLICATES, seed))
+
 
-    return rounded(resample.in_one_task(states, "question_id", run, "metric string, estimate double, low double, high double"))
+@query("grouped_ap_bootstrap")
+def grouped_ap_bootstrap(spark, sf_dir):
+    """The same at the published number of replicates, for any number of states."""
+    return rounded(resample.ap_bootstrap(t.scores(spark, sf_dir), "expanded", "structured_base", resample.REPLICATES, SEED))
 
 
 @query(
