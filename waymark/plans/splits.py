@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import text as x
-from waymark.operators import splits
+from waymark.operators import permute, splits
 from waymark.plans import tables as t
 from waymark.plans.registry import query, rounded
 
@@ -139,3 +139,19 @@ def epoch_order(spark, sf_dir):
             yield pd.DataFrame({"place": range(len(order)), "doc_id": whole["doc_id"].to_numpy()[order]})
 
     return rows.coalesce(1).mapInPandas(run, "place long, doc_id long")
+
+
+_EPOCH = """WITH RECURSIVE m AS (SELECT quality AS class, doc_id AS id, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS member FROM labels WHERE quality IS NOT NULL),
+s AS (SELECT class, count(*) AS n FROM m GROUP BY class), z AS (SELECT class, n, row_number() OVER (ORDER BY class) - 1 AS rank, max(n) OVER () AS size, count(*) OVER () AS classes FROM s),
+c AS (SELECT m.*, z.* EXCLUDE (class), unnest(range(0, (size - 1) // n + 1)) AS cycle FROM m JOIN z USING (class)),
+{inner},
+d AS (SELECT *, size * classes AS total, rank * size + cycle * n + p AS own FROM p_done WHERE cycle * n + p < size),
+{outer}
+SELECT CAST(place AS BIGINT) AS place, id AS doc_id, class AS quality, CAST(cycle AS BIGINT) AS cycle FROM place_done"""
+
+
+@query("balanced_epoch", _EPOCH.format(inner=permute.permuted_sql("c", "member", "n", "'7:1:' || class || ':' || cycle", "p"), outer=permute.permuted_sql("d", "own", "total", "'7:1:all'", "place")))
+def balanced_epoch(spark, sf_dir):
+    """One balanced epoch of the labelled rows, in an order that every row finds alone."""
+    rows = permute.balanced_epoch(t.read(spark, sf_dir, "labels"), "quality", "doc_id", 7, 1)
+    return rows.select("place", F.col("id").alias("doc_id"), F.col("class").alias("quality"), "cycle")
