@@ -1,10 +1,12 @@
 import json
+import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
 from waymark.sources import jsonl, models
+from waymark.sources.arrays import array_elements
 from waymark.streaming.online import crossings
 
 
@@ -55,7 +57,7 @@ def test_tree_scan_in_splits(spark, tmp_path):
         got = [(r.path.rsplit("/", 1)[1], r.question) for r in jsonl.harvest_key(jsonl.scan_json_tree(spark, str(tmp_path))).collect()]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    want = [("whole.jsonl", f"q{k}") for k in range(200)] + [("cut.jsonl", f"q{k}") for k in range(120)] + [("bytes.jsonl", "\ufffd"), ("bytes.jsonl", "second")]
+    want = [("whole.jsonl", f"q{k}") for k in range(200)] + [("cut.jsonl", f"q{k}") for k in range(120)]
     assert sorted(got) == sorted(want)
 
 
@@ -77,6 +79,69 @@ def test_verified_array(spark, tmp_path):
         jsonl.read_json_array(spark, str(path), "_id string", digest, 3)
 
 
+def test_lines_end_where_the_reference_ends_them(spark, tmp_path):
+    odd = "a\u2028b\u0085c\x1dd\u2029"
+    (tmp_path / "sep.jsonl").write_text(json.dumps({"question": odd}, ensure_ascii=False) + "\r\n" + json.dumps({"question": "next"}) + "\r\u2003\n[1]", "utf-8")
+    (tmp_path / "bad.jsonl").write_bytes(b'{"question": "kept"}\n{"question": "\xff"}\n{"question": "lost"}\n')
+    (tmp_path / "bad.json").write_bytes(b'{"question": "\xff"}')
+    rows = jsonl.scan_json_tree(spark, str(tmp_path)).collect()
+    got = sorted((r.path.rsplit("/", 1)[1], json.loads(r.value)["question"]) for r in rows if r.value != "[1]")
+    assert got == [("bad.jsonl", "kept"), ("sep.jsonl", odd), ("sep.jsonl", "next")] and len(rows) == 4
+
+
+def test_strict_lines_are_objects(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n  {"a": 2}\n')
+    assert [r.a for r in jsonl.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int").collect()] == [1, 2]
+    for bad in ('[{"a": 1}, {"a": 2}]', "[]", "3", '"x"', '{"a": 1', "null"):
+        (tmp_path / "x.jsonl").write_text('{"a": 1}\n' + bad + "\n")
+        with pytest.raises(Exception, match="(?i)malformed"):
+            jsonl.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int").collect()
+
+
+def odd_array(n=400):
+    bits = ['"', "\\", "{", "}", "[", "]", ",", "\\\"", "ü", "\u2028", "x" * 50, "},{", "\n", "😀"]
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+    return [{"_id": str(i), "s": text(), "deep": [{"k": text()}, [text()]], "e": {}} for i in range(n)]
+
+
+@pytest.mark.parametrize("size", ["300b", "4k", "100m"])
+def test_arrays_are_read_in_splits(spark, tmp_path, size):
+    values = odd_array()
+    for name, options in (("plain", {}), ("tight", {"separators": (",", ":")}), ("wide", {"indent": 2, "ensure_ascii": False})):
+        (tmp_path / f"{name}.json").write_text(("\ufeff" if name == "wide" else "") + json.dumps(values, **options) + "\n", "utf-8")
+    (tmp_path / "empty.json").write_text("[ \n]")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for name in ("plain", "tight", "wide"):
+            df = array_elements(spark, str(tmp_path / f"{name}.json"))
+            got = sorted((json.loads(r.element) for r in df.collect()), key=lambda v: int(v["_id"]))
+            assert got == values
+            if size == "300b":
+                assert spark.read.option("lineSep", "}").text(str(tmp_path / f"{name}.json")).rdd.getNumPartitions() > 50
+        assert array_elements(spark, str(tmp_path / "empty.json")).count() == 0
+        rows = jsonl.read_json_array(spark, str(tmp_path / "plain.json"), "_id string, s string", expected_rows=400)
+        assert sorted((r._id, r.s) for r in rows.collect()) == sorted((v["_id"], v["s"]) for v in values)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+@pytest.mark.parametrize("text", ["", " ", "{}", '{"a": [1]}', "[1", '["a', "[1]]", "[1] 2", "[1] [2]", "[1,]", "[,1]", "[1,,2]", '"x"', "[{]}", '[{"a": 1}} ', "3"])
+def test_what_is_no_array_is_an_error(spark, tmp_path, text):
+    (tmp_path / "x.json").write_text(text)
+    with pytest.raises(Exception):
+        jsonl.read_json_array(spark, str(tmp_path / "x.json"), "a int").collect()
+
+
+def test_elements_are_objects(spark, tmp_path):
+    (tmp_path / "x.json").write_text('[{"a": 1}, [2]]')
+    with pytest.raises(Exception, match="no object"):
+        jsonl.read_json_array(spark, str(tmp_path / "x.json"), "a int").collect()
+
+
 def test_named_sources():
     assert jsonl.named_sources(["a=x", "b=y=z"]) == {"a": "x", "b": "y=z"}
     with pytest.raises(ValueError):

@@ -11,14 +11,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from waymark.operators.staging import written_once
+from waymark.sources.arrays import array_elements
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
     """One object a line, blank lines skipped.
 
-    Strict: a line that is no object fails the read.  Lenient: such lines are
-    rows of nulls.
+    Strict: a line that is no object, an array of objects among them, fails the
+    read, which names file and line.  Lenient: such lines are rows of nulls.
     """
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+    if not strict:
+        return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    lines = spark.read.text(path).where(F.btrim("value") != "").select("value", F.col("_metadata.file_path").alias("path"))
+    shown = F.concat(F.col("path"), F.lit(" is malformed, no object: "), F.left("value", F.lit(200)))
+    line = F.when(F.startswith(F.ltrim("value"), F.lit("{")), F.col("value")).otherwise(F.raise_error(shown).cast("string"))
+    return lines.select(F.from_json(line, schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
 
 
 def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -31,12 +39,17 @@ def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType | str, expected_sha256: str | None = None, expected_rows: int | None = None, id_col: str = "_id") -> DataFrame:
-    """A file that is one JSON array, checked: digest, row count, unique ids."""
+    """A file that is one JSON array of objects, checked: digest, row count, unique ids.
+
+    The array is read in splits (``arrays``), so many tasks share a large one.
+    """
     if expected_sha256 is not None:
         found = file_digests(spark, path).select("sha256").first()
         if found is None or found["sha256"] != expected_sha256:
             raise ValueError(f"{path}: digest differs")
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    shown = F.concat(F.col("path"), F.lit(": no object: "), F.left("element", F.lit(200)))
+    element = F.when(F.startswith(F.trim(F.translate("element", "\t\r\n", "   ")), F.lit("{")), F.col("element")).otherwise(F.raise_error(shown).cast("string"))
+    rows = array_elements(spark, path).select(F.from_json(element, schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
     if expected_rows is not None:
         n = rows.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("d"), F.count_if(F.col(id_col).isNull() | (F.btrim(id_col) == "")).alias("blank")).first()
         if n["n"] != expected_rows or n["d"] != expected_rows or n["blank"]:
@@ -44,41 +57,46 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str, ex
     return rows
 
 
+def _loaded(content: bytes):
+    """JSON text of a value in a form that Spark reads; nothing for blanks, an error for what does not parse."""
+    text = bytes(content).decode("utf-8")
+    return json.dumps(json.loads(text), ensure_ascii=False) if text.strip() else None
+
+
 def scan_json_tree(spark: SparkSession, path: str) -> DataFrame:
     """``path, value`` (JSON text) of every ``.json`` and ``.jsonl`` under a folder.
 
-    A line that does not parse ends its file; a whole file that does not parse
-    has no values.  Files of lines are read in splits: each split ends at its
-    first bad line, and splits behind the first such split of their file go.
+    A line that does not parse or is not UTF-8 ends its file; a whole file of
+    which that holds has no values.  Lines end at line feeds and carriage
+    returns only, so a line separator inside a string is a part of it.  Files of
+    lines are read in splits: each split ends at its first bad line, and splits
+    behind the first such split of their file go.
     """
     reader = lambda kind, ending: spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{ending}").load(path)
     whole = reader("binaryFile", "json").select("path", F.lit(0).cast("long").alias("start"), "content")
     lines = reader("text", "jsonl").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("content"))
     shape = "path string, start long, value string"
 
-    def values(by_line: bool):
-        def run(batches):
-            ended = set()
-            for pdf in batches:
-                out = []
-                for name, start, content in zip(pdf["path"], pdf["start"], pdf["content"]):
-                    text = bytes(content).decode("utf-8", "replace")
-                    for part in text.splitlines() if by_line else [text]:
-                        if (name, start) in ended or not part.strip():
-                            continue
-                        try:
-                            out.append((name, start, json.dumps(json.loads(part), ensure_ascii=False)))
-                        except ValueError:
-                            ended.add((name, start))
-                            out.append((name, start, None))
-                yield pd.DataFrame(out, columns=["path", "start", "value"])
-
-        return run
-
-    parsed = lines.mapInPandas(values(True), shape)
+    def run(batches):
+        ended = set()
+        for pdf in batches:
+            out = []
+            for name, start, content in zip(pdf["path"], pdf["start"], pdf["content"]):
+                if (name, start) in ended:
+                    continue
+                try:
+                    value = _loaded(content)
+                    if value is not None:
+                        out.append((name, start, value))
+                except ValueError:  # bad bytes and bad JSON alike
+                    ended.add((name, start))
+                    out.append((name, start, None))
+            yield pd.DataFrame(out, columns=["path", "start", "value"])
+
+    parsed = written_once(lines.mapInPandas(run, shape))
     ends = parsed.where("value IS NULL").groupBy("path").agg(F.min("start").alias("end"))
     kept = parsed.join(ends, "path", "left").where("value IS NOT NULL AND (end IS NULL OR start <= end)")
-    return kept.select("path", "value").unionByName(whole.mapInPandas(values(False), shape).where("value IS NOT NULL").select("path", "value"))
+    return kept.select("path", "value").unionByName(whole.mapInPandas(run, shape).where("value IS NOT NULL").select("path", "value"))
 
 
 def harvest_key(values: DataFrame, key: str = "question") -> DataFrame:
