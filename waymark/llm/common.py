@@ -126,6 +126,7 @@ def resident(key, build):
     if key not in _resident:
         _resident.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         _resident[key] = build()
     return _resident[key]
 

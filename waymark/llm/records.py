@@ -218,6 +218,7 @@ def read_records(spark: SparkSession, path: str, id_col: str = "doc_id", with_id
     schema = "shard long, id long, inner long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def rows(batches):
+        resident(("records", "reading"), dict)  # the memory of the encoder goes
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 at = before = 0

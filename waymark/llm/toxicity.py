@@ -53,6 +53,8 @@ LONGEST = 40
 #: Keys of triples: hashes of so many bits.
 KEY_BITS = 20
 MEMORY_WORDS = 500_000
+#: Words whose features are held at a time while the machine learns.
+WORD_BLOCK = 10_000
 GROUP_BYTES = 1_000_000
 N_FEATURES = 9
 
@@ -240,12 +242,22 @@ def _disguised(word: str, rng: np.random.Generator) -> str:
     return (word[:at] + (word[at - 1] if rng.random() < 0.5 else chr(97 + int(rng.integers(26)))) + word[at:])[:WINDOW]
 
 
-def _sums(rows: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
-    """Sum of the rows that each list (none is empty) names."""
-    out = np.zeros((len(lists), rows.shape[1]), np.float32)
-    for a in range(0, len(lists), 5000):
-        part = lists[a : a + 5000]
-        out[a : a + 5000] = np.add.reduceat(rows[np.concatenate(part)], np.cumsum([0, *map(len, part)])[:-1], axis=0)
+def sentence_features(lists: list[np.ndarray], names: list[str], of_words, width: int) -> np.ndarray:
+    """Sum of ``of_words`` (words -> rows) over the words that each list names.
+
+    Words are looked at in blocks, so only one block's rows are held at a time.
+    """
+    out = np.zeros((len(lists), width), np.float32)
+    owner, word = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+    order = np.lexsort((owner, word // WORD_BLOCK))
+    owner, word = owner[order], word[order]
+    cuts = np.searchsorted(word // WORD_BLOCK, np.arange(-(-len(names) // WORD_BLOCK) + 1))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        rows = of_words(names[k * WORD_BLOCK : (k + 1) * WORD_BLOCK])
+        for lo in range(a, b, 5 * WORD_BLOCK):
+            part = slice(lo, min(b, lo + 5 * WORD_BLOCK))
+            who, first = np.unique(owner[part], return_index=True)
+            out[who] += np.add.reduceat(rows[word[part] - k * WORD_BLOCK], first, axis=0)
     return out
 
 
@@ -287,10 +299,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
 
     def features(lists: list[np.ndarray], names: list[str]) -> np.ndarray:
-        by_word = np.zeros((len(names), len(marks)), np.float32)
-        for a in range(0, len(names), 20_000):
-            by_word[a : a + 20_000] = landmarks.kernel(names[a : a + 20_000]) @ root
-        return _sums(by_word, lists)
+        return sentence_features(lists, names, lambda block: (landmarks.kernel(block) @ root).astype(np.float32), len(marks))
 
     x = features(sentences, words)
     active, copy_of, clean = label & first, np.zeros(0, int), ~label & first
@@ -383,6 +392,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A pickled model from labelled documents that are not held out, learnt in one task."""
 
     def learn(batches):
+        resident(("toxicity", "training"), dict)  # what an operator before this one remembers goes
         texts, toxic = [], []
         for batch in batches:
             texts += batch.column(0).to_pylist()
