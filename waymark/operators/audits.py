@@ -32,6 +32,63 @@ def judge_run(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def bound_judge_run(records: DataFrame, inputs: DataFrame, expected: DataFrame, *by: str) -> DataFrame:
+    """A run of the judge against what it was given: all fourteen conditions.
+
+    ``records(position, kind, request_id, sequence_index, score, status,
+    labels_mounted, gold_fields, protocol_sha256, inputs_sha256,
+    adapter_sha256)`` in order of ``position``, ``inputs(position, request_id)``
+    numbered from 0, ``expected(protocol_sha256, inputs_sha256,
+    adapter_sha256)``, one row a run; ``by`` tells runs apart in all three.
+    Records are numbered by ranges of (run, position), so no task sorts a run.
+    An adapter may be expected to be null; runs without a record fail.
+    """
+    kind = lambda k: F.coalesce(F.col("kind") == k, F.lit(False))
+    keys, results = list(by), records.where(kind("judge_score"))
+    of = lambda c, k="run_start": F.max(F.when(kind(k), F.col(c)))
+    n = F.count_if(kind("judge_score"))
+    log = records.groupBy(*keys).agg(
+        F.count_if(kind("run_start")).alias("starts"), F.count_if(kind("run_end")).alias("ends"), F.count_if(kind("judge_error")).alias("errors"), n.alias("results"), of("status", "run_end").alias("status"),
+        F.count_distinct(F.when(kind("judge_score"), F.coalesce("request_id", F.lit(-1)))).alias("ids"),
+        every(~kind("judge_score") | (~F.isnan("score") & (F.abs("score") < float("inf")))).alias("finite"), of("labels_mounted").alias("labels"), of("gold_fields").alias("gold"),
+        of("protocol_sha256").alias("protocol"), of("inputs_sha256").alias("given"), of("adapter_sha256").alias("adapter"),
+    )
+    # results are numbered as they stand in the log
+    numbered = ordinal(results.select(*keys, "position", "request_id", "sequence_index"), *keys, "position", name="at")
+    first = numbered.groupBy(*keys).agg(F.min("at").alias("first"))
+    placed = numbered.join(first, keys).select(*keys, (F.col("at") - F.col("first")).alias("i"), "request_id", "sequence_index")
+    paired = inputs.select(*keys, F.col("position").alias("i"), F.col("request_id").alias("wanted")).join(placed, [*keys, "i"], "full")
+    order = paired.groupBy(*keys).agg(every(F.col("wanted") == F.col("request_id")).alias("order_exact"))
+    steps = placed.groupBy(*keys).agg(every(F.col("sequence_index") == F.col("i")).alias("contiguous"))
+    sizes = inputs.groupBy(*keys).agg(F.count("*").alias("wanted"))
+    one = expected.select(*keys, *(F.col(c).alias(f"expected_{c}") for c in ("protocol_sha256", "inputs_sha256", "adapter_sha256")))
+    for other in (sizes, log, order, steps):
+        one = one.join(other, keys, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    same = lambda c, e: F.col(c).isNotNull() & (F.col(c) == F.col(f"expected_{e}"))
+    conditions = {
+        "one_start": F.col("starts") == 1, "one_end": F.col("ends") == 1, "status_complete": (F.col("ends") == 1) & (F.col("status") == "complete"), "no_errors": F.col("errors") == 0,
+        "count_expected": F.col("results") == zero("wanted"), "order_exact": F.coalesce("order_exact", F.lit(True)) & F.col("results").isNotNull(), "ids_unique": F.col("ids") == F.col("results"),
+        "sequence_contiguous": F.coalesce("contiguous", F.col("results") == 0),
+        "scores_finite": F.col("finite"), "labels_absent": (F.col("starts") == 1) & (F.col("labels") == False), "gold_absent": (F.col("starts") == 1) & (F.col("gold") == 0),  # noqa: E712
+        "protocol_bound": same("protocol", "protocol_sha256"), "inputs_bound": same("given", "inputs_sha256"), "adapter_bound": (F.col("starts") == 1) & F.col("adapter").eqNullSafe(F.col("expected_adapter_sha256")),
+    }
+    return one.select(*keys, *(F.coalesce(c, F.lit(False)).alias(k) for k, c in conditions.items())).unpivot(keys, list(conditions), "check", "passed")
+
+
+def run_summary(records: DataFrame, *by: str) -> DataFrame:
+    """``by, parsed, total, rate, errors, completed`` of runs: how many results parsed, and how the run went.
+
+    ``records(kind, parsed, status)``; a run without results has rate 0.
+    """
+    kind = lambda k: F.coalesce(F.col("kind") == k, F.lit(False))
+    sums = records.groupBy(*by).agg(
+        F.count_if(kind("judge_score") & F.coalesce(F.col("parsed"), F.lit(False))).alias("parsed"), F.count_if(kind("judge_score")).alias("total"), F.count_if(kind("judge_error")).alias("errors"),
+        F.count_if(kind("run_end") & F.coalesce(F.col("status") == "complete", F.lit(False))).alias("completed"),
+    )
+    return sums.withColumn("rate", F.when(F.col("total") > 0, F.col("parsed") / F.col("total")).otherwise(0.0))
+
+
 def trajectory_run(rows: DataFrame, expected: int, *by: str, isolation_waived: bool = False) -> DataFrame:
     """``kind, question_id, status, labels_mounted`` of runs of the agent."""
     kind = lambda k: F.col("kind") == k

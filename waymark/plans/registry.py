@@ -26,7 +26,7 @@ def rounded(df):
 
 
 def _load() -> None:
-    from waymark.plans import audits, policies, splits, states, texts  # noqa: F401
+    from waymark.plans import audits, policies, reports, splits, states, texts  # noqa: F401
 
 
 def queries() -> dict:
