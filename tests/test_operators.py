@@ -311,13 +311,31 @@ def test_containment(spark, monkeypatch):
     s = spark.createDataFrame([(i // 2, i, x) for i, x in enumerate(needles)], "item int, k long, sentence string")
     want = {(i // 2, i, d) for i, x in enumerate(needles) for d, y in enumerate(texts) if x and y and x in y}
     for size in (1_000_000, 8):
-        monkeypatch.setattr(containment, "BLOCK_BYTES", size)
+        monkeypatch.setattr(containment, "CHUNK", size)
+        assert {tuple(r) for r in containment.present(s, t, ["item", "k"], "sentence", "text").collect()} == {(i, k) for i, k, _ in want}
         assert {tuple(r) for r in containment.contained(s, t, ["item", "k"], "sentence", "doc", "text").collect()} == want
     assert containment.contained(s.limit(0), t, ["item"], "sentence", "doc", "text").count() == 0
     with pytest.raises(Exception, match="empty sentence"):
         containment.contained(spark.createDataFrame([(1, "")], "item int, sentence string"), t, ["item"], "sentence", "doc", "text").count()
 
 
+@pytest.mark.parametrize("chunk, remembered", [(1_000_000, 200_000), (16, 1)])
+def test_containment_against_every_pair(spark, monkeypatch, chunk, remembered):
+    monkeypatch.setattr(containment, "CHUNK", chunk)
+    monkeypatch.setattr(containment, "REMEMBERED", remembered)
+    rng = random.Random(6)
+    bits = ["a", "b", "ab", "é", "😀", " ", "aaaa", "xyz", "\x00", "漢字"]
+    text = lambda n: "".join(rng.choice(bits) for _ in range(n))
+    texts = [text(rng.randint(0, 60)) for _ in range(120)] + ["ab" * 400]
+    needles = sorted({n for n in (x[a : a + rng.choice([1, 2, 3, 4, 7, 8, 9, 15, 16, 17, 33, 64])] for x in texts for a in (rng.randint(0, 40),)) if n} | {"ab" * 300, "ab" * 401, "zz"})
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    s = spark.createDataFrame(list(enumerate(needles)), "k long, needle string")
+    want = {(k, i) for k, n in enumerate(needles) for i, x in enumerate(texts) if n in x}
+    got = [tuple(r) for r in containment.contained(s, t, ["k"], "needle", "id", "text").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {r.k for r in containment.present(s, t, ["k"], "needle", "text").collect()} == {k for k, _ in want}
+
+
 def test_conflict_audit_and_firewall(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "request_id int")
     failed = lambda *a: {r.check for r in audits.conflict_filter(*a).collect() if not r.passed}

@@ -137,27 +137,21 @@ def _sentences(items):
     return items.select("item_id", F.posexplode(F.filter(F.transform(F.split("text", r"\."), lambda y: F.btrim(y)), lambda y: y != "")).alias("k", "sentence")).withColumn("k", F.col("k").cast("long"))
 
 
-def _hits(spark, sf_dir):
-    items, docs = _items(spark, sf_dir)
-    s = _sentences(items)
-    return s, containment.contained(s, docs, ["item_id", "k"], "sentence", "doc_id", "text")
-
-
-def _titles(spark, sf_dir):
+def _titles(items):
     """An item's first two words stand for its title."""
-    items, docs = _items(spark, sf_dir)
-    titles = items.where("text <> ''").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("title"))
-    return containment.contained(titles, docs, ["item_id"], "title", "doc_id", "text")
+    return items.where("text <> ''").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("title"))
 
 
 @query("sentence_containment", f"WITH {SENTENCES} SELECT item_id, k, doc_id FROM hits")
 def sentence_containment(spark, sf_dir):
-    return _hits(spark, sf_dir)[1]
+    items, docs = _items(spark, sf_dir)
+    return containment.contained(_sentences(items), docs, ["item_id", "k"], "sentence", "doc_id", "text")
 
 
 @query("title_containment", f"WITH {SENTENCES} SELECT item_id, doc_id FROM titles JOIN d ON contains(d.text, title)")
 def title_containment(spark, sf_dir):
-    return _titles(spark, sf_dir)
+    items, docs = _items(spark, sf_dir)
+    return containment.contained(_titles(items), docs, ["item_id"], "title", "doc_id", "text")
 
 
 COVERED = "c AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1), f AS (SELECT item_id, count(DISTINCT k) AS found FROM hits GROUP BY 1), tt AS (SELECT DISTINCT item_id FROM titles JOIN d ON contains(d.text, title)), covered AS (SELECT c.item_id, coalesce(found, 0) = n AS sentence_complete, c.item_id IN (SELECT item_id FROM tt) AS title_complete FROM c LEFT JOIN f USING (item_id))"
@@ -165,17 +159,19 @@ COVERED = "c AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1), f AS (SELECT
 
 @query("coverage_counts", f"WITH {SENTENCES}, {COVERED} SELECT title_complete, sentence_complete, count(*) AS n FROM covered GROUP BY 1, 2")
 def coverage_counts(spark, sf_dir):
-    s, hits = _hits(spark, sf_dir)
-    found = hits.select("item_id", "k").distinct().withColumn("hit", F.lit(1))
+    items, docs = _items(spark, sf_dir)
+    s = _sentences(items)
+    found = containment.present(s, docs, ["item_id", "k"], "sentence", "text").withColumn("hit", F.lit(1))
     by_item = s.join(found, ["item_id", "k"], "left").groupBy("item_id").agg((F.count("*") == F.count("hit")).alias("sentence_complete"))
-    titled = _titles(spark, sf_dir).select("item_id").distinct().withColumn("title_complete", F.lit(True))
+    titled = containment.present(_titles(items), docs, ["item_id"], "title", "text").withColumn("title_complete", F.lit(True))
     return by_item.join(titled, "item_id", "left").groupBy(F.coalesce("title_complete", F.lit(False)).alias("title_complete"), "sentence_complete").agg(F.count("*").alias("n"))
 
 
 @query("conflict_filter", f"WITH {SENTENCES}, {COVERED} SELECT item_id, sentence_complete AND item_id % 3 <> 0 AS conflict FROM covered")
 def conflict_filter(spark, sf_dir):
-    s, hits = _hits(spark, sf_dir)
-    return containment.conflicts(s, hits.select("item_id", "k"), ["item_id"], "k", (F.col("item_id") % 3 == 0)).select("item_id", "conflict")
+    items, docs = _items(spark, sf_dir)
+    s = _sentences(items)
+    return containment.conflicts(s, containment.present(s, docs, ["item_id", "k"], "sentence", "text"), ["item_id"], "k", (F.col("item_id") % 3 == 0)).select("item_id", "conflict")
 
 
 @query("supporting_sentences", "SELECT conv_id, turn AS k, sha256(text) AS sentence_sha256 FROM conversations")
