@@ -112,9 +112,9 @@ def plain_pairs(docs, share, least):
 def test_revealing_pairs_against_plain_counts(spark):
     docs = made()
     rows = docs_of(spark, docs).select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"), F.coalesce("text", F.lit("")).alias("text")).cache()
-    spans = pt.base_spans(rows)
+    mentions = pt.mentions_of(pt.base_spans(rows)).cache()
     for share, least in ((pt.DISCLOSED, pt.LEAST_CONTEXTS), (0.5, 2), (0.3, 1)):
-        got = pt.revealing(rows, rows.select("h").distinct().count(), pt.contexts(spans), share, least).collect()
+        got = pt.revealing(rows, rows.select("h").distinct().count(), mentions, pt.contexts(mentions), share, least).collect()
         got = {tuple(r) for r in got}
         want = plain_pairs(docs, share, least)
         if least == 1:  # pairs of one text are never looked at

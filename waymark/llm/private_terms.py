@@ -147,33 +147,40 @@ def terms_of(text: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(folded(text), F.lit(TERMS), F.lit(0)))
 
 
-def contexts(spans: DataFrame) -> DataFrame:
-    """``h, entity, form, seen``: what stands near entities, one row a text, entity and form.
+def mentions_of(spans: DataFrame) -> DataFrame:
+    """``h, entity, seen, terms``: the passages around entities, one row each of a text.
 
-    ``seen`` has a hash of one of the passages.  Other base spans in a passage
-    are no terms.
+    ``seen`` is a hash of the passage.  Other base spans in it are no terms.
     """
     every = F.flatten(F.array(*[F.transform(f"{k}s", lambda x: F.struct(entity(k, x["value"]).alias("entity"), x["context"].alias("context"))) for k in KINDS]))  # noqa: B023
-    mentions = staged(spans.select("h", F.explode(every).alias("m")).select("h", "m.entity", "m.context").distinct())
-    # an entity of one text cannot be seen in several
+    rows = spans.select("h", F.explode(every).alias("m")).select("h", "m.entity", "m.context").distinct()
+    others = "|".join([*(f"(?:{PATTERNS[k]})" for k in ("email", "phone", "ip")), r"[0-9](?:[\x20-]?[0-9]){15,18}"])
+    return rows.select("h", "entity", F.xxhash64("context").alias("seen"), terms_of(F.regexp_replace("context", others, " ")).alias("terms"))
+
+
+def contexts(mentions: DataFrame) -> DataFrame:
+    """``h, entity, c, form, seen``: what stands near entities of several texts (``c``)."""
     several = mentions.select("h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("c")).where(F.col("c") >= 2)
-    several = staged(several)
+    several = staged(several)  # an entity of one text cannot be seen in several
     kept = sifted(mentions, several.select(F.col("entity").alias("id")), "entity").join(several, "entity")
-    others = "|".join([*(f"(?:{PATTERNS[k]})" for k in ("email", "phone", "ip")), r"[0-9](?:[\x20-]?[0-9]){15,18}"])
-    passage = kept.select("h", "entity", "c", F.xxhash64("context").alias("seen"), terms_of(F.regexp_replace("context", others, " ")).alias("terms"))
-    return passage.select("h", "entity", "c", "seen", F.explode(forms("terms")).alias("form"))
+    return kept.select("h", "entity", "c", "seen", F.explode(forms("terms")).alias("form"))
 
 
-def revealing(docs: DataFrame, n: int, near: DataFrame, share: float, least: int) -> DataFrame:
+def revealing(docs: DataFrame, n: int, mentions: DataFrame, near: DataFrame, share: float, least: int) -> DataFrame:
     """``entity, form``: forms that disclose at least ``share`` of an entity.
 
     ``docs`` holds ``h, text`` of all rows, ``n`` texts differ, ``near`` holds
-    the rows of ``contexts``.
+    the rows of ``contexts``.  A form that stands near any entities in more
+    texts than a revealing one is in at all is not counted in all texts.
     """
     # a pair's texts are counted from rows that are distinct first, so a frequent pair is spread
     texts = near.select("entity", "c", "form", "h").distinct().groupBy("entity", "c", "form").agg(F.count("*").alias("j")).where("j >= 2")
     passages = near.select("entity", "form", "seen").distinct().groupBy("entity", "form").agg(F.count("*").alias("p")).where(F.col("p") >= least)
-    pairs = staged(texts.join(passages, ["entity", "form"]))
+    pairs = texts.join(passages, ["entity", "form"])
+    # the most texts that a form of the pair may be in: D <= j (N / c) ** (1 - share)
+    most = F.col("j") * F.pow(F.lit(float(n)) / F.col("c"), F.lit(1 - share)) * 1.000001
+    around = mentions.select("h", F.explode(forms("terms")).alias("form")).distinct().groupBy("form").agg(F.count("*").alias("around"))
+    pairs = staged(pairs.join(around, "form").where(F.col("around") <= most).drop("around"))
     asked = pairs.select(F.col("form").alias("id")).distinct()
     held = sifted(docs.select("h", terms_of("text").alias("terms")).select("h", F.explode(forms("terms")).alias("form")), asked, "form")
     spread = held.distinct().groupBy("form").agg(F.count("*").alias("d"))
@@ -216,8 +223,9 @@ def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.md5(text.cast("binary")).alias("h"), text.alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
     spans = staged(base_spans(rows).drop("text"))
     texts = rows.select("h", "text")
-    near = staged(contexts(spans))
-    pairs = staged(revealing(texts, spans.select("h").distinct().count(), near, share, least))
+    mentions = staged(mentions_of(spans))
+    near = staged(contexts(mentions))
+    pairs = staged(revealing(texts, spans.select("h").distinct().count(), mentions, near, share, least))
     whole = pairs.where(~F.endswith(F.col("form"), F.lit("*")))
     # the longest beginning that reveals none of the text's entities near which the term stands
     seen = near.select("h", "entity", "form").distinct().join(whole, ["entity", "form"])
