@@ -1,18 +1,18 @@
 """Operator 8: main text of web pages by wrapper induction.
 
 Pages of one host are cut into groups; in each group every page's tree of
-blocks is aligned with the group's first page by simple tree matching.  Aligned
-nodes with the same text are evidence for a template, others for a slot; the
-evidence is summed by host and by path of labels (tag, class, id).  The sums
-make the host's wrapper: paths whose text stays the same are template, and of
-the varying slots the one that holds the most text is the main slot.  Pages
-with equal content count once in a group, so copies do not look like template.
-
-The wrapper decides: a page's text is what its main slot holds, but for the
-template.  If that slot is a part of an ``article`` or ``main`` element, the
-whole element is meant.  Only pages that their host's wrapper does not fit (a
-host of few pages, another layout) are taken by their ``article`` or ``main``
-element, or as everything that varies.
+blocks is aligned with the group's first two pages by simple tree matching.
+Below two aligned nodes, a text that both have under the same path of labels
+(tag, class, id) is constant, whatever stands beside it; any other varies.  The
+evidence is summed by host.  A text that is constant wherever its node is
+aligned is template, that very text and no other one of the path; all else
+stays, so a heading that differs on one page is kept there.  Blocks whose text
+is mostly constant, with a little that varies, are template as well.  Pages
+with equal content count once, and pages that are nearly the same as the first
+ones are no evidence, so copies do not look like template.
+
+A page's text is what varies within its ``article`` and ``main`` elements, if
+the host's varying text lies there or most of the page's; else all that varies.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and comments often
 vary from page to page as content does; their elements are known by tag, role or
@@ -43,6 +43,11 @@ GROUP_PAGES = 64
 CELLS = 200_000
 #: Template: aligned at least so often, with the same text in such a share.
 LEAST_ALIGNED, SAME_SHARE = 3, 0.9
+#: Pages of which more text is the same are copies of one another, not pages of one template.
+COPY_SHARE = 0.8
+#: Blocks with less of a host's varying text than this, and at least half as much constant text, are template;
+#: articles with less of it than this are no articles.
+MINOR_SHARE, ARTICLE_SHARE = 0.05, 0.2
 GROUP_BYTES = 2_000_000
 #: Wrappers up to this many bytes are broadcast; more are joined.
 BROADCAST_BYTES = 16_000_000
@@ -61,6 +66,9 @@ BOILER_WORDS = frozenset(
     "header masthead topbar footer foot sidebar side aside widget widgets related recommended recommendations teaser teasers comment comments commentlist disqus replies reply respond discussion "
     "notice notices cookie cookies consent gdpr alert alerts popup modal overlay newsletter subscribe subscription signup login register search searchbox share sharing social copyright legal disclaimer skip outbrain taboola toolbar form".split()
 )
+#: Words that name a part even beside words of layout, as in ``comments-area``; and these words.
+PART_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promos breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr menu menus modal nav navbar navigation newsletter pager pagination popup rail recommended recommendations related share sharing sidebar social subscribe taboola outbrain".split())
+LAYOUT_WORDS = frozenset("area bar block bottom box button buttons column container group holder icons inner item items left link links list module page post posts reader right row section site slot stories story tools top unit user users widget wrap wrapper zone".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
 TEXT_TAGS = HEADINGS | frozenset("p li blockquote pre dd dt td th figcaption".split())
 
@@ -87,11 +95,14 @@ def _path(parent: int, label: str) -> int:
 def _names_a_part(token: str) -> bool:
     """Whether a whole class or id is made of listed words (and numbers).
 
-    ``cookie-notice`` and ``ad-1`` are; any other word, as in ``has-sidebar``
-    or ``entry-header``, makes it the name of another thing.
+    ``cookie-notice`` and ``ad-1`` are, and ``comments-area`` with a word of
+    layout; any other word, as in ``has-sidebar`` or ``entry-header``, makes it
+    the name of another thing.
     """
     words = WORDS.findall(token)
-    return bool(words) and all(w in BOILER_WORDS for w in words)
+    if not words or not all(w in BOILER_WORDS or w in LAYOUT_WORDS or w in PART_WORDS for w in words):
+        return False
+    return all(w in BOILER_WORDS or w in PART_WORDS for w in words) or any(w in PART_WORDS for w in words)
 
 
 @lru_cache(20_000)
@@ -220,39 +231,41 @@ def slots(nodes: list[Node], texts: list[tuple[int, str, int]]) -> list[tuple[in
     return able or [(x, t) for x, t, links in texts if nodes[x].main and not nodes[x].inner and not _inside_head(nodes, x)]
 
 
-def _within(nodes: list[Node], tops: set[int]) -> list[bool]:
-    """Which nodes lie in one of some elements; parents come before children."""
-    out: list[bool] = []
-    for i, x in enumerate(nodes):
-        out.append(i in tops or (x.parent >= 0 and out[x.parent]))
-    return out
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
+
 
+def text_key(path: int, text: int) -> int:
+    """A 63-bit number for a text under a path."""
+    return (path * 0x9E3779B97F4A7C15 + text * 0xD6E8FEB86659FD93) % (1 << 63)
 
-def _main_region(nodes: list[Node], main_slot: int | None) -> set[int]:
-    """The elements that the wrapper's main slot stands for on this page."""
-    region: set[int] = set()
-    for i, x in enumerate(nodes):
-        if x.path == main_slot and i:
-            while x.main and nodes[x.parent].main:  # the outermost article or main element around it
-                i, x = x.parent, nodes[x.parent]
-            region.add(i)
-    return region
 
+def own_texts(able: list[tuple[int, str]]) -> dict[int, str]:
+    """The text of each node that has one."""
+    own: dict[int, list[str]] = {}
+    for x, t in able:
+        own.setdefault(x, []).append(t)
+    return {x: "\n".join(t) for x, t in own.items()}
 
-def extract(page: str | None, template: frozenset[int] = frozenset(), main_slot: int | None = None) -> str:
-    """Main text of a page: its blocks in order, one line each."""
+
+def extract(page: str | None, constants: frozenset[int] = frozenset(), minor: frozenset[int] = frozenset(), in_article: bool | None = None) -> str:
+    """Main text of a page: its blocks in order, one line each.
+
+    ``constants`` are ``text_key`` of template, ``minor`` paths of blocks that
+    are template, ``in_article`` tells whether the host's text is in articles.
+    """
     if not page:
         return ""
     nodes, texts = parse(page)
     able = slots(nodes, texts)
-    varying = [(x, t) for x, t in able if nodes[x].path not in template]
-    if main_slot:
-        inside = _within(nodes, _main_region(nodes, main_slot))
-        main = [(x, t) for x, t in varying if inside[x] or nodes[x].tag == "h1"]
-        if any(inside[x] for x, _ in main):
-            return "\n".join(t for _, t in main)
+    template = {x for x, t in own_texts(able).items() if constants and text_key(nodes[x].path, _hash(t)) in constants}
+    varying = [(x, t) for x, t in able if x not in template]
+    size = lambda rows: sum(len(t) for _, t in rows)
     inside = [(x, t) for x, t in varying if nodes[x].main] or [(x, t) for x, t in able if nodes[x].main]
-    return "\n".join(t for _, t in inside or varying)
+    if inside and (in_article is not False or 2 * size(inside) >= size(varying)):
+        return "\n".join(t for _, t in inside)
+    kept = [(x, t) for x, t in varying if nodes[x].parent < 0 or nodes[nodes[x].parent].path not in minor]
+    return "\n".join(t for _, t in kept or varying)
 
 
 class Skeleton:
@@ -262,10 +275,10 @@ class Skeleton:
     nodes from its root to before ``ends`` of it.
     """
 
-    __slots__ = ("children", "ends", "paths", "shapes", "sizes", "texts")
+    __slots__ = ("children", "ends", "mains", "parents", "paths", "shapes", "sizes", "texts")
 
-    def __init__(self, parents, paths, texts, sizes):
-        self.paths, self.texts, self.sizes = paths, texts, sizes
+    def __init__(self, parents, paths, texts, sizes, mains=None):
+        self.parents, self.paths, self.texts, self.sizes, self.mains = parents, paths, texts, sizes, mains or [0] * len(parents)
         n = len(parents)
         self.children: list[list[int]] = [[] for _ in parents]
         for x, p in enumerate(parents):
@@ -378,12 +391,11 @@ def _host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
+SKELETON = "host string, content long, parents array<long>, paths array<long>, texts array<long>, sizes array<long>, mains array<long>"
 
 
 def skeletons(pages: DataFrame) -> DataFrame:
-    """``host, content, parents, paths, texts, sizes`` of pages ``host, html``."""
+    """``host, content, parents, paths, texts, sizes, mains`` of pages ``host, html``; one row for equal contents of a host."""
 
     def run(batches):
         for batch in batches:
@@ -391,81 +403,113 @@ def skeletons(pages: DataFrame) -> DataFrame:
                 rows: list[tuple] = []
                 for page in small.column(1).to_pylist():
                     nodes, texts = parse(page)
-                    able = slots(nodes, texts)
-                    own: dict[int, list[str]] = {}
-                    for x, t in able:
-                        own.setdefault(x, []).append(t)
-                    hashes = {x: _hash("\n".join(t)) for x, t in own.items()}
-                    rows.append((_hash(",".join(map(str, hashes.values()))), [x.parent for x in nodes], [x.path for x in nodes], [hashes.get(i, 0) for i in range(len(nodes))], [sum(map(len, own.get(i, ()))) for i in range(len(nodes))]))
-                types = [pa.int64(), *[pa.list_(pa.int64())] * 4]
-                columns = zip(*rows) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([small.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types))], ["host", "content", "parents", "paths", "texts", "sizes"])
-
-    return pages.where("html is not null and html <> ''").select("host", "html").mapInArrow(run, "host string, content long, parents array<long>, paths array<long>, texts array<long>, sizes array<long>")
+                    own = own_texts(slots(nodes, texts))
+                    hashes = {x: _hash(t) for x, t in own.items()}
+                    rows.append((
+                        _hash(",".join(map(str, hashes.values()))), [x.parent for x in nodes], [x.path for x in nodes], [hashes.get(i, 0) for i in range(len(nodes))],
+                        [len(own.get(i, "")) for i in range(len(nodes))], [int(x.main) for x in nodes],
+                    ))
+                types = [pa.int64(), *[pa.list_(pa.int64())] * 5]
+                columns = zip(*rows) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([small.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types))], ["host", "content", "parents", "paths", "texts", "sizes", "mains"])
+
+    found = pages.where("html is not null and html <> ''").select("host", "html").mapInArrow(run, SKELETON)
+    return found.dropDuplicates(["host", "content"])
+
+
+class Evidence:
+    """Sums over the alignments of pages with one first page."""
+
+    def __init__(self, first: Skeleton):
+        self.first = first
+        self.aligned, self.pairs = {}, {}
+        #: Texts below each node of the first page: (node, path, text) -> pages that have them too.
+        self.same = {(p, first.paths[x], t): 0 for x, (p, t) in enumerate(zip(first.parents, first.texts)) if t}
+        self.times = [0] * len(first.paths)
+        #: Of each parent's path: varying text, constant text, varying text in articles.
+        self.blocks: dict[int, list[int]] = {}
+
+    def add(self, page: Skeleton) -> None:
+        shape = page.shapes[0]
+        if shape not in self.pairs:
+            self.pairs[shape] = tree_match(self.first, page)
+        partner = {v: u for u, v in self.pairs[shape]}
+        partner[-1] = -1
+        known = [(x, (partner.get(p, -2), page.paths[x], t)) for x, (p, t) in enumerate(zip(page.parents, page.texts)) if t]
+        total = sum(page.sizes)
+        if sum(page.sizes[x] for x, k in known if k in self.same) > COPY_SHARE * total:
+            return
+        for u in partner.values():
+            if u >= 0:
+                self.times[u] += 1
+        for k in {k for _, k in known if k in self.same}:
+            self.same[k] += 1
+        for x, k in known:
+            parent = page.parents[x]
+            sums = self.blocks.setdefault(page.paths[parent] if parent >= 0 else 0, [0, 0, 0])
+            if k in self.same:
+                sums[1] += page.sizes[x]
+            else:
+                sums[0] += page.sizes[x]
+                sums[2] += page.sizes[x] * page.mains[x]
+
+    def rows(self):
+        """(0, text key, times aligned, times the same, 0) and (1, path, varying, constant, varying in articles)."""
+        for (u, path, text), n in self.same.items():
+            times = self.times[u] if u >= 0 else self.times[0]
+            if times:
+                yield 0, text_key(path, text), times, n, 0
+        for path, sums in self.blocks.items():
+            yield 1, path, *sums
 
 
 def evidence(groups: DataFrame) -> DataFrame:
-    """``host, path, parent, aligned, same, varying``: sums over each group's alignments."""
+    """``host, kind, key, a, b, c``: the rows of ``Evidence`` of each group (host, salt)."""
 
     def run(batches):
-        held: list[tuple] = []
+        firsts: list[Evidence] = []
+        last = None
 
         def closed():
-            sums: dict[tuple[int, int], list[int]] = {}
-            seen: set[int] = set()
-            first, aligned = None, {}
-            for content, *parts in held:
-                if content in seen:
-                    continue
-                seen.add(content)
-                page = Skeleton(*parts)
-                if first is None:
-                    first = page
-                    continue
-                if page.shapes[0] not in aligned:
-                    aligned[page.shapes[0]] = tree_match(first, page)
-                for u, v in aligned[page.shapes[0]]:
-                    if first.texts[u] or page.texts[v]:
-                        parent = parts[0][v]
-                        s = sums.setdefault((page.paths[v], page.paths[parent] if parent >= 0 else 0), [0, 0, 0])
-                        same = first.texts[u] == page.texts[v]
-                        s[0] += 1
-                        s[1] += same
-                        s[2] += 0 if same else page.sizes[v]
-            out = [(last[0], *k, *s) for k, s in sums.items()]
-            held.clear()
+            rows = [(last[0], *row) for e in firsts for row in e.rows()]
             types = [pa.string(), *[pa.int64()] * 5]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["host", "path", "parent", "aligned", "same", "varying"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "kind", "key", "a", "b", "c"])
 
-        last = None
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if held and row[:2] != last:
-                    yield closed()
-                last = row[:2]
-                held.append(row[2:])
-        if held:
+                if row[:2] != last:
+                    if last is not None:
+                        yield closed()
+                    last, firsts = row[:2], []
+                page = Skeleton(*row[2:])
+                if len(firsts) < 2:
+                    for e in firsts:
+                        e.add(page)
+                    firsts.append(Evidence(page))
+                    if len(firsts) == 2:
+                        firsts[1].add(firsts[0].first)
+                else:
+                    for e in firsts:
+                        e.add(page)
+        if last is not None:
             yield closed()
 
-    return groups.select("host", "salt", "content", "parents", "paths", "texts", "sizes").mapInArrow(run, "host string, path long, parent long, aligned long, same long, varying long")
+    return groups.select("host", "salt", "parents", "paths", "texts", "sizes", "mains").mapInArrow(run, "host string, kind long, key long, a long, b long, c long")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, template, main_slot`` induced from pages ``host, html``.
-
-    ``template`` are the label paths of constant text; ``main_slot`` is the
-    path of the element whose children hold the most varying text.
-    """
-    counts = pages.groupBy("host").agg(F.count("*").alias("n"))
-    salted = skeletons(pages).join(counts, "host").withColumn("salt", F.pmod("content", F.ceil(F.col("n") / GROUP_PAGES)))
+    """``host, constants, minor, in_article`` induced from pages ``host, html``: what ``extract`` takes."""
+    found = staged(skeletons(pages))
+    counts = found.groupBy("host").agg(F.count("*").alias("n"))
+    salted = found.join(counts, "host").withColumn("salt", F.pmod("content", F.ceil(F.col("n") / GROUP_PAGES)))
     grouped = salted.drop("n").repartition("host", "salt").sortWithinPartitions("host", "salt", "content")
-    sums = evidence(grouped).groupBy("host", "path", "parent").agg(*(F.sum(c).alias(c) for c in ("aligned", "same", "varying")))
-    sums = staged(sums)
-    constant = (F.col("aligned") >= LEAST_ALIGNED) & (F.col("same") >= SAME_SHARE * F.col("aligned"))
-    template = sums.where(constant).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("template"))
-    by_parent = sums.groupBy("host", "parent").agg(F.sum("varying").alias("varying")).where("varying > 0")
-    best = by_parent.groupBy("host").agg(F.max_by("parent", F.struct("varying", "parent")).alias("main_slot"))
-    return template.join(best, "host", "full")
+    sums = staged(evidence(grouped).groupBy("host", "kind", "key").agg(*(F.sum(c).alias(c) for c in "abc")))
+    constant = (F.col("kind") == 0) & (F.col("a") >= LEAST_ALIGNED) & (F.col("b") >= SAME_SHARE * F.col("a"))
+    whole = sums.where("kind = 1").groupBy("host").agg(F.sum("a").alias("varying"), F.sum("c").alias("within"))
+    minor = (F.col("kind") == 1) & (F.col("a") < MINOR_SHARE * F.col("varying")) & (F.col("a") < 2 * F.col("b"))
+    keys = lambda c: F.sort_array(F.collect_set(F.when(c, F.col("key"))))
+    parts = sums.join(whole, "host", "left").groupBy("host").agg(keys(constant).alias("constants"), keys(minor).alias("minor"), F.first("varying").alias("varying"), F.first("within").alias("within"))
+    return parts.select("host", "constants", "minor", F.when(F.col("varying") > 0, F.col("within") >= ARTICLE_SHARE * F.col("varying")).alias("in_article"))
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -478,21 +522,23 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     rows = small_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
     induced = staged(wrappers(rows.select("host", "html")))
-    size = induced.agg(F.sum(F.octet_length("host") + 8 * F.coalesce(F.size("template"), F.lit(0)) + 16)).first()[0] or 0
-    wide = rows.join(F.broadcast(induced) if size <= BROADCAST_BYTES else induced, "host", "left").select("id", "url", "html", "template", "main_slot")
+    size = induced.agg(F.sum(F.octet_length("host") + 8 * (F.size("constants") + F.size("minor")) + 16)).first()[0] or 0
+    wide = rows.join(F.broadcast(induced) if size <= BROADCAST_BYTES else induced, "host", "left").select("id", "url", "html", "constants", "minor", "in_article")
 
     def run(batches):
         sets: dict[tuple, frozenset] = {}
+
+        def held(keys) -> frozenset:
+            key = tuple(keys or ())
+            if key not in sets:
+                if len(sets) > 10_000:
+                    sets.clear()
+                sets[key] = frozenset(key)
+            return sets[key]
+
         for batch in batches:
             for small in byte_slices(batch, "html", GROUP_BYTES):
-                out = []
-                for page, template, slot in zip(*(small.column(i).to_pylist() for i in (2, 3, 4))):
-                    key = tuple(template or ())
-                    if key not in sets:
-                        if len(sets) > 10_000:
-                            sets.clear()
-                        sets[key] = frozenset(key)
-                    out.append(extract(page, sets[key], slot))
+                out = [extract(page, held(constants), held(minor), within) for page, constants, minor, within in zip(*(small.column(i).to_pylist() for i in (2, 3, 4, 5)))]
                 yield pa.RecordBatch.from_arrays([small.column(0), small.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
