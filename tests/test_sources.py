@@ -1,10 +1,13 @@
+import hashlib
 import json
 import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
+from waymark.operators.digests import ordered_digest
 from waymark.sources import jsonl, models
 from waymark.sources.arrays import array_elements
 from waymark.streaming.online import crossings
@@ -142,6 +145,44 @@ def test_elements_are_objects(spark, tmp_path):
         jsonl.read_json_array(spark, str(tmp_path / "x.json"), "a int").collect()
 
 
+def test_harvest_goes_as_deep_as_the_text(spark):
+    deep = '{"question": ' * 1500 + '"at the bottom"' + "}" * 1500
+    wide = json.dumps({"question": "a", "x": [{"question": ["no", {"question": "b"}]}, {"question": None}], "y": {"question": "c"}})
+    values = spark.createDataFrame([("deep", deep), ("wide", wide), ("none", "[]"), ("null", None)], "path string, value string")
+    got = [(r.path, r.question) for r in jsonl.harvest_key(values).collect()]
+    assert sorted(got) == [("deep", "at the bottom"), ("wide", "a"), ("wide", "b"), ("wide", "c")]
+    values.createOrReplaceTempView("harvest_values")
+    sql = "SELECT path, h.value FROM harvest_values v, LATERAL harvest_strings(v.value, 'question') h WHERE path = 'wide'"
+    assert [r.value for r in spark.sql(sql).collect()] == ["a", "b", "c"]
+
+
+def test_digests_are_streams(spark, tmp_path, monkeypatch):
+    (tmp_path / "t/deep er").mkdir(parents=True)
+    want = {}
+    for name, size in (("t/a.bin", 0), ("t/b.bin", 1), ("t/deep er/c ü%20.bin", 100_000)):
+        content = bytes(i * 7 % 251 for i in range(size))
+        (tmp_path / name).write_bytes(content)
+        want[name.removeprefix("t/")] = hashlib.sha256(content).hexdigest()
+    monkeypatch.setattr(jsonl, "READ_BYTES", 4096)
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in jsonl.file_digests(spark, str(tmp_path / "t")).collect()}
+    assert sorted(b for b, _ in got.values()) == [0, 1, 100_000] and {d for _, d in got.values()} == set(want.values())
+    with open(tmp_path / "large", "wb") as f:  # beyond what one cell of a table holds; sparse on disk
+        f.truncate((2 << 30) + 5)
+    monkeypatch.setattr(jsonl, "READ_BYTES", 8 << 20)
+    assert jsonl.file_digests(spark, str(tmp_path / "large")).first().bytes == (2 << 30) + 5
+
+
+def test_ordered_digests(spark):
+    rows = [(g, i, f"id{i}") for g, n in (("a", 1), ("b", 500)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i long, id string").repartition(7)
+    got = {r.g: (r.n, r.sha256) for r in ordered_digest(df, "id", ["i"], ["g"]).collect()}
+    assert got == {g: (n, hashlib.sha256("\n".join(f"id{i}" for i in range(n)).encode()).hexdigest()) for g, n in (("a", 1), ("b", 500))}
+    assert ordered_digest(df.where("false"), "id", ["i"]).count() == 0
+    assert ordered_digest(df, "id", ["i", "g"], head="{", join=",", tail="}").first().n == 501
+    with pytest.raises(Exception, match="missing"):
+        ordered_digest(df.withColumn("id", F.lit(None).cast("string")), "id", ["i"]).collect()
+
+
 def test_named_sources():
     assert jsonl.named_sources(["a=x", "b=y=z"]) == {"a": "x", "b": "y=z"}
     with pytest.raises(ValueError):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.text import hash_rank
+from waymark.operators.staging import written_once
 
 
 def hash_rank_split(rows: DataFrame, seed: str, count: int, keys=("original_id", "normalized_question"), tie: str = "source_index", must_fill: bool = False) -> DataFrame:
@@ -23,15 +24,16 @@ def hash_rank_split(rows: DataFrame, seed: str, count: int, keys=("original_id",
 def disjoint_splits(rows: DataFrame, specs: list[tuple[str, str, int]], id_col: str = "original_id", text_col: str = "normalized_question") -> DataFrame:
     """Splits ``(name, seed, count)`` in turn; ids and texts of earlier ones are out.
 
-    Within one split a text may occur twice.  A later split reads the earlier
-    ones only through their ids and texts.
+    Within one split a text may occur twice.  Rows and every split are written
+    once; a later split reads the earlier ones through their ids and texts.
     """
+    rows = written_once(rows)
     chosen: list[DataFrame] = []
     for name, seed, count in specs:
         left = rows
         for done in chosen:
             left = left.join(done.select(id_col), id_col, "left_anti").join(done.select(text_col), text_col, "left_anti")
-        chosen.append(hash_rank_split(left, seed, count, (id_col, text_col)).select(*rows.columns, "rank").withColumn("split", F.lit(name)))
+        chosen.append(written_once(hash_rank_split(left, seed, count, (id_col, text_col)).select(*rows.columns, "rank").withColumn("split", F.lit(name))))
     return reduce(DataFrame.unionByName, chosen)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import text as x
 from waymark.operators import permute, splits
+from waymark.operators.digests import ordered_digest
 from waymark.plans import tables as t
 from waymark.plans.registry import query, rounded
 
@@ -44,8 +45,8 @@ def overlap_matrix(spark, sf_dir):
 
 @query("split_manifest", f"WITH {DISJOINT} SELECT split, count(*) AS n, sha256(string_agg(original_id, chr(10) ORDER BY rank, source_index)) AS ids_sha256 FROM sp GROUP BY split")
 def split_manifest(spark, sf_dir):
-    s = splits.disjoint_splits(_rows(spark, sf_dir), SPECS).groupBy("split").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "source_index", "original_id"))).alias("r"))
-    return s.select("split", "n", F.sha2(F.array_join(F.transform("r", lambda y: y["original_id"]), "\n"), 256).alias("ids_sha256"))
+    s = splits.disjoint_splits(_rows(spark, sf_dir), SPECS)
+    return ordered_digest(s, "original_id", ["rank", "source_index"], ["split"]).withColumnRenamed("sha256", "ids_sha256")
 
 
 @query("core_reserve", "SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY sha256('core' || chr(0) || lower(trim(c_mktsegment)) || chr(0) || CAST(c_custkey AS VARCHAR)), c_custkey) <= 20 THEN 'core' ELSE 'reserve' END AS part FROM customer")

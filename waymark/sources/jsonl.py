@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 from functools import reduce
+from urllib.parse import quote, unquote
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from waymark.operators.digests import ordered_digest
 from waymark.operators.staging import written_once
 from waymark.sources.arrays import array_elements
 
@@ -99,25 +105,41 @@ def scan_json_tree(spark: SparkSession, path: str) -> DataFrame:
     return kept.select("path", "value").unionByName(whole.mapInPandas(run, shape).where("value IS NOT NULL").select("path", "value"))
 
 
-def harvest_key(values: DataFrame, key: str = "question") -> DataFrame:
-    """Every string under a key at any depth of the JSON texts in ``value``."""
-
-    def found(node):
-        if isinstance(node, dict):
-            for k, v in node.items():
-                if k == key and isinstance(v, str):
-                    yield v
-                else:
-                    yield from found(v)
-        elif isinstance(node, list):
-            for v in node:
-                yield from found(v)
+@udtf(returnType="value string")
+class Harvest:
+    """Table function: every string under a key, at any depth of a JSON text, in document order."""
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([(v, t) for v, raw in zip(pdf["path"], pdf["value"]) for t in found(json.loads(raw))], columns=["path", key])
+    def eval(self, raw: str, key: str):
+        if raw is None:
+            return
+        todo = [iter((json.loads(raw),))]
+        while todo:  # a stack of its own: nesting is bounded by memory
+            node = next(todo[-1], todo)
+            if node is todo:
+                todo.pop()
+            elif isinstance(node, _Found):
+                yield (node.text,)
+            elif isinstance(node, dict):
+                todo.append(iter([_Found(v) if k == key and isinstance(v, str) else v for k, v in node.items()]))
+            elif isinstance(node, list):
+                todo.append(iter(node))
+
+
+class _Found:
+    """A string that stood under the key."""
+
+    def __init__(self, text: str):
+        self.text = text
 
-    return values.select("path", "value").mapInPandas(run, f"path string, {key} string")
+
+def harvest_key(values: DataFrame, key: str = "question") -> DataFrame:
+    """``path`` and every string under a key at any depth of the JSON texts in ``value``.
+
+    The table function is registered as ``harvest_strings`` for SQL as well.
+    """
+    values.sparkSession.udtf.register("harvest_strings", Harvest)
+    found = values.select("path", "value").lateralJoin(Harvest(F.col("value").outer(), F.lit(key)).toDF(key))
+    return found.select("path", key)
 
 
 def keys_sorted(value: Column, kind: DataType) -> Column:
@@ -184,18 +206,52 @@ def guard_stored(spark: SparkSession, *paths: str) -> None:
         raise FileExistsError(", ".join(there))
 
 
+#: Bytes that a task reads of a file at a time.
+READ_BYTES = 8 << 20
+
+
+def _opened(path: str):
+    """A file of any store that pyarrow knows, as a stream; Spark's paths are not quoted."""
+    if path.startswith("file:"):
+        return open("/" + path[5:].lstrip("/"), "rb")
+    store, name = pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return store.open_input_stream(name)
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``path, sha256`` of files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+    """``path, bytes, sha256`` of the files under a path, of any size.
+
+    Spark lists them, empty ones included; a task reads its files in pieces of
+    ``READ_BYTES``.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).inputFiles()
+    files = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(p)),) for p in listed], "path string")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for name in pdf["path"]:
+                h, n = hashlib.sha256(), 0
+                with _opened(name) as f:
+                    while piece := f.read(READ_BYTES):
+                        h.update(piece)
+                        n += len(piece)
+                out.append((name, n, h.hexdigest()))
+            yield pd.DataFrame(out, columns=["path", "bytes", "sha256"])
+
+    return files.repartition("path").mapInPandas(run, "path string, bytes long, sha256 string")
 
 
 def tree_digest(spark: SparkSession, path: str) -> str:
-    """SHA-256 of the canonical JSON map of relative paths to digests."""
+    """SHA-256 of the canonical JSON map of relative paths to digests.
+
+    The pairs are sorted by Spark and run through the hash as a stream.
+    """
     root = path.rstrip("/") + "/"
     rows = file_digests(spark, path).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "sha256")
     pairs = rows.select(F.concat(F.lit('"'), F.substr("path", F.lit(len(root) + 1)), F.lit('":"'), F.col("sha256"), F.lit('"')).alias("p"))
-    return pairs.agg(F.sha2(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("p")), ","), F.lit("}")), 256).alias("d")).first()["d"]
+    found = ordered_digest(pairs, "p", ["p"], join=",", head="{", tail="}").first()
+    return found["sha256"] if found else hashlib.sha256(b"{}").hexdigest()
 
 
 def named_sources(arguments: list[str]) -> dict[str, str]:
