@@ -208,11 +208,13 @@ def three_metric_intervals_exact(spark, sf_dir):
     return rounded(resample.exact_three_intervals(_questions(spark, sf_dir)))
 
 
-@query("seed_schedule", f"""WITH m AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {i})" for i, m in enumerate(t.THRESHOLDS))}) AS m(model, i)), r AS (SELECT model, row_number() OVER (ORDER BY i) AS i FROM m WHERE model <> 'structured_base')
+@query("seed_schedule", t.sql(f"""WITH m AS (SELECT m.model, row_number() OVER (ORDER BY i) - 1 AS i FROM (VALUES {", ".join(f"('{m}', {i})" for i, m in enumerate(t.THRESHOLDS))}) AS m(model, i) WHERE model IN (SELECT DISTINCT model FROM scores)), r AS (SELECT model, row_number() OVER (ORDER BY i) AS i FROM m WHERE model <> 'structured_base')
 SELECT model || '_minus_native' AS comparison, metric, CAST({SEED} + o + i AS BIGINT) AS seed FROM m, (VALUES ('em', 200), ('searches', 300)) AS k(metric, o)
-UNION ALL SELECT model || '_minus_structured_base', metric, CAST({SEED} + o + i AS BIGINT) FROM r, (VALUES ('em', 0), ('searches', 100), ('average_precision', 400)) AS k(metric, o)""")
+UNION ALL SELECT model || '_minus_structured_base', metric, CAST({SEED} + o + i AS BIGINT) FROM r, (VALUES ('em', 0), ('searches', 100), ('average_precision', 400)) AS k(metric, o)"""))
 def seed_schedule(spark, sf_dir):
-    rows = [(c, m, s) for (c, m), s in resample.seed_schedule(list(t.THRESHOLDS), SEED).items()]
+    """Seeds of the comparisons of the models that the scores hold, in the order of their thresholds."""
+    found = {r["model"] for r in t.scores(spark, sf_dir).select("model").distinct().collect()}  # a row a model
+    rows = [(c, m, s) for (c, m), s in resample.seed_schedule([m for m in t.THRESHOLDS if m in found], SEED).items()]
     return spark.createDataFrame(rows, "comparison string, metric string, seed long")
 
 
