@@ -205,6 +205,15 @@ def test_widths_do_not_mix(spark, monkeypatch, caplog):
     assert sum("recall" in r.message for r in caplog.records) >= 2
 
 
+def test_recall_without_links_is_not_measured(spark, monkeypatch, caplog):
+    monkeypatch.setattr(vector_graph, "FEW_OF_A_WIDTH", 10)
+    x = np.eye(40)
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(40)], "vec_id long, embedding array<double>")
+    with caplog.at_level("INFO"):
+        assert sum(r.n_links for r in vector_graph.similar_vectors(df).collect()) == 0
+    assert "recall unmeasured" in caplog.text
+
+
 def test_lists_are_united():
     ids = np.array([3, 5, 8, 9])
     lists = vector_graph.local_lists(ids, [np.array([8, 4, 9]), np.array([], int), np.array([3, 100]), np.array([5])], None)

@@ -366,9 +366,10 @@ def _all_pairs(rows: DataFrame, centres: np.ndarray, least: float) -> tuple[Data
     return _summed(dealt.mapInArrow(run, "a long, n long, b long"), placed)
 
 
-def audit(rows: DataFrame, counts: DataFrame, least: float) -> float:
+def audit(rows: DataFrame, counts: DataFrame, least: float) -> float | None:
     """Least recall of the links of drawn vectors: of all, and by how many they have.
 
+    ``None`` if no drawn vector has a link: then recall is not measured.
     Vectors of few links have a recall of their own, whatever a large group
     adds to the sum; more are drawn if there are hardly any in the first draw.
     """
@@ -382,7 +383,7 @@ def audit(rows: DataFrame, counts: DataFrame, least: float) -> float:
             s = sums.setdefault(key, [0, 0])
             s[0] += true
             s[1] += n
-    return min((n / true for true, n in sums.values()), default=1.0)
+    return min((n / true for true, n in sums.values()), default=None)
 
 
 def _audited(rows: DataFrame, counts: DataFrame, least: float, queries: int) -> list[tuple[int, int]]:
@@ -434,8 +435,9 @@ def _of_width(classes: DataFrame, width: int, n: int, least: float, overlap: int
     for shards in (overlap, 2 * overlap) if overlap < len(centres) else (overlap,):
         counts, edges = _counted(classes, centres, shards, least)
         recall = audit(classes, counts, least)
-        log.info("width %d: recall %.4f with %d of %d shards a vector", width, recall, min(shards, len(centres)), len(centres))
-        if recall >= LEAST_RECALL:
+        shown = "unmeasured, no drawn vector has a link" if recall is None else f"{recall:.4f}"
+        log.info("width %d: recall %s with %d of %d shards a vector", width, shown, min(shards, len(centres)), len(centres))
+        if recall is None or recall >= LEAST_RECALL:
             return counts, edges
     log.warning("width %d: all pairs that can link are compared", width)
     return _all_pairs(classes, centroids_of(sample, max(1, min(MOST_CENTROIDS, -(-n // EXACT_BLOCK), len(sample)))), least)
