@@ -99,10 +99,35 @@ def test_kernel_by_enumeration():
     got = toxicity.Landmarks(marks).kernel(words)
     want = [[(kernel(u, m) / (kernel(u, u) * kernel(m, m)) ** 0.5) ** toxicity.POWER for m in marks] for u in words]
     assert np.allclose(got, want, atol=1e-5)
-    sums = toxicity._sums(got, [np.array([0, 1]), np.array([2])])
+    marked = toxicity.Landmarks(marks)
+    sums = toxicity.sentence_features([np.array([0, 1]), np.array([2])], words, marked.kernel, len(marks))
     assert np.allclose(sums, [got[0] + got[1], got[2]])
 
 
+def test_features_in_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(50, 4)).astype(np.float32)
+    lists = [rng.integers(0, 50, rng.integers(1, 30)) for _ in range(40)]
+    for block in (1, 7, 10_000):
+        monkeypatch.setattr(toxicity, "WORD_BLOCK", block)
+        got = toxicity.sentence_features(lists, [str(i) for i in range(50)], lambda names: rows[[int(n) for n in names]], 4)
+        assert np.allclose(got, [rows[x].sum(0) for x in lists], atol=1e-4)
+
+
+def test_machine_against_plain_descent():
+    rng = np.random.default_rng(2)
+    x, y, c = rng.normal(size=(300, 5)), np.where(rng.random(300) < 0.3, 1.0, -1.0), rng.random(300) * 2
+    c[::17] = 0
+    x[y > 0] += 0.7
+    loss = lambda w: w @ w / 2 + (c * np.maximum(0, 1 - y * (x @ w + toxicity.BIAS)) ** 2).sum() / 2
+    slope = lambda w: w - x.T @ (c * y * np.maximum(0, 1 - y * (x @ w + toxicity.BIAS)))
+    plain = np.zeros(5)
+    for _ in range(20_000):
+        plain -= 1e-3 * slope(plain)
+    got = toxicity._svm(x, y, c, np.zeros(5))
+    assert np.abs(slope(got)).max() < 1e-6 and np.allclose(got, plain, atol=1e-4) and loss(got) <= loss(plain) + 1e-9
+
+
 def test_sentences():
     starts = lambda text: toxicity.sentence_starts(np.array([t.endswith(toxicity.ENDS) for t in toxicity.tokens_of(text)[0]], bool)).tolist()
     assert starts("A b. C\nd e") == [0, 2, 4] and starts("") == []
