@@ -45,11 +45,10 @@ def expand_states(steps: DataFrame, most: int = MOST_STATES, budget: int = BUDGE
     w = Window.partitionBy("question_id").orderBy("step")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     search = F.col("executed") & (F.col("action") == "SEARCH")
-    marked = with_next_action(steps).withColumns({
-        "state_index": F.sum(search.cast("long")).over(so_far),
-        "context": F.array_join(F.collect_list(F.when(search, F.col("block"))).over(so_far), "\n\n"),
-    })
-    later = marked.where(search & (F.col("state_index") < most)).select("question_id", "state_index", "native_next_action", "context")
+    marked = with_next_action(steps).withColumn("state_index", F.sum(search.cast("long")).over(so_far))
+    # only the few searches that become states gather blocks, however long the trajectory is
+    few = marked.where(search & (F.col("state_index") < most)).withColumn("context", F.array_join(F.collect_list("block").over(so_far), "\n\n"))
+    later = few.select("question_id", "state_index", "native_next_action", "context")
     first = steps.groupBy("question_id").agg(F.min_by("action", "step").alias("native_next_action"))
     first = first.select("question_id", F.lit(0).cast("long").alias("state_index"), F.coalesce("native_next_action", F.lit("INVALID")).alias("native_next_action"), F.lit(NO_EVIDENCE).alias("context"))
     return first.unionByName(later).withColumns({
