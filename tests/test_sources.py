@@ -183,6 +183,20 @@ def test_ordered_digests(spark):
         ordered_digest(df.withColumn("id", F.lit(None).cast("string")), "id", ["i"]).collect()
 
 
+def test_reports_go_where_spark_writes(spark, tmp_path):
+    report = {"b": {"x": 1.5, "a": "ü"}, "a": [1, None]}
+    for session in (None, spark):
+        for name in ("r.json", "r.md"):
+            (tmp_path / name).unlink(missing_ok=True)
+            (tmp_path / f".{name}.crc").unlink(missing_ok=True)
+        jsonl.write_report(report, str(tmp_path / "r.json"), session)
+        jsonl.write_markdown(report, str(tmp_path / "r.md"), "T", session)
+        assert json.loads((tmp_path / "r.json").read_text("utf-8")) == report
+        assert (tmp_path / "r.md").read_text("utf-8") == "# T\n- a: [1, None]\n\n## b\n\n- a: ü\n- x: 1.5\n"
+    with pytest.raises(ValueError):
+        jsonl.write_report({"x": float("nan")}, str(tmp_path / "r.json"), spark)
+
+
 def test_named_sources():
     assert jsonl.named_sources(["a=x", "b=y=z"]) == {"a": "x", "b": "y=z"}
     with pytest.raises(ValueError):

@@ -169,14 +169,26 @@ def append_log(df: DataFrame, path: str) -> None:
     _records(df).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def write_report(report: dict, path: str) -> None:
+def _write_text(path: str, text: str, spark: SparkSession | None) -> None:
+    """A small text; with a session into any store that Spark writes to, else on this machine."""
+    if spark is None:
+        with open(path, "w", encoding="utf-8") as out:
+            out.write(text)
+        return
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_report(report: dict, path: str, spark: SparkSession | None = None) -> None:
     """A small report, indented, keys sorted, overwriting."""
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(report, out, ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False)
-        out.write("\n")
+    _write_text(path, json.dumps(report, ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False) + "\n", spark)
 
 
-def write_markdown(report: dict, path: str, title: str) -> None:
+def write_markdown(report: dict, path: str, title: str, spark: SparkSession | None = None) -> None:
     """A report as headings and lists."""
 
     def lines(node, depth: int):
@@ -187,8 +199,7 @@ def write_markdown(report: dict, path: str, title: str) -> None:
             else:
                 yield f"- {k}: {node[k]}"
 
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("\n".join([f"# {title}", *lines(report, 2)]) + "\n")
+    _write_text(path, "\n".join([f"# {title}", *lines(report, 2)]) + "\n", spark)
 
 
 def guard_outputs(*paths: str) -> None:
