@@ -115,11 +115,17 @@ def high_confidence_truth(states: DataFrame, natives: DataFrame) -> DataFrame:
 
 
 def last_reachable(states: DataFrame, budgets: int = 4) -> DataFrame:
-    """For budgets 0 .. ``budgets``: the state at that list position, else the last."""
-    sorted_states = states.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("state_index", "em", "f1"))).alias("s"))
-    spread = sorted_states.withColumn("budget", F.explode(F.sequence(F.lit(0), F.lit(budgets))))
-    at = F.least(F.col("budget") + 1, F.size("s"))
-    return spread.select("question_id", F.col("budget").cast("long").alias("budget"), F.element_at("s", at)["state_index"].alias("state_index"), F.element_at("s", at)["em"].alias("em"), F.element_at("s", at)["f1"].alias("f1"), (F.size("s") > F.col("budget")).alias("covered"))
+    """For budgets 0 .. ``budgets``: the state at that list position, else the last.
+
+    States are numbered within their question; sums keep one state a budget,
+    however many a question has.
+    """
+    numbered = states.withColumn("_k", F.row_number().over(Window.partitionBy("question_id").orderBy("state_index", "em", "f1")) - 1)
+    state = F.struct("state_index", "em", "f1")
+    at = lambda b: F.max_by(state, F.when(F.col("_k") <= b, F.col("_k"))).alias(f"s{b}")
+    each = numbered.groupBy("question_id").agg(F.max("_k").alias("top"), *(at(b) for b in range(budgets + 1)))
+    rows = F.explode(F.array(*(F.struct(F.lit(b).cast("long").alias("budget"), F.col(f"s{b}").alias("s")) for b in range(budgets + 1))))
+    return each.select("question_id", "top", rows.alias("r")).select("question_id", "r.budget", "r.s.state_index", "r.s.em", "r.s.f1", (F.col("top") >= F.col("r.budget")).alias("covered"))
 
 
 def first_candidate(trajectories: DataFrame) -> DataFrame:
