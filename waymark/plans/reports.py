@@ -82,7 +82,7 @@ def bound_run_audit(spark, sf_dir):
     return audits.bound_judge_run(*_log(spark, sf_dir), "user_id")
 
 
-@query("run_parse_rates", f"""WITH {RUNS} SELECT u.user_id, coalesce(parsed, 0) AS parsed, coalesce(total, 0) AS total, CASE WHEN u.f = 4 THEN 1 ELSE 0 END AS errors, CASE WHEN u.f = 3 THEN 0 WHEN u.f = 2 THEN 2 ELSE 1 END AS completed,
+@query("run_parse_rates", f"""WITH {RUNS} SELECT u.user_id, coalesce(parsed, 0) AS parsed, coalesce(total, 0) AS total, CAST(CASE WHEN u.f = 4 THEN 1 ELSE 0 END AS BIGINT) AS errors, CAST(CASE WHEN u.f = 3 THEN 0 WHEN u.f = 2 THEN 2 ELSE 1 END AS BIGINT) AS completed,
   round(CASE WHEN coalesce(total, 0) = 0 THEN 0 ELSE parsed / total::DOUBLE END, 9) AS rate FROM u LEFT JOIN (SELECT user_id, count(*) FILTER (event_id % 4 <> 0) AS parsed, count(*) AS total FROM results GROUP BY 1) USING (user_id)""")
 def run_parse_rates(spark, sf_dir):
     return rounded(audits.run_summary(_log(spark, sf_dir)[0], "user_id"))
