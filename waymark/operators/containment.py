@@ -48,12 +48,25 @@ def running(data: np.ndarray) -> np.ndarray:
     return np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters)))
 
 
-def fingerprints(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Of the windows of ``size`` bytes that begin at some places."""
-    x = (sums[at + size] - sums[at]) * _table(len(sums))[1][at] + np.uint64(size * 0xD6E8FEB86659FD93 % 2**64)
+def _spread(x: np.ndarray, size: int) -> np.ndarray:
+    x += np.uint64(size * 0xD6E8FEB86659FD93 % 2**64)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0x9FB21C651E98DF25)
-    return x ^ (x >> np.uint64(28))
+    x ^= x >> np.uint64(28)
+    return x
+
+
+def fingerprints(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Of the windows of ``size`` bytes that begin at some places."""
+    return _spread((sums[at + size] - sums[at]) * _table(len(sums))[1][at], size)
+
+
+def all_fingerprints(sums: np.ndarray, size: int) -> np.ndarray:
+    """Of all windows of ``size`` bytes, in order."""
+    n = max(0, len(sums) - size)
+    x = sums[size:] - sums[:n]
+    x *= _table(len(sums))[1][:n]
+    return _spread(x, size)
 
 
 def first_size(n: int) -> int:
@@ -95,15 +108,16 @@ def _passing(words: np.ndarray, prints: np.ndarray) -> np.ndarray:
 
 def places(data: np.ndarray, edges: np.ndarray, sizes: list[int], words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``size``, places and fingerprints that pass the filter; no window crosses an edge between texts."""
-    sums, every = running(data), np.arange(len(data))
+    sums = running(data)
     end = np.repeat(edges[1:], np.diff(edges))  # where each byte's text ends
     longer = None
     for size in sizes:
         if size <= SHORT or longer is None:
-            at = every[every + min(size, SHORT) <= end]
-            found = fingerprints(sums, at, min(size, SHORT))
-            keep = _passing(words, found)
-            at, found = at[keep], found[keep]
+            first = min(size, SHORT)
+            found = all_fingerprints(sums, first)
+            at = np.flatnonzero(_passing(words, found))
+            at = at[at + first <= end[at]]
+            found = found[at]
             if size >= SHORT:
                 longer = at
         if size > SHORT:
