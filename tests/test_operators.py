@@ -221,6 +221,41 @@ def test_exact_three_and_precision_in_many_tasks(spark, monkeypatch):
     assert (r.estimate, r.low, r.high) == want
 
 
+@pytest.mark.parametrize("packed, kept, picked", [(16, 1, 50), (16, 1 << 20, 10), (1000, 1 << 20, 1000)])
+def test_exact_bootstraps_in_blocks(spark, monkeypatch, packed, kept, picked):
+    for name, value in (("RAW_BLOCK", 700), ("PACKED", packed), ("KEPT", kept), ("PICKED", picked)):
+        monkeypatch.setattr(resample, name, value)
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(2), rng.randrange(3), rng.randrange(4)) for i in range(41)]
+    df = spark.createDataFrame(rows, "question_id long, quality int, avoidable int, native int").repartition(4)
+    want = {k: v for k, *v in resample.exact_three(np.array(rows, float)[:, 1:], 60, 5)}
+    assert {r.metric: [r.estimate, r.low, r.high] for r in resample.exact_three_intervals(df, 60, 5).collect()} == want
+    many = [("a", i, rng.random()) for i in range(300)]  # too many values for a byte
+    r = resample.exact_paired(spark.createDataFrame(many, "comparison string, question_id long, em double").repartition(4), {("a", "em"): 6, ("b", "em"): 7}, replicates=60).collect()
+    assert len(r) == 1 and (r[0].estimate, r[0].low, r[0].high) == pytest.approx(resample.exact_bootstrap(np.array([x for *_, x in many]), 60, 6))
+    states = [(q, k, rng.randrange(2), rng.randrange(6) / 4, rng.random()) for q in range(29) for k in range(rng.randint(1, 4))]
+    df = spark.createDataFrame(states, "question_id long, state_index long, truth int, a double, b double").repartition(4)
+    v = np.array(states, float)
+    want = resample.exact_ap_difference(v[:, 0].astype(int), (v[:, 4], v[:, 2].astype(int)), (v[:, 3], v[:, 2].astype(int)), 60, 3)
+    r = resample.exact_ap_interval(df, "a", "b", 60, 3).first()
+    assert (r.estimate, r.low, r.high) == pytest.approx(want, abs=1e-12)
+
+
+def test_exact_bootstraps_take_more_than_two_million_rows(spark):
+    n = 2_000_003
+    i = np.arange(n)
+    df = spark.range(n).select(F.lit("a").alias("comparison"), F.col("id").alias("question_id"), (F.col("id") % 3 - 1).alias("quality"), (F.col("id") % 5).alias("avoidable"), (F.col("id") % 7).alias("native"))
+    values = np.stack((i % 3 - 1, i % 5, i % 7), 1).astype(float)
+    got = {r.metric: [r.estimate, r.low, r.high] for r in resample.exact_three_intervals(df, 4, 5).collect()}
+    assert got == {k: v for k, *v in resample.exact_three(values, 4, 5)}
+    r = resample.exact_paired(df, {("a", "avoidable"): 9}, replicates=4).first()
+    assert (r.estimate, r.low, r.high) == resample.exact_bootstrap(values[:, 1], 4, 9)
+    states = spark.range(n).selectExpr("id % 1000 AS question_id", "id AS state_index", "id % 2 AS truth", "id % 7919 / 7919D AS a", "id % 104729 / 104729D AS b")
+    r = resample.exact_ap_interval(states, "a", "b", 4, 3).first()
+    want = resample.exact_ap_difference(i % 1000, (i % 104729 / 104729, i % 2), (i % 7919 / 7919, i % 2), 4, 3)
+    assert (r.estimate, r.low, r.high) == pytest.approx(want, abs=1e-12)
+
+
 def test_many_distinct_values(spark, monkeypatch):
     rng = np.random.default_rng(0)
     values = [(i, "m", float(x)) for i, x in enumerate(rng.normal(size=900))] + [(1000 + i, "n", 2.0) for i in range(50)]

@@ -18,6 +18,8 @@ import numpy as np
 # Constants of MT19937.
 WORDS, MIDDLE, DEGREE = 624, 397, 19937
 TWIST, UPPER, LOWER = 0x9908B0DF, 0x80000000, 0x7FFFFFFF
+#: Raw numbers made at once.
+PIECE = 1 << 18
 
 
 def first_key(seed: int | str) -> np.ndarray:
@@ -102,16 +104,33 @@ class Picks:
     def __init__(self, n: int, seed: int | str, start: int = 0):
         self.bits = np.random.MT19937()
         self.bits.state = {"bit_generator": "MT19937", "state": {"key": key_after(first_key(seed), start), "pos": WORDS}}
-        self.n, self.shift, self.left = n, 32 - n.bit_length(), np.zeros(0, np.int64)
+        self.words = np.random.Generator(self.bits)
+        self.n, self.shift, self.left = n, np.uint32(32 - n.bit_length()), np.zeros(0, np.int64)
+
+    def _raw(self, raws: int) -> np.ndarray:
+        return self.words.integers(0, 1 << 32, raws, np.uint32)  # over the whole range these are the stream's own words
+
+    def counted(self, raws: int) -> int:
+        """How many picks the next ``raws`` raw numbers make."""
+        return sum(int(np.count_nonzero((self._raw(min(PIECE, raws - a)) >> self.shift) < self.n)) for a in range(0, raws, PIECE))
 
     def accepted(self, raws: int) -> np.ndarray:
         """The picks that the next ``raws`` raw numbers make."""
-        raw = (self.bits.random_raw(raws) >> self.shift).astype(np.int64)
-        return raw[raw < self.n]
+        raw = self._raw(raws)
+        raw >>= self.shift
+        return raw[np.flatnonzero(raw < self.n)].astype(np.int64)
 
     def take(self, k: int) -> np.ndarray:
         """The next ``k`` picks."""
-        while len(self.left) < k:
-            self.left = np.concatenate((self.left, self.accepted(max(1024, int((k - len(self.left)) * 1.2)))))
-        out, self.left = self.left[:k], self.left[k:]
+        parts, held = [self.left], len(self.left)
+        while held < k:
+            parts.append(self.accepted(min(PIECE, max(1024, int((k - held) * 1.2)))))
+            held += len(parts[-1])
+        found = np.concatenate(parts) if len(parts) > 1 else self.left
+        out, self.left = found[:k], found[k:]
         return out
+
+    def skip(self, k: int) -> None:
+        """Leave out ``k`` picks, however many."""
+        for a in range(0, k, PIECE):
+            self.take(min(PIECE, k - a))

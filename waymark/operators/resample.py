@@ -12,9 +12,10 @@ make the weights it needs; states are cut into slices by score, and sums of
 weights are carried from slice to slice, for all replicates at once.
 
 The exact mode replays Python's generator.  Replicates are dealt to tasks, each
-of which enters the one stream where its first replicate begins; so it is as
-parallel as the others but holds all questions in every task, of which there
-may be ``EXACT_QUESTIONS``.
+of which enters the one stream where its first replicate begins.  Questions are
+numbered and packed into blocks in the shared folder, a byte each where they
+have few distinct values; a task reads blocks as it needs them, so neither it
+nor the driver holds a whole table.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.operators.mersenne import Picks
 from waymark.operators.ordered import ordinal
-from waymark.operators.staging import written_once
+from waymark.operators.staging import shared_folder, written_once
 
 # Published numbers of resamples and what is added to the seed
 # (the k-th model is k after these; comparisons of models count from 1).
@@ -39,8 +42,12 @@ SEED_OFFSETS = {("native", "em"): 200, ("native", "searches"): 300, ("model", "e
 DRAWN = 500
 #: Distinct values of a block, roughly.
 BLOCK_VALUES = 5_000
-#: Questions that the exact mode takes, and raw numbers between two known places of its stream.
-EXACT_QUESTIONS, RAW_BLOCK = 2_000_000, 1 << 22
+#: Questions that one raw number of the exact stream can tell apart.
+EXACT_QUESTIONS = (1 << 32) - 1
+#: Raw numbers between two known places of a stream, at least; and such places of a stream, at most.
+RAW_BLOCK, PLACES = 1 << 22, 512
+#: Picks at work at once; rows of a packed block; bytes of blocks, or of counts, that a task keeps.
+PICKED, PACKED, KEPT = 1 << 21, 1_000_000, 1 << 26
 #: States of a slice, and replicates that one pass over a slice weighs.
 SLICE_STATES, WEIGHED = 20_000, 250
 
@@ -381,28 +388,28 @@ def places(spark: SparkSession, streams: list[tuple[int, int]], replicates: int)
     Raw numbers that are too large for n are thrown away, so where a replicate
     begins depends on all before it.  Blocks of raw numbers are counted in
     parallel; a job enters the stream at a block's first raw number and skips
-    ``skip`` picks.  The driver holds one number a block.
+    ``skip`` picks.  The driver holds one number a block, of which a stream has
+    about ``PLACES`` at most.
     """
     known: dict[int, list[int]] = {i: [] for i in range(len(streams))}
     need = {i: replicates * n for i, (n, _) in enumerate(streams)}
+    size = {i: max(RAW_BLOCK, -(-need[i] * 2 ** n.bit_length() // (n * PLACES))) for i, (n, _) in enumerate(streams)}
     while True:
         missing = []
-        for i, (n, _) in enumerate(streams):
+        for i, (n, seed) in enumerate(streams):
             left = need[i] - sum(known[i])
             if left > 0:
-                more = math.ceil((left * 2 ** n.bit_length() / n) * 1.001 / RAW_BLOCK)
-                missing += [(i, len(known[i]) + k) for k in range(more)]
+                more = math.ceil((left * 2 ** n.bit_length() / n) * 1.001 / size[i])
+                missing += [(i, len(known[i]) + k, n, seed, size[i]) for k in range(more)]
         if not missing:
             break
-        sent = list(streams)
 
-        def count(batches, sent=sent):
+        def count(batches):
             for batch in batches:
-                found = [(i, k, len(Picks(*sent[i], k * RAW_BLOCK).accepted(RAW_BLOCK))) for i, k in zip(*(batch.column(c).to_pylist() for c in range(2)))]
+                found = [(i, k, Picks(n, seed, k * raws).counted(raws)) for i, k, n, seed, raws in zip(*(c.to_pylist() for c in batch.columns))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 3, ["stream", "block", "accepted"])
 
-        jobs = spark.createDataFrame(missing, "stream long, block long").repartition(min(len(missing), 1000))
-        for r in jobs.mapInArrow(count, "stream long, block long, accepted long").orderBy("stream", "block").collect():
+        for r in spread(spark, missing, "stream long, block long, n long, seed long, raws long").mapInArrow(count, "stream long, block long, accepted long").orderBy("stream", "block").collect():
             known[r.stream].append(r.accepted)
     out = []
     for i, (n, _) in enumerate(streams):
@@ -410,39 +417,132 @@ def places(spark: SparkSession, streams: list[tuple[int, int]], replicates: int)
         for k, accepted in enumerate(known[i]):
             first, end = math.ceil(before / n), min(replicates, math.ceil((before + accepted) / n))
             if end > first:
-                out.append((i, first, end - first, k * RAW_BLOCK, first * n - before))
+                out.append((i, first, end - first, k * size[i], first * n - before))
             before += accepted
     return out
 
 
+def spread(spark: SparkSession, jobs: list[tuple], schema: str) -> DataFrame:
+    """A frame of a few thousand jobs at most, dealt evenly to tasks."""
+    return spark.createDataFrame(jobs, schema).repartition(max(1, min(len(jobs), 1000)))
+
+
 def replayed(spark: SparkSession, streams: list[tuple[int, int]], replicates: int, values, names: list[str]) -> DataFrame:
     """``stream, replicate`` and the columns ``names``, the same as one task would draw.
 
-    ``values(stream, picks)`` makes a row of numbers for each row of picks, a
-    matrix of a replicate a row.
+    ``values(stream, picks, n, count)`` makes batches of rows of numbers, a row
+    for each of the next ``count`` replicates of n picks.
     """
-    jobs = spark.createDataFrame(places(spark, streams, replicates), "stream long, first long, count long, raw long, skip long")
+    jobs = spread(spark, places(spark, streams, replicates), "stream long, first long, count long, raw long, skip long")
 
     def run(batches):
         for batch in batches:
             for stream, first, count, raw, skip in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 n, seed = streams[stream]
                 picks = Picks(n, seed, raw)
-                picks.take(skip)
-                for a in range(0, count, step := max(1, 2_000_000 // n)):
-                    rows = min(step, count - a)
-                    found = np.asarray(values(stream, picks.take(rows * n).reshape(rows, n)), float).reshape(rows, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, stream)), pa.array(np.arange(first + a, first + a + rows)), *(pa.array(found[:, c]) for c in range(len(names)))], ["stream", "replicate", *names])
+                picks.skip(skip)
+                for found in values(stream, picks, n, count):
+                    found = np.asarray(found, float).reshape(-1, len(names))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), stream)), pa.array(np.arange(first, first + len(found))), *(pa.array(found[:, c]) for c in range(len(names)))], ["stream", "replicate", *names])
+                    first += len(found)
+
+    return jobs.mapInArrow(run, ", ".join(["stream long", "replicate long", *(f"{c} double" for c in names)]))
+
+
+class Blocks:
+    """Packed blocks of one table: ``(rows, file)`` each, in order, a file one row of binary columns.
+
+    They are read in runs of about ``KEPT`` bytes; a task keeps them if one run holds all.
+    """
+
+    def __init__(self, files: list[tuple[int, str]], types: dict[str, str]):
+        self.files, self.types, self.kept = files, types, None
+        most = max(1, KEPT // (PACKED * sum(np.dtype(t).itemsize for t in types.values())))
+        self.runs = [files[a : a + most] for a in range(0, len(files), most)]
 
-    return jobs.repartition(max(1, min(jobs.count(), 1000))).mapInArrow(run, ", ".join(["stream long", "replicate long", *(f"{c} double" for c in names)]))
+    def __reduce__(self):
+        return Blocks, (self.files, self.types)
 
+    def _read(self, run: list[tuple[int, str]]) -> dict[str, np.ndarray]:
+        parts = []
+        for _, path in run:
+            store, name = fs.FileSystem.from_uri(path)
+            with store.open_input_file(name) as file:
+                parts.append(pq.read_table(file, columns=list(self.types)))
+        return {c: np.concatenate([np.frombuffer(x.column(c)[0].as_py(), t) for x in parts]) for c, t in self.types.items()}
 
-def bounded(rows: DataFrame, order: list[str]) -> pd.DataFrame:
-    """All rows in order, for the exact mode; more than ``EXACT_QUESTIONS`` are an error."""
-    found = rows.count()
-    if found > EXACT_QUESTIONS:
-        raise ValueError(f"{found} rows; the exact mode takes {EXACT_QUESTIONS}")
-    return rows.toPandas().sort_values(order, kind="stable", ignore_index=True)
+    def __iter__(self):
+        """``first row, rows, columns`` of each run."""
+        before = 0
+        for run in self.runs:
+            found = self.kept or self._read(run)
+            if len(self.runs) == 1:
+                self.kept = found
+            rows = sum(n for n, _ in run)
+            yield before, rows, found
+            before += rows
+
+
+def packed(rows: DataFrame, by: list[str], order: str, types: dict[str, str]) -> dict[tuple, Blocks]:
+    """``rows`` written as blocks of ``PACKED`` rows in the shared folder, a table for each group of ``by``.
+
+    ``order`` numbers the rows of a group from 0.  The driver holds the names of the files.
+    """
+    spark = rows.sparkSession
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        return pd.DataFrame([(*(part[k].iloc[0] for k in [*by, "block"]), len(part), *(part[c].to_numpy(t).tobytes() for c, t in types.items()))], columns=[*by, "block", "rows", *types])
+
+    kinds = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by), "block long, rows long", *(f"{c} binary" for c in types)])
+    path = shared_folder(spark)
+    blocks = rows.select(*by, order, *types, F.floor(F.col(order) / PACKED).alias("block")).groupBy(*by, "block").applyInPandas(pack, kinds)
+    blocks.write.option("maxRecordsPerFile", 1).parquet(path)
+    found: dict[tuple, list] = {}
+    for r in spark.read.parquet(path).select(*by, "block", "rows", F.input_file_name().alias("file")).collect():
+        found.setdefault(tuple(r[k] for k in by), []).append((r.block, r.rows, r.file))
+    return {k: Blocks([x[1:] for x in sorted(v)], types) for k, v in found.items()}
+
+
+def coded(rows: DataFrame, columns: list[str], code: str) -> tuple[DataFrame, list[str], str, np.ndarray | None]:
+    """``rows``, its columns to pack, their type, and the table of values: a byte a row where 256 combinations of ``columns`` do."""
+    as_doubles = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns})
+    found = as_doubles.select(*columns).distinct().limit(257).collect()
+    if len(found) > 256:
+        return as_doubles, columns, "<f8", None
+    table = sorted(tuple(r) for r in found)
+    names = rows.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(table)], ", ".join([*(f"{c} double" for c in columns), f"{code} int"]))
+    return as_doubles.join(F.broadcast(names), columns), [code], "u1", np.array(table, float).reshape(len(table), len(columns))
+
+
+def picked_sums(blocks: Blocks, columns: list[str], table: np.ndarray | None, picks: Picks, n: int, count: int):
+    """Sums over the next ``count`` replicates of n picks, a batch at a time."""
+
+    def values(held: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+        """Sums of the values at each row of ``at``."""
+        if table is None:
+            return np.stack([held[c].take(at).sum(1) for c in columns], 1)
+        return np.stack([np.bincount(x, minlength=len(table)) for x in held[columns[0]].take(at)]) @ table
+
+    if n <= PICKED and len(blocks.runs) == 1:
+        [(_, _, held)] = blocks
+        for a in range(0, count, step := max(1, PICKED // n)):
+            rows = min(step, count - a)
+            yield values(held, picks.take(rows * n).reshape(rows, n))
+        return
+    for _ in range(count):
+        total = 0
+        for a in range(0, n, PICKED):
+            at = picks.take(min(PICKED, n - a))
+            for first, rows, held in blocks:
+                inside = at if rows == n else at[(at >= first) & (at < first + rows)] - first
+                total = total + values(held, inside[None, :])
+        yield total
+
+
+def checked(sizes: list[int]) -> None:
+    if max(sizes, default=0) > EXACT_QUESTIONS:
+        raise ValueError(f"{max(sizes)} questions; the exact mode takes {EXACT_QUESTIONS}")
 
 
 def exact_paired(rows: DataFrame, seeds: dict[tuple[str, str], int], by: str = "comparison", order: str = "question_id", replicates: int = REPLICATES) -> DataFrame:
@@ -452,50 +552,105 @@ def exact_paired(rows: DataFrame, seeds: dict[tuple[str, str], int], by: str = "
     without a row have no result.
     """
     spark, metrics = rows.sparkSession, list(dict.fromkeys(m for _, m in seeds))
-    table = bounded(rows.select(by, order, *metrics), [by, order])
-    parts = {k: part for k, part in table.groupby(by, sort=True)}
-    named = [(g, m) for g, m in seeds if g in parts]
-    columns = [parts[g][m].to_numpy(float) for g, m in named]
+    numbered = ordinal(rows.where(F.col(by).isNotNull()).select(by, order, *metrics), by, order, name="at")
+    groups = {r[by]: r for r in numbered.groupBy(by).agg(F.min("at").alias("base"), F.count("*").alias("n"), *(F.avg(F.col(m).cast("double")).alias(m) for m in metrics)).collect()}  # a row a group
+    named = [(g, m) for g, m in seeds if g in groups]
     if not named:
         return spark.createDataFrame([], f"{by} string, metric string, estimate double, low double, high double")
-    sent = spark.sparkContext.broadcast(columns)
-    means = replayed(spark, [(len(c), seeds[k]) for c, k in zip(columns, named)], replicates, lambda i, picks: sent.value[i][picks].sum(1) / picks.shape[1], ["value"])
-    what = spark.createDataFrame([(i, *k, float(c.mean())) for i, (k, c) in enumerate(zip(named, columns))], f"stream long, {by} string, metric string, estimate double")
+    checked([r["n"] for r in groups.values()])
+    bases = spark.createDataFrame([(g, r["base"]) for g, r in groups.items()], f"{by} {rows.schema[by].dataType.simpleString()}, base long")
+    own = numbered.join(F.broadcast(bases), by).withColumn("at", F.col("at") - F.col("base"))
+    sent = {}
+    for m in metrics:
+        values, columns, kind, table = coded(own.select(by, "at", m), [m], "code")
+        for (g,), blocks in packed(values, [by], "at", {c: kind for c in columns}).items():
+            sent[g, m] = (blocks, columns, table)
+    means = replayed(spark, [(groups[g]["n"], seeds[g, m]) for g, m in named], replicates, lambda i, picks, n, count: (x / n for x in picked_sums(*sent[named[i]], picks, n, count)), ["value"])
+    what = spark.createDataFrame([(i, g, m, groups[g][m]) for i, (g, m) in enumerate(named)], f"stream long, {by} string, metric string, estimate double")
     return what.join(percentile_rows(means, replicates, by=("stream",)), "stream").drop("stream")
 
 
 def three_of(sums: np.ndarray, n: int) -> np.ndarray:
     """Headroom, avoidable share of searches, mean reduction, a row each of ``sums``."""
+    sums = np.asarray(sums, float).reshape(-1, 3)
     share = np.divide(sums[:, 1], sums[:, 2], out=np.zeros(len(sums)), where=sums[:, 2] != 0)
     return np.stack((sums[:, 0] / n, share, sums[:, 1] / n), 1)
 
 
 def exact_three_intervals(questions: DataFrame, replicates: int = REPLICATES, seed: int = GATE_SEED, order: str = "question_id") -> DataFrame:
     """As ``three_metric_intervals``, by the published stream."""
-    spark, names = questions.sparkSession, ["quality_headroom", "avoidable_search_fraction", "mean_search_reduction"]
-    values = bounded(questions.select(order, "quality", "avoidable", "native"), [order])[["quality", "avoidable", "native"]].to_numpy(float)
-    sent = spark.sparkContext.broadcast(values)
-    drawn = replayed(spark, [(len(values), seed)], replicates, lambda _, picks: three_of(sent.value[picks].sum(1), picks.shape[1]), names)
+    spark, names, columns = questions.sparkSession, ["quality_headroom", "avoidable_search_fraction", "mean_search_reduction"], ["quality", "avoidable", "native"]
+    numbered = ordinal(questions.select(order, *columns), order, name="at")
+    whole = numbered.agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("double")).alias(c) for c in columns)).first()
+    checked([n := whole["n"]])
+    values, held, kind, table = coded(numbered.select("at", *columns), columns, "code")
+    blocks = packed(values, [], "at", {c: kind for c in held})[()]
+    drawn = replayed(spark, [(n, seed)], replicates, lambda _, picks, n, count: (three_of(x, n) for x in picked_sums(blocks, held, table, picks, n, count)), names)
     long = drawn.unpivot(["replicate"], names, "metric", "value")
-    whole = spark.createDataFrame(list(zip(names, three_of(values.sum(0, keepdims=True), len(values))[0].tolist())), "metric string, estimate double")
-    return whole.join(percentile_rows(long, replicates, last_exclusive=False), "metric")
+    estimates = three_of(np.array([[whole[c] for c in columns]], float), n)[0].tolist()
+    return spark.createDataFrame(list(zip(names, estimates)), "metric string, estimate double").join(percentile_rows(long, replicates, last_exclusive=False), "metric")
+
+
+def by_score(states: DataFrame, model: str) -> Blocks:
+    """``states(at, truth)`` and a column of scores as blocks that descend by score; ``last`` marks the end of equal scores."""
+    falling = F.desc_nulls_last(model)
+    ranged = states.select("at", "truth", F.col(model).cast("double").alias(model))
+    numbered = ordinal(ranged, falling, name="place")
+    # the next block's first score tells whether a block ends within equal scores
+    groups = numbered.groupBy(model).agg(F.max("place").alias("place"), F.lit(1).alias("last"))
+    rows = numbered.join(groups.select("place", "last"), "place", "left").withColumn("last", F.coalesce("last", F.lit(0)))
+    return packed(rows, [], "place", {"at": "<i8", "truth": "u1", "last": "u1"})[()]
+
+
+def falling_precision(blocks: Blocks, times: np.ndarray, positives: int) -> float:
+    """``tied_precision`` of the states in ``blocks``, whose questions count ``times``."""
+    value, stops, tp, open_tp = 0.0, 0, 0, 0  # open_tp: positives above the score at work
+    for _, _, held in blocks:
+        each = times.take(held["at"])
+        hits = each * held["truth"]
+        ends = np.flatnonzero(held["last"])
+        if len(ends):
+            starts = np.append(0, ends[:-1] + 1)
+            size = ends[-1] + 1
+            all_stops = stops + np.cumsum(np.add.reduceat(each[:size], starts, dtype=np.int64))
+            all_tp = tp + np.cumsum(np.add.reduceat(hits[:size], starts, dtype=np.int64))
+            value += (np.diff(all_tp, prepend=open_tp) / positives * _share(all_tp, all_stops)).sum()
+            open_tp = all_tp[-1]
+        stops, tp = stops + int(each.sum(dtype=np.int64)), tp + int(hits.sum(dtype=np.int64))
+    return float(value)
+
+
+def falling_gain(better: Blocks, base: Blocks, times: np.ndarray) -> float:
+    positives = sum(int((times.take(held["at"]) * held["truth"]).sum(dtype=np.int64)) for _, _, held in base)
+    return falling_precision(better, times, positives) - falling_precision(base, times, positives) if positives else 0.0
+
+
+def counted_picks(picks: Picks, n: int, count: int):
+    """How often each of n questions is drawn in each of the next ``count`` replicates."""
+    for _ in range(count):
+        times = np.zeros(n, np.uint16)  # a question is not drawn 65,536 times in n draws, or its count is an error
+        for a in range(0, n, PICKED):
+            np.add.at(times, picks.take(min(PICKED, n - a)), np.uint16(1))
+        if int(times.sum(dtype=np.int64)) != n:
+            raise OverflowError("a question was drawn more than 65,535 times")
+        yield times
 
 
 def exact_ap_interval(states: DataFrame, better: str, base: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
     """``metric, estimate, low, high`` of the gain in average precision, by the published stream.
 
     ``states(question_id, state_index, truth)`` and a column of scores for each
-    of the two models.
+    of the two models.  A task holds two bytes a question and streams states.
     """
     spark = states.sparkSession
-    table = bounded(states.select("question_id", "state_index", "truth", better, base), ["question_id", "state_index"])
-    question, truth = table["question_id"].rank(method="dense").to_numpy(int) - 1, table["truth"].to_numpy(int)
-    n = int(question.max()) + 1
-    sent = spark.sparkContext.broadcast((question, (table[base].to_numpy(float), truth), (table[better].to_numpy(float), truth)))
-    one = lambda picks: [gains_of(*sent.value, np.bincount(row, minlength=n)) for row in picks]
-    drawn = replayed(spark, [(n, seed)], replicates, lambda _, picks: one(picks), ["value"]).withColumn("metric", F.lit("average_precision"))
-    estimate = gains_of(*sent.value, np.ones(n, int))
-    return percentile_rows(drawn, replicates).withColumn("estimate", F.lit(estimate)).select("metric", "estimate", "low", "high")
+    questions = ordinal(states.select("question_id").distinct(), "question_id", name="at")
+    n = questions.count()
+    checked([n])
+    numbered = written_once(states.join(questions, "question_id").select("at", "truth", better, base))
+    sent = by_score(numbered, better), by_score(numbered, base)
+    drawn = replayed(spark, [(n, seed)], replicates, lambda _, picks, n, count: ([falling_gain(*sent, times)] for times in counted_picks(picks, n, count)), ["value"]).withColumn("metric", F.lit("average_precision"))
+    whole = spark.range(1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([falling_gain(*sent, np.ones(n, np.uint16))] * b.num_rows, pa.float64())], ["estimate"]) for b in batches), "estimate double")
+    return percentile_rows(drawn, replicates).join(whole).select("metric", "estimate", "low", "high")
 
 
 def comparison_pairs(models: list[str], reference: str = "structured_base") -> list[tuple[str, str]]:
