@@ -280,6 +280,16 @@ def test_weights_are_poisson():
     assert abs(np.corrcoef(w[0].astype(float), w[1].astype(float))[0, 1]) < 0.2 and abs(np.corrcoef(w[:, 0].astype(float), w[:, 1].astype(float))[0, 1]) < 0.08
 
 
+def test_weights_of_four_replicates_share_a_hash(monkeypatch):
+    keys, made = np.arange(500) * 104729, []
+    mixed = resample._mixed
+    monkeypatch.setattr(resample, "_mixed", lambda *a: made.append(out := mixed(*a)) or out)
+    w = resample.weights(keys, 2, 397, 5)
+    assert sum(x.size for x in made) < 0.3 * w.size
+    same = np.abs(np.corrcoef(w.astype(float).T) - np.eye(397))
+    assert same.max() < 0.25 and (resample.weights(keys[7:9], 3, 6, 5) == w[7:9, 1:7]).all()
+
+
 @pytest.mark.parametrize("most", [7, 60, 20_000])
 def test_precision_of_all_replicates_at_once(spark, monkeypatch, most):
     monkeypatch.setattr(resample, "SLICE_STATES", most)

@@ -50,6 +50,8 @@ RAW_BLOCK, PLACES = 1 << 22, 512
 PICKED, PACKED, KEPT = 1 << 21, 1_000_000, 1 << 26
 #: States of a slice, and replicates that one pass over a slice weighs.
 SLICE_STATES, WEIGHED = 20_000, 250
+#: States that are weighed at once; more do not fit the processor's caches.
+AT_ONCE = 1024
 
 
 def seed_schedule(models: list[str], seed: int, reference: str = "structured_base") -> dict[tuple[str, str], int]:
@@ -165,17 +167,25 @@ def weights(questions: np.ndarray, first: int, count: int, seed: int) -> np.ndar
     alone.  Their sum differs from n by chance, which a ratio such as precision
     does not see.
     """
-    x = questions.astype(np.int64).view(np.uint64)[:, None] + np.uint64(seed * 0xD1342543DE82EF95 % 2**64)
-    x = x + (np.arange(first + 1, first + count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    low, high = first // 4, -(-(first + count) // 4)  # 64 bits hold the leading 16 of four replicates
+    bits = _mixed(questions[:, None], np.arange(low, high)[None, :], 2 * seed).astype("<u8", copy=False).view("<u2")[:, first - 4 * low : first - 4 * low + count]
+    out = _BY_BITS.take(bits)
+    row, column = np.nonzero(out == 255)
+    more = _mixed(questions[row], column + first, 2 * seed + 1) >> np.uint64(16)
+    out[row, column] = np.searchsorted(_UPTO, bits[row, column].astype(np.uint64) << np.uint64(48) | more, side="left")
+    return out
+
+
+def _mixed(key: np.ndarray, count: np.ndarray, seed: int) -> np.ndarray:
+    """64 random bits for each key and count."""
+    x = key.astype(np.int64).view(np.uint64) + np.uint64(seed * 0xD1342543DE82EF95 % 2**64)
+    x = x + (count + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
-    out = _BY_BITS[x >> np.uint64(48)]
-    open_ones = out == 255
-    out[open_ones] = np.searchsorted(_UPTO, x[open_ones], side="left")
-    return out
+    return x
 
 
 def _batches(replicates: int) -> list[tuple[int, int]]:
@@ -223,10 +233,10 @@ def weighed_precision(states: DataFrame, replicates: int, seed: int) -> DataFram
             for first, count in _batches(replicates):
                 w = np.zeros(count, np.int64)
                 p = np.zeros(count, np.int64)
-                for a in range(0, len(keys), 4096):
-                    each = weights(keys[a : a + 4096], first, count, seed)
-                    w += each.sum(0, dtype=np.int64)
-                    p += each[truth[a : a + 4096] == 1].sum(0, dtype=np.int64)
+                for a in range(0, len(keys), AT_ONCE):
+                    each = weights(keys[a : a + AT_ONCE], first, count, seed)
+                    w += each.sum(0, dtype=np.uint32)
+                    p += each[truth[a : a + AT_ONCE] == 1].sum(0, dtype=np.uint32)
                 out.append((held["model"].iloc[0], held["slice"].iloc[0], segment, held["hot"].iloc[0], held["score"].max(), first, w, p))
         return pd.DataFrame(out, columns=["model", "slice", "segment", "hot", "top", "first", "w", "p"])
 
@@ -266,18 +276,21 @@ def weighed_precision(states: DataFrame, replicates: int, seed: int) -> DataFram
             for row in above[above["segment"] == segment].to_dict("records"):
                 first, stops, tp, positives = int(row["first"]), np.array(row["w"]), np.array(row["p"]), np.array(row["positives"])
                 value, own = np.zeros(len(stops)), np.zeros(len(stops), np.int64)  # own: positives of the score so far
-                for a in range(0, len(keys), 4096):
-                    each = weights(keys[a : a + 4096], first, len(stops), seed).astype(np.int64)
-                    hits = each * truth[a : a + 4096, None]
-                    all_stops, all_tp = stops + np.cumsum(each, 0), tp + np.cumsum(hits, 0)
-                    ends = np.flatnonzero(last[a : a + 4096])
-                    if len(ends):
-                        gained = np.diff(all_tp[ends], axis=0, prepend=(tp - own)[None, :])
-                        value += (_share(gained, positives[None, :]) * _share(all_tp[ends], all_stops[ends])).sum(0)
-                        own = all_tp[-1] - all_tp[ends[-1]]
-                    else:
-                        own = own + hits.sum(0)
-                    stops, tp = all_stops[-1], all_tp[-1]
+                for a in range(0, len(keys), AT_ONCE):
+                    each = weights(keys[a : a + AT_ONCE], first, len(stops), seed)
+                    hits = each * truth[a : a + AT_ONCE, None].astype(np.uint8)
+                    ends = np.flatnonzero(last[a : a + AT_ONCE])
+                    done = ends[-1] + 1 if len(ends) else 0
+                    if done:  # equal scores are added up before anything is divided
+                        starts = np.append(0, ends[:-1] + 1)
+                        added, gained = (np.add.reduceat(x[:done], starts, axis=0, dtype=np.int64) for x in (each, hits))
+                        all_stops, all_tp = stops + np.cumsum(added, 0), tp + np.cumsum(gained, 0)
+                        gained[0] += own
+                        value += np.einsum("ij,ij->j", gained, all_tp / np.maximum(all_stops, 1))
+                        stops, tp, own = all_stops[-1], all_tp[-1], 0
+                    more = hits[done:].sum(0, dtype=np.int64)
+                    stops, tp, own = stops + each[done:].sum(0, dtype=np.int64), tp + more, own + more
+                value = _share(value, positives)
                 out.append((held["model"].iloc[0], first, value))
         return pd.DataFrame(out, columns=["model", "first", "value"])
 
