@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -597,3 +598,26 @@ def test_records_round_trip(spark, tmp_path, monkeypatch):
         records.parse(data[: one["offset"] + 14] + b"\xff\xff\xff" + data[one["offset"] + 17 :], one["offset"])
     write_records(df.limit(0), str(tmp_path / "none"), P.path("word_bpe_49k.json"), 2)
     assert read_records(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_join_frees_what_the_worker_remembers(spark):
+    from waymark.llm import ngram_join
+
+    docs = spark.createDataFrame([(i, "one two three four") for i in range(8)], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        from waymark.llm import common
+
+        common._resident[("another", "operator")] = {}
+        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - (("another", "operator") in common._resident)]), pa.array([""])], ["doc_id", "text"])
+
+    def kept(batches):
+        from waymark.llm import common
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([str(sorted(common._resident))] * batch.num_rows)], ["kept"])
+
+    assert docs.mapInArrow(held, docs.schema).where("doc_id = -2").count() == 1
+    assert ngram_join.profiles(docs, "doc_id", "text", 3, 90, 100).count() == 8
+    assert "another" not in {r.kept for r in docs.mapInArrow(kept, "kept string").collect()}.pop()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, discard, sifted, small_batches, staged, without
+from .common import byte_slices, discard, resident, sifted, small_batches, staged, without
 from .components import components
 from .wordhash import PLACES, mix, shingle_hashes, word_hashes
 
@@ -47,6 +47,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """``word`` (hash), ``n`` of the words with ``n >= LEAST_COUNT``."""
 
     def count(batches):
+        resident(("ngram_join",), dict)  # what an operator before this one remembers goes
         held: list[np.ndarray] = []
 
         def closed():
@@ -115,6 +116,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
         return np.where(known[at] == hashes, counts[at], 0)
 
     def profile(batches):
+        resident(("ngram_join",), dict)
         for whole in batches:
             for batch in byte_slices(whole, "text", GROUP_BYTES):
                 words, edges = word_hashes(batch.column(1))
@@ -224,6 +226,7 @@ def links(places: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Edges ``a, b`` found in every place; its rows come in one run of a task."""
 
     def run(batches):
+        resident(("ngram_join",), dict)
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         held: list[pa.RecordBatch] = []
 
