@@ -53,6 +53,14 @@ def masked(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+def lower_letters(word: bytes) -> bool:
+    """Whether a word is lower Latin letters only, which neither compose nor end within the word."""
+    if word.isascii():
+        return word.isalpha() and word.islower()
+    text = word.decode()
+    return max(text) < "\u0250" and text.isalpha() and text.islower()
+
+
 class Encoder:
     """Encodes white-space separated words; lives as long as its worker."""
 
@@ -87,21 +95,32 @@ class Encoder:
         return word, b""
 
     def learn(self, unseen: set[bytes]) -> None:
-        parts = {w: self._parts(w) for w in unseen}
-        new = {p for both in parts.values() for p in both if p}.difference(self.known)
-        letters = [p for p in new if p.isalpha() and p.islower()]
-        for i in range(0, len(letters), 5000):
-            self._learn_letters(letters[i : i + 5000])
-        rest = list(new.difference(self.known))
+        letters, parts, cut = set(), set(), []
+        for w in unseen:
+            if w.isalpha() and w.islower():
+                letters.add(w)
+                continue
+            core, marks = self._parts(w)
+            parts.add(core)
+            if marks:
+                parts.add(marks)
+            if core != w:
+                cut += w, core, marks
+        parts.difference_update(self.known)
+        letters.update(filter(lower_letters, parts))
+        new = [w for w in letters if w not in self.known]
+        for i in range(0, len(new), 5000):
+            self._learn_letters(new[i : i + 5000])
+        rest = list((parts | letters).difference(self.known))
         for i in range(0, len(rest), 20_000):
             batch = rest[i : i + 20_000]
             for p, e in zip(batch, self.tokenizer.encode_batch_fast([p.decode() for p in batch], add_special_tokens=False)):
                 self.known[p] = array(self.code, e.ids).tobytes()
-        for w, (core, marks) in parts.items():
+        for w, core, marks in zip(*[iter(cut)] * 3):
             self.known[w] = self.known[core] + self.known[marks] if marks else self.known[core]
 
     def _learn_letters(self, words: list[bytes]) -> None:
-        """Encode words of ASCII letters as one text and cut it where words end."""
+        """Encode words of lower letters as one text and cut it where words end."""
         text = b" ".join(words).decode()
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.dtype(self.code))
         cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.width
@@ -115,9 +134,10 @@ class Encoder:
         """Token ids of each text and the end id, as bytes.
 
         The tokenizer's pre-tokens never hold white space, so words between
-        ASCII white space can be encoded one by one.
+        ASCII white space can be encoded one by one.  Case does not matter to
+        them, but in special strings.
         """
-        split = [t.split() if t else [] for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         used = set().union(*split)
         unseen = used.difference(self.known)
         if unseen:
