@@ -256,6 +256,36 @@ def test_exact_bootstraps_take_more_than_two_million_rows(spark):
     assert (r.estimate, r.low, r.high) == pytest.approx(want, abs=1e-12)
 
 
+def test_lanes_are_places_of_one_stream():
+    n, seed, stride = 1000, 77, 3 * 624
+    raw = mersenne.Picks(n, seed).bits.random_raw(624 + 6 * stride).astype(np.uint32) >> np.uint32(22)
+    lanes = mersenne.Lanes(n, seed, 624, stride, 5)
+    got = np.concatenate([lanes.next().copy() for _ in range(3)])
+    for k in range(5):
+        assert (got[:, k] == raw[624 + k * stride : 624 + (k + 1) * stride]).all()
+
+
+@pytest.mark.parametrize("n, kind", [(1, int), (64, int), (300, float), (5000, int)])
+def test_lanes_sum_what_the_stream_draws(n, kind):
+    """Replicates that end in a block, cross blocks, or hold several; whole numbers beyond a small range are added up as they are."""
+    size, replicates, rng = 624 * 4, 30_000 // n + 1, np.random.default_rng(n)
+    held = np.append(rng.integers(0, 251, n).astype(np.uint8), np.uint8(0)) if kind is int else np.append(rng.random(n), 0.0)
+    counts = [mersenne.Picks(n, 5, k * size).counted(size) for k in range(40)]
+    before = np.cumsum([0, *counts]).tolist()
+    total = np.zeros(replicates)
+    for a in range(0, 40, 8):
+        found, sums = resample.lane_sums([(held, -3, 250) if kind is int else (held, 0, 0)], n, 5, size, a, before[a : a + 8])
+        np.add.at(total, found[found < replicates], sums[found < replicates, 0])
+    picks = mersenne.Picks(n, 5)
+    want = [sum(float(held[p]) - (3 if kind is int else 0) for p in picks.take(n)) for _ in range(replicates)]
+    assert before[-1] >= n * replicates and total == pytest.approx(want, abs=1e-9 if kind is float else 0)
+
+
+def test_sums_of_small_numbers_do_not_overflow():
+    x = np.full((624, 3), 255, np.uint8)
+    assert resample.folded(x, 255).tolist() == [624 * 255] * 3
+
+
 def test_many_distinct_values(spark, monkeypatch):
     rng = np.random.default_rng(0)
     values = [(i, "m", float(x)) for i, x in enumerate(rng.normal(size=900))] + [(1000 + i, "n", 2.0) for i in range(50)]

@@ -28,8 +28,8 @@ def first_key(seed: int | str) -> np.ndarray:
 
 
 def words(key: np.ndarray, n: int) -> np.ndarray:
-    """The first ``n`` words of the recurrence, the key included."""
-    out = np.empty(max(n, WORDS), np.uint32)
+    """The first ``n`` words of the recurrence, the key included; of many keys at once if each is a column."""
+    out = np.empty((max(n, WORDS), *key.shape[1:]), np.uint32)
     out[:WORDS] = key
     at = WORDS
     while at < n:
@@ -83,11 +83,11 @@ def power(steps: int) -> int:
 
 
 def key_after(key: np.ndarray, steps: int) -> np.ndarray:
-    """The key ``steps`` words further on; of its first word only the top bit counts."""
+    """The key, or each column's, ``steps`` words further on; of its first word only the top bit counts."""
     if not steps:
         return key
     ahead = words(key, DEGREE + WORDS)
-    out = np.zeros(WORDS, np.uint32)
+    out = np.zeros_like(key)
     raw = np.frombuffer(power(steps).to_bytes(DEGREE // 8 + 1, "little"), np.uint8)
     for k in np.flatnonzero(np.unpackbits(raw, bitorder="little")):
         out ^= ahead[k : k + WORDS]
@@ -134,3 +134,52 @@ class Picks:
         """Leave out ``k`` picks, however many."""
         for a in range(0, k, PIECE):
             self.take(min(PIECE, k - a))
+
+
+def _fixed(*values: int) -> list[np.ndarray]:
+    return [np.array(v, np.uint32) for v in values]
+
+
+class Lanes:
+    """The raw numbers at many evenly spaced places of one stream, a column a place.
+
+    numpy's generator makes one number at a time; here a step of the recurrence
+    is taken at all places at once, which takes half the time or less.
+    """
+
+    def __init__(self, n: int, seed: int | str, start: int, stride: int, lanes: int):
+        key = key_after(first_key(seed), start)[:, None]
+        while (have := key.shape[1]) < lanes:
+            key = np.concatenate((key, key_after(np.ascontiguousarray(key[:, : lanes - have]), have * stride)), 1)
+        self.state = np.concatenate((key, key[:1]))  # the first word stands at the end again
+        self.out = np.empty((WORDS, lanes), np.uint32)
+        self.scratch = np.empty((2, WORDS - MIDDLE, lanes), np.uint32)
+        self.shift = np.array(32 - n.bit_length(), np.uint32)
+
+    def next(self) -> np.ndarray:
+        """The next ``WORDS`` raw numbers of each place, cut to the bits of n; overwritten by the next call."""
+        upper, twist, one, mask_b, mask_c, s7, s11, s15, s18 = _fixed(UPPER, TWIST, 1, 0x9D2C5680, 0xEFC60000, 7, 11, 15, 18)
+        s = self.state
+        for a, end, far in ((0, 227, 397), (227, 454, 0), (454, WORDS, 227)):
+            x, y = self.scratch[:, : end - a]
+            np.bitwise_xor(s[a:end], s[a + 1 : end + 1], x)
+            np.bitwise_and(x, upper, x)
+            np.bitwise_xor(x, s[a + 1 : end + 1], x)
+            np.bitwise_and(x, one, y)
+            np.multiply(y, twist, y)
+            np.right_shift(x, one, x)
+            np.bitwise_xor(x, y, x)
+            np.bitwise_xor(s[far : far + end - a], x, s[a:end])
+            if not a:
+                s[WORDS] = s[0]
+            out = self.out[a:end]  # tempered while the words are in the cache
+            np.right_shift(s[a:end], s11, x)
+            np.bitwise_xor(s[a:end], x, out)
+            for by, mask in ((s7, mask_b), (s15, mask_c)):
+                np.left_shift(out, by, x)
+                np.bitwise_and(x, mask, x)
+                np.bitwise_xor(out, x, out)
+            np.right_shift(out, s18, x)
+            np.bitwise_xor(out, x, out)
+            np.right_shift(out, self.shift, out)
+        return self.out

@@ -11,11 +11,14 @@ replicate is a function of the two (a counter-based generator), so any task can
 make the weights it needs; states are cut into slices by score, and sums of
 weights are carried from slice to slice, for all replicates at once.
 
-The exact mode replays Python's generator.  Replicates are dealt to tasks, each
-of which enters the one stream where its first replicate begins.  Questions are
-numbered and packed into blocks in the shared folder, a byte each where they
-have few distinct values; a task reads blocks as it needs them, so neither it
-nor the driver holds a whole table.
+The exact mode replays Python's generator.  The one stream is cut into blocks of
+raw numbers, and how many of these make picks is counted first.  Sums add up:
+a task works on many blocks side by side and hands on what each holds of each
+replicate.  Precision needs whole replicates: a task enters the stream where its
+first one begins, and makes several side by side.  Questions are numbered and
+packed into blocks in the shared folder, a byte each where they have few distinct
+values; a task reads blocks as it needs them, so neither it nor the driver holds
+a whole table.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.operators.mersenne import Picks
+from waymark.operators.mersenne import WORDS, Lanes, Picks
 from waymark.operators.ordered import ordinal
 from waymark.operators.staging import shared_folder, written_once
 
@@ -44,10 +47,14 @@ DRAWN = 500
 BLOCK_VALUES = 5_000
 #: Questions that one raw number of the exact stream can tell apart.
 EXACT_QUESTIONS = (1 << 32) - 1
-#: Raw numbers between two known places of a stream, at least; and such places of a stream, at most.
-RAW_BLOCK, PLACES = 1 << 22, 512
+#: Raw numbers between two known places of a stream, at least; such places of a stream, roughly; jobs that enter it, at most.
+RAW_BLOCK, PLACES, ENTRIES = 1 << 20, 4096, 512
+#: Places of a stream that a task works on side by side.
+LANES = 128
 #: Picks at work at once; rows of a packed block; bytes of blocks, or of counts, that a task keeps.
 PICKED, PACKED, KEPT = 1 << 21, 1_000_000, 1 << 26
+#: Replicates of precision that a task weighs side by side; states that it weighs at once; states summed in 16 bits.
+ABREAST, STATES, SHORT = 32, 1 << 15, 256
 #: States of a slice, and replicates that one pass over a slice weighs.
 SLICE_STATES, WEIGHED = 20_000, 250
 #: States that are weighed at once; more do not fit the processor's caches.
@@ -395,43 +402,60 @@ def exact_ap_difference(question: np.ndarray, base: tuple[np.ndarray, np.ndarray
     return gains_of(question, base, better, np.ones(n, int)), *percentiles(drawn)
 
 
-def places(spark: SparkSession, streams: list[tuple[int, int]], replicates: int) -> list[tuple[int, int, int, int, int]]:
-    """Jobs ``(stream, first, count, raw, skip)`` that make all replicates of ``streams`` (n, seed).
+def folded(x: np.ndarray, most: int) -> np.ndarray:
+    """Sums of the columns of numbers up to ``most``; halves are added first, in their own small type."""
+    while len(x) % 2 == 0:
+        if (most := 2 * most) > np.iinfo(x.dtype).max:
+            x = x.astype(np.uint32)
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    return x.sum(0, dtype=np.int64)
+
+
+def accepted(spark: SparkSession, streams: list[tuple[int, int]], replicates: int) -> list[tuple[int, list[int]]]:
+    """Raw numbers of a block, and the picks that each block makes, for all replicates of each of ``streams`` (n, seed).
 
     Raw numbers that are too large for n are thrown away, so where a replicate
-    begins depends on all before it.  Blocks of raw numbers are counted in
-    parallel; a job enters the stream at a block's first raw number and skips
-    ``skip`` picks.  The driver holds one number a block, of which a stream has
-    about ``PLACES`` at most.
+    begins depends on all before it.  Blocks are counted in parallel; the driver
+    holds one number a block, of which a stream has a few thousand.
     """
-    known: dict[int, list[int]] = {i: [] for i in range(len(streams))}
-    need = {i: replicates * n for i, (n, _) in enumerate(streams)}
-    size = {i: max(RAW_BLOCK, -(-need[i] * 2 ** n.bit_length() // (n * PLACES))) for i, (n, _) in enumerate(streams)}
+    known: list[list[int]] = [[] for _ in streams]
+    raws = [replicates * n * 2 ** n.bit_length() // n for n, _ in streams]
+    size = [-(-max(RAW_BLOCK, min(16 * RAW_BLOCK, r // PLACES), r // (4 * PLACES)) // WORDS) * WORDS for r in raws]
     while True:
         missing = []
         for i, (n, seed) in enumerate(streams):
-            left = need[i] - sum(known[i])
+            left = replicates * n - sum(known[i])
             if left > 0:
                 more = math.ceil((left * 2 ** n.bit_length() / n) * 1.001 / size[i])
-                missing += [(i, len(known[i]) + k, n, seed, size[i]) for k in range(more)]
+                missing += [(i, len(known[i]) + k, min(LANES, more - k)) for k in range(0, more, LANES)]
         if not missing:
-            break
+            return list(zip(size, known))
 
         def count(batches):
             for batch in batches:
-                found = [(i, k, Picks(n, seed, k * raws).counted(raws)) for i, k, n, seed, raws in zip(*(c.to_pylist() for c in batch.columns))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 3, ["stream", "block", "accepted"])
+                for i, block, lanes in zip(*(c.to_pylist() for c in batch.columns)):
+                    n, stream = streams[i][0], Lanes(*streams[i], block * size[i], size[i], lanes)
+                    found = sum(folded((stream.next() < n).view(np.uint8), 1) for _ in range(size[i] // WORDS))
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * lanes, pa.int64()), pa.array(range(block, block + lanes), pa.int64()), pa.array(found)], ["stream", "block", "accepted"])
 
-        for r in spread(spark, missing, "stream long, block long, n long, seed long, raws long").mapInArrow(count, "stream long, block long, accepted long").orderBy("stream", "block").collect():
+        for r in spread(spark, missing, "stream long, block long, lanes long").mapInArrow(count, "stream long, block long, accepted long").orderBy("stream", "block").collect():
             known[r.stream].append(r.accepted)
+
+
+def places(spark: SparkSession, streams: list[tuple[int, int]], replicates: int) -> list[tuple[int, int, int, int, int]]:
+    """Jobs ``(stream, first, count, raw, skip)`` that make all replicates of ``streams`` (n, seed).
+
+    A job enters the stream at a block's first raw number and skips ``skip`` picks.
+    """
     out = []
-    for i, (n, _) in enumerate(streams):
-        before = 0
-        for k, accepted in enumerate(known[i]):
-            first, end = math.ceil(before / n), min(replicates, math.ceil((before + accepted) / n))
+    for i, (size, known) in enumerate(accepted(spark, streams, replicates)):
+        n, before, entries = streams[i][0], 0, max(1, min(ENTRIES, replicates // (ABREAST // 2)))
+        for a in range(0, len(known), step := -(-len(known) // entries)):
+            held = sum(known[a : a + step])
+            first, end = math.ceil(before / n), min(replicates, math.ceil((before + held) / n))
             if end > first:
-                out.append((i, first, end - first, k * size[i], first * n - before))
-            before += accepted
+                out.append((i, first, end - first, a * size, first * n - before))
+            before += held
     return out
 
 
@@ -553,6 +577,81 @@ def picked_sums(blocks: Blocks, columns: list[str], table: np.ndarray | None, pi
         yield total
 
 
+def pickable(blocks: Blocks, columns: list[str], table: np.ndarray | None) -> list[tuple[np.ndarray, int, int]]:
+    """An array a column, a number that is added to it, and its largest: bytes if they can hold the column.
+
+    A 0 follows the last row, which stands for raw numbers that are no picks.
+    """
+    runs = [held for _, _, held in blocks]
+    held = {c: np.concatenate([x[c] for x in runs]) for c in columns}
+    out = []
+    for k, c in enumerate(columns if table is None else range(table.shape[1])):
+        found = held[c] if table is None else table[:, k]
+        low = found.min()
+        if np.isfinite(found).all() and (found == np.rint(found)).all() and found.max() - low <= 255 and abs(low) < 1 << 52:
+            found, low = (found - low).astype(np.uint8), int(low)
+        else:
+            low = 0
+        most = int(found.max()) if found.dtype == np.uint8 else 0
+        out.append((np.append(found if table is None else found.take(held[columns[0]]), found.dtype.type(0)), low, most))
+    return out
+
+
+def lane_sums(values: list[tuple[np.ndarray, int, int]], n: int, seed: int, size: int, block: int, before: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """What some blocks of a stream, from ``block`` on, hold of each replicate: replicates, and a row of sums for each.
+
+    ``before`` tells how many picks the blocks before each of them make.
+    """
+    stream, lanes = Lanes(n, seed, block * size, size, len(before)), len(before)
+    at, index = np.array(before, np.int64), np.empty((WORDS, lanes), np.int64)
+    running = np.zeros((len(values), lanes))
+    replicates, sums = [], []
+    for _ in range(size // WORDS):
+        np.copyto(index, stream.next())
+        inside = stream.out < n
+        picks = folded(inside.view(np.uint8), 1)
+        ends = (at + picks) // n > at // n
+        for k, (held, low, most) in enumerate(values):
+            found = held.take(index, mode="clip")
+            running[k, ~ends] += ((folded(found, most) + low * picks) if most or found.dtype == np.uint8 else found.sum(0))[~ends]
+        for lane in np.flatnonzero(ends):  # replicates end here
+            own = index[inside[:, lane], lane]
+            cuts = np.arange(n - at[lane] % n, picks[lane] + 1, n)
+            parts = np.stack([np.add.reduceat(np.append(held.take(own).astype(float) + low, 0.0), np.append(0, cuts)) for held, low, _ in values], 1)
+            parts[0] += running[:, lane]
+            running[:, lane] = parts[-1]
+            replicates.append(at[lane] // n + np.arange(len(cuts)))
+            sums.append(parts[:-1])
+        at += picks
+    return np.concatenate([*replicates, at // n]), np.concatenate([*sums, running.T])
+
+
+def replicate_sums(spark: SparkSession, streams: list[tuple[int, int]], replicates: int, sent: list[tuple], names: list[str]) -> DataFrame:
+    """``stream, replicate`` and sums over its picks, the same as one task would draw.
+
+    ``sent`` has blocks, columns and table (see ``coded``) of each stream.
+    Tables that a task cannot keep are read in runs, a replicate at a time.
+    """
+    wide = [len(blocks.runs) > 1 or n * 8 * len(names) > 8 * KEPT for (n, _), (blocks, _, _) in zip(streams, sent)]
+    if any(wide):
+        return replayed(spark, streams, replicates, lambda i, picks, n, count: picked_sums(*sent[i], picks, n, count), names)
+    jobs = []
+    for i, (size, known) in enumerate(accepted(spark, streams, replicates)):
+        before = [0, *np.cumsum(known).tolist()]
+        jobs += [(i, size, k, before[k : min(k + LANES, len(known))]) for k in range(0, len(known), LANES)]
+
+    def run(batches):
+        for batch in batches:
+            for i, size, block, before in zip(*(c.to_pylist() for c in batch.columns)):
+                found, sums = lane_sums(pickable(*sent[i]), *streams[i], size, block, before)
+                kept = found < replicates
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum(), i)), pa.array(found[kept]), *(pa.array(x) for x in sums[kept].T)], ["stream", "replicate", *names])
+
+    shape = ", ".join(["stream long", "replicate long", *(f"{c} double" for c in names)])
+    parts = spread(spark, jobs, "stream long, size long, block long, before array<long>").mapInArrow(run, shape)
+    return parts.groupBy("stream", "replicate").agg(*(F.sum(c).alias(c) for c in names))
+
+
 def checked(sizes: list[int]) -> None:
     if max(sizes, default=0) > EXACT_QUESTIONS:
         raise ValueError(f"{max(sizes)} questions; the exact mode takes {EXACT_QUESTIONS}")
@@ -565,7 +664,7 @@ def exact_paired(rows: DataFrame, seeds: dict[tuple[str, str], int], by: str = "
     without a row have no result.
     """
     spark, metrics = rows.sparkSession, list(dict.fromkeys(m for _, m in seeds))
-    numbered = ordinal(rows.where(F.col(by).isNotNull()).select(by, order, *metrics), by, order, name="at")
+    numbered = ordinal(written_once(rows.where(F.col(by).isNotNull()).select(by, order, *metrics)), by, order, name="at")
     groups = {r[by]: r for r in numbered.groupBy(by).agg(F.min("at").alias("base"), F.count("*").alias("n"), *(F.avg(F.col(m).cast("double")).alias(m) for m in metrics)).collect()}  # a row a group
     named = [(g, m) for g, m in seeds if g in groups]
     if not named:
@@ -578,9 +677,10 @@ def exact_paired(rows: DataFrame, seeds: dict[tuple[str, str], int], by: str = "
         values, columns, kind, table = coded(own.select(by, "at", m), [m], "code")
         for (g,), blocks in packed(values, [by], "at", {c: kind for c in columns}).items():
             sent[g, m] = (blocks, columns, table)
-    means = replayed(spark, [(groups[g]["n"], seeds[g, m]) for g, m in named], replicates, lambda i, picks, n, count: (x / n for x in picked_sums(*sent[named[i]], picks, n, count)), ["value"])
-    what = spark.createDataFrame([(i, g, m, groups[g][m]) for i, (g, m) in enumerate(named)], f"stream long, {by} string, metric string, estimate double")
-    return what.join(percentile_rows(means, replicates, by=("stream",)), "stream").drop("stream")
+    sums = replicate_sums(spark, [(groups[g]["n"], seeds[g, m]) for g, m in named], replicates, [sent[k] for k in named], ["value"])
+    what = spark.createDataFrame([(i, g, m, groups[g]["n"], groups[g][m]) for i, (g, m) in enumerate(named)], f"stream long, {by} string, metric string, n long, estimate double")
+    bounds = what.join(percentile_rows(sums, replicates, by=("stream",)), "stream")  # a mean rises with its sum
+    return bounds.select(by, "metric", "estimate", (F.col("low") / F.col("n")).alias("low"), (F.col("high") / F.col("n")).alias("high"))
 
 
 def three_of(sums: np.ndarray, n: int) -> np.ndarray:
@@ -598,8 +698,8 @@ def exact_three_intervals(questions: DataFrame, replicates: int = REPLICATES, se
     checked([n := whole["n"]])
     values, held, kind, table = coded(numbered.select("at", *columns), columns, "code")
     blocks = packed(values, [], "at", {c: kind for c in held})[()]
-    drawn = replayed(spark, [(n, seed)], replicates, lambda _, picks, n, count: (three_of(x, n) for x in picked_sums(blocks, held, table, picks, n, count)), names)
-    long = drawn.unpivot(["replicate"], names, "metric", "value")
+    drawn = replicate_sums(spark, [(n, seed)], replicates, [(blocks, held, table)], columns)
+    long = drawn.select(_three(F.col("quality"), F.col("avoidable"), F.col("native"), F.lit(n)).alias("m")).select("m.metric", "m.value")
     estimates = three_of(np.array([[whole[c] for c in columns]], float), n)[0].tolist()
     return spark.createDataFrame(list(zip(names, estimates)), "metric string, estimate double").join(percentile_rows(long, replicates, last_exclusive=False), "metric")
 
