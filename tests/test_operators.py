@@ -286,6 +286,20 @@ def test_sums_of_small_numbers_do_not_overflow():
     assert resample.folded(x, 255).tolist() == [624 * 255] * 3
 
 
+def test_replicates_side_by_side_have_the_precision_of_each(spark):
+    rng = random.Random(4)
+    states = [(q, k, rng.randrange(2), rng.randrange(3) / 4, rng.random()) for q in range(700) for k in range(3)]  # more than SHORT states a score
+    df = spark.createDataFrame(states, "at long, state_index long, truth int, a double, b double").repartition(4)
+    better, base = resample.by_score(df, "b"), resample.by_score(df, "a")
+    times = next(resample.counted_picks(mersenne.Picks(700, 3), 700, 6))
+    times[:, 5] = 0  # nothing drawn
+    times[:300, 4] = 255
+    v = np.array(states, float)
+    question, truth = v[:, 0].astype(int), v[:, 2].astype(int)
+    want = [resample.gains_of(question, (v[:, 3], truth), (v[:, 4], truth), times[:, k].astype(int)) for k in range(6)]
+    assert times.shape == (700, 6) and resample.falling_gain(better, base, times) == pytest.approx(want, abs=1e-12)
+
+
 def test_many_distinct_values(spark, monkeypatch):
     rng = np.random.default_rng(0)
     values = [(i, "m", float(x)) for i, x in enumerate(rng.normal(size=900))] + [(1000 + i, "n", 2.0) for i in range(50)]

@@ -708,52 +708,77 @@ def by_score(states: DataFrame, model: str) -> Blocks:
     """``states(at, truth)`` and a column of scores as blocks that descend by score; ``last`` marks the end of equal scores."""
     falling = F.desc_nulls_last(model)
     ranged = states.select("at", "truth", F.col(model).cast("double").alias(model))
-    numbered = ordinal(ranged, falling, name="place")
+    numbered = ordinal(ranged, falling, F.col("truth"), name="place")
     # the next block's first score tells whether a block ends within equal scores
     groups = numbered.groupBy(model).agg(F.max("place").alias("place"), F.lit(1).alias("last"))
     rows = numbered.join(groups.select("place", "last"), "place", "left").withColumn("last", F.coalesce("last", F.lit(0)))
-    return packed(rows, [], "place", {"at": "<i8", "truth": "u1", "last": "u1"})[()]
+    return packed(rows, [], "place", {"at": "<u4", "truth": "u1", "last": "u1"})[()]
 
 
-def falling_precision(blocks: Blocks, times: np.ndarray, positives: int) -> float:
-    """``tied_precision`` of the states in ``blocks``, whose questions count ``times``."""
-    value, stops, tp, open_tp = 0.0, 0, 0, 0  # open_tp: positives above the score at work
+def state_pieces(blocks: Blocks):
+    """Runs of ``STATES`` states: their questions, where sums begin, which of these are of positives, and which end a score.
+
+    States of one score and truth are added up, ``SHORT`` at a time, so that 16 bits hold a sum of bytes.
+    """
     for _, _, held in blocks:
-        each = times.take(held["at"])
-        hits = each * held["truth"]
-        ends = np.flatnonzero(held["last"])
-        if len(ends):
-            starts = np.append(0, ends[:-1] + 1)
-            size = ends[-1] + 1
-            all_stops = stops + np.cumsum(np.add.reduceat(each[:size], starts, dtype=np.int64))
-            all_tp = tp + np.cumsum(np.add.reduceat(hits[:size], starts, dtype=np.int64))
-            value += (np.diff(all_tp, prepend=open_tp) / positives * _share(all_tp, all_stops)).sum()
-            open_tp = all_tp[-1]
-        stops, tp = stops + int(each.sum(dtype=np.int64)), tp + int(hits.sum(dtype=np.int64))
-    return float(value)
+        for a in range(0, len(held["at"]), STATES):
+            at, truth, last = (held[c][a : a + STATES] for c in ("at", "truth", "last"))
+            cut = np.append(True, (last[:-1] == 1) | (truth[1:] != truth[:-1]))
+            cut[::SHORT] = True
+            starts = np.flatnonzero(cut)
+            yield at.astype(np.int64), starts, truth[starts] == 1, last[np.append(starts[1:], len(at)) - 1] == 1
 
 
-def falling_gain(better: Blocks, base: Blocks, times: np.ndarray) -> float:
-    positives = sum(int((times.take(held["at"]) * held["truth"]).sum(dtype=np.int64)) for _, _, held in base)
-    return falling_precision(better, times, positives) - falling_precision(base, times, positives) if positives else 0.0
+def positives_of(blocks: Blocks, times: np.ndarray) -> np.ndarray:
+    """How often a positive state is drawn in each replicate."""
+    total = np.zeros(times.shape[1], np.int64)
+    for _, _, held in blocks:
+        at = held["at"][held["truth"] == 1]
+        for a in range(0, len(at), STATES):
+            total += times.take(at[a : a + STATES], axis=0).sum(0, dtype=np.int64)
+    return total
+
+
+def falling_precision(blocks: Blocks, times: np.ndarray, positives: np.ndarray) -> np.ndarray:
+    """``tied_precision`` of the states in ``blocks`` for each column of ``times``: how often questions count, a byte each."""
+    value = np.zeros(times.shape[1])
+    stops, tp, open_tp = (np.zeros(times.shape[1], np.int64) for _ in range(3))  # open_tp: positives above the score at work
+    for at, starts, positive, ends in state_pieces(blocks):
+        sums = np.add.reduceat(times.take(at, axis=0), starts, axis=0, dtype=np.uint16).astype(np.int64)
+        all_stops = stops + np.cumsum(sums, 0)
+        sums[~positive] = 0
+        all_tp = tp + np.cumsum(sums, 0)
+        if ends.any():
+            at_end = all_tp[ends]
+            value += (_share(np.diff(at_end, axis=0, prepend=open_tp[None]), positives) * _share(at_end, all_stops[ends])).sum(0)
+            open_tp = at_end[-1]
+        stops, tp = all_stops[-1], all_tp[-1]
+    return value
+
+
+def falling_gain(better: Blocks, base: Blocks, times: np.ndarray) -> np.ndarray:
+    positives = positives_of(base, times)
+    return falling_precision(better, times, positives) - falling_precision(base, times, positives)
 
 
 def counted_picks(picks: Picks, n: int, count: int):
-    """How often each of n questions is drawn in each of the next ``count`` replicates."""
-    for _ in range(count):
-        times = np.zeros(n, np.uint16)  # a question is not drawn 65,536 times in n draws, or its count is an error
-        for a in range(0, n, PICKED):
-            np.add.at(times, picks.take(min(PICKED, n - a)), np.uint16(1))
-        if int(times.sum(dtype=np.int64)) != n:
-            raise OverflowError("a question was drawn more than 65,535 times")
-        yield times
+    """How often each of n questions, a row each, is drawn in the next replicates, a column each, some at a time."""
+    for first in range(0, count, step := max(1, min(ABREAST, KEPT // n))):
+        times = np.zeros((min(step, count - first), n), np.uint8)  # a question is not drawn 256 times in n draws, or its count is an error
+        for row in times:
+            for a in range(0, n, PICKED):
+                np.add.at(row, picks.take(min(PICKED, n - a)), np.uint8(1))
+            if int(row.sum(dtype=np.int64)) != n:
+                raise OverflowError("a question was drawn more than 255 times")
+        yield np.ascontiguousarray(times.T)
 
 
 def exact_ap_interval(states: DataFrame, better: str, base: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
     """``metric, estimate, low, high`` of the gain in average precision, by the published stream.
 
     ``states(question_id, state_index, truth)`` and a column of scores for each
-    of the two models.  A task holds two bytes a question and streams states.
+    of the two models.  A task holds a byte, or two, for each question and each
+    of the replicates it weighs side by side, and streams states.
     """
     spark = states.sparkSession
     questions = ordinal(states.select("question_id").distinct(), "question_id", name="at")
@@ -761,8 +786,8 @@ def exact_ap_interval(states: DataFrame, better: str, base: str, replicates: int
     checked([n])
     numbered = written_once(states.join(questions, "question_id").select("at", "truth", better, base))
     sent = by_score(numbered, better), by_score(numbered, base)
-    drawn = replayed(spark, [(n, seed)], replicates, lambda _, picks, n, count: ([falling_gain(*sent, times)] for times in counted_picks(picks, n, count)), ["value"]).withColumn("metric", F.lit("average_precision"))
-    whole = spark.range(1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([falling_gain(*sent, np.ones(n, np.uint16))] * b.num_rows, pa.float64())], ["estimate"]) for b in batches), "estimate double")
+    drawn = replayed(spark, [(n, seed)], replicates, lambda _, picks, n, count: (falling_gain(*sent, times) for times in counted_picks(picks, n, count)), ["value"]).withColumn("metric", F.lit("average_precision"))
+    whole = spark.range(1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([falling_gain(*sent, np.ones((n, 1), np.uint8))[0]] * b.num_rows, pa.float64())], ["estimate"]) for b in batches), "estimate double")
     return percentile_rows(drawn, replicates).join(whole).select("metric", "estimate", "low", "high")
 
 
