@@ -621,3 +621,17 @@ def test_a_join_frees_what_the_worker_remembers(spark):
     assert docs.mapInArrow(held, docs.schema).where("doc_id = -2").count() == 1
     assert ngram_join.profiles(docs, "doc_id", "text", 3, 90, 100).count() == 8
     assert "another" not in {r.kept for r in docs.mapInArrow(kept, "kept string").collect()}.pop()
+
+
+def test_learning_a_word_does_not_walk_through_all_known_words():
+    import time
+
+    encoder = Encoder(P.path("word_bpe_49k.json"), 2)
+    encoder.known = {b"w%d" % i: b"" for i in range(700_000)}
+    took = []
+    for k in range(8):
+        began = time.perf_counter()
+        encoder.learn({b"Word%d," % k})
+        took.append(time.perf_counter() - began)
+        assert encoder.known[b"Word%d," % k]
+    assert min(took) < 0.005  # the walk takes 13 ms

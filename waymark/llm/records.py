@@ -106,7 +106,7 @@ class Encoder:
                 parts.add(marks)
             if core != w:
                 cut += w, core, marks
-        parts.difference_update(self.known)
+        parts = parts.difference(self.known)  # in place it would walk through all that is known
         letters.update(filter(lower_letters, parts))
         new = [w for w in letters if w not in self.known]
         for i in range(0, len(new), 5000):
