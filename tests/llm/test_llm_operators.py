@@ -573,6 +573,50 @@ def test_ids_equal_the_library():
     assert got == [[*e.ids, 2] for e in c.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_letters_and_marks_are_words_of_their_own():
+    c = Encoder(P.path("word_bpe_49k.json"), 2)
+    around = [chr(i) for i in [*range(128), *range(0xA0, 0x250), 0x307, 0x338, 0x300, 0x3A3, 0x3C2, 0x4E2D, 0x212A, 0x2028, 0x3000, 0x1F600, 0x10400]]
+    texts = [x.join(y) for x in around for y in ("a.", ".a", "..", "\u00e9,", "=\u00c9", "1a", "'.", ".'", "a'", "'s", " <")]
+    texts += ["", " ", "\n\t", ".", "a", "it's.'s,'ll!'LL", "<|endoftext|>.", "A.<|endoftext|>a. <|ENDOFTEXT|>", "<|x", "|>.a", "\u0130. \u0130\u0130.\u0130", " ".join(around), "".join(around)]
+    want = [[*e.ids, 2] for e in c.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in c.encode([x.encode() for x in texts])] == want
+    assert [c.encode([x.encode()])[0] for x in texts[-13:]] == [np.array(x, np.uint16).tobytes() for x in want[-13:]]
+    assert c.encode([]) == [] and c.encode([None, b"", b" "]) == [c.end] * 3
+    c.known.clear()
+    c.encode([b"river. (river) River, b\xc3\xa9ta! b\xc3\xa9ta\xc3\x97"])
+    assert set(c.known) == {b"river", b"b\xc3\xa9ta", b"b\xc3\xa9ta\xc3\x97", b".", b",", b"!", b"(", b")"}
+
+
+def test_a_word_is_looked_up_once_a_group():
+    class Counted(dict):
+        looked_up = 0
+
+        def get(self, key):
+            self.looked_up += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            self.looked_up += 1
+            return super().__getitem__(key)
+
+    c = Encoder(P.path("word_bpe_49k.json"), 2)
+    c.known = Counted()
+    texts = [b"one two three. " * 500, None, b"Two one, " * 500] * 10
+    got = c.encode(texts)
+    assert got == [np.array([*c.tokenizer.encode((t or b"").decode(), add_special_tokens=False).ids, 2], np.uint16).tobytes() for t in texts]
+    assert c.known.looked_up < 20
+
+
+def test_memory_that_starts_anew_changes_no_id(monkeypatch):
+    from waymark.llm import records
+
+    c = Encoder(P.path("word_bpe_49k.json"), 2)
+    texts = [x.encode() for x in odd_texts()]
+    want = c.encode(texts)
+    monkeypatch.setattr(records, "MEMORY_WORDS", 5)
+    assert [x for i in range(0, len(texts), 7) for x in c.encode(texts[i : i + 7])] == want
+
+
 def test_records_round_trip(spark, tmp_path, monkeypatch):
     from waymark.llm import records
 

@@ -37,14 +37,23 @@ from .common import byte_slices, resident, small_batches
 SHARD_BYTES = 4_000_000
 #: Text bytes of one range partition.
 PARTITION_BYTES = 8_000_000
-GROUP_BYTES = 1_000_000
+GROUP_BYTES = 4_000_000
 #: Shards that one partition can number.
 SHARDS_A_PARTITION = 1_000_000
 #: Remembered words per Python worker; beyond it the memory starts anew.
 MEMORY_WORDS = 800_000
+#: Words that the library encodes at once.
+BATCH_WORDS = 20_000
 #: ASCII punctuation that is no letter's neighbour in a contraction.
 MARKS = b'!"#$%&()*+,-./:;=?@[\\]^_`{}~|'
 HEAD, INDEX = "<QI", "<qqqq"
+#: Kinds of bytes: white space, letters, marks; bytes of no kind stay with their neighbours.
+SPACE, LETTER, MARK, OTHER = 0, 1, 2, 4
+KINDS = np.full(256, OTHER, np.uint8)
+for _kind, _bytes in ((SPACE, b" \t\n\r\v\f"), (LETTER, bytes(range(97, 123))), (MARK, MARKS)):
+    KINDS[list(_bytes)] = _kind
+#: Code points of two bytes that are letters, also when lower-cased.
+LATIN = np.array([0xC0 <= c < 0x240 and chr(c).isalpha() and chr(c).lower().isalpha() for c in range(0x800)])
 
 
 def masked(data: bytes) -> int:
@@ -55,12 +64,39 @@ def masked(data: bytes) -> int:
 
 def lower_letters(word: bytes) -> bool:
     """Whether a word is lower Latin letters only, which neither compose nor end within the word."""
+    if word.isalpha():  # ASCII
+        return word.islower()
     if word.isascii():
-        return word.isalpha() and word.islower()
+        return False
     text = word.decode()
     return max(text) < "\u0250" and text.isalpha() and text.islower()
 
 
+def cut(data: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The words of a text between white space, and where they begin.
+
+    Words end at ASCII white space, and where a Latin letter and a mark meet.
+    """
+    a = np.frombuffer(data, np.uint8)
+    kinds = KINDS[a]
+    if not data.isascii():
+        leads = np.flatnonzero((a >= 0xC3) & (a <= 0xC8))
+        leads = leads[(a[leads + 1] >> 6 == 2) & LATIN[(a[leads].astype(np.int16) & 31) << 6 | a[leads + 1] & 63]]
+        kinds[leads] = kinds[leads + 1] = LETTER
+    here, before = kinds[1:], kinds[:-1]
+    meet = here ^ before == LETTER ^ MARK
+    starts = np.flatnonzero((here != SPACE) & (meet | (before == SPACE))) + 1
+    ends = np.flatnonzero((before != SPACE) & (meet | (here == SPACE))) + 1
+    offsets = np.append(0, np.cumsum(ends - starts))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(a[kinds != SPACE])]), starts
+
+
+def held(words: pa.Array) -> np.ndarray:
+    """The bytes of all words, one after the other."""
+    data = words.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+
+
 class Encoder:
     """Encodes white-space separated words; lives as long as its worker."""
 
@@ -95,58 +131,74 @@ class Encoder:
         return word, b""
 
     def learn(self, unseen: set[bytes]) -> None:
-        letters, parts, cut = set(), set(), []
+        letters, parts, cuts = [], set(), []
         for w in unseen:
-            if w.isalpha() and w.islower():
-                letters.add(w)
+            if lower_letters(w):
+                letters.append(w)
                 continue
             core, marks = self._parts(w)
             parts.add(core)
             if marks:
                 parts.add(marks)
             if core != w:
-                cut += w, core, marks
+                cuts.append((w, core, marks))
         parts = parts.difference(self.known)  # in place it would walk through all that is known
-        letters.update(filter(lower_letters, parts))
-        new = [w for w in letters if w not in self.known]
-        for i in range(0, len(new), 5000):
-            self._learn_letters(new[i : i + 5000])
-        rest = list((parts | letters).difference(self.known))
-        for i in range(0, len(rest), 20_000):
-            batch = rest[i : i + 20_000]
+        parts.difference_update(letters)
+        letters += filter(lower_letters, parts)
+        rest = [p for p in parts if not lower_letters(p)]
+        for i in range(0, len(letters), BATCH_WORDS):
+            rest += self._learn_letters(letters[i : i + BATCH_WORDS])
+        for i in range(0, len(rest), BATCH_WORDS):
+            batch = rest[i : i + BATCH_WORDS]
             for p, e in zip(batch, self.tokenizer.encode_batch_fast([p.decode() for p in batch], add_special_tokens=False)):
                 self.known[p] = array(self.code, e.ids).tobytes()
-        for w, core, marks in zip(*[iter(cut)] * 3):
+        for w, core, marks in cuts:
             self.known[w] = self.known[core] + self.known[marks] if marks else self.known[core]
 
-    def _learn_letters(self, words: list[bytes]) -> None:
-        """Encode words of lower letters as one text and cut it where words end."""
+    def _learn_letters(self, words: list[bytes]) -> list[bytes]:
+        """Encode words of lower letters as one text, cut it where words end; return words that are left."""
         text = b" ".join(words).decode()
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.dtype(self.code))
-        cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.width
-        if len(cuts) == len(words):  # else this vocabulary marks no word ends
-            data, start = ids.tobytes(), 0
-            for word, cut in zip(words, cuts.tolist()):
-                self.known[word] = data[start:cut]
-                start = cut
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+        if len(ends) != len(words):  # this vocabulary marks no word ends
+            return words
+        data = ids.tobytes()
+        self.known.update(zip(words, map(data.__getitem__, map(slice, [0, *ends], ends))))
+        return []
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word; words that are not known yet are learnt."""
+        out = list(map(self.known.get, words))
+        if None in out:
+            unseen = {w for w, e in zip(words, out) if e is None}
+            if len(self.known) + len(unseen) > MEMORY_WORDS:
+                self.known.clear()
+                unseen = set(words)
+            self.learn(unseen)
+            out = [self.known[w] if e is None else e for w, e in zip(words, out)]
+        return out
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Token ids of each text and the end id, as bytes.
 
         The tokenizer's pre-tokens never hold white space, so words between
-        ASCII white space can be encoded one by one.  Case does not matter to
-        them, but in special strings.
+        ASCII white space can be encoded one by one, and so can letters and
+        the marks next to them.  Case does not matter to them, but in special
+        strings; texts that may hold those are split as they stand.
         """
-        split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
-        used = set().union(*split)
-        unseen = used.difference(self.known)
-        if unseen:
-            if len(self.known) + len(unseen) > MEMORY_WORDS:
-                self.known.clear()
-                unseen = used
-            self.learn(unseen)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
+        plain = [b"" if not t or b"<|" in t else t for t in texts]
+        words, starts = cut(b"\n".join([b"", *plain, b""]).lower())
+        found = words.dictionary_encode()  # so each word of the group is looked up once
+        distinct = np.insert(held(found.dictionary), np.cumsum(pa.compute.binary_length(found.dictionary)), 32).tobytes().split()
+        ids = pa.array(self.ids(distinct), pa.large_binary()).take(found.indices)
+        firsts = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in plain)]))
+        at = np.append(0, np.cumsum(pa.compute.binary_length(ids)))[firsts].tolist()
+        data = held(ids).tobytes()
+        out = [data[i:j] + self.end for i, j in zip(at, at[1:])]
+        for k, t in enumerate(texts):
+            if t and b"<|" in t:
+                out[k] = b"".join(self.ids(t.split())) + self.end
+        return out
 
 
 def frame(doc_id: int | None, width: int, ids: bytes) -> bytes:
