@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import re
 import shutil
@@ -115,6 +117,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def hand_back() -> None:
+    """Unused memory goes back to the system, from Arrow's pool and, with glibc, from malloc, which keeps it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 _resident: dict = {}
 
 
@@ -125,8 +135,7 @@ def resident(key, build):
     """
     if key not in _resident:
         _resident.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        hand_back()
         _resident[key] = build()
     return _resident[key]
 

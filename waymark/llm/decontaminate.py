@@ -158,14 +158,14 @@ def _union(spans: list[list[int]]) -> list[list[int]]:
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str):
-    """Test items in blocks of bounded size: (key, [(item, words)])."""
+    """Test items in blocks of bounded size: (key, [(item, words)], whether it is the last)."""
     rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     for k in range(n):
         block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         found = sorted((r.item or "", words_of(bytes(r.text))) for r in block.toLocalIterator())
-        yield hashlib.sha1(repr(found).encode()).hexdigest(), found
+        yield hashlib.sha1(repr(found).encode()).hexdigest(), found, k == n - 1
 
 
 def match_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, keep: tuple = ()) -> DataFrame:
@@ -178,6 +178,14 @@ def match_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     repeated results; empty tables give empty results or no hits; ``keep``
     names columns to carry along (in a struct ``row``) whatever their names.
     """
+    return _matched(docs, items, id_col, text_col, item_col, item_text_col, window, keep).withColumnRenamed("id", id_col)
+
+
+def _matched(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, keep: tuple, after=None, fields: tuple = ()) -> DataFrame:
+    """Rows of ``match_benchmark``, or what ``after`` makes of batches of them: columns ``row`` and ``fields``.
+
+    It runs where the last block is matched, so a task needs no further Python worker.
+    """
     spark = docs.sparkSession
     span = T.ArrayType(T.ArrayType(T.LongType()))
     frame = small_batches(docs).select(
@@ -185,10 +193,12 @@ def match_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"), *([F.struct(*keep).alias("row")] if keep else []),
     )
     schema = frame.schema
-    for key, block in _blocks(items, item_col, item_text_col):
+    for key, block, last in _blocks(items, item_col, item_text_col):
         sent = spark.sparkContext.broadcast((key, block))
 
-        def match(batches, sent=sent):
+        finish = after if last and after else lambda batch: batch
+
+        def match(batches, sent=sent, finish=finish):
             automaton = _automaton(f"{sent.value[0]}{window}", sent.value[1], window)
             for whole in batches:
                 for batch in byte_slices(whole, "text", GROUP_BYTES):
@@ -200,13 +210,14 @@ def match_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                         if found:
                             spans[i] = _union(spans[i] + found)
                             names[i] = sorted({*names[i], *hit})
-                    yield pa.RecordBatch.from_arrays(
+                    done = pa.RecordBatch.from_arrays(
                         [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.list_(pa.string())), *(batch.column(i) for i in range(5, batch.num_columns))],
                         batch.schema.names,
                     )
+                    yield finish(done)
 
-        frame = frame.mapInArrow(match, schema)
-    return frame.withColumnRenamed("id", id_col)
+        frame = frame.mapInArrow(match, T.StructType([schema["row"], *fields]) if last and after else schema)
+    return frame
 
 
 def n_hit(spans):
@@ -238,17 +249,17 @@ def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     document of whose words more than ``max_coverage`` are hit goes as a whole.
     Other rows come back as they were, nulls and repeated rows included.
     """
-    matched = match_benchmark(docs, items, id_col, text_col, item_col, item_text_col, window, tuple(docs.columns))
-    kept = matched.where(~(n_hit("spans") > max_coverage * F.col("n_words")))
-    long_spans = kept.withColumn("spans", F.filter("spans", lambda s: s[1] - s[0] > max_span)).select("row", "text", "spans")
 
-    def cut(batches):
-        for batch in batches:
-            spans = batch.column(2).to_pylist()
-            texts = [_without(t, s).decode() if s and t is not None else None for t, s in zip(batch.column(1).to_pylist(), spans)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "cut"])
+    def cut(batch):
+        found = list(zip(batch.column("n_words").to_pylist(), batch.column("spans").to_pylist()))
+        batch = batch.filter(pa.array([sum(b - a for a, b in spans) <= max_coverage * n for n, spans in found], pa.bool_()))
+        texts = []
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            long_spans = [s for s in spans if s[1] - s[0] > max_span]
+            texts.append(_without(text, long_spans).decode() if long_spans else None)
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "cut"])
 
-    done = long_spans.mapInArrow(cut, T.StructType([long_spans.schema["row"], T.StructField("cut", T.StringType())]))
+    done = _matched(docs, items, id_col, text_col, item_col, item_text_col, window, tuple(docs.columns), cut, (T.StructField("cut", T.StringType()),))
     return done.select(*(F.coalesce("cut", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 

@@ -215,13 +215,18 @@ def _newton(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float) -> np
     return w
 
 
+def _margins(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Margins of all rows; numpy would hold a copy of them all in doubles, so blocks are taken."""
+    return np.concatenate([np.zeros(0), *(x[a : a + 10_000] @ w for a in range(0, len(x), 10_000))]) + BIAS
+
+
 def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Weights of a squared-hinge machine of bias ``BIAS``, by Newton steps from ``w``.
 
     ``c`` is what each row costs if it is wrong; rows of cost 0 do not count.
     """
     for _ in range(40):
-        active = np.flatnonzero((c > 0) & (y * (x @ w + BIAS) < 1))
+        active = np.flatnonzero((c > 0) & (y * _margins(x, w) < 1))
         square, line = np.eye(len(w)), np.zeros(len(w))
         for a in range(0, len(active), 10_000):
             part = active[a : a + 10_000]
@@ -311,7 +316,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
         cost *= clean.sum() / cost.sum()
         cost[: len(clean)][clean] = 1
         w = _svm(x, np.where(np.concatenate((label, label[copy_of])), 1.0, -1.0), COST * cost, w)
-        margin = x[: len(owner)] @ w + BIAS
+        margin = _margins(x[: len(owner)], w)
         best = np.full(len(y), -np.inf)
         np.maximum.at(best, owner[label & first], margin[label & first])
         chosen = label & first & ((margin > 0) | (margin >= best[owner]))
